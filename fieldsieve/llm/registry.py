@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audio
+from . import audio, chat, mixing
 
-MODULES = (audio,)
+MODULES = (audio, chat, mixing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
