@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audio, chat, html_diff, langid, mixing, secrets
+from . import audio, chat, html_diff, langid, mixing, near_dup, secrets
 
-MODULES = (audio, chat, html_diff, langid, mixing, secrets)
+MODULES = (audio, chat, html_diff, langid, mixing, near_dup, secrets)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
