@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audio, chat, decontaminate, html_diff, langid, mixing, near_dup, paragraphs, secrets
+from . import audio, chat, decontaminate, html_diff, langid, mixing, near_dup, paragraphs, secrets, suffixes
 
-MODULES = (audio, chat, decontaminate, html_diff, langid, mixing, near_dup, paragraphs, secrets)
+MODULES = (audio, chat, decontaminate, html_diff, langid, mixing, near_dup, paragraphs, secrets, suffixes)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
