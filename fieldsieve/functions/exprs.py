@@ -108,10 +108,11 @@ def lines_digest(ids: Column) -> Column:
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval, null where n is 0."""
-    p, z2 = successes / F.nullif(n.cast("double"), F.lit(0.0)), z * z
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p, z2 = successes / n, z * z
     middle, scale = (p + z2 / (2 * n)), 1 + z2 / n
     reach = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
-    return F.greatest(F.lit(0.0), (middle - reach) / scale), F.least(F.lit(1.0), (middle + reach) / scale)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), (middle - reach) / scale)), F.when(n.isNotNull(), F.least(F.lit(1.0), (middle + reach) / scale))
 
 
 def reasons(*checks: tuple[Column, str]) -> Column:
