@@ -65,7 +65,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     for k, jump in enumerate(jumps):
         # the top 2^k messages of a path have no link that long
         up = paths.join(jump, "id").select("root", "leaf", "rank", F.col("to").alias("id"), (F.col("step") - (1 << k)).alias("step"))
-        paths = paths.unionByName(up)
+        paths = materialize(paths.unionByName(up))  # else the plan doubles with each round
     return paths
 
 
