@@ -17,8 +17,10 @@ neighbour lose no lines to differencing; other columns ride along.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import numpy as np
@@ -178,6 +180,22 @@ def main_text(lines: list[tuple[str, bool]], neighbours: list[list[tuple[str, bo
     return " ".join(text for i, (text, inside) in enumerate(lines) if inside or (not article and i not in template))
 
 
+def with_lines(pages: DataFrame) -> DataFrame:
+    """pages with ``_lines``, the page's lines packed, in place of html: less to move than the markup."""
+    keep = [c for c in pages.columns if c != "html"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [zlib.compress(json.dumps(page_lines(x), ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(packed, pa.binary())], names=[*keep, "_lines"])
+
+    return pages.select(*keep, "html").mapInArrow(work, T.StructType([*[pages.schema[c] for c in keep], T.StructField("_lines", T.BinaryType())]))
+
+
+def unpacked(lines: bytes) -> list[tuple[str, bool]]:
+    return [tuple(x) for x in json.loads(zlib.decompress(lines).decode("utf-8", "surrogatepass"))]
+
+
 def numbered(pages: DataFrame) -> DataFrame:
     """pages with _at: each row's number in the order (host, path, page_id), found without one task seeing all."""
     url = F.coalesce("url", F.lit(""))
@@ -198,7 +216,7 @@ def numbered(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html and others) with text in place of html."""
     keep = [c for c in pages.columns if c not in ("html", "text")]
-    rows = numbered(pages.drop("text"))
+    rows = numbered(with_lines(pages.drop("text")))
     place, group = F.col("_at") % GROUP, F.floor(F.col("_at") / GROUP)
     groups = F.array_compact(F.array(group, F.when(place == 0, group - 1), F.when(place == GROUP - 1, group + 1)))
     rows = rows.withColumn("_group", F.explode(groups))
@@ -206,13 +224,13 @@ def extract(pages: DataFrame) -> DataFrame:
     def work(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.take(pa.array(np.argsort(rows.column("_at").to_numpy(), kind="stable")))
         at, host = rows.column("_at").to_numpy(), rows.column("_host").to_pylist()
-        lines = [page_lines(x) for x in rows.column("html").to_pylist()]
+        lines = [unpacked(x) for x in rows.column("_lines").to_pylist()]
         own = np.flatnonzero(at // GROUP == key[0].as_py())
         texts = [main_text(lines[i], [lines[j] for j in (i - 1, i + 1) if 0 <= j < len(at) and host[j] == host[i]]) for i in own]
         return rows.take(pa.array(own)).select(keep).append_column("text", pa.array(texts, pa.string()))
 
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField("text", T.StringType())])
-    return rows.select(*keep, "html", "_host", "_at", "_group").groupBy("_group").applyInArrow(work, schema)
+    return rows.select(*keep, "_lines", "_host", "_at", "_group").groupBy("_group").applyInArrow(work, schema)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
