@@ -162,10 +162,11 @@ ADDED = (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("
 
 
 def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """Read each stored container back and replace it by digests, time spans and the tensor stream."""
-    keep = [c for c in df.columns if c != media]
-    if clash := {n for n, _ in ADDED} & set(keep):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    """Read each stored container back and replace it by digests, time spans and the tensor stream.
+
+    Columns of df that have the name of an added one are replaced.
+    """
+    keep = [c for c in df.columns if c not in (media, *(n for n, _ in ADDED))]
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(n, t) for n, t in ADDED]])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
                 [batch.column(c) for c in keep] + [pa.array(rows[n], types.get(n)) for n, _ in ADDED], names=[*keep, *rows]
             )
 
-    return df.mapInArrow(features, schema)
+    return df.select(*keep, media).mapInArrow(features, schema)
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
