@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,15 +48,16 @@ def hold_closure(rows: DataFrame) -> DataFrame:
     Breadth-first over the bipartite graph: each round only visits the groups that the last one reached.
     """
     edges = durable(relation_edges(rows))
-    seen = durable(rows.filter(is_hold(rows)).select("uuid"))
-    new, groups = seen, None
-    while not new.isEmpty():
-        reached = edges.join(new, "uuid", "left_semi").select("group").distinct()
-        reached = durable(reached.join(groups, "group", "left_anti") if groups is not None else reached)
-        groups = reached if groups is None else durable(groups.unionByName(reached))
-        new = durable(edges.join(reached, "group", "left_semi").select("uuid").distinct().join(seen, "uuid", "left_anti"))
-        seen = durable(seen.unionByName(new))
-    out = rows.join(seen.distinct().withColumn("held", F.lit(True)), "uuid", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    seen, groups = [durable(rows.filter(is_hold(rows)).select("uuid").distinct())], []
+    while not seen[-1].isEmpty():
+        reached = edges.join(seen[-1], "uuid", "left_semi").select("group").distinct()
+        if groups:
+            reached = reached.join(reduce(DataFrame.union, groups), "group", "left_anti")
+        groups.append(durable(reached))
+        new = edges.join(groups[-1], "group", "left_semi").select("uuid").distinct()
+        seen.append(durable(new.join(reduce(DataFrame.union, seen), "uuid", "left_anti")))
+    seen = reduce(DataFrame.union, seen)
+    out = rows.join(seen.withColumn("held", F.lit(True)), "uuid", "left").withColumn("held", F.coalesce("held", F.lit(False)))
     return out.withColumn("automatic", F.col("held") & ~is_hold(rows))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,15 @@ from pyspark.sql import types as T
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster shares (a temporary one where none is set)."""
+    """df written to the folder that the cluster shares, and read again: computed once, no lineage, survives lost executors."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldsieve-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="fieldsieve-")  # tests and single machines
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("uuid", "filename")) -> DataFrame:
