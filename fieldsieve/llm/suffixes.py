@@ -10,8 +10,10 @@ bytes: equal strings have equal digits, and consecutive suffixes mostly share on
 run with a fingerprint of the run's bytes. Runs are spread over buckets by digit. A run with the same
 digit and fingerprint in a smaller document is covered whole. A digit that different runs of different
 documents share goes on to pass 2; all others are settled.
-Pass 2. The suffixes of those runs are spread by the hash of all their DEPTH bytes; of equal ones
-all but those of the least document are covered.
+Pass 2. Those runs travel again, now with their bytes, to the bucket of their digit, where their suffixes
+are ordered by all DEPTH bytes; of equal ones all but those of the least document are covered. Runs of a
+digit that more than CROWD runs share are not brought together: their suffixes are spread by the hash of
+all DEPTH bytes.
 
 Tasks first settle what they can among their own documents and send one occurrence of each run or
 string, so a passage that a third of all documents hold reaches its bucket once for each task buffer.
@@ -41,6 +43,7 @@ from .near_dup import text_key
 DEPTH, GRAM = 50, 16
 RUN = DEPTH - GRAM + 1  # the most suffixes of a run, so that its first and last string cover it
 BUFFER, MOST_DOCS = 3_000_000, 60_000  # records and documents of a task buffer
+CROWD = 20_000
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _ODD = tk.stream(41, 16) | _U(1)
@@ -106,24 +109,33 @@ def unplanes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-WIDTHS = (("digit", 5), ("print", 5), ("doc", 2), ("pos", 4), ("n", 1))
+#: Columns of packed records and their bytes. The digit comes first and ascends, so only its steps are kept.
+WIDTHS = (("digit", 4), ("print", 5), ("doc", 2), ("pos", 4), ("n", 1))
+STRING_WIDTHS = (("digit", 7), ("doc", 2), ("pos", 4), ("n", 1))
+RAW_WIDTHS = (("doc", 2), ("pos", 4), ("n", 1))
 
 
 def pack(part: dict[str, np.ndarray], ids: np.ndarray, keys: np.ndarray, widths=WIDTHS) -> bytes:
     """A blob of records and of the documents they name."""
     used, doc = np.unique(part["doc"], return_inverse=True)
     head = np.array([len(doc), len(used)], np.int64).tobytes()
-    return head + ids[used].tobytes() + keys[used].tobytes() + b"".join(planes(doc if c == "doc" else part[c], w) for c, w in widths)
+    columns = part | {"doc": doc}
+    if "digit" in part:
+        columns["digit"] = np.diff(part["digit"].astype(_U), prepend=_U(0))
+    return head + ids[used].tobytes() + keys[used].tobytes() + b"".join(planes(columns[c], w) for c, w in widths)
 
 
-def unpack(raw: bytes, widths=WIDTHS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def unpack(raw: bytes, widths=WIDTHS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, int]:
+    """Records, ids and keys of a blob, and where it ends."""
     n, d = np.frombuffer(raw, np.int64, 2)
     ids, keys = np.frombuffer(raw, np.int64, d, 16), np.frombuffer(raw, np.int64, d, 16 + 8 * d)
     at, part = 16 + 16 * int(d), {}
     for c, w in widths:
         part[c] = unplanes(raw, at, int(n), w)
         at += int(n) * w
-    return part, ids, keys
+    if "digit" in part:
+        part["digit"] = np.cumsum(part["digit"])
+    return part, ids, keys, at
 
 
 def settle(group: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,83 +174,134 @@ class Buffer:
         order, _, covered = settle(tuple(part[g] for g in self.group), ids[part["doc"]])
         done, left = order[covered], order[~covered]
         bucket = (part["digit"][left] >> _U(64 - self.bits)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        left, bucket = left[by], bucket[by]
+        # below the bucket's bits, as many as travel
+        part["digit"] = (part["digit"] << _U(self.bits)) >> _U(64 - 8 * dict(self.widths)["digit"])
         edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(left) else np.zeros(1, np.int64)
         blobs = [pack({c: part[c][left[a:b]] for c, _ in self.widths}, ids, keys, self.widths) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        yield sent(bucket[edge[:-1]], blobs, None)
+        yield sent(bucket[edge[:-1]], blob=blobs)
         if len(done):  # what is settled already rides along, dealt out evenly
             for at in range(0, len(done), 1 << 16):
                 some = done[at : at + (1 << 16)]
                 spread = int(tk.mix(np.array([at, int(ids[0]), len(done)], np.int64).view(_U)).sum() >> _U(64 - self.bits))
-                yield sent(np.array([spread]), None, [pack({c: part[c][some] for c, _ in self.widths}, ids, keys, self.widths)])
+                yield sent(np.array([spread]), done=[pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS)])
 
 
-def sent(bucket: np.ndarray, blobs: list | None, done: list | None) -> pa.RecordBatch:
-    n = len(bucket)
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(blobs or [None] * n, pa.binary()), pa.array(done or [None] * n, pa.binary())], names=["bucket", "blob", "done"])
+def sent(bucket: np.ndarray, blob: list | None = None, done: list | None = None, raw: list | None = None) -> pa.RecordBatch:
+    none = [None] * len(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array(x or none, pa.binary()) for x in (blob, done, raw)]], names=["bucket", "blob", "done", "raw"])
 
 
-SENT = "bucket long, blob binary, done binary"
-SPANS = "doc long, key long, start long, n int, open boolean"
+SENT = "bucket long, blob binary, done binary, raw binary"
+SPANS = "doc long, key long, start long, n int, open int"
+CLOSED, OPEN, CROWDED = 0, 1, 2
 
 
-def found(part: dict, ids: np.ndarray, keys: np.ndarray, some: np.ndarray, still_open: bool) -> pa.RecordBatch:
+def found(part: dict, ids: np.ndarray, keys: np.ndarray, some: np.ndarray, state: int | np.ndarray) -> pa.RecordBatch:
     doc = part["doc"][some].astype(np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[doc]), pa.array(keys[doc]), pa.array(part["pos"][some].astype(np.int64)), pa.array(part["n"][some].astype(np.int32)), pa.array(np.full(len(some), still_open))],
+        [pa.array(ids[doc]), pa.array(keys[doc]), pa.array(part["pos"][some].astype(np.int64)), pa.array(part["n"][some].astype(np.int32)), pa.array(np.broadcast_to(np.int32(state), len(some)))],
         names=["doc", "key", "start", "n", "open"],
     )
 
 
+def together(held: list[tuple]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The records of several blobs as one."""
+    parts, ids, keys = zip(*held, strict=True)
+    base = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    whole["doc"] = np.concatenate([p["doc"] + _U(b) for p, b in zip(parts, base, strict=False)])
+    return whole, np.concatenate(ids), np.concatenate(keys)
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch], widths, close) -> Iterator[pa.RecordBatch]:
-    """Calls close(part, ids, keys) on the records of each bucket, which come in order; passes on what is settled."""
-    held, now = [], None
+    """Calls close on the records of each bucket, which come in order; passes on what is settled."""
+    held, raws, texts, now = [], [], [], None
 
     def flush():
         if held:
-            parts, ids, keys = zip(*held, strict=True)
-            base = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-            whole = {c: np.concatenate([p[c] for p in parts]) for c, _ in widths}
-            whole["doc"] = np.concatenate([p["doc"] + _U(b) for p, b in zip(parts, base, strict=False)])
-            held.clear()
-            yield from close(whole, np.concatenate(ids), np.concatenate(keys))
+            yield from close(*together(held))
+        if raws:
+            yield from raw_pass(*together(raws), np.frombuffer(b"".join(texts), np.uint8))
+        held.clear(), raws.clear(), texts.clear()
 
     for batch in batches:
-        for bucket, blob, done in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blob", "done")), strict=True):
+        for bucket, blob, done, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blob", "done", "raw")), strict=True):
             if bucket != now:
                 yield from flush()
                 now = bucket
             if blob is not None:
-                held.append(unpack(blob, widths))
+                held.append(unpack(blob, widths)[:3])
+            if raw is not None:
+                *one, end = unpack(raw, RAW_WIDTHS)
+                raws.append(one)
+                texts.append(raw[end:])
             if done is not None:
-                part, ids, keys = unpack(done, widths)
-                yield found(part, ids, keys, np.arange(len(part["doc"])), False)
+                part, ids, keys, _ = unpack(done, RAW_WIDTHS)
+                yield found(part, ids, keys, np.arange(len(part["doc"])), CLOSED)
     yield from flush()
 
 
-def first_pass(part: dict, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+def first_pass(part: dict, ids: np.ndarray, keys: np.ndarray, crowd: int = CROWD) -> Iterator[pa.RecordBatch]:
     own = ids[part["doc"].astype(np.int64)]
     order, new, covered = settle((part["digit"], part["print"]), own)
-    yield found(part, ids, keys, order[covered], False)
+    yield found(part, ids, keys, order[covered], CLOSED)
     digit = part["digit"][order]
     begin = np.concatenate(([True], digit[1:] != digit[:-1]))
     group = np.cumsum(begin) - 1
-    kinds = np.bincount(group, new)
+    kinds, left = np.bincount(group, new), np.bincount(group, ~covered)
     least, most = np.minimum.reduceat(own[order], np.flatnonzero(begin)), np.maximum.reduceat(own[order], np.flatnonzero(begin))
-    more = (kinds > 1) & (least < most)
-    yield found(part, ids, keys, order[more[group] & ~covered], True)
+    more = ((kinds > 1) & (least < most))[group] & ~covered
+    yield found(part, ids, keys, order[more], np.where(left > crowd, CROWDED, OPEN)[group[more]])
 
 
 def second_pass(part: dict, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     order, _, covered = settle((part["digit"],), ids[part["doc"].astype(np.int64)])
-    yield found(part | {"n": np.ones(len(part["doc"]), np.int64)}, ids, keys, order[covered], False)
+    yield found(part, ids, keys, order[covered], CLOSED)
+
+
+def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Orders the suffixes of runs that came with their bytes, end to end in data."""
+    n = part["n"].astype(np.int64)
+    length = n + DEPTH - 1
+    run = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(length) - length, n) + inner
+    order, _, covered = settle((string_hashes(gram_hashes(data), at),), ids[part["doc"].astype(np.int64)][run])
+    gone = np.zeros(len(at), bool)
+    gone[order[covered]] = True
+    first = gone & ~np.concatenate(([False], gone[:-1] & (run[1:] == run[:-1])))
+    last = gone & ~np.concatenate((gone[1:] & (run[1:] == run[:-1]), [False]))
+    a, b = np.flatnonzero(first), np.flatnonzero(last)
+    yield found({"doc": part["doc"][run[a]], "pos": part["pos"][run[a]].astype(np.int64) + inner[a], "n": b - a + 1}, ids, keys, np.arange(len(a)), CLOSED)
+
+
+def raw_blobs(data: np.ndarray, begin: np.ndarray, part: dict, ids: np.ndarray, keys: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Runs with their bytes, packed by the bucket of their digit."""
+    h = gram_hashes(data)
+    digit = tk.mix(np.min(h[begin[:, None] + np.arange(RUN)], axis=1))
+    bucket = (digit >> _U(64 - bits)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) != 0, [True])))
+    end = begin + part["n"] + DEPTH - 1
+    blobs = []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        some = by[a:b]
+        blobs.append(pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS) + b"".join(data[begin[i] : end[i]].tobytes() for i in some))
+    return sent(bucket[by][edge[:-1]], raw=blobs)
 
 
-STRING_WIDTHS = (("digit", 8), ("doc", 2), ("pos", 4), ("n", 1))
+RAW_BUFFER = 32 << 20  # bytes of text whose open runs are packed together
 
 
-def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def joined_raw(waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray, dict, np.ndarray, np.ndarray]:
+    datas, begins, parts, ids, keys = zip(*waiting, strict=True)
+    at = np.concatenate(([0], np.cumsum([len(x) for x in datas])))
+    base = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    part = {c: np.concatenate([p[c] + (b if c == "doc" else 0) for p, b in zip(parts, base, strict=False)]) for c, _ in RAW_WIDTHS}
+    return np.concatenate(datas), np.concatenate([x + a for x, a in zip(begins, at, strict=False)]), part, np.concatenate(ids), np.concatenate(keys)
+
+
+def removed_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): docs (doc, key, text) as dealt out by doc and key, and (doc, key, spans) of
     covered strings, each span the start of the first string and their number."""
     spark = docs.sparkSession
@@ -252,12 +315,11 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         buffer = Buffer(bits, WIDTHS, ("digit", "print"))
         for batch in batches:
             part = runs(*tk.utf8(batch.column("text")))
-            # the bucket is the digit's top bits; the low 40 bits travel
             yield from buffer.add(part, *columns(batch))
         yield from buffer.send()
 
-    def send_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer = Buffer(bits, STRING_WIDTHS, ("digit",))
+    def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer, waiting, size = Buffer(bits, STRING_WIDTHS, ("digit",)), [], 0
         for batch in batches:
             data, offsets = tk.utf8(batch.column("text"))
             opened = batch.column("open")
@@ -266,29 +328,42 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 continue
             doc = np.repeat(np.arange(batch.num_rows), each)
             start, count = flat.field("start").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            pos, owner = np.repeat(start, count) + inner, np.repeat(doc, count)
-            part = {"digit": string_hashes(gram_hashes(data), offsets[owner] + pos), "doc": owner, "pos": pos, "n": np.ones(len(pos), np.int64)}
-            yield from buffer.add(part, *columns(batch))
+            crowded = flat.field("open").to_numpy() == CROWDED
+            pos, owner, n = start[~crowded], doc[~crowded], count[~crowded]
+            if len(pos):  # several batches make a blob, so that blobs are worth their heads
+                waiting.append((data, offsets[owner] + pos, {"doc": owner, "pos": pos, "n": n}, *columns(batch)))
+                size += len(data)
+            if size >= RAW_BUFFER or sum(len(x[3]) for x in waiting) > MOST_DOCS:
+                yield raw_blobs(*joined_raw(waiting), bits)
+                waiting, size = [], 0
+            if crowded.any():
+                start, count, doc = start[crowded], count[crowded], doc[crowded]
+                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                pos, owner = np.repeat(start, count) + inner, np.repeat(doc, count)
+                part = {"digit": string_hashes(gram_hashes(data), offsets[owner] + pos), "doc": owner, "pos": pos, "n": np.ones(len(pos), np.int64)}
+                yield from buffer.add(part, *columns(batch))
+        if waiting:
+            yield raw_blobs(*joined_raw(waiting), bits)
         yield from buffer.send()
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    first = materialize(dealt(docs.mapInArrow(send_runs, SENT)).mapInArrow(lambda b: by_bucket(b, WIDTHS, first_pass), SPANS))
+    first = materialize(dealt(docs.mapInArrow(send_runs, SENT)).mapInArrow(lambda b: by_bucket(b, WIDTHS, lambda *x: first_pass(*x, crowd)), SPANS))
     texts = docs.repartition(n, "doc", "key")
-    opened = first.filter("open").select("doc", "key", F.struct("start", "n").alias("span")).groupBy("doc", "key").agg(F.collect_set("span").alias("open"))
-    second = dealt(texts.join(opened.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "open").mapInArrow(send_strings, SENT))
+    opened = first.filter(F.col("open") != CLOSED).select("doc", "key", F.struct("start", "n", "open").alias("span")).groupBy("doc", "key").agg(F.collect_set("span").alias("open"))
+    # the same columns of texts as in the end, so that both joins read one exchange
+    second = dealt(texts.join(opened.hint("shuffle_hash"), ["doc", "key"]).select(*docs.columns, "open").mapInArrow(send_open, SENT))
     second = second.mapInArrow(lambda b: by_bucket(b, STRING_WIDTHS, second_pass), SPANS)
     span = F.struct("start", "n").alias("span")
-    both = first.filter("not open").select("doc", "key", span).unionByName(second.select("doc", "key", span))
+    both = first.filter(F.col("open") == CLOSED).select("doc", "key", span).unionByName(second.select("doc", "key", span))
     return texts, both.groupBy("doc", "key").agg(F.collect_set("span").alias("spans"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs (doc_id, text)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("none"))
-    texts, spans = removed_spans(rows)
+    texts, spans = removed_spans(rows, crowd)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +382,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             ids = pa.compute.if_else(batch.column("none"), pa.scalar(None, pa.int64()), batch.column("doc"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = texts.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "none", "text", "spans")
+    joined = texts.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select(*rows.columns, "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
