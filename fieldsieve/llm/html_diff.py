@@ -42,25 +42,27 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CHROME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|sidebar|comments?|disqus|respond|menu|nav\w*|breadcrumbs?|newsletter|subscribe|signup|share|sharing|social|related|footer|popup|modal|pagination|skip)(?:$|[\s_-])", re.I
 )
+NOT_CHROME = re.compile(r"\b(?:with|has|no|without)[-_]\w+", re.I)  # names what a wrapper has or lacks
+ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|respond|related|teaser)(?:$|[\s_-])", re.I)  # articles that aren't the page's
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, in article) for each block outside the page's chrome."""
+    """Collects (text, level) for each block outside the page's chrome; level 2: in an article, 1: in the main part."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool]] = []
+        self.lines: list[tuple[str, int]] = []
         self.parts: list[str] = []
-        self.open: list[tuple[str, bool, bool]] = []  # element, it is chrome, it is an article
-        self.chrome = self.main = self.header = self.heading = 0
+        self.open: list[tuple[str, bool, bool, bool]] = []  # element, it is chrome, the main part, an article
+        self.chrome = self.main = self.article = 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text:
-            self.lines.append((text, self.main > 0))
+            self.lines.append((text, 2 if self.article else 1 if self.main else 0))
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -68,15 +70,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         told = dict(attrs)
-        words = f"{told.get('class') or ''} {told.get('id') or ''}"
+        words = NOT_CHROME.sub("", f"{told.get('class') or ''} {told.get('id') or ''}")
         role = told.get("role") or ""
-        main = tag in ("article", "main") or role in ("main", "article")
+        main, article = tag == "main" or role == "main", tag == "article" or role == "article"
         chrome = tag in CHROME or role in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog") or "hidden" in told or bool(HIDDEN.search(told.get("style") or ""))
-        chrome |= not main and tag not in ("html", "body") and bool(CHROME_WORDS.search(words))
-        chrome |= tag == "header" and not self.main
-        self.open.append((tag, chrome, main))
+        chrome |= tag not in ("html", "body") and bool((ASIDE_WORDS if main or article else CHROME_WORDS).search(words))
+        chrome |= tag == "header" and not self.main and not self.article
+        self.open.append((tag, chrome, main, article))
         self.chrome += chrome
         self.main += main
+        self.article += article
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK:
@@ -88,9 +91,10 @@ class Lines(HTMLParser):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None or (tag not in BLOCK and any(x[0] in BLOCK for x in self.open[at + 1 :])):
             return  # closes nothing, or an inline element would close blocks
-        for _, chrome, main in self.open[at:]:
+        for _, chrome, main, article in self.open[at:]:
             self.chrome -= chrome
             self.main -= main
+            self.article -= article
         del self.open[at:]
 
     def handle_data(self, data):
@@ -98,7 +102,7 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
 
-def page_lines(html: str | None) -> list[tuple[str, bool]]:
+def page_lines(html: str | None) -> list[tuple[str, int]]:
     parser = Lines()
     parser.feed(html or "")
     parser.close()
@@ -172,12 +176,12 @@ def _last_row(a: Sequence, b: Sequence) -> int:
     return v
 
 
-def main_text(lines: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
-    """The page's lines less those its neighbours share; where it marks an article, that alone."""
+def main_text(lines: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
+    """The page's lines less those its neighbours share; where it marks an article or main part, that alone and whole."""
     mine = [x for x, _ in lines]
     template = set().union(*(shared(mine, [x for x, _ in other]) for other in neighbours)) if neighbours else set()
-    article = any(inside for _, inside in lines)
-    return " ".join(text for i, (text, inside) in enumerate(lines) if inside or (not article and i not in template))
+    level = max((x for _, x in lines), default=0)
+    return " ".join(text for i, (text, own) in enumerate(lines) if own == level and (level or i not in template))
 
 
 def with_lines(pages: DataFrame) -> DataFrame:
@@ -192,7 +196,7 @@ def with_lines(pages: DataFrame) -> DataFrame:
     return pages.select(*keep, "html").mapInArrow(work, T.StructType([*[pages.schema[c] for c in keep], T.StructField("_lines", T.BinaryType())]))
 
 
-def unpacked(lines: bytes) -> list[tuple[str, bool]]:
+def unpacked(lines: bytes) -> list[tuple[str, int]]:
     return [tuple(x) for x in json.loads(zlib.decompress(lines).decode("utf-8", "surrogatepass"))]
 
 

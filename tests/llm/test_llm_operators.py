@@ -182,6 +182,13 @@ def test_pages_lose_template_and_keep_articles(spark):
     assert html_diff.extract(docs(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_markup_names_what_is_not_the_article():
+    page = '<div class="page with-sidebar"><main><p>crumbs</p><article class="post"><header><h1>T</h1></header><p>Body</p></article><article class="comment"><p>rant</p></article></main><div id="cookie-notice">ok?</div></div>'
+    assert html_diff.main_text(html_diff.page_lines(page), []) == "T Body"
+    assert html_diff.main_text(html_diff.page_lines("<div role=main><p>One<p>Two</div><p>out"), []) == "One Two"
+    assert html_diff.main_text(html_diff.page_lines('<p>x</p><div style="display:none">y</div><p hidden>z'), []) == "x"
+
+
 # 5 benchmark
 
 
