@@ -35,3 +35,20 @@ def test_query_equals_oracle(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+MID = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(MID), reason="no test tables")
+def test_assignment_floors_and_samples_keep_their_invariants(spark):
+    from fieldsieve.plans import catalog
+
+    given = catalog.QUERIES["q_assignment"](spark, MID).toPandas()
+    assert given["uuid"].is_unique and given["assigned_view"].value_counts().to_dict() == catalog.ASSIGN
+    wanted = {r.uuid: r.views for r in catalog.candidates(spark, MID).collect()}
+    assert all(v in wanted[u] for u, v in zip(given["uuid"], given["assigned_view"], strict=True))
+    raised = catalog.QUERIES["q_floors"](spark, MID).toPandas()
+    assert raised["uuid"].is_unique and raised["view"].value_counts().to_dict() == catalog.ASSIGN and (raised["persons"] != "").mean() >= 0.3
+    drawn = catalog.QUERIES["q_sample_random"](spark, MID).toPandas()
+    assert (drawn.groupby("primary_view").size() == 8).all() and (drawn.groupby("primary_view")["pos"].min() == 0).all()
