@@ -4,7 +4,13 @@ Nodes are distinct texts under a 16-byte digest, so exact copies never meet as p
 bucket all nodes are first paired with the bucket's least node (a star, linear in the bucket) and
 verified. Then the buckets whose nodes still lie in different components are joined with themselves,
 only across components and only for sizes whose ratio allows the threshold. Every colliding pair is
-thus either verified or already known to be in one class; no bucket is collected anywhere.
+thus either verified, or already known to be in one class, or shown to be too far apart; no bucket is
+collected anywhere.
+
+In crowded buckets the last of these keeps the pairs few: of a node's weight, only shingles that
+another node of these buckets has can be common to a pair. Two nodes can reach the threshold t only if
+the lesser such weight is at least t/(1+t) of their joint size, an exact bound that one count of
+shingles gives for all nodes.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ def bands_for(threshold: float, recall: float, most: int) -> tuple[int, int]:
     """(bands, rows): the most selective banding of at most ``most`` hashes that finds a pair at the
     threshold with at least this probability."""
     for rows in range(most, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= most:
             return bands, rows
     return most, 1
@@ -52,24 +58,46 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def links(nodes: DataFrame, threshold: float, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(edges, labels) over nodes (node, size, keys): ``verify`` keeps of pairs (a, b) those similar enough."""
+#: Buckets of more nodes are crowded.
+CROWD = 64
+
+
+def links(nodes: DataFrame, threshold: float, verify: Callable[[DataFrame], DataFrame], weigh: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(edges, labels) over nodes (node, size, keys).
+
+    ``verify`` keeps of pairs (a, b) those similar enough; ``weigh`` gives the distinct shingles of
+    nodes as (node, shingle, weight), weights adding up to size.
+    """
     bands = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
+    heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
     met = materialize(bands.join(heads, "key"))
-    near = (F.col("size") >= threshold * F.col("other")) & (F.col("other") >= threshold * F.col("size"))
     star = met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     edges = materialize(verify(star))
     labels = components(edges)
-    known = met.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    known = met.join(labels, "node", "left").select("key", "node", "size", "n", F.coalesce("label", "node").alias("label"))
     split = known.groupBy("key").agg((F.min("label") != F.max("label")).alias("split")).filter("split").select("key")
     rest = materialize(known.join(split, "key").withColumn("level", F.floor(F.log(F.greatest("size", F.lit(1e-9))) / -math.log(threshold)).cast("int")))
-    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("other"), F.col("label").alias("label_b"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
-    pairs = rest.withColumnRenamed("node", "a").join(other, ["key", "level"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & near)
+    rest = within_reach(rest, threshold, weigh)
+    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
+    ratio = (F.col("size") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size"))
+    common = F.least("shared", "shared_b") * (1 + 1e-9) >= threshold / (1 + threshold) * (F.col("size") + F.col("size_b"))
+    pairs = rest.withColumnRenamed("node", "a").join(other, ["key", "level"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & ratio & common)
     pairs = materialize(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = materialize(verify(pairs))
-        edges = edges.unionByName(more)
         if not more.isEmpty():
+            edges = edges.unionByName(more)
             labels = components(edges)
     return edges, labels
+
+
+def within_reach(rest: DataFrame, threshold: float, weigh: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rest with ``shared``, the weight that a pair can have in common; rows that reach no pair are left out."""
+    crowded = materialize(rest.filter(F.col("n") > CROWD).select("node").distinct())
+    if crowded.isEmpty():
+        return rest.withColumn("shared", F.col("size"))
+    rows = materialize(weigh(crowded))
+    twice = rows.groupBy("shingle").agg(F.count("*").alias("_n")).filter("_n > 1").select("shingle")
+    shared = materialize(rows.join(twice, "shingle").groupBy("node").agg(F.sum("weight").alias("_w")))
+    out = rest.join(shared, "node", "left").withColumn("shared", F.when(F.col("n") > CROWD, F.coalesce("_w", F.lit(0.0))).otherwise(F.col("size"))).drop("_w")
+    return materialize(out.filter(F.col("shared") * (1 + 1e-9) >= threshold * F.col("size")))

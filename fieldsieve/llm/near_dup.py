@@ -157,8 +157,8 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / (total - common) if total > common else 1.0
 
 
-def verifier(docs: DataFrame, nodes: DataFrame, idf: Broadcast, threshold: float):
-    """A function that keeps of pairs (a, b) those whose texts are at least this similar."""
+def comparer(docs: DataFrame, nodes: DataFrame, idf: Broadcast, threshold: float):
+    """The two functions that ``links`` asks for, over the texts of docs."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,15 +170,28 @@ def verifier(docs: DataFrame, nodes: DataFrame, idf: Broadcast, threshold: float
             keep = [jaccard(x, y) >= threshold for x, y in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc", "doc_key"), "node")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, at, w, _ = weighted_shingles(batch.column("text"), idf.value)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(s.view(np.int64)), pa.array(w)], names=["node", "shingle", "weight"])
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(nodes.select("node", "doc", "doc_key"), "node")
         row = docs.select("doc_id", "text", text_key().alias("text_key"))
-        texts = materialize(row.join(wanted.hint("shuffle_hash"), row["doc_id"].eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("doc_key"))).select("node", "text").dropDuplicates(["node"]))
-        one = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        both = one.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
+        return row.join(wanted.hint("shuffle_hash"), row["doc_id"].eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("doc_key"))).select("node", "text").dropDuplicates(["node"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        found = materialize(texts(wanted))
+        one = pairs.join(found.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        both = one.join(found.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(similar, "a binary, b binary")
 
-    return verify
+    def weigh(wanted: DataFrame) -> DataFrame:
+        return texts(wanted).mapInArrow(spread, "node binary, shingle long, weight double")
+
+    return verify, weigh
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
@@ -194,7 +207,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key")))
     nodes = found.filter("node is not null").groupBy("node").agg(first.alias("_m"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = materialize(nodes.select("node", F.col("_m.doc_id").alias("doc"), F.col("_m.text_key").alias("doc_key"), "size", "keys"))
-    _, labels = links(nodes.select("node", "size", "keys"), threshold, verifier(docs, nodes, idf, threshold))
+    _, labels = links(nodes.select("node", "size", "keys"), threshold, *comparer(docs, nodes, idf, threshold))
     grouped = nodes.select("node", "doc", "doc_key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     grouped = materialize(grouped)
     tops = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("doc_key"))).alias("top"))

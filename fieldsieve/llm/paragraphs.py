@@ -65,7 +65,7 @@ def minhash(s: np.ndarray, at: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int, least: int = LEAST) -> DataFrame:
-    """(doc_id, text_key, start, end, n_words, node, keys) for each paragraph; keys is empty for pieces."""
+    """(doc_id, text_key, start, end, n_words, n_shingles, node, keys) for each paragraph; keys is empty for pieces."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,23 +85,24 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, least: int = LEAST) -> Da
             keep = n >= least
             node = binary16(*tk.digest128(h, bounds))
             lines = np.flatnonzero(keep & ~piece)
-            line_keys = np.zeros((len(units), bands), np.int64)
+            line_keys, sizes = np.zeros((len(units), bands), np.int64), np.zeros(len(units), np.int32)
             if len(lines):
                 member = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in lines])
                 s, at, _ = tk.distinct(*tk.shingles(h[member], np.concatenate(([0], np.cumsum(n[lines])))))
+                sizes[lines] = np.diff(at)
                 line_keys[lines] = band_keys(minhash(s, at, bands * rows), bands, rows)
             out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), node, long_lists(line_keys, keep & ~piece)],
-                names=["doc_id", "text_key", "start", "end", "n_words", "node", "keys"],
+                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sizes), node, long_lists(line_keys, keep & ~piece)],
+                names=["doc_id", "text_key", "start", "end", "n_words", "n_shingles", "node", "keys"],
             )
             yield out.filter(pa.array(keep))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, start int, end int, n_words int, node binary, keys array<long>")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, start int, end int, n_words int, n_shingles int, node binary, keys array<long>")
 
 
-def verifier(docs: DataFrame, nodes: DataFrame, threshold: float):
-    """A function that keeps of pairs (a, b) of nodes those whose paragraphs are at least this similar."""
+def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
+    """The two functions that ``links`` asks for, over the paragraphs of docs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,17 +127,30 @@ def verifier(docs: DataFrame, nodes: DataFrame, threshold: float):
                 keep.append(common >= threshold * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = wanted.join(nodes, "node").groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key")).agg(F.collect_list(F.struct("node", F.col("first.start").alias("start"), F.col("first.end").alias("end"))).alias("wanted"))
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, bounds, _, _ = tk.words(batch.column("text"))
+            s, at, _ = tk.distinct(*tk.shingles(h, bounds))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(s.view(np.int64)), pa.array(np.ones(len(s)))], names=["node", "shingle", "weight"])
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        place = F.struct("node", F.col("first.start").alias("start"), F.col("first.end").alias("end"))
+        wanted = wanted.join(nodes, "node").groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key")).agg(F.collect_list(place).alias("wanted"))
         row = docs.select("doc_id", "text", text_key().alias("text_key"))
         found = row.join(wanted.hint("shuffle_hash"), row["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))).select("text", "wanted")
-        texts = materialize(found.mapInArrow(cut, "node binary, text string").dropDuplicates(["node"]))
-        one = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        both = one.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
+        return found.mapInArrow(cut, "node binary, text string").dropDuplicates(["node"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        found = materialize(texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
+        one = pairs.join(found.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        both = one.join(found.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(similar, "a binary, b binary")
 
-    return verify
+    def weigh(wanted: DataFrame) -> DataFrame:
+        return texts(wanted).mapInArrow(spread, "node binary, shingle long, weight double")
+
+    return verify, weigh
 
 
 def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
@@ -145,14 +159,13 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     found = materialize(paragraphs(docs, bands, rows))
     # a node's first place; `many` where some other place has it too
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"), F.col("end"))
-    nodes = found.groupBy("node").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.first("n_words").alias("n_words"), F.max(F.col("keys")).alias("keys"))
+    nodes = found.groupBy("node").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.max("n_shingles").cast("double").alias("size"), F.max(F.col("keys")).alias("keys"))
     nodes = materialize(nodes.filter("many or size(keys) > 0"))
-    size = (F.col("n_words") - tk.SHINGLE + 1).cast("double")
-    _, labels = links(nodes.filter("size(keys) > 0").select("node", size.alias("size"), "keys"), threshold, verifier(docs, nodes.select("node", "first"), threshold))
+    _, labels = links(nodes.filter("size(keys) > 0").select("node", "size", "keys"), threshold, *comparer(docs, nodes.select("node", "first"), threshold))
     classed = materialize(nodes.join(labels, "node", "left").filter("many or label is not null").select("node", "first", F.coalesce("label", "node").alias("label")))
     tops = classed.groupBy("label").agg(F.min("first").alias("top"))
     classes = materialize(classed.join(tops, "label").select("node", "top"))
-    return found.drop("keys").join(classes, "node").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), F.col("top.doc_id").alias("first_doc_id"), F.col("top.start").cast("long").alias("first_start"), (place != F.col("top")).alias("removed"))
+    return found.drop("keys", "n_shingles").join(classes, "node").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), F.col("top.doc_id").alias("first_doc_id"), F.col("top.start").cast("long").alias("first_start"), (place != F.col("top")).alias("removed"))
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
