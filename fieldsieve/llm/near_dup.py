@@ -1,7 +1,7 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is five words (fewer in shorter texts); its weight is its count in the text times the mean
-smoothed idf of its words. Document frequencies are counted over all documents, by word, in a table
+scaled idf of its words. Document frequencies are counted over all documents, by word, in a table
 of 2^DF_BITS hashed words: a fixed size, so it can be broadcast whatever the corpus. Consistent
 weighted samples collide with the probability of the weighted Jaccard similarity; bands of them give
 candidates, which are verified by the exact weighted Jaccard similarity of their texts.
@@ -33,7 +33,11 @@ _POOL_BITS = 16
 
 
 def doc_frequencies(docs: DataFrame) -> np.ndarray:
-    """Smoothed idf of each hashed word, from all documents; each task sends one count per word it met."""
+    """Idf of each hashed word from all documents, scaled to 1..2; each task sends one count per word it met.
+
+    Scaled, so that a replaced word (mostly a rare one) weighs at most twice a common one, and small
+    edits stay small.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(1 << DF_BITS, np.int64), 0
@@ -52,7 +56,7 @@ def doc_frequencies(docs: DataFrame) -> np.ndarray:
     df = np.zeros(1 << DF_BITS)
     if counts:
         df[np.fromiter(counts.keys(), np.int64)] = np.fromiter(counts.values(), np.float64)
-    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    return (1 + np.log((1 + n) / (1 + df)) / max(1.0, np.log(1 + n))).astype(np.float32)
 
 
 def weighted_shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
