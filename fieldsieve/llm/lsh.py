@@ -9,8 +9,9 @@ collected anywhere.
 
 In crowded buckets the last of these keeps the pairs few: of a node's weight, only shingles that
 another node of these buckets has can be common to a pair. Two nodes can reach the threshold t only if
-the lesser such weight is at least t/(1+t) of their joint size, an exact bound that one count of
-shingles gives for all nodes.
+their common weight is at least t/(1+t) of their joint size. Shingles are dealt to PARTS parts by hash;
+the common weight is at most the sum of the lesser such weights by part, an exact bound that one count
+of shingles gives for all nodes.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Buckets of more nodes are crowded.
 CROWD = 64
+#: Parts of a node's shingles whose weights are compared one by one.
+PARTS = 64
 
 
 def links(nodes: DataFrame, threshold: float, verify: Callable[[DataFrame], DataFrame], weigh: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -78,9 +81,11 @@ def links(nodes: DataFrame, threshold: float, verify: Callable[[DataFrame], Data
     split = known.groupBy("key").agg((F.min("label") != F.max("label")).alias("split")).filter("split").select("key")
     rest = materialize(known.join(split, "key").withColumn("level", F.floor(F.log(F.greatest("size", F.lit(1e-9))) / -math.log(threshold)).cast("int")))
     rest = within_reach(rest, threshold, weigh)
-    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
+    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"), F.col("parts").alias("parts_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
     ratio = (F.col("size") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size"))
-    common = F.least("shared", "shared_b") * (1 + 1e-9) >= threshold / (1 + threshold) * (F.col("size") + F.col("size_b"))
+    needed = threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) * (1 - 1e-9)
+    lesser = F.aggregate(F.zip_with("parts", "parts_b", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
+    common = (F.least("shared", "shared_b") >= needed) & (F.col("parts").isNull() | F.col("parts_b").isNull() | (lesser >= needed))
     pairs = rest.withColumnRenamed("node", "a").join(other, ["key", "level"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & ratio & common)
     pairs = materialize(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
@@ -92,12 +97,17 @@ def links(nodes: DataFrame, threshold: float, verify: Callable[[DataFrame], Data
 
 
 def within_reach(rest: DataFrame, threshold: float, weigh: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rest with ``shared``, the weight that a pair can have in common; rows that reach no pair are left out."""
+    """rest with ``shared``, the weight that a pair can have in common, in all and (in crowded buckets)
+    by part; rows that reach no pair are left out."""
     crowded = materialize(rest.filter(F.col("n") > CROWD).select("node").distinct())
     if crowded.isEmpty():
-        return rest.withColumn("shared", F.col("size"))
+        return rest.withColumn("shared", F.col("size")).withColumn("parts", F.lit(None).cast("array<double>"))
     rows = materialize(weigh(crowded))
     twice = rows.groupBy("shingle").agg(F.count("*").alias("_n")).filter("_n > 1").select("shingle")
-    shared = materialize(rows.join(twice, "shingle").groupBy("node").agg(F.sum("weight").alias("_w")))
-    out = rest.join(shared, "node", "left").withColumn("shared", F.when(F.col("n") > CROWD, F.coalesce("_w", F.lit(0.0))).otherwise(F.col("size"))).drop("_w")
+    by_part = rows.join(twice, "shingle").groupBy("node", F.pmod(F.xxhash64("shingle"), F.lit(PARTS)).alias("part")).agg(F.sum("weight").alias("w"))
+    weights = by_part.groupBy("node").agg(F.sum("w").alias("_w"), F.map_from_entries(F.collect_list(F.struct("part", "w"))).alias("_m"))
+    shared = materialize(weights.select("node", "_w", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.col("_m")[i.cast("long")], F.lit(0.0))).alias("_p")))
+    full = F.col("n") > CROWD
+    out = rest.join(shared, "node", "left").withColumn("shared", F.when(full, F.coalesce("_w", F.lit(0.0))).otherwise(F.col("size")))
+    out = out.withColumn("parts", F.when(full, F.col("_p"))).drop("_w", "_p")
     return materialize(out.filter(F.col("shared") * (1 + 1e-9) >= threshold * F.col("size")))
