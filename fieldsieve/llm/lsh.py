@@ -103,8 +103,10 @@ def within_reach(rest: DataFrame, threshold: float, weigh: Callable[[DataFrame],
     if crowded.isEmpty():
         return rest.withColumn("shared", F.col("size")).withColumn("parts", F.lit(None).cast("array<double>"))
     rows = materialize(weigh(crowded))
-    twice = rows.groupBy("shingle").agg(F.count("*").alias("_n")).filter("_n > 1").select("shingle")
-    by_part = rows.join(twice, "shingle").groupBy("node", F.pmod(F.xxhash64("shingle"), F.lit(PARTS)).alias("part")).agg(F.sum("weight").alias("w"))
+    part = F.pmod(F.xxhash64("shingle"), F.lit(PARTS)).alias("part")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("_n = 1")
+    signed = rows.select("node", part, "weight").unionByName(once.select("node", part, (-F.col("weight")).alias("weight")))
+    by_part = signed.groupBy("node", "part").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("w"))
     weights = by_part.groupBy("node").agg(F.sum("w").alias("_w"), F.map_from_entries(F.collect_list(F.struct("part", "w"))).alias("_m"))
     shared = materialize(weights.select("node", "_w", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.col("_m")[i.cast("long")], F.lit(0.0))).alias("_p")))
     full = F.col("n") > CROWD
