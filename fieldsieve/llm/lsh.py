@@ -80,13 +80,15 @@ def links(nodes: DataFrame, threshold: float, verify: Callable[[DataFrame], Data
     known = met.join(labels, "node", "left").select("key", "node", "size", "n", F.coalesce("label", "node").alias("label"))
     split = known.groupBy("key").agg((F.min("label") != F.max("label")).alias("split")).filter("split").select("key")
     rest = materialize(known.join(split, "key").withColumn("level", F.floor(F.log(F.greatest("size", F.lit(1e-9))) / -math.log(threshold)).cast("int")))
-    rest = within_reach(rest, threshold, weigh)
-    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"), F.col("parts").alias("parts_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
+    rest = within_reach(rest, threshold, weigh).join(nodes.select("node", "keys"), "node")
+    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"), F.col("parts").alias("parts_b"), F.col("keys").alias("keys_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
     ratio = (F.col("size") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size"))
     needed = threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) * (1 - 1e-9)
     lesser = F.aggregate(F.zip_with("parts", "parts_b", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
     common = (F.least("shared", "shared_b") >= needed) & (F.col("parts").isNull() | F.col("parts_b").isNull() | (lesser >= needed))
-    pairs = rest.withColumnRenamed("node", "a").join(other, ["key", "level"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & ratio & common)
+    # a pair that meets in several buckets comes from the first of them (all of them are split, as its labels differ)
+    once = F.array_intersect("keys", "keys_b")[0] == F.col("key")
+    pairs = rest.withColumnRenamed("node", "a").join(other, ["key", "level"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & ratio & once & common)
     pairs = materialize(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = materialize(verify(pairs))
