@@ -1,8 +1,12 @@
 """Paragraph dedup: MinHash bands over paragraphs, exact verification, removal by components.
 
 A paragraph is a line. Lines of at least LONG words are also cut into pieces at sentence ends that
-their own sentence picks (so a passage set into different lines is cut alike), and pieces count where
-they are the same. Lines are banded by MinHash of their five-word shingles, colliding lines are
+their own sentence picks (so a passage set into different lines is cut alike), and whole texts into
+overlapping windows between words that their own next words pick: a cut is a word whose three-word hash
+is the least of some NEAR words in a row, and a window goes from a cut to the first cut LEAST or more
+words on. Any 50 words in a row hold a whole window, which is the same wherever these words stand.
+Pieces and windows count where they are the same (a window of an edited place is not linked, the
+windows of each 50 unedited words beside it are). Lines are banded by MinHash of their five-word shingles, colliding lines are
 verified by exact Jaccard similarity, and linked or equal paragraphs form classes. Of each class the
 first paragraph by (doc_id, start) stays and the others are marked for removal.
 
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +34,60 @@ from .lsh import bands_for, links
 from .near_dup import band_keys, binary16, long_lists, text_key
 
 THRESHOLD, RECALL, HASHES = 0.8, 0.98, 8
-LEAST, LONG, PICK = 10, 40, 3
+LEAST, LONG, PICK = 5, 40, 3
+NEAR = 22  # a cut in the first NEAR words, LEAST words, a cut in the next NEAR and its two words: 50 at most
 SENTENCE = re.compile(r"[.!?]+[\"')\]]*\s+")
 
 
 def spans(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, is a piece) of the lines of a text, of the pieces of its long ones and of its windows."""
+    out = lines_and_pieces(text)
+    own = {x[:2] for x in out}
+    _, start, end, *_ = windows(pa.array([text], pa.large_string()))
+    return out + [(a, b, True) for a, b in zip(start.tolist(), end.tolist(), strict=True) if (a, b) not in own]
+
+
+def slide(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The best of each ``width`` values in a row."""
+    k = 1
+    while 2 * k <= width:
+        x = best(x[: max(0, len(x) - k)], x[k:])
+        k *= 2
+    return best(x[: max(0, len(x) - width + k)], x[width - k :]) if width > k else x
+
+
+def windows(texts: pa.Array, near: int = NEAR, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """Text, start, end, number of words and two digests of each text's windows, in code points."""
+    h, bounds, starts, ends = tk.words(texts)
+    data, offsets = tk.utf8(pc.utf8_lower(texts))
+    owner, place = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.arange(len(h))
+    if len(h) < near + 2:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+    three = np.maximum(tk.mix(h[:-2] * tk.stream(51, 1) + h[1:-1] * tk.stream(52, 1) + h[2:] * tk.stream(53, 1)), np.uint64(1))
+    low = slide(np.minimum, three, near)
+    low[owner[: len(low)] != owner[near + 1 :]] = 0  # rows of words that run over a text's end
+    # of the rows that hold a word, one has it as its least exactly if the greatest of their least is it
+    around = np.concatenate((np.zeros(near - 1, np.uint64), low, np.zeros(near - 1, np.uint64)))
+    cuts = np.flatnonzero(slide(np.maximum, around, near) == three)
+    to = np.searchsorted(cuts, cuts + least)
+    cut, last = cuts[to < len(cuts)], cuts[to[to < len(cuts)]]
+    same = owner[cut] == owner[last]
+    cut, last = cut[same], last[same]
+    point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    first = point[offsets[owner[cut]]]
+    member, held = members(cut, last)
+    return owner[cut], point[starts[cut]] - first, point[ends[last - 1]] - first, last - cut, *tk.digest128(h[member], held)
+
+
+def members(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges end to end, and where each range begins (with the end)."""
+    n = end - begin
+    held = np.concatenate(([0], np.cumsum(n)))
+    return np.arange(held[-1]) + np.repeat(begin - held[:-1], n), held
+
+
+def lines_and_pieces(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, is a piece) of the lines of a text and of the pieces of its long ones."""
     out, at = [], 0
     for line in text.split("\n"):
@@ -72,7 +126,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, least: int = LEAST) -> Da
             units, texts = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if text:
-                    for start, end, piece in spans(text):
+                    for start, end, piece in lines_and_pieces(text):
                         if end - start >= 2 * least - 1:
                             units.append((i, start, end, piece))
                             texts.append(text[start:end])
@@ -101,6 +155,24 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, least: int = LEAST) -> Da
     return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, start int, end int, n_words int, n_shingles int, node binary, keys array<long>")
 
 
+def window_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, n_words, node) for each window that is no line or piece."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, end, n, one, two = windows(batch.column("text").cast(pa.large_string()))
+            own = [{x[:2] for x in lines_and_pieces(t)} if t else () for t in batch.column("text").to_pylist()]
+            keep = np.array([(a, b) not in own[i] for i, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)], bool)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (start, end, n)], binary16(one, two)],
+                names=["doc_id", "text_key", "start", "end", "n_words", "node"],
+            )
+            yield out.filter(pa.array(keep))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, start int, end int, n_words int, node binary")
+
+
 def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
     """The two functions that ``links`` asks for, over the paragraphs of docs."""
 
@@ -156,7 +228,12 @@ def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
 def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id, first_start, removed) for each paragraph in a class of two or more."""
     bands, rows = bands_for(threshold, recall, hashes)
-    found = materialize(paragraphs(docs, bands, rows))
+    found, wins = materialize(paragraphs(docs, bands, rows)), window_rows(docs)
+    # of the windows, those that stand somewhere else too, as a window, line or piece: by a hash of the node first, so little is moved
+    short = F.xxhash64("node").alias("short")
+    seen = wins.select(short).unionByName(found.select(short)).groupBy("short").agg(F.count("*").alias("_n")).filter("_n > 1").select("short")
+    wins = wins.withColumn("short", short).join(seen, "short", "left_semi").drop("short")
+    found = found.unionByName(materialize(wins.withColumns({"n_shingles": F.lit(0), "keys": F.array().cast("array<long>")})))
     # a node's first place; `many` where some other place has it too
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"), F.col("end"))
     nodes = found.groupBy("node").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.max("n_shingles").cast("double").alias("size"), F.max(F.col("keys")).alias("keys"))

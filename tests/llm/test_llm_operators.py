@@ -347,6 +347,22 @@ def test_paragraphs_equal_brute_force(spark):
     assert got == want and any(d == 201 for d, *_ in got)
 
 
+def test_passages_without_cuts_of_their_own_are_found(spark):
+    rng = random.Random(29)
+    rows, want = [], []
+    for i in range(40):
+        plain = prose(rng, 50) if i % 2 else ". ".join(prose(rng, 25) for _ in range(2))
+        for j in range(2):
+            before = prose(rng, rng.randrange(5, 60)) + " "
+            rows.append((2 * i + j, before + plain + " é " + prose(rng, rng.randrange(5, 60))))
+            want.append((2 * i + j, len(before), len(before) + len(plain)))
+    got = collections.defaultdict(list)
+    for r in paragraphs.repeated(docs(spark, rows)).collect():
+        got[r.doc_id].append((r.start, r.end, r.removed))
+    for d, a, b in want:
+        assert any(a <= start and end <= b and removed == bool(d % 2) for start, end, removed in got[d])
+
+
 # 9 secrets
 
 
