@@ -37,8 +37,11 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),  # the maximal runs of 24 and more
 )
+#: After the header line of a key: its fields, then all through the END line; without one, the base64 that follows.
+#: Loops over groups are bounded (as many lines as a key can have), as Java recurs in them; loops over characters are not.
+KEY_BODY = r"(?:[\r\n\\]+[A-Za-z][A-Za-z-]*:[^\r\n\\]*){0,8}(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----|" + r"(?:[\x20\t\r\n]+[A-Za-z0-9+/=]{16,}){0,60}" * 4 + r"[A-Za-z0-9+/=\r\n\\]*)"
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + KEY_BODY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )

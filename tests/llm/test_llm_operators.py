@@ -383,6 +383,19 @@ def test_trigram_queries_and_spans(spark):
     assert clean[1].text == "x [SECRET] y" and clean[1].n_chars == 12 and clean[2].text == "clean" and clean[2].n_chars == 7
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    rng = random.Random(37)
+    body = ["".join(rng.choice("ABCDEFabcdef0189+/") for _ in range(64)) for _ in range(20)] + ["Zz9+Q=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", ""]
+    keys = ["\n".join([head, *body, end]), "\r\n".join([head, *fields, *body, end]), "\\n".join([head, *body, end]), "\\n".join([head, *fields, *body, end]), " ".join([head, *body, end])]
+    keys += ["\n".join([head, *["    " + x for x in body], "    " + end]), "\n".join([head, *body]), "\n".join([head, *["  " + x for x in body[:-1]]]), "\n".join([head, *fields, *body]), "\n".join([head, *body * 2000, end]), "\n".join([head, *body * 2000])]
+    rows = [(i, f"é before {k} after it.") for i, k in enumerate(keys)]
+    got = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows)).collect()}
+    assert got == {i: "é before [SECRET] after it." for i in range(len(keys))}
+    assert secrets.trigram_query(secrets.MORE[0].pattern) == secrets.trigram_query("-----BEGIN [A-Z ]*PRIVATE KEY-----")
+
+
 # 10 languages
 
 
