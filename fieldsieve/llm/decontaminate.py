@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, found by multi-index Hamming blocks.
 
-Every window of a document that has an item's number of words gets the SimHash of its word shingles.
+Every window of a document that has an item's number of words gets the SimHash of its word shingles;
+a document of fewer words is one window.
 Fingerprints within RADIUS of an item's are found by cutting the 64 bits into BLOCKS blocks: by the
 pigeonhole principle one block lies within RADIUS // BLOCKS of the item's, so a table over block
 values names all items that can be met, none left out. These windows are verified by the exact
@@ -88,11 +89,12 @@ class Items:
         runs = {k: np.concatenate(([0], np.cumsum(near))) for k, (_, near) in by_length.items()}
         for n, group in self.by_words.items():
             k = min(tk.SHINGLE, n)
-            if words < n:
+            s = by_length[k][0]
+            width = min(n - k + 1, len(s))  # shingles of a window; a text shorter than the item is one window
+            # similarity t needs t/(1+t) of the joint shingles in both; windows with fewer in all items together can't have it
+            enough = max(1, int(np.ceil((width + n - k + 1) * threshold / (1 + threshold) - 1e-9)))
+            if enough > width:
                 continue
-            s, width = by_length[k][0], n - k + 1  # shingles of a window
-            # similarity t needs 2t/(1+t) of a window's shingles in the item; windows with fewer in all items together can't have it
-            enough = max(1, int(np.ceil(2 * width * threshold / (1 + threshold) - 1e-9)))
             starts = np.flatnonzero(runs[k][width:] - runs[k][:-width] >= enough)
             prints, tables = self.tables[n]
             for at in range(0, len(starts), 4096):
@@ -108,8 +110,8 @@ class Items:
                     first = int(some[w])
                     similarity = counted_jaccard(s[first : first + width], values, counts)
                     if similarity >= threshold and (similarity > best.get((n, i), (0,))[0]):
-                        best[n, i] = similarity, item, first, n, distance
-        return [(item, first, n, distance, similarity) for similarity, item, first, n, distance in best.values()]
+                        best[n, i] = similarity, item, first, min(n, words), distance
+        return [(item, first, size, distance, similarity) for similarity, item, first, size, distance in best.values()]
 
     @staticmethod
     def window_sums(s: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:

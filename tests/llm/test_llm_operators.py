@@ -223,6 +223,14 @@ def test_decontamination_equals_brute_force(spark):
     assert left == {d for d, _ in rows} - {d for d, _, _ in want}
 
 
+def test_texts_shorter_than_an_item_are_compared_whole(spark):
+    words = prose(random.Random(31), 59).split()
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(0, " ".join(words)), (1, " ".join(words[:-1])), (2, " ".join(words[4:-4])), (3, " ".join(words[:40])), (4, words[0])]
+    got = {r.doc_id: (r.word_start, r.n_words, round(r.similarity, 9)) for r in decontaminate.hits(docs(spark, rows), items).collect()}
+    assert got == {0: (0, 59, 1.0), 1: (0, 58, round(54 / 55, 9)), 2: (0, 51, round(47 / 55, 9))}
+
+
 def test_blocks_guarantee_all_fingerprints_within_radius():
     items = decontaminate.Items([0], [prose(random.Random(3), 20)])
     (prints, tables), rng = items.tables[20], np.random.default_rng(1)
