@@ -1,9 +1,10 @@
 """Substring dedup by a depth-limited radix sort of suffixes.
 
 A byte is removed if it lies in a DEPTH-byte string that also starts in a document with a smaller id.
-Suffixes are ordered through DEPTH bytes only, by digit passes, most significant first; documents that
-stand alone in a bucket drop out after each pass, and the groups that are equal after the last digit
-are exactly the repeated strings.
+Suffixes are grouped through DEPTH bytes only, by digit passes; documents that stand alone in a bucket
+drop out after each pass, and the groups that are equal after the last digit are the repeated strings.
+Digits are hashes, so this is no byte order. Whole runs are told apart by 128 bits (digit and
+fingerprint), spread strings by 64, and strings that travel with their bytes by these.
 
 Pass 1. The first digit of a suffix is the least hash among the GRAM-byte strings inside its DEPTH
 bytes: equal strings have equal digits, and consecutive suffixes mostly share one, so they travel as a
@@ -11,7 +12,7 @@ run with a fingerprint of the run's bytes. Runs are spread over buckets by digit
 digit and fingerprint in a smaller document is covered whole. A digit that different runs of different
 documents share goes on to pass 2; all others are settled.
 Pass 2. Those runs travel again, now with their bytes, to the bucket of their digit, where their suffixes
-are ordered by all DEPTH bytes; of equal ones all but those of the least document are covered. Runs of a
+are grouped by all DEPTH bytes; of equal ones all but those of the least document are covered. Runs of a
 digit that more than CROWD runs share are not brought together: their suffixes are spread by the hash of
 all DEPTH bytes.
 
@@ -110,8 +111,8 @@ def unplanes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
 
 
 #: Columns of packed records and their bytes. The digit comes first and ascends, so only its steps are kept.
-WIDTHS = (("digit", 4), ("print", 5), ("doc", 2), ("pos", 4), ("n", 1))
-STRING_WIDTHS = (("digit", 7), ("doc", 2), ("pos", 4), ("n", 1))
+WIDTHS = (("digit", 8), ("print", 8), ("doc", 2), ("pos", 4), ("n", 1))
+STRING_WIDTHS = (("digit", 8), ("doc", 2), ("pos", 4), ("n", 1))
 RAW_WIDTHS = (("doc", 2), ("pos", 4), ("n", 1))
 
 
@@ -259,14 +260,31 @@ def second_pass(part: dict, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.Re
     yield found(part, ids, keys, order[covered], CLOSED)
 
 
+def unlike(string: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers that tell apart different strings of one hash; nearly always all 0."""
+    out = np.zeros(len(at), np.int64)
+    order = np.argsort(string, kind="stable")
+    same = np.flatnonzero(string[order][1:] == string[order][:-1])
+    bad = [np.zeros(0, _U)]
+    for i in range(0, len(same), 1 << 16):
+        a, b = order[same[i : i + (1 << 16)]], order[same[i : i + (1 << 16)] + 1]
+        differ = (data[at[a][:, None] + np.arange(DEPTH)] != data[at[b][:, None] + np.arange(DEPTH)]).any(axis=1)
+        bad.append(string[a][differ])
+    for x in np.unique(np.concatenate(bad)):
+        some = np.flatnonzero(string == x)
+        out[some] = np.unique(data[at[some][:, None] + np.arange(DEPTH)], axis=0, return_inverse=True)[1].ravel()
+    return out
+
+
 def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Orders the suffixes of runs that came with their bytes, end to end in data."""
+    """Groups the suffixes of runs that came with their bytes, end to end in data."""
     n = part["n"].astype(np.int64)
     length = n + DEPTH - 1
     run = np.repeat(np.arange(len(n)), n)
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(length) - length, n) + inner
-    order, _, covered = settle((string_hashes(gram_hashes(data), at),), ids[part["doc"].astype(np.int64)][run])
+    string, own = string_hashes(gram_hashes(data), at), ids[part["doc"].astype(np.int64)][run]
+    order, _, covered = settle((string, unlike(string, data, at)), own)
     gone = np.zeros(len(at), bool)
     gone[order[covered]] = True
     first = gone & ~np.concatenate(([False], gone[:-1] & (run[1:] == run[:-1])))

@@ -118,6 +118,27 @@ def test_suffix_dedup_equals_brute_force(spark, crowd):
 # 3 mixing
 
 
+def test_suffix_runs_are_told_apart_by_all_bits_and_bytes(monkeypatch):
+    u = np.uint64
+    for other in ({"print": 1 << 40}, {"print": 1 << 63}, {"digit": 1}):
+        part = {"digit": np.full(2, 5 << 32, u), "print": np.full(2, 7, u), "doc": np.arange(2), "pos": np.zeros(2, np.int64), "n": np.ones(2, np.int64)}
+        for c, flip in other.items():
+            part[c][1] ^= u(flip)
+        buffers = [suffixes.Buffer(6, suffixes.WIDTHS, ("digit", "print")) for _ in range(2)]
+        blobs = []
+        for i, buffer in enumerate(buffers):
+            one = {c: x[i : i + 1] for c, x in part.items()} | {"doc": np.zeros(1, np.int64)}
+            assert not list(buffer.add(one, np.array([i]), np.array([i])))
+            blobs += [suffixes.unpack(b.column("blob")[0].as_py())[:3] for b in buffer.send()]
+        spans = [r for b in suffixes.first_pass(*suffixes.together(blobs)) for r in b.to_pylist()]
+        assert not [r for r in spans if r["open"] == suffixes.CLOSED]
+    monkeypatch.setattr(suffixes, "string_hashes", lambda h, at: np.zeros(len(at), u))
+    texts = [b"a" * 50, b"b" * 50, b"a" * 50]
+    part = {"doc": np.arange(3).astype(u), "pos": np.zeros(3, u), "n": np.ones(3, u)}
+    spans = [r for b in suffixes.raw_pass(part, np.arange(3), np.arange(3), np.frombuffer(b"".join(texts), np.uint8)) for r in b.to_pylist()]
+    assert [r["doc"] for r in spans] == [2]
+
+
 def test_mixing_targets_and_samples(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randrange(1, 60)), rng.choice(["a", "b", "c", None])) for i in range(600)] + [(None, None, "d"), (700, "", "d"), (701, "one two", "d"), (701, "one two", "d")]
