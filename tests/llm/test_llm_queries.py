@@ -95,3 +95,9 @@ def test_stages_take_clashing_columns_and_empty_tables(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, wide, str(tmp_path))
             assert out.columns == wide.columns and {r.score for r in out.select("score").collect()} <= {"own"}
+
+
+def test_documents_without_labels_stay(spark, tmp_path):
+    rows = [(1, "some words", None), (2, "é", None), (3, "12 !?", None), (4, None, None), (5, "", None)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang"] and {r.doc_id for r in out.collect()} == {1, 2}
