@@ -1,17 +1,21 @@
 """Banded candidate search, exact verification and connected components, for any signature.
 
-Nodes are distinct texts under a 16-byte digest, so exact copies never meet as pairs. In each band
-bucket all nodes are first paired with the bucket's least node (a star, linear in the bucket) and
-verified. Then the buckets whose nodes still lie in different components are joined with themselves,
-only across components and only for sizes whose ratio allows the threshold. Every colliding pair is
-thus either verified, or already known to be in one class, or shown to be too far apart; no bucket is
-collected anywhere.
-
-In crowded buckets the last of these keeps the pairs few: of a node's weight, only shingles that
-another node of these buckets has can be common to a pair. Two nodes can reach the threshold t only if
-their common weight is at least t/(1+t) of their joint size. Shingles are dealt to PARTS parts by hash;
-the common weight is at most the sum of the lesser such weights by part, an exact bound that one count
-of shingles gives for all nodes.
+Nodes are distinct texts under a 16-byte digest, so exact copies never meet as pairs. Every pair of
+nodes that share a band bucket is verified, or known to be in one class, or shown to be too far apart
+by an exact bound; no bucket is collected anywhere.
+
+Rounds of stars do most of it. In each bucket that still holds nodes of different components one node
+is the head (the least by a hash of node and round); it is verified against the bucket's nodes of other
+components, the verified edges contract components, and the head leaves the bucket, as all its pairs
+there are settled. A round costs at most a pair for each node of a split bucket. In a large group of
+variants, of which a share q is not similar to the head, about q^k stand outside after k rounds.
+
+What is split after ROUNDS rounds is compared in full, but only rows outside their bucket's main
+component against the rest, and in crowded buckets only where an exact bound allows the threshold t:
+the common weight of two nodes is at least t/(1+t) of their joint size. Of a node's weight only
+shingles that another of these nodes has can be common. Shingles are dealt to PARTS parts by hash; the
+common weight is at most the sum of the lesser such weights by part, and one count of shingles gives
+these for all nodes.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def bands_for(threshold: float, recall: float, most: int) -> tuple[int, int]:
@@ -41,61 +45,107 @@ def components(edges: DataFrame) -> DataFrame:
     Each round maps every node to its neighbours' least (by hash, so chains of ascending ids shrink
     too) and that one's in turn, and contracts the edges: O(log n) rounds expected.
     """
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    labels = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
-    labels, turn = materialize(labels), 0
-    while not edges.isEmpty():
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels, turn = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))), 0
+    while not (loose := edges.filter("a <> b")).isEmpty():
         turn += 1
 
         def rank(c: str, turn: int = turn) -> Column:
             return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
 
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = loose.unionByName(loose.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = materialize(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(rank("a"), F.col("m"))["id"].alias("up")))
         top = materialize(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select(F.col("a").alias("from"), "top"))
-        moved = edges.join(top.withColumnsRenamed({"from": "a", "top": "ta"}), "a").join(top.withColumnsRenamed({"from": "b", "top": "tb"}), "b")
-        edges = materialize(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
-        labels = materialize(labels.join(top.withColumnRenamed("from", "label"), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        moved = loose.join(top.withColumnsRenamed({"from": "a", "top": "ta"}), "a").join(top.withColumnsRenamed({"from": "b", "top": "tb"}), "b")
+        shrunk = materialize(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
+        named = materialize(labels.join(top.withColumnRenamed("from", "label"), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        release(edges, labels, up, top)
+        edges, labels = shrunk, named
+    release(edges)
     return labels
 
 
+#: Rounds of stars before what is left is compared in full.
+ROUNDS = 4
 #: Buckets of more nodes are crowded.
 CROWD = 64
 #: Parts of a node's shingles whose weights are compared one by one.
 PARTS = 64
 
 
-def links(nodes: DataFrame, threshold: float, verify: Callable[[DataFrame], DataFrame], weigh: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(edges, labels) over nodes (node, size, keys).
+def links(nodes: DataFrame, threshold: float, load: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], weigh: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, label) of the nodes that are linked to others, over nodes (node, size, keys); a label is a component's.
 
-    ``verify`` keeps of pairs (a, b) those similar enough; ``weigh`` gives the distinct shingles of
-    nodes as (node, shingle, weight), weights adding up to size.
+    ``load`` gives the texts (node, text) of nodes (node); ``verify`` keeps of pairs (a, b, text_a,
+    text_b) those (a, b) similar enough; ``weigh`` gives the distinct shingles of texts (node, text) as
+    (node, shingle, weight), weights adding up to size.
     """
     bands = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    met = materialize(bands.join(heads, "key"))
-    star = met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialize(verify(star))
-    labels = components(edges)
-    known = met.join(labels, "node", "left").select("key", "node", "size", "n", F.coalesce("label", "node").alias("label"))
-    split = known.groupBy("key").agg((F.min("label") != F.max("label")).alias("split")).filter("split").select("key")
-    rest = materialize(known.join(split, "key").withColumn("level", F.floor(F.log(F.greatest("size", F.lit(1e-9))) / -math.log(threshold)).cast("int")))
-    rest = within_reach(rest, threshold, weigh).join(nodes.select("node", "keys"), "node")
-    other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"), F.col("parts").alias("parts_b"), F.col("keys").alias("keys_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    rest = materialize(bands.join(shared, "key").withColumn("label", F.col("node")))
+    texts = materialize(load(rest.select("node").distinct()))
+    labels = materialize(rest.select("node", "label").limit(0))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        return materialize(verify(one.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")))
+
+    def contracted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(labels, new label of each old one) with these links (a, b between labels) added."""
+        moved = components(found)
+        now = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        fresh = moved.join(labels.select("node"), "node", "left_anti")  # nodes that were alone so far, and old labels under themselves
+        return materialize(now.unionByName(fresh.select("node", "label"))), moved
+
+    for turn in range(ROUNDS):
+        head = F.min_by(F.struct(F.col("node").alias("head"), F.col("size").alias("head_size"), F.col("label").alias("head_label")), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+        split = F.min("label") != F.max("label")
+        heads = rest.groupBy("key").agg(head.alias("h"), split.alias("split")).filter("split").select("key", "h.*")
+        met = materialize(rest.join(heads, "key"))
+        release(rest)
+        close = (F.col("size") >= threshold * F.col("head_size")) & (F.col("head_size") >= threshold * F.col("size"))
+        star = met.filter((F.col("label") != F.col("head_label")) & close).select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head_label").alias("la"), F.col("label").alias("lb")).distinct()
+        found = similar(star.select("a", "b"))
+        rest = met.filter("node <> head").drop("head", "head_size", "head_label")
+        if found.isEmpty():
+            rest = materialize(rest)
+        else:
+            held = found.join(star, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+            old = labels
+            labels, moved = contracted(held)
+            rest = materialize(rest.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("key", "node", "size", "n", F.coalesce("to", "label").alias("label")))
+            release(old, moved)
+        release(met, found)
+        if rest.isEmpty():
+            break
+    pairs = materialize(across(rest, nodes.select("node", "keys"), threshold, lambda wanted: weigh(texts.join(wanted, "node"))))
+    if not pairs.isEmpty():
+        found = similar(pairs.select("a", "b"))
+        if not found.isEmpty():
+            old = labels
+            labels, moved = contracted(found.join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            release(old, moved)
+        release(found)
+    release(rest, texts, pairs)
+    return labels
+
+
+def across(rest: DataFrame, keys: DataFrame, threshold: float, weigh: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b, la, lb) across components of the buckets that are still split, where no bound rules them out."""
+    each = rest.groupBy("key", "label").agg(F.count("*").alias("k"))
+    main = each.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.count("*") > 1).alias("split")).filter("split").select("key", "main")
+    rows = materialize(rest.join(main, "key").withColumn("level", F.floor(F.log(F.greatest("size", F.lit(1e-9))) / -math.log(threshold)).cast("int")))
+    rows = within_reach(rows, threshold, weigh).join(keys, "node")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "shared", "parts", "keys", "label", "main")], F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
     ratio = (F.col("size") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size"))
     needed = threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) * (1 - 1e-9)
     lesser = F.aggregate(F.zip_with("parts", "parts_b", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
     common = (F.least("shared", "shared_b") >= needed) & (F.col("parts").isNull() | F.col("parts_b").isNull() | (lesser >= needed))
-    # a pair that meets in several buckets comes from the first of them (all of them are split, as its labels differ)
+    # a pair that meets in several buckets comes from the first of them: there it is still open, or a star has settled it
     once = F.array_intersect("keys", "keys_b")[0] == F.col("key")
-    pairs = rest.withColumnRenamed("node", "a").join(other, ["key", "level"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & ratio & once & common)
-    pairs = materialize(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        more = materialize(verify(pairs))
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            labels = components(edges)
-    return edges, labels
+    order = (F.col("label_b") == F.col("main_b")) | (F.col("node") < F.col("node_b"))
+    met = rows.filter(F.col("label") != F.col("main")).join(other, ["key", "level"]).filter((F.col("label") != F.col("label_b")) & order & ratio & once & common)
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("label").alias("la"), F.col("label_b").alias("lb")).distinct()
 
 
 def within_reach(rest: DataFrame, threshold: float, weigh: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -111,6 +161,7 @@ def within_reach(rest: DataFrame, threshold: float, weigh: Callable[[DataFrame],
     by_part = signed.groupBy("node", "part").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("w"))
     weights = by_part.groupBy("node").agg(F.sum("w").alias("_w"), F.map_from_entries(F.collect_list(F.struct("part", "w"))).alias("_m"))
     shared = materialize(weights.select("node", "_w", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.col("_m")[i.cast("long")], F.lit(0.0))).alias("_p")))
+    release(rows, crowded)
     full = F.col("n") > CROWD
     out = rest.join(shared, "node", "left").withColumn("shared", F.when(full, F.coalesce("_w", F.lit(0.0))).otherwise(F.col("size")))
     out = out.withColumn("parts", F.when(full, F.col("_p"))).drop("_w", "_p")

@@ -1,14 +1,17 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles.
 
-A shingle is five words (fewer in shorter texts); its weight is its count in the text times the mean
-scaled idf of its words. Document frequencies are counted over all documents, by word, in a table
-of 2^DF_BITS hashed words: a fixed size, so it can be broadcast whatever the corpus. Consistent
-weighted samples collide with the probability of the weighted Jaccard similarity; bands of them give
-candidates, which are verified by the exact weighted Jaccard similarity of their texts.
+A shingle is five words (fewer in shorter texts); its weight is its count in the text times its idf,
+1 + ln((1 + N) / (1 + df)). Document frequencies are counted over all documents, exactly for every
+shingle of a share of 1/COMMON of the documents (or of 1/ENTRIES of all shingles) and more; rarer ones
+count as having that share, so at most ENTRIES shingles are in the table whatever the corpus, and it
+can be broadcast. Consistent weighted samples collide with the probability of the weighted Jaccard
+similarity; bands of them give candidates, which are verified by the exact weighted Jaccard similarity
+of their texts.
 
 Defined cases: texts of the same words (case and punctuation aside) are copies; null texts and texts
 without a word are in no class but their own; rows may repeat a doc_id or have none, each gets its
-row back; extra columns ride along.
+row back; extra columns ride along, whatever their names; an empty table gives no rows; texts of any
+length count whole.
 """
 
 from __future__ import annotations
@@ -24,60 +27,105 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import materialize, small_batches, table
+from .common import materialize, release, small_batches, table
 from .lsh import bands_for, links
 
 THRESHOLD, RECALL, HASHES = 0.8, 0.995, 24
-DF_BITS = 18
+COMMON, ENTRIES = 128, 1 << 18
+CHUNK = 4096  # documents whose shingles a task counts at once
+CHUNK_WORDS = 4_000_000
+_SEEN_BITS = 20
 _POOL_BITS = 16
 
 
-def doc_frequencies(docs: DataFrame) -> np.ndarray:
-    """Idf of each hashed word from all documents, scaled to 1..2; each task sends one count per word it met.
+class Idf:
+    """Idf of the frequent shingles, and one value for all others."""
 
-    Scaled, so that a replaced word (mostly a rare one) weighs at most twice a common one, and small
-    edits stay small.
+    def __init__(self, shingles: np.ndarray, df: np.ndarray, docs: int, least: float):
+        order = np.argsort(shingles)
+        self.shingles, self.values = shingles[order], 1 + np.log((1 + docs) / (1 + np.maximum(df[order], least)))
+        self.rare = 1 + np.log((1 + docs) / (1 + least))
+        self.seen = np.zeros(1 << _SEEN_BITS, bool)
+        self.seen[self.shingles >> np.uint64(64 - _SEEN_BITS)] = True
+
+    def places(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of s are in the table, and where they stand in it."""
+        at = np.flatnonzero(self.seen[s >> np.uint64(64 - _SEEN_BITS)])
+        place = np.minimum(np.searchsorted(self.shingles, s[at]), len(self.shingles) - 1)
+        same = self.shingles[place] == s[at] if len(at) else np.zeros(0, bool)
+        return at[same], place[same]
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.full(len(s), self.rare)
+        at, place = self.places(s)
+        out[at] = self.values[place]
+        return out
+
+
+def text_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Each text's distinct shingles, where they begin, their counts; and the words' (hashes, bounds)."""
+    h, bounds, _, _ = tk.words(texts)
+    s, at, n = tk.distinct(*tk.shingles(h, bounds))
+    return s, at, n, (h, bounds)
+
+
+def shingle_idf(docs: DataFrame) -> Idf:
+    """Counts in how many documents the frequent shingles stand.
+
+    What has a share of all documents has at least this share in some chunk of them. So tasks name what
+    has half of it in a chunk of theirs, and of what is named that often the second pass counts all.
     """
 
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(held: list, docs: int) -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            total = int(n.sum())
+            some = n * 4 >= max(docs / COMMON, total / ENTRIES)
+            shingle = pa.concat_arrays([pa.array(s[some].view(np.int64)), pa.nulls(1, pa.int64())])
+            return pa.RecordBatch.from_arrays([shingle, pa.array(np.append(n[some], docs)), pa.array(np.append(np.zeros(some.sum(), np.int64), total))], names=["shingle", "n", "total"])
+
+        held, words, rows = [], 0, 0
+        for batch in batches:
+            s, *_ = text_shingles(batch.column("text"))
+            held, words, rows = [*held, s], words + len(s), rows + batch.num_rows
+            if rows >= CHUNK or words >= CHUNK_WORDS:
+                yield send(held, rows)
+                held, words, rows = [], 0, 0
+        if held:
+            yield send(held, rows)
+
+    named = materialize(docs.select("text").mapInArrow(suspects, "shingle long, n long, total long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    whole = named.filter("shingle is null").first()
+    n, total = (whole.n, whole.total) if whole else (0, 0)
+    least = max(n / COMMON, total / ENTRIES)
+    some = named.filter(F.col("shingle").isNotNull() & (F.col("n") * 2 >= least)).select("shingle").toPandas()["shingle"].to_numpy(np.int64)  # 2 * ENTRIES at most
+    release(named)
+    table = Idf(some.view(np.uint64), np.zeros(len(some)), n, least)
+    if not len(some):
+        return table
+    known = docs.sparkSession.sparkContext.broadcast(table)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(1 << DF_BITS, np.int64), 0
+        found = np.zeros(len(known.value.shingles), np.int64)
         for batch in batches:
-            h, bounds, _, _ = tk.words(batch.column("text"))
-            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.int64)
-            seen = np.unique((owner << DF_BITS) | (h >> np.uint64(64 - DF_BITS)).astype(np.int64))
-            total += np.bincount(seen & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
-            rows += batch.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["word", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    counts = dict(zip(rows["word"], rows["n"], strict=True))
-    n = counts.pop(-1, 0)
-    df = np.zeros(1 << DF_BITS)
-    if counts:
-        df[np.fromiter(counts.keys(), np.int64)] = np.fromiter(counts.values(), np.float64)
-    return (1 + np.log((1 + n) / (1 + df)) / max(1.0, np.log(1 + n))).astype(np.float32)
-
-
-def weighted_shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+            found += np.bincount(known.value.places(text_shingles(batch.column("text"))[0])[1], minlength=len(found))
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["at", "n"])
+
+    df = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()  # ENTRIES at most
+    known.destroy()
+    return Idf(table.shingles[df["at"].to_numpy(np.int64)], df["n"].to_numpy(np.float64), n, least)
+
+
+def weighted_shingles(texts: pa.Array, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """Each text's distinct shingles, where they begin, their weights; and the words' (hashes, bounds)."""
-    h, bounds, _, _ = tk.words(texts)
-    shingle, where = tk.shingles(h, bounds)
-    weight = np.concatenate((idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)], np.zeros(tk.SHINGLE, np.float32)))
-    n = np.diff(bounds)
-    left = np.repeat(bounds[1:], n) - np.arange(len(h))
-    total = np.zeros(len(h), np.float32)
-    for j in range(tk.SHINGLE):
-        total += np.where(left > j, weight[j : j + len(h)], np.float32(0))
-    total /= np.minimum(np.repeat(n, n), tk.SHINGLE).astype(np.float32)
-    keep = (left >= tk.SHINGLE) | (np.arange(len(h)) == np.repeat(bounds[:-1], n))
-    s, at, w = tk.distinct(shingle, where, total[keep].astype(np.float64))
-    return s, at, w, (h, bounds)
+    s, at, n, held = text_shingles(texts)
+    return s, at, n * idf.of(s), held
 
 
 @lru_cache(1)
 def _pool() -> tuple[np.ndarray, ...]:
-    """Random draws (r, 1/r, beta, ln c) that hash functions index by shingle."""
+    """Random draws (r, 1/r, beta, ln c) that hash functions index by shingle, ln c by other bits than the rest."""
     u = [(tk.stream(100 + i, 1 << _POOL_BITS) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 1e-17 for i in range(5)]
     r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
     return tuple(x.astype(np.float32) for x in (r, 1 / r, u[4], np.log(c)))
@@ -93,10 +141,11 @@ def icws(s: np.ndarray, at: np.ndarray, w: np.ndarray, hashes: int) -> np.ndarra
     r_, inverse_, beta_, lnc_ = _pool()
     starts, lengths, lw = at[:-1][full], n[full], np.log(w).astype(np.float32)
     for k, odd in enumerate(tk.stream(7, hashes) | np.uint64(1)):
-        i = ((s * odd) >> np.uint64(64 - _POOL_BITS)).astype(np.int64)
+        x = s * odd
+        i, j = (x >> np.uint64(64 - _POOL_BITS)).astype(np.int64), ((x >> np.uint64(64 - 2 * _POOL_BITS)) & np.uint64((1 << _POOL_BITS) - 1)).astype(np.int64)
         beta, r = beta_[i], r_[i]
         t = np.floor(lw * inverse_[i] + beta)
-        a = lnc_[i] - r * (t - beta) - r
+        a = lnc_[j] - r * (t - beta) - r
         hit = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), lengths))
         first = hit[np.searchsorted(hit, starts)]
         out[full, k] = tk.mix(s[first] ^ tk.mix(t[first].astype(np.int64).astype(np.uint64) + np.uint64(1)))
@@ -162,7 +211,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def comparer(docs: DataFrame, nodes: DataFrame, idf: Broadcast, threshold: float):
-    """The two functions that ``links`` asks for, over the texts of docs."""
+    """The functions load, verify and weigh that ``links`` asks for, over the texts of docs."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,46 +229,42 @@ def comparer(docs: DataFrame, nodes: DataFrame, idf: Broadcast, threshold: float
             owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(s.view(np.int64)), pa.array(w)], names=["node", "shingle", "weight"])
 
-    def texts(wanted: DataFrame) -> DataFrame:
+    def load(wanted: DataFrame) -> DataFrame:
         wanted = wanted.join(nodes.select("node", "doc", "doc_key"), "node")
         row = docs.select("doc_id", "text", text_key().alias("text_key"))
         return row.join(wanted.hint("shuffle_hash"), row["doc_id"].eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("doc_key"))).select("node", "text").dropDuplicates(["node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        found = materialize(texts(wanted))
-        one = pairs.join(found.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        both = one.join(found.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(similar, "a binary, b binary")
+        return pairs.mapInArrow(similar, "a binary, b binary")
 
-    def weigh(wanted: DataFrame) -> DataFrame:
-        return texts(wanted).mapInArrow(spread, "node binary, shingle long, weight double")
+    def weigh(texts: DataFrame) -> DataFrame:
+        return texts.select("node", "text").mapInArrow(spread, "node binary, shingle long, weight double")
 
-    return verify, weigh
+    return load, verify, weigh
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
-    """(doc_id, text_key, class_id, keep) for each row of docs.
+    """(doc_id, text_key, class_id, class_size, keep) for each row of docs.
 
-    class_id is the least doc_id of the class; keep marks its first row (by doc_id, text_key).
-    Identical rows (same doc_id and text) are marked alike.
+    class_id is the least doc_id of the class, class_size the number of its rows; keep marks its first
+    row (by doc_id, text_key). Identical rows (same doc_id and text) are marked alike.
     """
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall, hashes)
-    idf = spark.sparkContext.broadcast(doc_frequencies(docs))
+    idf = spark.sparkContext.broadcast(shingle_idf(docs))
     found = materialize(features(docs, idf, bands, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key")))
-    nodes = found.filter("node is not null").groupBy("node").agg(first.alias("_m"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes.select("node", F.col("_m.doc_id").alias("doc"), F.col("_m.text_key").alias("doc_key"), "size", "keys"))
-    _, labels = links(nodes.select("node", "size", "keys"), threshold, *comparer(docs, nodes, idf, threshold))
-    grouped = nodes.select("node", "doc", "doc_key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    grouped = materialize(grouped)
-    tops = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("doc_key"))).alias("top"))
-    classes = grouped.join(tops, "label").select("node", F.col("top.doc").alias("class_id"), F.col("top.doc_key").alias("class_key"))
+    nodes = found.filter("node is not null").groupBy("node").agg(first.alias("_m"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes.select("node", F.col("_m.doc_id").alias("doc"), F.col("_m.text_key").alias("doc_key"), "rows", "size", "keys"))
+    labels = links(nodes.select("node", "size", "keys"), threshold, *comparer(docs, nodes, idf, threshold))
+    grouped = materialize(nodes.select("node", "doc", "doc_key", "rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    release(nodes, labels)
+    tops = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("doc_key"))).alias("top"), F.sum("rows").alias("class_size"))
+    classes = grouped.join(tops, "label").select("node", F.col("top.doc").alias("class_id"), F.col("top.doc_key").alias("class_key"), "class_size")
     out = found.select("doc_id", "text_key", "node").join(classes, "node", "left")
     alone = F.col("node").isNull()
     return out.select(
-        "doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key")))).alias("keep"),
     )
 
@@ -241,7 +286,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_classes(docs).select("doc_id", "class_id", "keep")
+    return near_classes(docs).select("doc_id", "class_id", "class_size", "keep")
 
 
 QUERIES = {"op8_near_duplicates": op8_near_dup}

@@ -174,7 +174,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
 
 
 def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
-    """The two functions that ``links`` asks for, over the paragraphs of docs."""
+    """The functions load, verify and weigh that ``links`` asks for, over the paragraphs of docs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +206,7 @@ def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
             owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(s.view(np.int64)), pa.array(np.ones(len(s)))], names=["node", "shingle", "weight"])
 
-    def texts(wanted: DataFrame) -> DataFrame:
+    def load(wanted: DataFrame) -> DataFrame:
         place = F.struct("node", F.col("first.start").alias("start"), F.col("first.end").alias("end"))
         wanted = wanted.join(nodes, "node").groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key")).agg(F.collect_list(place).alias("wanted"))
         row = docs.select("doc_id", "text", text_key().alias("text_key"))
@@ -214,15 +214,12 @@ def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
         return found.mapInArrow(cut, "node binary, text string").dropDuplicates(["node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        found = materialize(texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
-        one = pairs.join(found.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        both = one.join(found.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(similar, "a binary, b binary")
+        return pairs.mapInArrow(similar, "a binary, b binary")
 
-    def weigh(wanted: DataFrame) -> DataFrame:
-        return texts(wanted).mapInArrow(spread, "node binary, shingle long, weight double")
+    def weigh(texts: DataFrame) -> DataFrame:
+        return texts.select("node", "text").mapInArrow(spread, "node binary, shingle long, weight double")
 
-    return verify, weigh
+    return load, verify, weigh
 
 
 def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
@@ -238,7 +235,7 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"), F.col("end"))
     nodes = found.groupBy("node").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.max("n_shingles").cast("double").alias("size"), F.max(F.col("keys")).alias("keys"))
     nodes = materialize(nodes.filter("many or size(keys) > 0"))
-    _, labels = links(nodes.filter("size(keys) > 0").select("node", "size", "keys"), threshold, *comparer(docs, nodes.select("node", "first"), threshold))
+    labels = links(nodes.filter("size(keys) > 0").select("node", "size", "keys"), threshold, *comparer(docs, nodes.select("node", "first"), threshold))
     classed = materialize(nodes.join(labels, "node", "left").filter("many or label is not null").select("node", "first", F.coalesce("label", "node").alias("label")))
     tops = classed.groupBy("label").agg(F.min("first").alias("top"))
     classes = materialize(classed.join(tops, "label").select("node", "top"))

@@ -326,7 +326,7 @@ def test_near_classes_equal_brute_force(spark, monkeypatch, crowd):
     rows += [(1000, "A b, c!"), (1001, "a B c"), (1002, None), (1003, "?!"), (1003, "?!"), (None, "lone words here"), (1004, rows[0][1]), (1004, rows[0][1])]
     frame = docs(spark, rows)
     got = near_dup.near_classes(frame, recall=0.9999, hashes=60).collect()
-    idf = near_dup.doc_frequencies(frame)
+    idf = near_dup.shingle_idf(frame)
     s, at, w, _ = near_dup.weighted_shingles(pa.array([t for _, t in rows], pa.string()), idf)
     sets = [(s[at[i] : at[i + 1]], w[at[i] : at[i + 1]]) for i in range(len(rows))]
     tops = union(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i][0]) and len(sets[j][0]) and near_dup.jaccard(sets[i], sets[j]) >= 0.8])

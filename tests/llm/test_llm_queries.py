@@ -64,7 +64,7 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
     assert {r.doc_id for r in stages[0].collect()} == set(left)
     # near duplicates of what is left
     ids = sorted(left)
-    s, at, w, _ = near_dup.weighted_shingles(pa.array([left[i][1] for i in ids]), near_dup.doc_frequencies(stages[0]))
+    s, at, w, _ = near_dup.weighted_shingles(pa.array([left[i][1] for i in ids]), near_dup.shingle_idf(stages[0]))
     sets = [(s[at[i] : at[i + 1]], w[at[i] : at[i + 1]]) for i in range(len(ids))]
     tops = union(len(ids), [(i, j) for i, j in itertools.combinations(range(len(ids)), 2) if near_dup.jaccard(sets[i], sets[j]) >= 0.8])
     left = {i: left[i] for i, t in zip(ids, tops, strict=True) if ids[t] == i}
