@@ -73,8 +73,12 @@ def shingle_idf(docs: DataFrame) -> Idf:
     """Counts in how many documents the frequent shingles stand.
 
     What has a share of all documents has at least this share in some chunk of them. So tasks name what
-    has half of it in a chunk of theirs, and of what is named that often the second pass counts all.
+    has a quarter of it in a chunk of theirs, and of what is named half that often the second pass counts
+    all. Small partitions are read together, as a chunk of few documents tells little.
     """
+    rows = docs.select("text")
+    parts, wanted = rows.rdd.getNumPartitions(), max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // CHUNK))
+    rows = rows.coalesce(wanted) if wanted < parts else rows
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(held: list, docs: int) -> pa.RecordBatch:
@@ -84,17 +88,17 @@ def shingle_idf(docs: DataFrame) -> Idf:
             shingle = pa.concat_arrays([pa.array(s[some].view(np.int64)), pa.nulls(1, pa.int64())])
             return pa.RecordBatch.from_arrays([shingle, pa.array(np.append(n[some], docs)), pa.array(np.append(np.zeros(some.sum(), np.int64), total))], names=["shingle", "n", "total"])
 
-        held, words, rows = [], 0, 0
+        held, words, docs = [], 0, 0
         for batch in batches:
             s, *_ = text_shingles(batch.column("text"))
-            held, words, rows = [*held, s], words + len(s), rows + batch.num_rows
-            if rows >= CHUNK or words >= CHUNK_WORDS:
-                yield send(held, rows)
-                held, words, rows = [], 0, 0
+            held, words, docs = [*held, s], words + len(s), docs + batch.num_rows
+            if docs >= CHUNK or words >= CHUNK_WORDS:
+                yield send(held, docs)
+                held, words, docs = [], 0, 0
         if held:
-            yield send(held, rows)
+            yield send(held, docs)
 
-    named = materialize(docs.select("text").mapInArrow(suspects, "shingle long, n long, total long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    named = materialize(rows.mapInArrow(suspects, "shingle long, n long, total long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     whole = named.filter("shingle is null").first()
     n, total = (whole.n, whole.total) if whole else (0, 0)
     least = max(n / COMMON, total / ENTRIES)
@@ -112,7 +116,7 @@ def shingle_idf(docs: DataFrame) -> Idf:
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["at", "n"])
 
-    df = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()  # ENTRIES at most
+    df = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()  # ENTRIES at most
     known.destroy()
     return Idf(table.shingles[df["at"].to_numpy(np.int64)], df["n"].to_numpy(np.float64), n, least)
 

@@ -1,29 +1,29 @@
 """Substring dedup by a depth-limited radix sort of suffixes.
 
 A byte is removed if it lies in a DEPTH-byte string that also starts in a document with a smaller id.
-Suffixes are grouped through DEPTH bytes only, by digit passes; documents that stand alone in a bucket
-drop out after each pass, and the groups that are equal after the last digit are the repeated strings.
-Digits are hashes, so this is no byte order. Whole runs are told apart by 128 bits (digit and
-fingerprint), spread strings by 64, and strings that travel with their bytes by these.
-
-Pass 1. The first digit of a suffix is the least hash among the GRAM-byte strings inside its DEPTH
-bytes: equal strings have equal digits, and consecutive suffixes mostly share one, so they travel as a
-run with a fingerprint of the run's bytes. Runs are spread over buckets by digit. A run with the same
-digit and fingerprint in a smaller document is covered whole. A digit that different runs of different
-documents share goes on to pass 2; all others are settled.
-Pass 2. Those runs travel again, now with their bytes, to the bucket of their digit, where their suffixes
-are grouped by all DEPTH bytes; of equal ones all but those of the least document are covered. Runs of a
-digit that more than CROWD runs share are not brought together: their suffixes are spread by the hash of
-all DEPTH bytes.
-
-Tasks first settle what they can among their own documents and send one occurrence of each run or
-string, so a passage that a third of all documents hold reaches its bucket once for each task buffer.
+Suffixes are ordered through DEPTH bytes only; the groups that are equal after the last digit are the
+repeated strings, and of each all but those of the least document are covered.
+
+Dealing out. Equal strings have equal least hashes among the GRAM-byte strings inside them. Consecutive
+suffixes mostly share that anchor, so they travel as a run. A first exchange moves anchors and places
+only and finds the anchors that stand in documents of different ids; of an anchor that a task meets in
+several documents it sends two places and knows the others to be shared. A second exchange moves the
+bytes of runs with shared anchors to the anchor's bucket. Anchors of more than CROWD runs are known
+from the first exchange, and their runs are cut and dealt by the next least hash as well, before they
+are held anywhere. Hashes only deal suffixes out; nothing is removed on a hash alone.
+
+Ordering. In a bucket, runs that are equal byte by byte are settled first (in the sending task too, so
+a passage that a third of all documents hold comes once from each task buffer). The suffixes of what
+is left are sorted by most-significant-digit passes, 8 bytes a digit; after each pass suffixes whose
+group holds no second document drop out.
+
 Records travel packed, in blobs of a bucket's columns. The texts are shuffled once (both uses read
 the same exchange) and positions come back as spans.
 
-Defined cases: null text is empty; texts under DEPTH bytes lose nothing; a null id counts as the
-greatest; rows with equal ids don't remove from each other, and rows may repeat; matches never cross
-documents; overlaps count, and strings are judged on the input.
+Defined cases: null text is empty; texts under DEPTH bytes lose nothing; texts of any length count
+whole; a null id counts as the greatest; rows with equal ids don't remove from each other, and rows may
+repeat; matches never cross documents; overlaps count, and strings are judged on the input; an empty
+table gives no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ from .near_dup import text_key
 DEPTH, GRAM = 50, 16
 RUN = DEPTH - GRAM + 1  # the most suffixes of a run, so that its first and last string cover it
 BUFFER, MOST_DOCS = 3_000_000, 60_000  # records and documents of a task buffer
-CROWD = 20_000
+CROWD, CROWDS = 20_000, 1 << 16  # an anchor is crowded from so many runs, and at least 1/CROWDS of all runs, on
+SAME = 16  # places of an anchor in documents of one id that a task buffer sends
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _ODD = tk.stream(41, 16) | _U(1)
@@ -77,10 +78,10 @@ def starts_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The runs of each text: digit, fingerprint, text, position in it, and number of suffixes."""
+    """The runs of each text: digit (a hash of the anchor), text, position in it, and number of suffixes."""
     at, owner = starts_of(offsets)
     if not len(at):
-        return {"digit": np.zeros(0, _U), "print": np.zeros(0, _U), "doc": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
+        return {"digit": np.zeros(0, _U), "doc": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
     h = gram_hashes(data)
     least, k = h, 1
     while 2 * k <= RUN:
@@ -95,8 +96,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     far = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
     begin = np.flatnonzero(new | ((far > 0) & (far % RUN == 0)))
     n = np.diff(np.append(begin, len(at)))
-    shape = string_hashes(h, at[begin]) * _ODD[1] + string_hashes(h, at[begin + n - 1]) * _ODD[3] + n.astype(_U)
-    return {"digit": tk.mix(digit[begin]), "print": tk.mix(shape), "doc": owner[begin], "pos": at[begin] - offsets[owner[begin]], "n": n}
+    return {"digit": tk.mix(digit[begin]), "doc": owner[begin], "pos": at[begin] - offsets[owner[begin]], "n": n}
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -110,9 +110,8 @@ def unplanes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-#: Columns of packed records and their bytes. The digit comes first and ascends, so only its steps are kept.
-WIDTHS = (("digit", 8), ("print", 8), ("doc", 2), ("pos", 4), ("n", 1))
-STRING_WIDTHS = (("digit", 8), ("doc", 2), ("pos", 4), ("n", 1))
+#: Columns of packed records and their bytes. The digit comes first and ascends, so only its steps are kept. m: runs that a record stands for.
+WIDTHS = (("digit", 8), ("doc", 2), ("pos", 4), ("n", 1), ("m", 4))
 RAW_WIDTHS = (("doc", 2), ("pos", 4), ("n", 1))
 
 
@@ -139,22 +138,19 @@ def unpack(raw: bytes, widths=WIDTHS) -> tuple[dict[str, np.ndarray], np.ndarray
     return part, ids, keys, at
 
 
-def settle(group: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of records by group and id, where groups begin, and which records a smaller id of their group covers."""
-    order = np.lexsort((ids, *group[::-1]))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = reduce(np.logical_or, (g[order][1:] != g[order][:-1] for g in group))
-    begin = np.flatnonzero(new)
-    least = np.repeat(ids[order][begin], np.diff(np.append(begin, len(order))))
-    return order, new, ids[order] > least
+def edges(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    if len(new):
+        new[1:] = reduce(np.logical_or, (k[1:] != k[:-1] for k in sorted_keys))
+    return new
 
 
 class Buffer:
-    """Records of one task; when full, settled among themselves and sent as blobs."""
+    """Runs of one task; when full, sent as blobs of records, few for each anchor."""
 
-    def __init__(self, bits: int, widths, group: tuple[str, ...]):
-        self.bits, self.widths, self.group, self.parts, self.ids, self.keys, self.records = bits, widths, group, [], [], [], 0
+    def __init__(self, bits: int):
+        self.bits, self.parts, self.ids, self.keys, self.records = bits, [], [], [], 0
 
     def add(self, part: dict[str, np.ndarray], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.records and sum(map(len, self.ids)) + len(ids) > MOST_DOCS:
@@ -169,22 +165,34 @@ class Buffer:
     def send(self) -> Iterator[pa.RecordBatch]:
         if not self.records:
             return
-        part = {c: np.concatenate([p[c] for p in self.parts]) for c, _ in self.widths}
+        part = {c: np.concatenate([p[c] for p in self.parts]) for c, _ in WIDTHS if c != "m"}
         ids, keys = np.concatenate(self.ids), np.concatenate(self.keys)
         self.parts, self.ids, self.keys, self.records = [], [], [], 0
-        order, _, covered = settle(tuple(part[g] for g in self.group), ids[part["doc"]])
-        done, left = order[covered], order[~covered]
+        order = np.lexsort((own := ids[part["doc"]], part["digit"]))
+        part, own = {c: x[order] for c, x in part.items()}, own[order]
+        new = edges(part["digit"])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(own)))
+        place = np.arange(len(own)) - np.repeat(begin, size)
+        shared = np.repeat(own[begin] < own[begin + size - 1], size)
+        size = np.repeat(size, size)
+        left = np.where(shared, (place == 0) | (place == size - 1), place < SAME)
+        part["m"] = np.where(place == 0, size, 0)
+        done = np.flatnonzero(~left)
+        left = np.flatnonzero(left)
         bucket = (part["digit"][left] >> _U(64 - self.bits)).astype(np.int64)
-        # below the bucket's bits, as many as travel
-        part["digit"] = (part["digit"] << _U(self.bits)) >> _U(64 - 8 * dict(self.widths)["digit"])
-        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(left) else np.zeros(1, np.int64)
-        blobs = [pack({c: part[c][left[a:b]] for c, _ in self.widths}, ids, keys, self.widths) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        edge = np.flatnonzero(np.append(edges(bucket), True))
+        blobs = [pack({c: part[c][left[a:b]] for c, _ in WIDTHS}, ids, keys) for a, b in zip(edge[:-1], edge[1:], strict=True)]
         yield sent(bucket[edge[:-1]], blob=blobs)
-        if len(done):  # what is settled already rides along, dealt out evenly
-            for at in range(0, len(done), 1 << 16):
-                some = done[at : at + (1 << 16)]
-                spread = int(tk.mix(np.array([at, int(ids[0]), len(done)], np.int64).view(_U)).sum() >> _U(64 - self.bits))
-                yield sent(np.array([spread]), done=[pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS)])
+        yield from ride_along(part, done, ids, keys, self.bits)
+
+
+def ride_along(part: dict[str, np.ndarray], some: np.ndarray, ids: np.ndarray, keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Places that the sending task has decided on, dealt out evenly."""
+    for at in range(0, len(some), 1 << 16):
+        few = some[at : at + (1 << 16)]
+        spread = int(tk.mix(np.array([at, int(ids[0]), len(some)], np.int64).view(_U)).sum() >> _U(64 - bits))
+        yield sent(np.array([spread]), done=[pack({c: part[c][few] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS)])
 
 
 def sent(bucket: np.ndarray, blob: list | None = None, done: list | None = None, raw: list | None = None) -> pa.RecordBatch:
@@ -194,7 +202,7 @@ def sent(bucket: np.ndarray, blob: list | None = None, done: list | None = None,
 
 SENT = "bucket long, blob binary, done binary, raw binary"
 SPANS = "doc long, key long, start long, n int, open int"
-CLOSED, OPEN, CROWDED = 0, 1, 2
+CLOSED, OPEN, CROWDED, TOTAL = 0, 1, 2, 3
 
 
 def found(part: dict, ids: np.ndarray, keys: np.ndarray, some: np.ndarray, state: int | np.ndarray) -> pa.RecordBatch:
@@ -214,13 +222,20 @@ def together(held: list[tuple]) -> tuple[dict, np.ndarray, np.ndarray]:
     return whole, np.concatenate(ids), np.concatenate(keys)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], widths, close) -> Iterator[pa.RecordBatch]:
-    """Calls close on the records of each bucket, which come in order; passes on what is settled."""
+def told(anchor: np.ndarray, number: np.ndarray, state: int) -> pa.RecordBatch:
+    """Anchors with their numbers of runs, as spans of no document."""
+    n = len(anchor)
+    columns = [pa.array(np.zeros(n, np.int64)), pa.array(anchor.view(np.int64)), pa.array(number.astype(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, state, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "key", "start", "n", "open"])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], crowd: int, state: int) -> Iterator[pa.RecordBatch]:
+    """Works off the records or runs of each bucket, which come in order; passes on, in this state, what rode along."""
     held, raws, texts, now = [], [], [], None
 
     def flush():
         if held:
-            yield from close(*together(held))
+            yield from first_pass(*together(held), crowd)
         if raws:
             yield from raw_pass(*together(raws), np.frombuffer(b"".join(texts), np.uint8))
         held.clear(), raws.clear(), texts.clear()
@@ -231,81 +246,156 @@ def by_bucket(batches: Iterator[pa.RecordBatch], widths, close) -> Iterator[pa.R
                 yield from flush()
                 now = bucket
             if blob is not None:
-                held.append(unpack(blob, widths)[:3])
+                held.append(unpack(blob)[:3])
             if raw is not None:
                 *one, end = unpack(raw, RAW_WIDTHS)
                 raws.append(one)
                 texts.append(raw[end:])
             if done is not None:
                 part, ids, keys, _ = unpack(done, RAW_WIDTHS)
-                yield found(part, ids, keys, np.arange(len(part["doc"])), CLOSED)
+                yield found(part, ids, keys, np.arange(len(part["doc"])), state)
     yield from flush()
 
 
 def first_pass(part: dict, ids: np.ndarray, keys: np.ndarray, crowd: int = CROWD) -> Iterator[pa.RecordBatch]:
+    """The places of anchors that documents of different ids share; the crowded anchors with their runs; the number of all runs."""
     own = ids[part["doc"].astype(np.int64)]
-    order, new, covered = settle((part["digit"], part["print"]), own)
-    yield found(part, ids, keys, order[covered], CLOSED)
-    digit = part["digit"][order]
-    begin = np.concatenate(([True], digit[1:] != digit[:-1]))
-    group = np.cumsum(begin) - 1
-    kinds, left = np.bincount(group, new), np.bincount(group, ~covered)
-    least, most = np.minimum.reduceat(own[order], np.flatnonzero(begin)), np.maximum.reduceat(own[order], np.flatnonzero(begin))
-    more = ((kinds > 1) & (least < most))[group] & ~covered
-    yield found(part, ids, keys, order[more], np.where(left > crowd, CROWDED, OPEN)[group[more]])
-
-
-def second_pass(part: dict, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order, _, covered = settle((part["digit"],), ids[part["doc"].astype(np.int64)])
-    yield found(part, ids, keys, order[covered], CLOSED)
-
-
-def unlike(string: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Numbers that tell apart different strings of one hash; nearly always all 0."""
-    out = np.zeros(len(at), np.int64)
-    order = np.argsort(string, kind="stable")
-    same = np.flatnonzero(string[order][1:] == string[order][:-1])
-    bad = [np.zeros(0, _U)]
-    for i in range(0, len(same), 1 << 16):
-        a, b = order[same[i : i + (1 << 16)]], order[same[i : i + (1 << 16)] + 1]
-        differ = (data[at[a][:, None] + np.arange(DEPTH)] != data[at[b][:, None] + np.arange(DEPTH)]).any(axis=1)
-        bad.append(string[a][differ])
-    for x in np.unique(np.concatenate(bad)):
-        some = np.flatnonzero(string == x)
-        out[some] = np.unique(data[at[some][:, None] + np.arange(DEPTH)], axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((own, part["digit"]))
+    begin = np.flatnonzero(edges(part["digit"][order]))
+    size = np.diff(np.append(begin, len(order)))
+    shared = own[order][begin] < own[order][begin + size - 1]
+    yield found(part, ids, keys, order[np.repeat(shared, size)], OPEN)
+    runs_of = np.add.reduceat(part["m"][order].astype(np.int64), begin)
+    full = shared & (runs_of > crowd)
+    yield told(part["digit"][order][begin][full], runs_of[full], CROWDED)
+    yield told(np.zeros(1, _U), runs_of.sum(keepdims=True), TOTAL)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b are equal over these lengths (of DEPTH + RUN - 1 at most)."""
+    out = np.ones(len(a), bool)
+    wide = np.arange(DEPTH + RUN - 1)
+    data = np.append(data, np.zeros(len(wide), np.uint8))
+    for i in range(0, len(a), 1 << 15):
+        x, y, n = a[i : i + (1 << 15)], b[i : i + (1 << 15)], length[i : i + (1 << 15)]
+        out[i : i + (1 << 15)] = ((data[x[:, None] + wide] == data[y[:, None] + wide]) | (wide >= n[:, None])).all(axis=1)
     return out
 
 
+def equal_runs(data: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which runs equal, byte by byte, a run of a smaller id among these."""
+    if not len(begin):
+        return np.zeros(0, bool)
+    h = gram_hashes(data)
+    shape = string_hashes(h, begin) * _ODD[1] + string_hashes(h, begin + n - 1) * _ODD[3] + n.astype(_U)
+    order = np.lexsort((own, shape, anchor))
+    new = edges(anchor[order], shape[order])
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = np.flatnonzero(own[order] > own[head])
+    mine, first = order[later], head[later]
+    out = np.zeros(len(begin), bool)
+    out[mine[(n[mine] == n[first]) & same_bytes(data, begin[mine], begin[first], n[mine] + DEPTH - 1)]] = True
+    return out
+
+
+def radix_groups(data: np.ndarray, at: np.ndarray, own: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of at, ordered by group and the DEPTH bytes from there, and where equal strings begin; only those that documents of different ids share."""
+    data = np.append(data, np.zeros(8, np.uint8)).astype(_U)
+    word = np.zeros(len(data) - 8, _U)
+    for i in range(8):
+        word |= data[i : i + len(word)] << _U(56 - 8 * i)
+    live = np.arange(len(at))
+    new = np.zeros(0, bool)
+    for depth in range(0, DEPTH, 8):
+        digit = word[at[live] + depth]
+        if DEPTH - depth < 8:
+            digit = digit >> _U(8 * (8 - DEPTH + depth))
+        order = np.lexsort((digit, group))
+        live, group, digit = live[order], group[order], digit[order]
+        new = edges(group, digit)
+        begin = np.flatnonzero(new)
+        ids = own[live]
+        if len(begin):
+            more = np.repeat(np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin), np.diff(np.append(begin, len(live))))
+            group = (np.cumsum(new) - 1)[more]
+            live, new = live[more], new[more]
+    return live, new
+
+
 def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Groups the suffixes of runs that came with their bytes, end to end in data."""
+    """Orders the suffixes of runs that came with their bytes, end to end in data."""
     n = part["n"].astype(np.int64)
-    length = n + DEPTH - 1
-    run = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(np.cumsum(length) - length, n) + inner
-    string, own = string_hashes(gram_hashes(data), at), ids[part["doc"].astype(np.int64)][run]
-    order, _, covered = settle((string, unlike(string, data, at)), own)
-    gone = np.zeros(len(at), bool)
-    gone[order[covered]] = True
-    first = gone & ~np.concatenate(([False], gone[:-1] & (run[1:] == run[:-1])))
-    last = gone & ~np.concatenate((gone[1:] & (run[1:] == run[:-1]), [False]))
-    a, b = np.flatnonzero(first), np.flatnonzero(last)
+    begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
+    own = ids[part["doc"].astype(np.int64)]
+    anchor = anchors(data, begin)
+    covered = equal_runs(data, begin, n, anchor, own)
+    yield found(part, ids, keys, np.flatnonzero(covered), CLOSED)
+    left = np.flatnonzero(~covered)
+    left = left[np.argsort(anchor[left], kind="stable")]
+    start = np.flatnonzero(edges(anchor[left]))
+    if not len(start):
+        return
+    size = np.diff(np.append(start, len(left)))
+    more = np.repeat(np.minimum.reduceat(own[left], start) < np.maximum.reduceat(own[left], start), size)
+    left, group = left[more], np.repeat(np.arange(len(start)), size)[more]
+    run = np.repeat(left, n[left])
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(n[left]) - n[left], n[left])
+    live, new = radix_groups(data, begin[run] + inner, own[run], np.repeat(group, n[left]))
+    gone = np.zeros(len(run), bool)
+    if len(live):
+        first = np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(own[run][live], first), np.diff(np.append(first, len(live))))
+        gone[live[own[run][live] > least]] = True
+    opens = gone & ~np.concatenate(([False], gone[:-1] & (run[1:] == run[:-1])))[: len(gone)]
+    closes = gone & ~np.concatenate((gone[1:] & (run[1:] == run[:-1]), [False]))[: len(gone)]
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
     yield found({"doc": part["doc"][run[a]], "pos": part["pos"][run[a]].astype(np.int64) + inner[a], "n": b - a + 1}, ids, keys, np.arange(len(a)), CLOSED)
 
 
-def raw_blobs(data: np.ndarray, begin: np.ndarray, part: dict, ids: np.ndarray, keys: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Runs with their bytes, packed by the bucket of their digit."""
-    h = gram_hashes(data)
-    digit = tk.mix(np.min(h[begin[:, None] + np.arange(RUN)], axis=1))
+def anchors(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The digit of the strings that begin here."""
+    h, least = gram_hashes(data), np.full(len(begin), _U(0xFFFFFFFFFFFFFFFF))
+    for i in range(RUN):
+        least = np.minimum(least, h[begin + i])
+    return tk.mix(least)
+
+
+def cut_crowded(data: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray]:
+    """Runs of crowded anchors cut where the next least hash changes, with that in their digit; the others as they are."""
+    full = np.isin(digit, crowded)
+    if not full.any():
+        return begin, part, digit
+    n = part["n"][full]
+    run = np.repeat(np.flatnonzero(full), n)
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    at, h = begin[run] + inner, gram_hashes(data)
+    next_ = np.full(len(at), _U(0xFFFFFFFFFFFFFFFF))
+    for i in range(RUN):
+        x = h[at + i]
+        next_ = np.minimum(next_, np.where(tk.mix(x) == digit[run], next_, x))
+    new = edges(run, next_)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(run)))
+    cut = {"doc": part["doc"][run[first]], "pos": part["pos"][run[first]] + inner[first], "n": size}
+    whole = {c: np.concatenate([part[c][~full], cut[c]]) for c, _ in RAW_WIDTHS}
+    return np.concatenate([begin[~full], at[first]]), whole, np.concatenate([digit[~full], tk.mix(digit[run[first]] ^ tk.mix(next_[first]))])
+
+
+def raw_blobs(data: np.ndarray, begin: np.ndarray, part: dict, ids: np.ndarray, keys: np.ndarray, bits: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs with their bytes, packed by the bucket of their digit; those that equal a run of a smaller id here ride along as settled."""
+    digit = anchors(data, begin)
+    covered = equal_runs(data, begin, part["n"], digit, ids[part["doc"]])
+    yield from ride_along(part, np.flatnonzero(covered), ids, keys, bits)
+    begin, part, digit = cut_crowded(data, begin[~covered], {c: x[~covered] for c, x in part.items()}, digit[~covered], crowded)
     bucket = (digit >> _U(64 - bits)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) != 0, [True])))
+    edge = np.flatnonzero(np.append(edges(bucket[by]), True)) if len(by) else np.zeros(1, np.int64)
     end = begin + part["n"] + DEPTH - 1
     blobs = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         some = by[a:b]
         blobs.append(pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS) + b"".join(data[begin[i] : end[i]].tobytes() for i in some))
-    return sent(bucket[by][edge[:-1]], raw=blobs)
+    yield sent(bucket[by][edge[:-1]], raw=blobs)
 
 
 RAW_BUFFER = 32 << 20  # bytes of text whose open runs are packed together
@@ -330,52 +420,43 @@ def removed_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataF
         return batch.column("doc").to_numpy(), batch.column("key").to_numpy()
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer = Buffer(bits, WIDTHS, ("digit", "print"))
+        buffer = Buffer(bits)
         for batch in batches:
-            part = runs(*tk.utf8(batch.column("text")))
-            yield from buffer.add(part, *columns(batch))
+            yield from buffer.add(runs(*tk.utf8(batch.column("text"))), *columns(batch))
         yield from buffer.send()
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+    first = materialize(dealt(docs.mapInArrow(send_runs, SENT)).mapInArrow(lambda b: by_bucket(b, crowd, OPEN), SPANS))
+    total = first.filter(F.col("open") == TOTAL).agg(F.sum("start")).first()[0] or 0
+    crowds = first.filter((F.col("open") == CROWDED) & (F.col("start") > max(crowd, total // CROWDS))).select("key").toPandas()  # CROWDS at most
+    crowds = crowds["key"].to_numpy(np.int64).view(_U)
+
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer, waiting, size = Buffer(bits, STRING_WIDTHS, ("digit",)), [], 0
+        waiting, size = [], 0
         for batch in batches:
-            data, offsets = tk.utf8(batch.column("text"))
             opened = batch.column("open")
             each, flat = np.diff(opened.offsets.to_numpy()), opened.flatten()
             if not len(flat):
                 continue
+            data, offsets = tk.utf8(batch.column("text"))
             doc = np.repeat(np.arange(batch.num_rows), each)
-            start, count = flat.field("start").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
-            crowded = flat.field("open").to_numpy() == CROWDED
-            pos, owner, n = start[~crowded], doc[~crowded], count[~crowded]
-            if len(pos):  # several batches make a blob, so that blobs are worth their heads
-                waiting.append((data, offsets[owner] + pos, {"doc": owner, "pos": pos, "n": n}, *columns(batch)))
-                size += len(data)
+            pos, count = flat.field("start").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
+            waiting.append((data, offsets[doc] + pos, {"doc": doc, "pos": pos, "n": count}, *columns(batch)))  # several batches make a blob, so that blobs are worth their heads
+            size += len(data)
             if size >= RAW_BUFFER or sum(len(x[3]) for x in waiting) > MOST_DOCS:
-                yield raw_blobs(*joined_raw(waiting), bits)
+                yield from raw_blobs(*joined_raw(waiting), bits, crowds)
                 waiting, size = [], 0
-            if crowded.any():
-                start, count, doc = start[crowded], count[crowded], doc[crowded]
-                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                pos, owner = np.repeat(start, count) + inner, np.repeat(doc, count)
-                part = {"digit": string_hashes(gram_hashes(data), offsets[owner] + pos), "doc": owner, "pos": pos, "n": np.ones(len(pos), np.int64)}
-                yield from buffer.add(part, *columns(batch))
         if waiting:
-            yield raw_blobs(*joined_raw(waiting), bits)
-        yield from buffer.send()
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+            yield from raw_blobs(*joined_raw(waiting), bits, crowds)
 
-    first = materialize(dealt(docs.mapInArrow(send_runs, SENT)).mapInArrow(lambda b: by_bucket(b, WIDTHS, lambda *x: first_pass(*x, crowd)), SPANS))
     texts = docs.repartition(n, "doc", "key")
-    opened = first.filter(F.col("open") != CLOSED).select("doc", "key", F.struct("start", "n", "open").alias("span")).groupBy("doc", "key").agg(F.collect_set("span").alias("open"))
+    opened = first.filter(F.col("open") == OPEN).select("doc", "key", F.struct("start", "n").alias("span")).groupBy("doc", "key").agg(F.collect_set("span").alias("open"))
     # the same columns of texts as in the end, so that both joins read one exchange
     second = dealt(texts.join(opened.hint("shuffle_hash"), ["doc", "key"]).select(*docs.columns, "open").mapInArrow(send_open, SENT))
-    second = second.mapInArrow(lambda b: by_bucket(b, STRING_WIDTHS, second_pass), SPANS)
-    span = F.struct("start", "n").alias("span")
-    both = first.filter(F.col("open") == CLOSED).select("doc", "key", span).unionByName(second.select("doc", "key", span))
-    return texts, both.groupBy("doc", "key").agg(F.collect_set("span").alias("spans"))
+    second = second.mapInArrow(lambda b: by_bucket(b, crowd, CLOSED), SPANS)
+    return texts, second.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

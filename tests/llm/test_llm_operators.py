@@ -118,27 +118,48 @@ def test_suffix_dedup_equals_brute_force(spark, crowd):
 # 3 mixing
 
 
-def test_suffix_runs_are_told_apart_by_all_bits_and_bytes(monkeypatch):
-    u = np.uint64
-    for other in ({"print": 1 << 40}, {"print": 1 << 63}, {"digit": 1}):
-        part = {"digit": np.full(2, 5 << 32, u), "print": np.full(2, 7, u), "doc": np.arange(2), "pos": np.zeros(2, np.int64), "n": np.ones(2, np.int64)}
-        for c, flip in other.items():
-            part[c][1] ^= u(flip)
-        buffers = [suffixes.Buffer(6, suffixes.WIDTHS, ("digit", "print")) for _ in range(2)]
-        blobs = []
-        for i, buffer in enumerate(buffers):
-            one = {c: x[i : i + 1] for c, x in part.items()} | {"doc": np.zeros(1, np.int64)}
-            assert not list(buffer.add(one, np.array([i]), np.array([i])))
-            blobs += [suffixes.unpack(b.column("blob")[0].as_py())[:3] for b in buffer.send()]
-        spans = [r for b in suffixes.first_pass(*suffixes.together(blobs)) for r in b.to_pylist()]
-        assert not [r for r in spans if r["open"] == suffixes.CLOSED]
-    monkeypatch.setattr(suffixes, "string_hashes", lambda h, at: np.zeros(len(at), u))
+def test_suffixes_are_ordered_by_bytes_digit_by_digit():
+    rng = random.Random(43)
+    text = "".join(rng.choice("ab") for _ in range(400)) + prose(rng, 60) * 2
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.arange(len(data) - suffixes.DEPTH + 1)
+    own = np.array([rng.randrange(5) for _ in at])
+    live, new = suffixes.radix_groups(data, at, own, np.zeros(len(at), np.int64))
+    strings = collections.defaultdict(list)
+    for i in at.tolist():
+        strings[data[i : i + suffixes.DEPTH].tobytes()].append(i)
+    want = [sorted(v) for k, v in sorted(strings.items()) if len({int(own[i]) for i in v}) > 1]
+    assert [sorted(x.tolist()) for x in np.split(live, np.flatnonzero(new)[1:])] == want and len(want) > 100
+
+
+def test_suffix_runs_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "string_hashes", lambda h, at: np.zeros(len(at), np.uint64))
+    monkeypatch.setattr(suffixes, "anchors", lambda data, begin: np.zeros(len(begin), np.uint64))
     texts = [b"a" * 50, b"b" * 50, b"a" * 50]
-    part = {"doc": np.arange(3).astype(u), "pos": np.zeros(3, u), "n": np.ones(3, u)}
+    part = {"doc": np.arange(3).astype(np.uint64), "pos": np.zeros(3, np.uint64), "n": np.ones(3, np.uint64)}
     spans = [r for b in suffixes.raw_pass(part, np.arange(3), np.arange(3), np.frombuffer(b"".join(texts), np.uint8)) for r in b.to_pylist()]
     assert [r["doc"] for r in spans] == [2]
 
 
+def test_hot_anchors_are_cut_before_they_are_held():
+    rng, common = random.Random(47), "once upon a midnight dreary while i "
+    texts = [prose(rng, 12) + " " + common + prose(rng, 12) for _ in range(3000)]
+    data, offsets = tk.utf8(pa.array(texts))
+    part = suffixes.runs(data, offsets)
+    buffer = suffixes.Buffer(6)
+    held = [*buffer.add(part, np.arange(3000), np.arange(3000)), *buffer.send()]
+    digits, runs_of = np.unique(part["digit"], return_counts=True)
+    hot = digits[runs_of > 500]
+    sent = np.concatenate([suffixes.unpack(x)[0]["digit"] for b in held for x in b.column("blob").to_pylist() if x])
+    assert len(hot) and all((sent == d).sum() <= 2 for d in hot)  # of a shared anchor, two places leave the task
+    begin = offsets[part["doc"]] + part["pos"]
+    _, cut, digit = suffixes.cut_crowded(data, begin, part, part["digit"], hot)
+    assert cut["n"].sum() == part["n"].sum() and np.unique(digit, return_counts=True)[1].max() < runs_of.max() / 2
+
+
+# 3 mixing
+
+
 def test_mixing_targets_and_samples(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randrange(1, 60)), rng.choice(["a", "b", "c", None])) for i in range(600)] + [(None, None, "d"), (700, "", "d"), (701, "one two", "d"), (701, "one two", "d")]
@@ -169,6 +190,20 @@ def test_mixing_targets_and_samples(spark):
     assert mixing.mix(docs(spark, [], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mixing_takes_some_of_equal_rows_and_more_of_long_documents(spark):
+    rng = random.Random(41)
+    rows = [(None, prose(rng, 20), "e") for _ in range(300)] + [(7, prose(rng, 25), "b") for _ in range(300)] + [(1000 + i, prose(rng, rng.randrange(5, 60)), "b") for i in range(700)]
+    rows += [(5000 + i, prose(rng, rng.randrange(1, 80)), "c") for i in range(400)] + [(8000, "", "f"), (8001, None, "f")]
+    got = mixing.mix(docs(spark, [(*r, 1, 2) for r in rows], "doc_id long, text string, source string, size long, _q long")).toPandas()
+    assert list(got.columns) == ["doc_id", "source", "size", "source_size", "target", "taken"] and len(got) == len(rows)
+    for s, part in got.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= (25 if s != "f" else 0), s
+    assert (got["taken"] <= 3 * got["size"]).all() and got[got.doc_id.isna()]["taken"].nunique() == 2  # one group of equal rows, split by the cut
+    part = got[got.source == "c"].assign(copies=lambda x: x["taken"] / x["size"])
+    short, long = part[part["size"] < 20]["copies"].mean(), part[part["size"] > 60]["copies"].mean()
+    assert short + 0.1 < long  # inclusion probabilities differ by document
+
+
 # 4 pages
 
 
