@@ -1,18 +1,24 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are put in one order (host, path, page_id) across the cluster and numbered; each page is
-compared with the page before and after it on its host. Pages become lines (one for each block), the
-lines of a pair are aligned by longest common subsequence, and lines that a neighbour shares are
-deleted as template. What markup itself names as menu, footer, advert, form, comment, ... goes too.
-Lines inside an article or main element are the article by the page's own word, so there a shared
-line stays: mirrors and repeated sentences keep their text whole.
+Pages are put in one order (host, path, page_id) across the cluster and numbered. Each page is compared
+with the nearest page before and the nearest page after it on its host that is no mirror of it, among
+REACH on either side. Pages become lines (one for each block), the lines of a pair are aligned by longest
+common subsequence, and lines that are shared are template. Of a page whose markup tells no article, all
+template lines are deleted; what markup tells to be the article or main part is kept but for template
+lines that both neighbours share in place, so a sentence that an article happens to repeat from another
+page stays. A neighbour that shares a MIRROR part of the page's text is a mirror: its lines are no
+template, and mirrored pages keep their text.
 
-Groups of GROUP neighbours are worked on together, with the pages on the borders given to both
-sides, so a host of any size is spread evenly and every page meets both neighbours.
+Elements that HTML itself gives another role (menus, footers, forms, asides, ...) are no text, nor are
+those that one of their class names or their id names in full as an advert, comment list, notice, ...
+
+Groups of GROUP neighbours are worked on together, with REACH pages on the borders given to both
+sides, so a host of any size is spread evenly and every page meets its neighbours.
 
 Defined cases: null html gives the empty text; a null url is host "" and path ""; repeated page ids
-are rows of their own; unclosed, broken or truncated markup is read as far as it goes; pages with no
-neighbour lose no lines to differencing; other columns ride along.
+are rows of their own; unclosed, broken or truncated markup is read as far as it goes; pages of any
+length count whole; pages with no neighbour lose no lines to differencing; an empty table gives no
+rows; other columns ride along, whatever their names, but for html and text, which the text replaces.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,6 +38,8 @@ from pyspark.sql import types as T
 from .common import materialize, small_batches, table
 
 GROUP = 128
+REACH = 8  # pages to either side among which a page's neighbour is looked for
+MIRROR = (0.9, 0.5)  # shares of its text from which on another page is a mirror: of a page with all its template, of what is told to be the article
 CELLS = 1 << 28  # alignment cells (bits) kept at once; larger pairs are halved
 
 # Element names by role in a page.
@@ -39,11 +47,14 @@ CHROME = frozenset("nav footer aside form script style noscript template button
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CHROME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|sidebar|comments?|disqus|respond|menu|nav\w*|breadcrumbs?|newsletter|subscribe|signup|share|sharing|social|related|footer|popup|modal|pagination|skip)(?:$|[\s_-])", re.I
-)
-NOT_CHROME = re.compile(r"\b(?:with|has|no|without)[-_]\w+", re.I)  # names what a wrapper has or lacks
-ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|respond|related|teaser)(?:$|[\s_-])", re.I)  # articles that aren't the page's
+#: Class names and ids, in full, of what is no text of the page.
+CHROME_NAMES = frozenset(
+    """ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies cookie-notice cookie-banner cookie-consent consent notice notices
+    alert sidebar side-bar comments comment comment-list comment-form disqus disqus_thread respond reply menu main-menu nav navbar navigation breadcrumb breadcrumbs newsletter
+    subscribe signup share share-buttons sharing social social-share related related-posts footer site-footer site-header popup modal pagination skip-link""".split()
+)
+#: Of these, what an article element itself can be and still not be the page's article.
+OTHER_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion comment comments reply respond related related-posts".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -70,11 +81,11 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         told = dict(attrs)
-        words = NOT_CHROME.sub("", f"{told.get('class') or ''} {told.get('id') or ''}")
+        names = {*(told.get("class") or "").lower().split(), (told.get("id") or "").lower()}
         role = told.get("role") or ""
         main, article = tag == "main" or role == "main", tag == "article" or role == "article"
         chrome = tag in CHROME or role in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog") or "hidden" in told or bool(HIDDEN.search(told.get("style") or ""))
-        chrome |= tag not in ("html", "body") and bool((ASIDE_WORDS if main or article else CHROME_WORDS).search(words))
+        chrome |= tag not in ("html", "body") and bool(names & (OTHER_NAMES if main or article else CHROME_NAMES))
         chrome |= tag == "header" and not self.main and not self.article
         self.open.append((tag, chrome, main, article))
         self.chrome += chrome
@@ -176,65 +187,86 @@ def _last_row(a: Sequence, b: Sequence) -> int:
     return v
 
 
-def main_text(lines: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
-    """The page's lines less those its neighbours share; where it marks an article or main part, that alone and whole."""
-    mine = [x for x, _ in lines]
-    template = set().union(*(shared(mine, [x for x, _ in other]) for other in neighbours)) if neighbours else set()
+def template(lines: list[tuple[str, int]], other: list[tuple[str, int]]) -> set[int] | None:
+    """Positions of the lines that another page shares; None if it is a mirror."""
+    level = max((x for _, x in lines), default=0)
+    if lines == other:
+        return None
+    common = shared([x for x, _ in lines], [x for x, _ in other])
+    size = sum(len(x) for x, own in lines if own == level)
+    return None if sum(len(lines[i][0]) for i in common if lines[i][1] == level) >= MIRROR[level > 0] * size else common
+
+
+def main_text(lines: list[tuple[str, int]], before: Iterable[list[tuple[str, int]]], after: Iterable[list[tuple[str, int]]]) -> str:
+    """The page's text; before and after are the pages to either side, the nearest first."""
     level = max((x for _, x in lines), default=0)
-    return " ".join(text for i, (text, own) in enumerate(lines) if own == level and (level or i not in template))
+    found = [t for side in (before, after) if (t := next((t for other in side if (t := template(lines, other)) is not None), None)) is not None]
+    if level:  # the page tells its article: only what both sides share in it is template
+        gone = found[0] & found[1] if len(found) == 2 else set()
+    else:
+        gone = set().union(*found)
+    return " ".join(text for i, (text, own) in enumerate(lines) if own == level and i not in gone)
 
 
-def with_lines(pages: DataFrame) -> DataFrame:
-    """pages with ``_lines``, the page's lines packed, in place of html: less to move than the markup."""
-    keep = [c for c in pages.columns if c != "html"]
+def with_lines(rows: DataFrame) -> DataFrame:
+    """rows with ``lines``, the page's lines packed, in place of html: less to move than the markup."""
+    keep = [c for c in rows.columns if c != "html"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [zlib.compress(json.dumps(page_lines(x), ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(packed, pa.binary())], names=[*keep, "_lines"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(packed, pa.binary())], names=[*keep, "lines"])
 
-    return pages.select(*keep, "html").mapInArrow(work, T.StructType([*[pages.schema[c] for c in keep], T.StructField("_lines", T.BinaryType())]))
+    return rows.select(*keep, "html").mapInArrow(work, T.StructType([*[rows.schema[c] for c in keep], T.StructField("lines", T.BinaryType())]))
 
 
 def unpacked(lines: bytes) -> list[tuple[str, int]]:
     return [tuple(x) for x in json.loads(zlib.decompress(lines).decode("utf-8", "surrogatepass"))]
 
 
-def numbered(pages: DataFrame) -> DataFrame:
-    """pages with _at: each row's number in the order (host, path, page_id), found without one task seeing all."""
-    url = F.coalesce("url", F.lit(""))
+def numbered(rows: DataFrame) -> DataFrame:
+    """(page, lines, host, at): at is each row's number in the order (host, path, page_id), found without one task seeing all."""
+    url = F.coalesce("page.url", F.lit(""))
     rest = r"^[A-Za-z][A-Za-z0-9+.-]*://"
-    rows = pages.withColumns({"_host": F.lower(F.regexp_extract(url, rest + r"([^/?#]*)", 1)), "_path": F.regexp_extract(url, rest + r"[^/?#]*([^?#]*)", 1)})
-    order = ["_host", "_path", "page_id", "url"]
-    rows = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
+    rows = rows.withColumns({"host": F.lower(F.regexp_extract(url, rest + r"([^/?#]*)", 1)), "path": F.regexp_extract(url, rest + r"[^/?#]*([^?#]*)", 1)})
+    order = ["host", "path", "page.page_id", "page.url"]
+    rows = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
     counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row for each partition
     first, starts = 0, []
     for p, n in counts:
         starts.append((p, first))
         first += n
-    offsets = pages.sparkSession.createDataFrame(starts or [(0, 0)], "_p long, _first long")
-    return rows.join(F.broadcast(offsets), part == F.col("_p")).withColumn("_at", F.col("_first") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_p", "_first", "_id")
+    offsets = rows.sparkSession.createDataFrame(starts or [(0, 0)], "p long, first long")
+    return rows.join(F.broadcast(offsets), part == F.col("p")).select("page", "lines", "host", (F.col("first") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("at"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html and others) with text in place of html."""
     keep = [c for c in pages.columns if c not in ("html", "text")]
-    rows = numbered(with_lines(pages.drop("text")))
-    place, group = F.col("_at") % GROUP, F.floor(F.col("_at") / GROUP)
-    groups = F.array_compact(F.array(group, F.when(place == 0, group - 1), F.when(place == GROUP - 1, group + 1)))
-    rows = rows.withColumn("_group", F.explode(groups))
+    rows = numbered(with_lines(pages.select(F.struct(*keep).alias("page"), "html")))
+    place, group = F.col("at") % GROUP, F.floor(F.col("at") / GROUP)
+    groups = F.array_compact(F.array(group, F.when(place < REACH, group - 1), F.when(place >= GROUP - REACH, group + 1)))
+    page = rows.schema["page"].dataType
 
     def work(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.take(pa.array(np.argsort(rows.column("_at").to_numpy(), kind="stable")))
-        at, host = rows.column("_at").to_numpy(), rows.column("_host").to_pylist()
-        lines = [unpacked(x) for x in rows.column("_lines").to_pylist()]
+        rows = rows.take(pa.array(np.argsort(rows.column("at").to_numpy(), kind="stable")))
+        at, host = rows.column("at").to_numpy(), rows.column("host").to_pylist()
+        lines = [unpacked(x) for x in rows.column("lines").to_pylist()]
+
+        def side(i: int, step: int) -> Iterator[list[tuple[str, int]]]:
+            for j in range(i + step, i + step * (REACH + 1), step):
+                if not 0 <= j < len(at) or host[j] != host[i]:
+                    return
+                yield lines[j]
+
         own = np.flatnonzero(at // GROUP == key[0].as_py())
-        texts = [main_text(lines[i], [lines[j] for j in (i - 1, i + 1) if 0 <= j < len(at) and host[j] == host[i]]) for i in own]
-        return rows.take(pa.array(own)).select(keep).append_column("text", pa.array(texts, pa.string()))
+        texts = [main_text(lines[i], side(i, -1), side(i, 1)) for i in own]
+        return rows.take(pa.array(own)).select(["page"]).append_column("text", pa.array(texts, pa.string()))
 
-    schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField("text", T.StringType())])
-    return rows.select(*keep, "_lines", "_host", "_at", "_group").groupBy("_group").applyInArrow(work, schema)
+    schema = T.StructType([T.StructField("page", page), T.StructField("text", T.StringType())])
+    out = rows.withColumn("group", F.explode(groups)).groupBy("group").applyInArrow(work, schema)
+    return out.select("page.*", "text")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

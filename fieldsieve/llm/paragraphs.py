@@ -1,19 +1,23 @@
 """Paragraph dedup: MinHash bands over paragraphs, exact verification, removal by components.
 
-A paragraph is a line. Lines of at least LONG words are also cut into pieces at sentence ends that
-their own sentence picks (so a passage set into different lines is cut alike), and whole texts into
+A paragraph is a line. Lines of LONG code points or more are also cut into pieces at sentence ends that
+their own sentence picks (so a passage set into different lines is cut alike). Lines and pieces are
+banded by MinHash of their five-word shingles, colliding ones are verified by exact Jaccard similarity,
+and linked or equal paragraphs form classes.
+
+A passage inside longer paragraphs need not hold a whole piece. So whole texts are also cut into
 overlapping windows between words that their own next words pick: a cut is a word whose three-word hash
 is the least of some NEAR words in a row, and a window goes from a cut to the first cut LEAST or more
 words on. Any 50 words in a row hold a whole window, which is the same wherever these words stand.
-Pieces and windows count where they are the same (a window of an edited place is not linked, the
-windows of each 50 unedited words beside it are). Lines are banded by MinHash of their five-word shingles, colliding lines are
-verified by exact Jaccard similarity, and linked or equal paragraphs form classes. Of each class the
-first paragraph by (doc_id, start) stays and the others are marked for removal.
+Windows are too short to stand an edit at this similarity and count where they are the same: of an
+edited passage, the windows of each 50 unedited words in a row are found.
 
+Of each class the first paragraph by (doc_id, start) stays and the others are marked for removal.
 Only paragraphs that are in a class of two or more come out. Defined cases: paragraphs of fewer than
-LEAST words are never marked; null texts have none; a repeated row (same doc_id and text) has the
-same paragraphs at the same places, which count as one and are not removed on each other's account;
-positions are code points; classes need no document order.
+LEAST words, the length of a shingle, are never marked; null texts have none; texts of any length count
+whole; a repeated row (same doc_id and text) has the same paragraphs at the same places, which count as
+one and are not removed on each other's account; positions are code points; classes need no document
+order; an empty table gives no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -34,15 +38,16 @@ from .lsh import bands_for, links
 from .near_dup import band_keys, binary16, long_lists, text_key
 
 THRESHOLD, RECALL, HASHES = 0.8, 0.98, 8
-LEAST, LONG, PICK = 5, 40, 3
+LEAST, LONG, PICK = 5, 80, 3
 NEAR = 22  # a cut in the first NEAR words, LEAST words, a cut in the next NEAR and its two words: 50 at most
 SENTENCE = re.compile(r"[.!?]+[\"')\]]*\s+")
 
 
 def spans(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, is a piece) of the lines of a text, of the pieces of its long ones and of its windows."""
-    out = lines_and_pieces(text)
-    own = {x[:2] for x in out}
+    """(start, end, is a window) of the lines of a text, of the pieces of its long ones and of its windows."""
+    own = lines_and_pieces(text)
+    out = [(a, b, False) for a, b in own]
+    own = set(own)
     _, start, end, *_ = windows(pa.array([text], pa.large_string()))
     return out + [(a, b, True) for a, b in zip(start.tolist(), end.tolist(), strict=True) if (a, b) not in own]
 
@@ -87,22 +92,21 @@ def members(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(held[-1]) + np.repeat(begin - held[:-1], n), held
 
 
-def lines_and_pieces(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, is a piece) of the lines of a text and of the pieces of its long ones."""
+def lines_and_pieces(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines of a text and of the pieces of its long ones."""
     out, at = [], 0
     for line in text.split("\n"):
         end = at + len(line)
-        out.append((at, end, False))
-        if len(line) >= LONG * 2:
+        out.append((at, end))
+        if len(line) >= LONG:
             start = last = at
-            cuts = 0
             for found in SENTENCE.finditer(text, at, end):
                 if zlib.crc32(text[last : found.end()].strip().encode("utf-8", "surrogatepass")) % PICK == 0:
-                    out.append((start, found.end(), True))
-                    start, cuts = found.end(), cuts + 1
+                    out.append((start, found.end()))
+                    start = found.end()
                 last = found.end()
-            if cuts and start < end:
-                out.append((start, end, True))
+            if at < start < end:
+                out.append((start, end))
         at = end + 1
     return out
 
@@ -119,34 +123,33 @@ def minhash(s: np.ndarray, at: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int, least: int = LEAST) -> DataFrame:
-    """(doc_id, text_key, start, end, n_words, n_shingles, node, keys) for each paragraph; keys is empty for pieces."""
+    """(doc_id, text_key, start, end, n_words, n_shingles, node, keys) for each line and piece."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units, texts = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if text:
-                    for start, end, piece in lines_and_pieces(text):
-                        if end - start >= 2 * least - 1:
-                            units.append((i, start, end, piece))
+                    for start, end in lines_and_pieces(text):
+                        if end - start >= 2 * least - 1:  # else it can't have so many words
+                            units.append((i, start, end))
                             texts.append(text[start:end])
             if not units:
                 continue
             h, bounds, _, _ = tk.words(pa.array(texts, pa.large_string()))
             n = np.diff(bounds)
-            row, start, end, piece = (np.array(x) for x in zip(*units, strict=True))
-            piece = piece.astype(bool)
+            row, start, end = (np.array(x) for x in zip(*units, strict=True))
             keep = n >= least
             node = binary16(*tk.digest128(h, bounds))
-            lines = np.flatnonzero(keep & ~piece)
+            some = np.flatnonzero(keep)
             line_keys, sizes = np.zeros((len(units), bands), np.int64), np.zeros(len(units), np.int32)
-            if len(lines):
-                member = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in lines])
-                s, at, _ = tk.distinct(*tk.shingles(h[member], np.concatenate(([0], np.cumsum(n[lines])))))
-                sizes[lines] = np.diff(at)
-                line_keys[lines] = band_keys(minhash(s, at, bands * rows), bands, rows)
+            if len(some):
+                member, held = members(bounds[some], bounds[some + 1])
+                s, at, _ = tk.distinct(*tk.shingles(h[member], held))
+                sizes[some] = np.diff(at)
+                line_keys[some] = band_keys(minhash(s, at, bands * rows), bands, rows)
             out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sizes), node, long_lists(line_keys, keep & ~piece)],
+                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sizes), node, long_lists(line_keys, keep)],
                 names=["doc_id", "text_key", "start", "end", "n_words", "n_shingles", "node", "keys"],
             )
             yield out.filter(pa.array(keep))
@@ -161,7 +164,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, start, end, n, one, two = windows(batch.column("text").cast(pa.large_string()))
-            own = [{x[:2] for x in lines_and_pieces(t)} if t else () for t in batch.column("text").to_pylist()]
+            own = [set(lines_and_pieces(t)) if t else () for t in batch.column("text").to_pylist()]
             keep = np.array([(a, b) not in own[i] for i, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)], bool)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (start, end, n)], binary16(one, two)],

@@ -51,14 +51,33 @@ _U = np.uint64
 _ODD = tk.stream(41, 16) | _U(1)
 
 
+BLOCK = 1 << 15  # positions hashed at once, so that they stay in the cache
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position, by doubling; positions near the end have none."""
-    h, k = tk._BYTES[data], 1
-    while k < GRAM:
-        h = h[: max(0, len(h) - k)] * _ODD[k % 16] + h[k:]
-        h ^= h >> _U(29)
-        k *= 2
-    return h
+    out = np.empty(max(0, len(data) - GRAM + 1), _U)
+    for i in range(0, len(out), BLOCK):
+        h, k = tk._BYTES[data[i : i + BLOCK + GRAM - 1]], 1
+        while k < GRAM:
+            h = h[: len(h) - k] * _ODD[k % 16] + h[k:]
+            h ^= h >> _U(29)
+            k *= 2
+        out[i : i + BLOCK] = h
+    return out
+
+
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The least gram hash inside the DEPTH bytes from each position."""
+    out = np.empty(max(0, len(h) - RUN + 1), _U)
+    for i in range(0, len(out), BLOCK):
+        least, k = h[i : i + BLOCK + RUN - 1], 1
+        while 2 * k <= RUN:
+            least = np.minimum(least[: len(least) - k], least[k:])
+            k *= 2
+        rest = RUN - k
+        out[i : i + BLOCK] = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    return out
 
 
 def string_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -69,34 +88,23 @@ def string_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return tk.mix(total)
 
 
-def starts_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions where DEPTH bytes of one text start, and their texts."""
-    n = np.maximum(0, np.diff(offsets) - DEPTH + 1)
-    owner = np.repeat(np.arange(len(n)), n)
-    first = np.concatenate(([0], np.cumsum(n)))[:-1]
-    return np.arange(n.sum()) - np.repeat(first, n) + np.repeat(offsets[:-1], n), owner
-
-
 def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The runs of each text: digit (a hash of the anchor), text, position in it, and number of suffixes."""
-    at, owner = starts_of(offsets)
-    if not len(at):
+    some = np.flatnonzero(np.diff(offsets) >= DEPTH)
+    if not len(some):
         return {"digit": np.zeros(0, _U), "doc": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
-    h = gram_hashes(data)
-    least, k = h, 1
-    while 2 * k <= RUN:
-        least = np.minimum(least[: len(least) - k], least[k:])
-        k *= 2
-    rest = RUN - k
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    digit = least[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (digit[1:] != digit[:-1]) | (owner[1:] != owner[:-1])
-    begin = np.flatnonzero(new)
-    far = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-    begin = np.flatnonzero(new | ((far > 0) & (far % RUN == 0)))
-    n = np.diff(np.append(begin, len(at)))
-    return {"digit": tk.mix(digit[begin]), "doc": owner[begin], "pos": at[begin] - offsets[owner[begin]], "n": n}
+    first, last = offsets[some], offsets[some + 1] - DEPTH + 1  # the suffixes of a text
+    least = least_hashes(gram_hashes(data))
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    text = np.searchsorted(first, change, side="right") - 1
+    change = change[(text >= 0) & (change < last[text])]
+    begin = np.union1d(change, first)
+    text = np.searchsorted(first, begin, side="right") - 1
+    n = np.minimum(np.append(begin[1:], last[-1]), last[text]) - begin
+    pieces = -(-n // RUN)  # of runs longer than RUN
+    place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, text, left = np.repeat(begin, pieces) + place * RUN, np.repeat(text, pieces), np.repeat(n, pieces) - place * RUN
+    return {"digit": tk.mix(least[begin]), "doc": some[text], "pos": begin - first[text], "n": np.minimum(left, RUN)}
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -272,21 +280,19 @@ def first_pass(part: dict, ids: np.ndarray, keys: np.ndarray, crowd: int = CROWD
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether the bytes from a and from b are equal over these lengths (of DEPTH + RUN - 1 at most)."""
+    """Whether the bytes from a and from b are equal over these lengths (from 8 to DEPTH + RUN - 1), 8 bytes at a time."""
+    word = np.ndarray((max(0, len(data) - 7),), np.uint64, np.ascontiguousarray(data), 0, (1,))  # the 8 bytes from each place, not copied
     out = np.ones(len(a), bool)
-    wide = np.arange(DEPTH + RUN - 1)
-    data = np.append(data, np.zeros(len(wide), np.uint8))
-    for i in range(0, len(a), 1 << 15):
-        x, y, n = a[i : i + (1 << 15)], b[i : i + (1 << 15)], length[i : i + (1 << 15)]
-        out[i : i + (1 << 15)] = ((data[x[:, None] + wide] == data[y[:, None] + wide]) | (wide >= n[:, None])).all(axis=1)
+    for i in range(0, DEPTH + RUN - 1, 8):
+        at = np.minimum(i, length - 8)  # the last word overlaps the one before
+        out &= word[a + at] == word[b + at]
     return out
 
 
-def equal_runs(data: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, own: np.ndarray) -> np.ndarray:
+def equal_runs(data: np.ndarray, h: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Which runs equal, byte by byte, a run of a smaller id among these."""
     if not len(begin):
         return np.zeros(0, bool)
-    h = gram_hashes(data)
     shape = string_hashes(h, begin) * _ODD[1] + string_hashes(h, begin + n - 1) * _ODD[3] + n.astype(_U)
     order = np.lexsort((own, shape, anchor))
     new = edges(anchor[order], shape[order])
@@ -327,8 +333,9 @@ def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) ->
     n = part["n"].astype(np.int64)
     begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
     own = ids[part["doc"].astype(np.int64)]
-    anchor = anchors(data, begin)
-    covered = equal_runs(data, begin, n, anchor, own)
+    h = gram_hashes(data)
+    anchor = anchors(h, begin)
+    covered = equal_runs(data, h, begin, n, anchor, own)
     yield found(part, ids, keys, np.flatnonzero(covered), CLOSED)
     left = np.flatnonzero(~covered)
     left = left[np.argsort(anchor[left], kind="stable")]
@@ -352,15 +359,15 @@ def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) ->
     yield found({"doc": part["doc"][run[a]], "pos": part["pos"][run[a]].astype(np.int64) + inner[a], "n": b - a + 1}, ids, keys, np.arange(len(a)), CLOSED)
 
 
-def anchors(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def anchors(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The digit of the strings that begin here."""
-    h, least = gram_hashes(data), np.full(len(begin), _U(0xFFFFFFFFFFFFFFFF))
+    least = np.full(len(begin), _U(0xFFFFFFFFFFFFFFFF))
     for i in range(RUN):
-        least = np.minimum(least, h[begin + i])
+        np.minimum(least, h[begin + i], out=least)
     return tk.mix(least)
 
 
-def cut_crowded(data: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray]:
+def cut_crowded(h: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray]:
     """Runs of crowded anchors cut where the next least hash changes, with that in their digit; the others as they are."""
     full = np.isin(digit, crowded)
     if not full.any():
@@ -368,7 +375,7 @@ def cut_crowded(data: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarr
     n = part["n"][full]
     run = np.repeat(np.flatnonzero(full), n)
     inner = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    at, h = begin[run] + inner, gram_hashes(data)
+    at = begin[run] + inner
     next_ = np.full(len(at), _U(0xFFFFFFFFFFFFFFFF))
     for i in range(RUN):
         x = h[at + i]
@@ -383,18 +390,21 @@ def cut_crowded(data: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarr
 
 def raw_blobs(data: np.ndarray, begin: np.ndarray, part: dict, ids: np.ndarray, keys: np.ndarray, bits: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs with their bytes, packed by the bucket of their digit; those that equal a run of a smaller id here ride along as settled."""
-    digit = anchors(data, begin)
-    covered = equal_runs(data, begin, part["n"], digit, ids[part["doc"]])
+    h = gram_hashes(data)
+    digit = anchors(h, begin)
+    covered = equal_runs(data, h, begin, part["n"], digit, ids[part["doc"]])
     yield from ride_along(part, np.flatnonzero(covered), ids, keys, bits)
-    begin, part, digit = cut_crowded(data, begin[~covered], {c: x[~covered] for c, x in part.items()}, digit[~covered], crowded)
+    begin, part, digit = cut_crowded(h, begin[~covered], {c: x[~covered] for c, x in part.items()}, digit[~covered], crowded)
     bucket = (digit >> _U(64 - bits)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.append(edges(bucket[by]), True)) if len(by) else np.zeros(1, np.int64)
-    end = begin + part["n"] + DEPTH - 1
+    length = part["n"][by] + DEPTH - 1
+    ends = np.concatenate(([0], np.cumsum(length)))
+    moved = data[np.arange(ends[-1]) + np.repeat(begin[by] - ends[:-1], length)]
     blobs = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         some = by[a:b]
-        blobs.append(pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS) + b"".join(data[begin[i] : end[i]].tobytes() for i in some))
+        blobs.append(pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS) + moved[ends[a] : ends[b]].tobytes())
     yield sent(bucket[by][edge[:-1]], raw=blobs)
 
 
