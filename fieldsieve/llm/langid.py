@@ -3,11 +3,14 @@
 ``learn`` counts letter n-grams per label over all training rows (summed per Arrow batch before the
 shuffle) and keeps each label's TOP most frequent ones in order. ``predict`` ranks a text's own most
 frequent n-grams and sums, over them, how far each is out of place in a profile (TOP if it is not
-there). Profiles are labels x TOP codes: bounded by the parameters, whatever the corpus.
+there). Profiles are TOP codes for each label: bounded by the labels, whatever the corpus; every label
+is learned. ``far`` tells texts that no profile fits: their distance is farther from the nearest profile
+than nearly all training texts of like length are from their own.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; with no profiles at all
-everything is ``und``; ties between labels go to the first label by code point; whole texts count, in
-pieces of bounded size; other columns ride along.
+(an empty table, or no labels) everything is ``und``; ties between labels go to the first label by code
+point; whole texts count, in pieces of bounded size cut between words; repeated rows count each time;
+other columns ride along, but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from .common import small_batches, table
 TOP = 300
 ORDERS = (1, 2, 3)
 UND = "und"
-MAX_LABELS = 500  # the model's size bound: the labels with most training rows
+SHARE, FLOOR = 0.01, 0.5
 PIECE = 1 << 20  # code points of a text worked on at once
 
 _LETTER: np.ndarray | None = None
@@ -49,8 +52,10 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
         last = at + PIECE >= len(text)
         point = np.where(letters[point], point, 32)
         if not last:  # the last word may go on in the next piece
-            stop = len(point) - int(np.argmax(point[::-1] == 32)) if (point == 32).any() else len(point)
+            stop = len(point) - int(np.argmax(point[::-1] == 32)) if (point == 32).any() else 0
             tail, point = point[stop:], point[:stop]
+            if not len(point):
+                continue
         point = np.concatenate(([32], point, [32])).astype(np.uint64)
         point = point[(point != 32) | np.concatenate(([True], point[1:] != point[:-1]))]
         found = [point[point != 32]]
@@ -83,7 +88,6 @@ def ranked(code: np.ndarray, count: np.ndarray, top: int = TOP) -> np.ndarray:
 def learn(labelled: DataFrame, label: str = "lang", text: str = "text", top: int = TOP) -> dict[str, np.ndarray]:
     """Profile of each label from all rows of labelled that have one."""
     rows = labelled.select(F.col(label).alias("label"), F.col(text).alias("text")).filter("label is not null and text is not null")
-    known = [r.label for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +100,7 @@ def learn(labelled: DataFrame, label: str = "lang", text: str = "text", top: int
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts[0]), pa.string()), pa.array(np.concatenate(parts[1])), pa.array(np.concatenate(parts[2]).astype(np.int64))], names=["label", "code", "n"])
 
-    counted = rows.filter(F.col("label").isin(known)).mapInArrow(count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
     return {r.label: np.array(r.codes, np.uint64) for r in top_codes(counted, top).collect()}
 
 
@@ -143,6 +147,16 @@ def predict(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text",
     return df.select(*keep).mapInArrow(work, schema)
 
 
+def far(scored: DataFrame, label: str = "lang", share: float = SHARE, floor: float = FLOOR) -> DataFrame:
+    """scored (with lang_pred and score) with ``far``: no language is found, or the text is much farther from
+    its profile (its score under ``floor`` times) than all but a ``share`` of the texts that have this label
+    and prediction. Where a prediction was right for no text, nothing is far but ``und``."""
+    right = scored.filter(F.col(label) == F.col("lang_pred")).groupBy(F.col("lang_pred").alias("_label"))
+    least = right.agg(F.percentile(F.round("score", 3), F.lit(share)).alias("_least"))  # of 1001 values at most, exact
+    out = scored.join(F.broadcast(least), F.col("lang_pred") == F.col("_label"), "left")  # a row for each label
+    return out.withColumn("far", (F.col("lang_pred") == UND) | (F.col("score") < F.coalesce(F.col("_least") * floor, F.lit(0.0)))).drop("_label", "_least")
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold kept from training; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -331,12 +331,30 @@ def test_texts_shorter_than_an_item_are_compared_whole(spark):
 
 
 def test_blocks_guarantee_all_fingerprints_within_radius():
-    items = decontaminate.Items([0], [prose(random.Random(3), 20)])
-    (prints, tables), rng = items.tables[20], np.random.default_rng(1)
-    for _ in range(500):
-        flips = rng.choice(64, decontaminate.RADIUS, replace=False)
-        near = prints[:1] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64))
-        assert any(tables[b][near.view(np.uint8)[b], 0] for b in range(decontaminate.BLOCKS))
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 2**63, 200).astype(np.uint64) * np.uint64(2)
+    blocks = decontaminate.Blocks(prints)
+    near = prints.copy()
+    for i in range(len(near)):
+        near[i] ^= np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, decontaminate.RADIUS, replace=False).astype(np.uint64))
+    mine, own, distance = blocks.near(near)
+    assert {(i, i) for i in range(200)} <= set(zip(mine.tolist(), own.tolist(), strict=True))
+    want = np.argwhere(np.bitwise_count(near[:, None] ^ prints) <= decontaminate.RADIUS)
+    assert sorted(zip(mine.tolist(), own.tolist(), strict=True)) == sorted(map(tuple, want.tolist())) and (distance <= decontaminate.RADIUS).all()
+    far = rng.integers(0, 2**63, 500).astype(np.uint64)
+    assert len(blocks.candidates(far)[0]) < 0.1 * len(far) * len(prints)  # the blocks select
+
+
+def test_windows_at_the_threshold_lie_within_the_radius():
+    rng, found, n = np.random.default_rng(5), 0, 400
+    for _ in range(n):
+        size = int(rng.integers(12, 200))
+        item = rng.integers(0, 2**63, size).astype(np.uint64)
+        near, k = item.copy(), int(size / 9)  # as many changed as leave a similarity of 0.8
+        near[rng.choice(size, k, replace=False)] = rng.integers(0, 2**63, k).astype(np.uint64)
+        blocks = decontaminate.Blocks(decontaminate.simhash(decontaminate.signs(tk.mix(item)).sum(axis=0, dtype=np.int64)[None]))
+        found += len(blocks.near(decontaminate.simhash(decontaminate.signs(tk.mix(near)).sum(axis=0, dtype=np.int64)[None]))[0])
+    assert found >= 0.98 * n
 
 
 # 6 chat
@@ -518,6 +536,32 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(docs(spark, fresh), {}).collect()} == {"und"}
 
 
+def test_predictions_equal_a_plain_out_of_place_distance(spark):
+    rng = random.Random(61)
+    rows = [(i, prose(rng, rng.randrange(1, 30)), f"l{i % 7}") for i in range(140)] + [(900, None, "l1"), (901, "x", None)]
+
+    def ranks(texts):
+        n = collections.Counter()
+        for t in texts:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                n.update(w)
+                for k in (2, 3):
+                    framed = f" {w} "
+                    n.update(framed[i : i + k] for i in range(len(framed) - k + 1) if " " not in framed[i + 1 : i + k - 1])
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return sorted(n, key=lambda g: (-n[g], code(g)))[: langid.TOP]
+
+    profiles = {x: {g: i for i, g in enumerate(ranks([t for _, t, y in rows if y == x and t]))} for x in sorted({y for _, t, y in rows if y and t})}
+    learned = langid.learn(docs(spark, rows, "doc_id long, text string, lang string"))
+    assert sorted(learned) == sorted(profiles) and len(learned) == 7
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predict(docs(spark, rows, "doc_id long, text string, lang string"), learned).collect()}
+    for d, t, _ in rows:
+        mine = ranks([t]) if t else []
+        off = {x: sum(abs(p[g] - i) if g in p else langid.TOP for i, g in enumerate(mine)) for x, p in profiles.items()}
+        best = min(off, key=lambda x: (off[x], x))
+        assert got[d] == ((best, round(1 - off[best] / (langid.TOP * len(mine)), 9)) if mine else ("und", 0.0)), (d, t)
+
+
 def test_grams_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     text = prose(random.Random(19), 400)
     whole = dict(zip(*map(list, langid.grams(text)), strict=True))

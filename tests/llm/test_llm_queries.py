@@ -91,10 +91,20 @@ def test_stages_take_clashing_columns_and_empty_tables(spark, tmp_path):
     pq.write_table(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}), tmp_path / "benchmark.parquet")
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for frame in (spark.createDataFrame(rows[:12], schema), spark.createDataFrame([], schema)):
-        wide = frame.withColumns({n: F.lit("own") for n in ("score", "lang_pred", "secrets", "rules", "node", "class_id", "keep")})
+        wide = frame.withColumns({n: F.lit("own") for n in ("score", "lang_pred", "far", "row", "secrets", "_rules", "node", "class_id", "keep", "size", "target", "taken", "_q")})
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, wide, str(tmp_path))
             assert out.columns == wide.columns and {r.score for r in out.select("score").collect()} <= {"own"}
+        mixed = corpus_pipeline.mixture(spark, wide, str(tmp_path))
+        assert mixed.columns == ["doc_id", "source", "size", "source_size", "target", "taken", "copies"] and (mixed.count() > 0) == (frame.count() > 0)
+
+
+def test_texts_far_from_every_profile_go(spark, tmp_path):
+    rng = random.Random(59)
+    make = lambda: " ".join("".join(rng.choice("the and of with er th".split()) for _ in range(rng.randrange(1, 4))) for _ in range(30))
+    rows = [(i, make(), "en") for i in range(100)] + [(200, "жщ" * 60 + " ъэ", None), (201, "qqq xxxj zzkq " * 20, None), (202, "with the", None)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == {*range(100), 202}
 
 
 def test_documents_without_labels_stay(spark, tmp_path):
