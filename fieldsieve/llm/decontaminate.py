@@ -210,8 +210,8 @@ def hits(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Dat
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that hold an item; told apart by text, so repeated or missing ids do no harm."""
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    bad = hits(docs.select(key.alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(docs.columns)
+    bad = hits(docs.select(key.alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("bad")).distinct()
+    return docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(bad, F.col("key") == F.col("bad"), "left_anti").select("row.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

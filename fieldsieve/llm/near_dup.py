@@ -275,16 +275,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class left."""
-    kept = near_classes(docs, threshold).filter("keep").groupBy("doc_id", "text_key").agg(F.count("*").alias("_n")).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    kept = near_classes(docs, threshold).filter("keep").groupBy(F.col("doc_id").alias("doc"), F.col("text_key").alias("key")).agg(F.count("*").alias("n"))
     kept = materialize(kept)
-    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key() == F.col("_key")))
-    out = rows.select(*docs.columns)
-    if kept.filter("_n > 1").isEmpty():
-        return out
+    row = docs.select(F.struct(*docs.columns).alias("row"), text_key().alias("text_key"))
+    rows = row.join(kept.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key")))
+    if kept.filter("n > 1").isEmpty():
+        return rows.select("row.*")
     # identical rows of a class: the first of them; texts without a word are classes of their own and all stay
-    wordless = ~F.coalesce(F.lower("text"), F.lit("")).rlike("[0-9a-z]|[^\\x00-\\x7f]")
-    again = rows.filter((F.col("_n") > 1) & ~wordless)
-    return rows.filter((F.col("_n") == 1) | wordless).select(*docs.columns).unionByName(again.dropDuplicates(["_doc", "_key"]).select(*docs.columns))
+    wordless = ~F.coalesce(F.lower("row.text"), F.lit("")).rlike("[0-9a-z]|[^\\x00-\\x7f]")
+    again = rows.filter((F.col("n") > 1) & ~wordless)
+    return rows.filter((F.col("n") == 1) | wordless).select("row.*").unionByName(again.dropDuplicates(["doc", "key"]).select("row.*"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ left are verified with the rule's expression; rules without mandatory trigrams s
 
 Defined cases: null text is empty; a null doc_id is a document of its own; repeated doc_ids share
 their postings, which only adds candidates, and each row is verified by itself; whole texts are read;
-other columns ride along, and positions are code points.
+other columns ride along, whatever their names; an empty table gives no rows; positions are code points.
 """
 
 from __future__ import annotations
@@ -120,38 +120,41 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.aggregate(pieces, zero, add, lambda s: s["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
-    """docs with ``into``: array of (start, end, kind), by start and then in the order of the rules.
-
-    A column of that name that docs have is replaced.
-    """
+def scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row, secrets): each row of docs as it is, and its spans (start, end, kind), by start and then in the order of the rules."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    found = candidates(docs, tuple(indexed)).withColumnsRenamed({"doc_id": "_doc", "rules": "_rules"})
-    rows = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    text, none = F.coalesce("text", F.lit("")), F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    spans = [F.when(F.array_contains("_rules", r.name), matches(text, r)).otherwise(none) if r in indexed else F.when(F.regexp_like(text, F.lit(r.pattern)), matches(text, r)).otherwise(none) for r in rules]
+    found = candidates(docs, tuple(indexed))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.join(found.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    text, none = F.coalesce("row.text", F.lit("")), F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    spans = [F.when(F.array_contains("rules", r.name), matches(text, r)).otherwise(none) if r in indexed else F.when(F.regexp_like(text, F.lit(r.pattern)), matches(text, r)).otherwise(none) for r in rules]
     rank = {r.name: i for i, r in enumerate(rules)}
     order = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     keyed = F.transform(F.concat(*spans), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.withColumn(into, F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).drop("_rules")
+    return rows.select("row", F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("secrets"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
+    """docs with ``into``: array of (start, end, kind). A column of that name that docs have is replaced."""
+    return scanned(docs, rules).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != into], F.col("secrets").alias(into))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, put: str = "[SECRET]") -> DataFrame:
     """docs with each secret replaced; overlapping spans count as one; n_chars follows the text."""
-    found = scan(docs, rules, "_secrets")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    zero, text = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), F.col("row.text")
 
     def cut(state: Column, span: Column) -> Column:
-        between = F.substr("text", state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        between = F.substr(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
         piece = F.when(span["start"] >= state["at"], F.array(between, F.lit(put))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], piece).alias("out"))
 
-    cleaned = F.aggregate("_secrets", zero, cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substr("text", s["at"] + 1)))
-    text = F.when(F.size("_secrets") > 0, cleaned).otherwise(F.col("text"))
-    out = found.withColumn("_text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_text")).select(docs.columns)
+    cleaned = F.aggregate("secrets", zero, cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)))
+    held = F.size("secrets") > 0
+    found = scanned(docs, rules).withColumn("clean", F.when(held, cleaned).otherwise(text))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("clean")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(held, F.char_length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return found.select(*[c.alias(name) for name, c in own.items()])
 
 
 def joined(spans: Column) -> Column:
