@@ -93,6 +93,55 @@ def apple_time(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds + 978307200)
 
 
+def apple_parts(seconds: Column) -> tuple[Column, Column, Column]:
+    """Text, year and month of a capture time."""
+    at = apple_time(seconds)
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.year(at), F.month(at)
+
+
+def search_text(*cs: Column) -> Column:
+    """The lower-cased document that text terms are looked up in."""
+    return F.lower(F.concat_ws(" ", *[text(c) for c in cs]))
+
+
+def safety_state(flags: Column) -> Column:
+    return F.when(F.size(flags) == 0, "clear-automated").otherwise("hold")
+
+
+def confident_labels(labels: Column, confidences: Column, least: float = 0.05, most: int = 20) -> Column:
+    """The first labels that are sure enough, in order."""
+    pairs = F.arrays_zip(labels.alias("l"), confidences.alias("c"))
+    return F.slice(F.transform(F.filter(pairs, lambda p: p["c"] >= least), lambda p: p["l"]), 1, most)
+
+
+def fitted_size(width: Column, height: Column, longest: int) -> tuple[Column, Column]:
+    """Whole numbers, at least 1, of a picture scaled so that its longer side is ``longest`` at most."""
+    scale = F.least(F.lit(1.0), longest / F.greatest(width, height, F.lit(1)).cast("double"))
+    return F.greatest(F.lit(1), F.floor(width * scale)), F.greatest(F.lit(1), F.floor(height * scale))
+
+
+def preview_name(c: Column, suffix: str = ".jpg") -> Column:
+    return F.concat(F.replace(text(c), F.lit("/"), F.lit("_")), F.lit(suffix))
+
+
+def titled(label: Column, n: Column) -> Column:
+    """A title with a count, thousands set apart."""
+    return F.concat(label, F.lit(" - "), F.format_number(n, 0))
+
+
+def unlisted_tags(tags: Column, allowed: Column) -> Column:
+    """Metadata tags of a preview that are not on the list of those that say nothing of its source."""
+    return F.array_sort(F.array_except(tags, allowed))
+
+
+#: Forms of identifiers in receipts and plans.
+FORMATS = {"sha256": r"^[a-f0-9]{64}$", "proposal": r"^pfp-[a-f0-9]{16}$", "local-id": r"^[^/]+/L0/001$", "kebab": r"^[a-z0-9]+(?:-[a-z0-9]+)*$"}
+
+
+def has_format(c: Column, name: str) -> Column:
+    return F.regexp_like(text(c), F.lit(FORMATS[name]))
+
+
 def has_flag(bits: Column, flag: int) -> Column:
     return bits.bitwiseAND(flag) != 0
 
@@ -170,9 +219,17 @@ def safety_flags(c: Column, labels: Column) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A text as a JSON string; of control characters only those with short escapes are expected."""
-    pairs = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
-    return F.concat(F.lit('"'), reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, text(c)), F.lit('"'))
+    """A text as a JSON string of ASCII: what is not printable ASCII goes as an escape of its UTF-16 units."""
+    pairs = (("\\", "\\\\"), ('"', '\\"'))
+    plain = F.concat(F.lit('"'), reduce(lambda y, p: F.replace(y, F.lit(p[0]), F.lit(p[1])), pairs, text(c)), F.lit('"'))
+    short = {"\\": "005C", '"': "0022", "n": "000A", "r": "000D", "t": "0009", "b": "0008", "f": "000C"}
+    units = F.regexp_extract_all(F.hex(F.encode(text(c), "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+
+    def escaped(u: Column) -> Column:
+        out = reduce(lambda w, kv: w.when(u == kv[1], F.lit("\\" + kv[0])), list(short.items())[1:], F.when(u == short["\\"], F.lit("\\\\")))
+        return out.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+
+    return F.when(F.regexp_like(text(c), F.lit(r"^[\x20-\x7E]*$")), plain).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(units, escaped), ""), F.lit('"')))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

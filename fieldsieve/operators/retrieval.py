@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from ..sources.io import durable
 
 #: What a match in each channel is worth.
 WEIGHTS = {"asset-text": 7, "album-term": 7, "keyword": 6, "label": 4, "place-term": 4, "person": 8, "album": 10, "place": 5, "search": 4}
@@ -65,17 +70,142 @@ def prior_swap(chosen: DataFrame, spare: DataFrame, prior: DataFrame, fraction:
 
     All are (uuid, score). As many are swapped as the fraction asks for and both sides have.
     """
-    chosen = chosen.join(prior.select("uuid", F.lit(True).alias("_prior")), "uuid", "left").withColumn("_prior", F.coalesce("_prior", F.lit(False)))
+    chosen = durable(chosen.join(prior.select("uuid", F.lit(True).alias("_prior")), "uuid", "left").withColumn("_prior", F.coalesce("_prior", F.lit(False))))
     total, outside = chosen.agg(F.count("*"), F.count_if(~F.col("_prior"))).first()
     need = max(0, -int(-total * fraction // 1) - outside)
-    out = chosen.filter("_prior").orderBy("score", "uuid").limit(need)
     new = spare.join(chosen, "uuid", "left_anti").join(prior, "uuid", "left_anti").orderBy(F.desc("score"), "uuid").limit(need)
-    swaps = min(out.count(), new.count())
-    leave = out.orderBy("score", "uuid").limit(swaps)
-    return chosen.join(leave, "uuid", "left_anti").select("uuid", "score").unionByName(new.orderBy(F.desc("score"), "uuid").limit(swaps).select("uuid", "score"))
+    place = Window.orderBy("side_score", "uuid")  # of ``need`` rows at most
+    enter = durable(new.select("uuid", "score", (-F.col("score")).alias("side_score")).withColumn("k", F.row_number().over(place)))
+    leave = chosen.filter("_prior").orderBy("score", "uuid").limit(need).select("uuid", F.col("score").alias("side_score")).withColumn("k", F.row_number().over(place))
+    swaps = durable(leave.select(F.col("uuid").alias("out"), "k").join(enter, "k"))
+    return chosen.join(swaps.select(F.col("out").alias("uuid")), "uuid", "left_anti").select("uuid", "score").unionByName(swaps.select("uuid", "score"))
 
 
 def fallback(people: DataFrame, taken: DataFrame, needed: int) -> DataFrame:
     """The best of those not taken: over-fetch four times what is needed by order, drop the taken, then cut."""
     first = people.orderBy(F.desc("score"), "uuid").limit(4 * needed)
     return first.join(taken, "uuid", "left_anti").orderBy(F.desc("score"), "uuid").limit(needed)
+
+
+def visible(assets: DataFrame) -> DataFrame:
+    """Photos that are neither hidden nor in the trash."""
+    return assets.filter(F.col("is_photo") & ~F.col("hidden") & ~F.col("trashed"))
+
+
+def members(assets: DataFrame, albums: DataFrame, source: str | None = None) -> DataFrame:
+    """Ids of a source: of an album (uuid, title), or of the whole visible library."""
+    return visible(assets).select("uuid") if source is None else albums.filter(F.col("title") == source).select("uuid").distinct()
+
+
+def attention(rows: DataFrame) -> Column:
+    return x.attention_score(x.truthy(F.col("favorite")), x.truthy(F.col("edited")))
+
+
+def view_take(scores: DataFrame, assets: DataFrame, quotas: dict[str, int], multiplier: float, seed: int) -> DataFrame:
+    """(view, uuid, score, rank): of each view the best by score and attention, noise, id; each asset in the first view, in the quotas' order, that takes it."""
+    order = {v: i for i, v in enumerate(quotas)}
+    limits = {v: max(1, math.ceil(q * multiplier)) for v, q in quotas.items()}
+    place = F.create_map(*[F.lit(y) for kv in order.items() for y in kv])
+    limit = F.create_map(*[F.lit(y) for kv in limits.items() for y in kv])
+    noise = x.stable_noise(seed, F.concat("view", F.lit(":"), "uuid"))
+    best = Window.partitionBy("view").orderBy(F.desc(F.col("score") + F.col("attention")), F.desc(noise), F.desc("uuid"))
+    rows = scores.filter(F.col("view").isin(*quotas)).join(assets.select("uuid", attention(assets).alias("attention")), "uuid")
+    most = max(limits.values(), default=1)
+    taken = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).filter(F.col("rank") <= limit[F.col("view")]).withColumn("place", place[F.col("view")])
+    first = Window.partitionBy("uuid").orderBy("place", "rank")
+    return taken.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+
+def availability(scores: DataFrame) -> DataFrame:
+    """How many different assets each view has."""
+    return scores.groupBy("view").agg(F.count_distinct("uuid").alias("available"))
+
+
+def without_titles(titles: Column, excluded: list[str]) -> Column:
+    """An array of titles without those that hold an excluded term; terms count once, whatever their case."""
+    terms = sorted({t.lower() for t in excluded if t.strip()})
+    return F.filter(titles, lambda t: ~reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(term)) for term in terms], F.lit(False)))
+
+
+def check_request(request: dict[str, Any]) -> list[str]:
+    """What is wrong with a retrieval request; empty if it can be used."""
+    views = request.get("views") or []
+    wrong, ids = [] if views else ["at least one view is needed"], [str(v.get("id", "")) for v in views]
+    if "" in ids or len(set(ids)) != len(ids):
+        wrong.append("view ids must be present and unique")
+    if sum(int(v.get("quota", 0)) for v in views) != request.get("target"):
+        wrong.append("view quotas must add up to the target")
+    if float(request.get("candidate_multiplier", 1.75)) < 1:
+        wrong.append("candidate_multiplier must be at least 1")
+    share = float(request.get("minimum_outside_prior_fraction", 0))
+    if not 0 <= share <= 1 or (share and not str(request.get("prior_corpus_album_title") or "").strip()):
+        wrong.append("minimum_outside_prior_fraction must lie in [0, 1] and needs prior_corpus_album_title")
+    if (most := request.get("maximum_candidates_per_view")) is not None and int(most) < max([1, *(math.ceil(int(v.get("quota", 0)) * float(request.get("candidate_multiplier", 1.75))) for v in views)]):
+        wrong.append("maximum_candidates_per_view is smaller than a view's candidates")
+    return wrong
+
+
+#: The lists of a view and the channels that their terms are looked up in.
+CHANNELS = {"terms": ("asset-text", "album-term", "keyword", "label", "place-term"), "people": ("person",), "albums": ("album",), "places": ("place",), "search_terms": ("search",)}
+
+
+def request_terms(request: dict[str, Any]) -> list[tuple[str, str, str]]:
+    """(view, channel, term) for each different term of a request."""
+    return [(str(v["id"]), c, t) for v in request["views"] for name, channels in CHANNELS.items() for t in sorted({str(y).lower() for y in v.get(name, []) if str(y).strip()}) for c in channels]
+
+
+def retrieve(assets: DataFrame, relations: DataFrame, request: dict[str, Any]) -> DataFrame:
+    """Candidates of a request with the views and reasons that found them.
+
+    assets (uuid, is_photo, hidden, trashed, favorite, edited, face_count, year, text, ...); relations
+    (uuid, channel, value) with channels album, person, keyword, label, place, search. Takes of the views
+    come first, then favourites, edits and faces up to the target, then rows from outside the prior
+    corpus come in for the weakest inside it.
+    """
+    if wrong := check_request(request):
+        raise ValueError("; ".join(wrong))
+    spark, seed, multiplier = assets.sparkSession, int(request.get("seed", 0)), float(request.get("candidate_multiplier", 1.75))
+    quotas = {str(v["id"]): int(v.get("quota", 0)) for v in request["views"]}
+    target = max(request["target"], math.ceil(request["target"] * multiplier))
+    seen = visible(assets)
+    twins = {"album": ("album", "album-term"), "place": ("place", "place-term")}  # one relation, looked up by two lists
+    channel = F.when(F.col("channel") == "album", F.array(*map(F.lit, twins["album"]))).when(F.col("channel") == "place", F.array(*map(F.lit, twins["place"]))).otherwise(F.array("channel"))
+    texts = relations.select("uuid", F.explode(channel).alias("channel"), "value").unionByName(seen.select("uuid", F.lit("asset-text").alias("channel"), F.col("text").alias("value")))
+    scores = view_scores(term_matches(spark.createDataFrame(request_terms(request), "view string, channel string, term string"), texts))
+    spans = {str(v["id"]): (v.get("year_start"), v.get("year_end")) for v in request["views"] if v.get("year_start") or v.get("year_end")}
+    scores = year_bonus(scores, assets.select("uuid", "year"), spans) if spans else scores
+    most = int(request.get("maximum_candidates_per_view") or max(12000, *[18 * max(1, math.ceil(q * multiplier)) for q in quotas.values()]))
+    scores = durable(pruned(scores, most, seed).drop("rank"))
+    if not (lost := scores.select("uuid").join(assets.select("uuid"), "uuid", "left_anti")).isEmpty():
+        raise ValueError(f"relations name assets that there are not: {lost.first().uuid}")
+    total = scores.groupBy("uuid").agg(F.max("score").alias("best")).join(assets.select("uuid", attention(assets).alias("attention")), "uuid").select("uuid", (F.col("best") + F.col("attention")).alias("score"))
+    chosen = durable(view_take(scores, assets, quotas, multiplier, seed).orderBy("place", "rank").limit(target).select("uuid"))
+    if (needed := target - chosen.count()) > 0:
+        flags = x.truthy(F.col("favorite")).cast("int") + x.truthy(F.col("edited")).cast("int")
+        more = seen.filter((flags > 0) | (F.col("face_count") > 0)).select("uuid", flags.alias("_flags"), "face_count").orderBy(F.desc("_flags"), F.desc("face_count"), "uuid").limit(4 * needed)
+        more = more.join(chosen, "uuid", "left_anti").orderBy(F.desc("_flags"), F.desc("face_count"), "uuid").limit(needed)
+        chosen = durable(chosen.unionByName(more.select("uuid")))
+    if share := float(request.get("minimum_outside_prior_fraction", 0)):
+        prior = relations.filter((F.col("channel") == "album") & (F.col("value") == request["prior_corpus_album_title"])).select("uuid").distinct()
+        mine = chosen.join(total, "uuid", "left").fillna(0, ["score"])
+        chosen = prior_swap(mine, total, prior, share).select("uuid")
+    return candidate_rows(chosen, assets, relations, scores, request)
+
+
+def candidate_rows(chosen: DataFrame, assets: DataFrame, relations: DataFrame, scores: DataFrame, request: dict[str, Any]) -> DataFrame:
+    """The candidate columns of chosen ids: views best first, reasons, confidence, and what relations say."""
+    by_score = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("view").alias("v"), F.col("reasons").alias("r"))))
+    found = scores.join(chosen, "uuid", "left_semi").groupBy("uuid").agg(by_score.alias("by"))
+    basis = F.flatten(F.transform("by", lambda b: F.transform(b["r"], lambda r: F.concat(b["v"], F.lit(":"), r))))
+    best = F.coalesce(-F.try_element_at("by", F.lit(1))["s"], F.lit(0))
+    found = found.select("uuid", F.array_join(F.transform("by", lambda b: b["v"]), ";").alias("candidate_views"), F.array_join(basis, ";").alias("retrieval_basis"), best.alias("_best"))
+    held = relations.join(chosen, "uuid", "left_semi").groupBy("uuid").agg(*[F.array_sort(F.collect_set(F.when(F.col("channel") == c, F.col("value")))).alias(f"_{c}") for c in ("person", "album", "label", "place")])
+    rows = chosen.join(assets, "uuid").join(found, "uuid", "left").join(held, "uuid", "left")
+    titles = without_titles(F.col("_album"), [*request.get("excluded_album_terms", []), *request.get("derived_album_terms", [])])
+    joined = lambda c: F.coalesce(F.array_join(c, ";"), F.lit(""))
+    made = {
+        "candidate_views": F.coalesce("candidate_views", F.lit("")), "retrieval_basis": F.coalesce("retrieval_basis", F.lit("")), "evidence_confidence": x.confidence_band(F.coalesce("_best", F.lit(0))),
+        "metadata_score": F.format_string("%.2f", F.coalesce("_best", F.lit(0)).cast("double")), "persons": joined(F.col("_person")), "albums": joined(titles), "labels": joined(F.col("_label")),
+        "place": F.substring(joined(F.col("_place")), 1, 500), "safety_status": F.lit("clear"), "safety_reason": F.lit(""), "visible_context": F.lit(""), "local_path": F.lit(""),
+    }
+    return rows.withColumns(made).drop("_best", "_person", "_album", "_label", "_place", "text")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..sources.io import durable
+from .graph import components
 
 SEED = 17
 DUPLICATE_FIELDS, BURST_FIELD = ("perceptual_cluster_id", "duplicate_group", "duplicate_group_id"), "burst_group"
@@ -26,9 +26,10 @@ def is_hold(rows: DataFrame) -> Column:
 
 def scored(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds attention, evidence, noise and score_total (text with six digits)."""
+    seen = F.coalesce(F.nullif(x.strip(has(rows, "visible_observation")), F.lit("")), x.strip(has(rows, "visible_context")))
     out = rows.withColumns({
-        "attention": x.attention_score(x.truthy(F.col("favorite")), x.truthy(F.col("edited"))),
-        "evidence": x.evidence_score(F.lower(x.strip(F.col("evidence_confidence"))), F.col("persons"), F.col("visible_observation"), F.col("observation_source")),
+        "attention": x.attention_score(x.truthy(has(rows, "favorite")), x.truthy(has(rows, "edited"))),
+        "evidence": x.evidence_score(F.lower(x.strip(has(rows, "evidence_confidence"))), has(rows, "persons"), seen, F.lower(x.strip(has(rows, "observation_source")))),
         "noise": x.stable_noise(seed, F.col("uuid")),
     })
     return out.withColumn("score_total", x.six(F.col("attention") + F.col("evidence") + F.col("noise")))
@@ -45,38 +46,47 @@ def relation_edges(rows: DataFrame) -> DataFrame:
 def hold_closure(rows: DataFrame) -> DataFrame:
     """rows with ``held`` (directly or through relations, to the end) and ``automatic`` (through relations only).
 
-    Breadth-first over the bipartite graph: each round only visits the groups that the last one reached.
+    Components of the graph of rows and the groups that they share, then one look at each component.
     """
-    edges = durable(relation_edges(rows))
-    seen, groups = [durable(rows.filter(is_hold(rows)).select("uuid").distinct())], []
-    while not seen[-1].isEmpty():
-        reached = edges.join(seen[-1], "uuid", "left_semi").select("group").distinct()
-        if groups:
-            reached = reached.join(reduce(DataFrame.union, groups), "group", "left_anti")
-        groups.append(durable(reached))
-        new = edges.join(groups[-1], "group", "left_semi").select("uuid").distinct()
-        seen.append(durable(new.join(reduce(DataFrame.union, seen), "uuid", "left_anti")))
-    seen = reduce(DataFrame.union, seen)
-    out = rows.join(seen.withColumn("held", F.lit(True)), "uuid", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    slim = durable(rows.select("uuid", is_hold(rows).alias("hold"), *[F.col(c) for c in (*DUPLICATE_FIELDS, BURST_FIELD) if c in rows.columns]))
+    edges = relation_edges(slim)
+    shared = edges.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").select("group")
+    row = F.concat(F.lit("row:"), "uuid")
+    labels = components(edges.join(shared, "group").select(row.alias("a"), F.col("group").alias("b")))
+    related = slim.select("uuid", "hold").join(labels, row == F.col("node"))
+    caught = related.groupBy("label").agg(F.bool_or("hold").alias("caught")).filter("caught").select("label")
+    seen = related.join(caught, "label").select("uuid").distinct()
+    out = rows.join(seen.withColumn("_caught", F.lit(True)), "uuid", "left")
+    out = out.withColumn("held", is_hold(rows) | F.coalesce("_caught", F.lit(False))).drop("_caught")
     return out.withColumn("automatic", F.col("held") & ~is_hold(rows))
 
 
-def duplicate_representatives(rows: DataFrame, group: str = "duplicate_group") -> DataFrame:
-    """The best row of each duplicate group; rows without a group pass."""
-    edited, favorite = x.truthy(F.col("edited")), x.truthy(F.col("favorite"))
-    best = F.struct((favorite & edited).alias("a"), favorite.alias("b"), edited.alias("c"), F.coalesce(F.col("aesthetic_score").try_cast("double"), F.lit(0.0)).alias("d"), F.col("noise").alias("e"))
+def cluster_rank(rows: DataFrame) -> list[Column]:
+    """What makes one row of a cluster better than another, most important first."""
+    edited, favorite = x.truthy(has(rows, "edited")), x.truthy(has(rows, "favorite"))
+    return [favorite & edited, favorite, edited, F.coalesce(x.text(has(rows, "aesthetic_score")).try_cast("double"), F.lit(0.0)), F.col("noise")]
+
+
+def duplicate_representatives(rows: DataFrame) -> DataFrame:
+    """The best row of each duplicate group; the first of a row's duplicate fields that is filled names it; rows without one pass."""
+    held = [c for c in DUPLICATE_FIELDS if c in rows.columns]
+    if not held:
+        return rows
+    rows = rows.withColumn("_group", x.first_text(*[F.col(c) for c in held]))
+    best = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(cluster_rank(rows))], F.col("uuid").alias("u"))
     # partial aggregation, so a group of any size is reduced before it moves
-    winners = rows.filter(x.strip(F.col(group)) != "").groupBy(group).agg(F.max_by("uuid", F.struct(best.alias("rank"), F.col("uuid").alias("u"))).alias("_best"))
-    joined = rows.join(winners, group, "left")
-    return joined.filter(F.col("_best").isNull() | (F.col("_best") == F.col("uuid"))).select(rows.columns)
+    winners = rows.filter("_group is not null").groupBy("_group").agg(F.max_by("uuid", best).alias("_best"))
+    joined = rows.join(winners, "_group", "left")
+    return joined.filter(F.col("_best").isNull() | (F.col("_best") == F.col("uuid"))).drop("_group", "_best").select([c for c in rows.columns if c != "_group"])
 
 
 def burst_limited(rows: DataFrame, limit: int = 2) -> DataFrame:
     """At most ``limit`` rows of each burst, best first; rows without a burst pass."""
-    edited, favorite = x.truthy(F.col("edited")), x.truthy(F.col("favorite"))
-    order = Window.partitionBy("burst_group").orderBy(F.desc(favorite & edited), F.desc(favorite), F.desc(edited), F.desc(F.coalesce(F.col("aesthetic_score").try_cast("double"), F.lit(0.0))), F.desc("noise"), "uuid")
-    within = rows.filter(x.strip(F.col("burst_group")) != "").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
-    return within.unionByName(rows.filter(x.strip(F.col("burst_group")) == ""))
+    if BURST_FIELD not in rows.columns:
+        return rows
+    order = Window.partitionBy(BURST_FIELD).orderBy(*[F.desc(c) for c in cluster_rank(rows)], "uuid")
+    within = rows.filter(x.strip(F.col(BURST_FIELD)) != "").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+    return within.unionByName(rows.filter(x.strip(F.col(BURST_FIELD)) == ""))
 
 
 def top_of_views(rows: DataFrame, quota: int) -> DataFrame:
@@ -85,14 +95,6 @@ def top_of_views(rows: DataFrame, quota: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= quota)
 
 
-def reason(rows: DataFrame) -> Column:
-    parts = (
-        F.concat(F.lit("evidence "), F.col("evidence_confidence")), F.when(F.col("attention") > 0, "editor attention"),
-        F.when(F.size(x.split_values(F.col("persons"))) > 0, "named people"), F.when(x.strip(F.col("visible_observation")) != "", F.concat(F.lit("observed "), F.col("visible_observation"))),
-    )
-    return F.concat_ws("; ", *parts)
-
-
 def select_simple(rows: DataFrame, quota: int, seed: int = SEED) -> DataFrame:
     """Holds out, one row per duplicate group, scores, and the best of each view."""
     free = scored(rows.filter(~is_hold(rows)), seed)

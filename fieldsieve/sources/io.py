@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import stat
 import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,11 +21,24 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fieldsieve-")  # tests and single machines
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/durable-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete durable tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "kept_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("uuid", "filename")) -> DataFrame:
@@ -41,10 +58,78 @@ def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("
     return rows
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
+def write_manifest(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """As CSV; with ``columns``, those in that order, blank where df has none, and no others."""
+    if columns:
+        df = df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit("")).alias(c) for c in columns])
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def union_manifests(*tables: DataFrame) -> DataFrame:
+    """Rows of all manifests with the union of their columns, in the order they are first seen, blank where one has none."""
+    columns = list(dict.fromkeys(c for t in tables for c in t.columns))
+    out = None
+    for t in tables:
+        rows = t.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in t.columns else F.lit("")).alias(c) for c in columns])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """One row for each key: the first by ``order``, then by its values; reduced before it moves."""
+    values = [c for c in df.columns if c not in key]
+    least = F.min(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*values).alias("_row")))
+    return df.groupBy(*key).agg(least.alias("_least")).select(*key, "_least._row.*").select(df.columns)
+
+
+def read_jsonl_reasons(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """JSON lines as (line, record, reason): every line comes back, with why it cannot be used (not JSON, no key, repeated key)."""
+    parsed = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.from_json("value", parsed, {"mode": "PERMISSIVE"}).alias("record")).filter(F.trim("line") != "")
+    name = F.trim(F.coalesce(F.col(f"record.{key}").cast("string"), F.lit("")))
+    times = rows.groupBy(name.alias("_key")).agg(F.count("*").alias("_n"))
+    met = rows.join(times, name == F.col("_key"), "left")
+    reason = F.when(F.col("record._corrupt_record").isNotNull(), "not valid JSON").when(name == "", f"{key} is blank").when(F.col("_n") > 1, f"{key} repeats")
+    return met.select("line", F.struct(*[F.col(f"record.{f.name}").alias(f.name) for f in schema.fields]).alias("record"), reason.alias("reason"))
+
+
+def read_artifact(spark: SparkSession, path: str) -> DataFrame | None:
+    """A JSON, JSON lines or CSV artifact by its suffix; None where it has none of these or cannot be read."""
+    try:
+        if path.endswith(".csv"):
+            return read_manifest(spark, path, ())
+        if path.endswith((".jsonl", ".json")):
+            rows = spark.read.option("multiLine", path.endswith(".json")).json(path)
+            return None if "_corrupt_record" in rows.columns or rows.isEmpty() else rows
+    except (AnalysisException, ValueError):
+        return None
+    return None
+
+
+def missing_columns(df: DataFrame, wanted: dict[str, list[str]], tables: dict[str, DataFrame] | None = None) -> dict[str, list[str]]:
+    """For each table name the wanted columns that it lacks (all of them, where there is no such table)."""
+    have = {name: t.columns for name, t in (tables or {"": df}).items()}
+    return {name: [c for c in columns if c not in have.get(name, [])] for name, columns in wanted.items()}
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, digest, size) of the files under a path; each is read by the task that has it."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return rows.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.sha2("content", 256).alias("digest"), F.col("length").alias("size"))
+
+
+def read_salt(path: str, least: int = 16) -> bytes:
+    """A private salt: a file of its owner's alone, no link, long enough."""
+    at = os.lstat(path)
+    if stat.S_ISLNK(at.st_mode) or at.st_mode & 0o077:
+        raise ValueError("the salt must be a file that only its owner can read, and no link")
+    with open(path, "rb") as f:
+        salt = f.read().strip()
+    if len(salt) < least:
+        raise ValueError(f"the salt must have at least {least} bytes")
+    return salt
+
+
 def read_unique_jsonl(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
     """JSON lines whose key occurs once; a malformed line or a repeated key fails."""
     whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
@@ -61,30 +146,43 @@ def decoded_meta(value) -> F.Column:
     return F.coalesce(F.to_json(F.try_parse_json(value)), F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))
 
 
+# What a policy, its views and its source must have, and the shares that it may set.
+POLICY_FIELDS = ("seed", "target_count", "unclassified_view", "evaluation_sample_per_view", "source", "views")
+VIEW_FIELDS, SOURCE_FIELDS = ("id", "label", "quota"), ("identifier", "expected_count", "identifier_sha256")
+MODES = ("material", "sparse-hypothesis")
+SHARES = ("minimum_eval_precision", "minimum_eval_coverage", "minimum_view_eval_precision", "maximum_eval_uncertainty", "minimum_named_people_fraction", "minimum_person_free_fraction")
+
+
+def whole(value: Any, least: int) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) and value >= least
+
+
 def check_policy(policy: dict[str, Any]) -> list[str]:
     """What is wrong with a selection policy, as messages; empty if it can be used."""
-    views, wrong = policy.get("views") or [], []
+    wrong = [f"{f} is missing" for f in POLICY_FIELDS if f not in policy]
+    views = policy.get("views")
+    if not isinstance(views, list) or not views:
+        return [*wrong, "views must be a list that is not empty"]
+    wrong += [f"view {i}: {f} is missing" for i, v in enumerate(views) for f in VIEW_FIELDS if f not in v]
     ids = [v.get("id") for v in views]
-    if not views:
-        wrong.append("no views")
     if len(set(ids)) != len(ids) or not all(isinstance(i, str) and i for i in ids):
         wrong.append("view ids must be present and unique")
-    if any(not isinstance(v.get("quota"), int) or isinstance(v.get("quota"), bool) or v["quota"] < 0 for v in views):
+    if not all(whole(v.get("quota"), 0) for v in views):
         wrong.append("quotas must be whole numbers from 0")
     elif policy.get("target_count") != sum(v["quota"] for v in views):
         wrong.append("quotas must add up to target_count")
-    if any(v.get("evaluation_mode", "standard") not in ("standard", "sparse") for v in views):
-        wrong.append("unknown evaluation mode")
-    for name in ("minimum_eval_precision", "minimum_eval_coverage", "minimum_view_eval_precision", "maximum_eval_uncertainty", "minimum_named_people_fraction", "minimum_person_free_fraction"):
-        x = policy.get(name, 0)
-        if isinstance(x, bool) or not isinstance(x, (int, float)) or not 0 <= x <= 1:
-            wrong.append(f"{name} must lie in [0, 1]")
-    if not isinstance(policy.get("burst_limit", 2), int) or policy.get("burst_limit", 2) < 1:
-        wrong.append("burst_limit must be at least 1")
-    if not isinstance(policy.get("evaluation_sample_per_view", 3), int) or policy.get("evaluation_sample_per_view", 3) < 1:
-        wrong.append("evaluation_sample_per_view must be at least 1")
-    if policy.get("unclassified_view") and policy["unclassified_view"] not in ids:
+    wrong += [f"unknown evaluation mode {v['evaluation_mode']}" for v in views if v.get("evaluation_mode", MODES[0]) not in MODES]
+    shares = {f: policy[f] for f in SHARES if f in policy} | {f"view {v.get('id')}: minimum_eval_precision": v["minimum_eval_precision"] for v in views if "minimum_eval_precision" in v}
+    wrong += [f"{f} must lie in [0, 1]" for f, x in shares.items() if isinstance(x, bool) or not isinstance(x, (int, float)) or not 0 <= x <= 1]
+    positive = {"target_count": None, "evaluation_sample_per_view": None, "burst_limit": 2, "minimum_view_eval_sample": 2}
+    wrong += [f"{f} must be a whole number from 1" for f, usual in positive.items() if not whole(policy.get(f, usual), 1)]
+    if policy.get("unclassified_view") not in ids:
         wrong.append("unclassified_view must be a view")
+    source = policy.get("source")
+    if not isinstance(source, dict) or any(f not in source for f in SOURCE_FIELDS):
+        wrong.append(f"source must have {', '.join(SOURCE_FIELDS)}")
+    elif not str(source["identifier"]).strip() or not whole(source["expected_count"], 1) or not re.fullmatch("[a-f0-9]{64}", str(source["identifier_sha256"])):
+        wrong.append("source needs an identifier, a positive expected_count and a lowercase SHA-256")
     return wrong
 
 

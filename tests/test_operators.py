@@ -158,7 +158,15 @@ def test_jsonl_rejects_repeats_and_broken_lines(spark, tmp_path):
         io.read_unique_jsonl(spark, str(tmp_path / "b.jsonl"), schema, "uuid")
 
 
+def policy(**more):
+    views = [{"id": "01", "label": "People", "quota": 2}, {"id": "02", "label": "Tools", "quota": 1, "evaluation_mode": "sparse-hypothesis"}, {"id": "00", "label": "Rest", "quota": 0}]
+    source = {"identifier": "album-1", "expected_count": 30, "identifier_sha256": "0" * 64}
+    return {"seed": 7, "target_count": 3, "unclassified_view": "00", "evaluation_sample_per_view": 3, "source": source, "views": views} | more
+
+
 def test_policy_checks():
-    good = {"target_count": 3, "views": [{"id": "a", "quota": 1}, {"id": "b", "quota": 2}], "unclassified_view": "a"}
-    assert io.check_policy(good) == []
-    assert io.check_policy({**good, "target_count": 4}) and io.check_policy({**good, "burst_limit": 0}) and io.check_policy({**good, "minimum_eval_precision": 2}) and io.check_policy({"views": []})
+    assert io.check_policy(policy()) == []
+    bad = [{"target_count": 4}, {"burst_limit": 0}, {"minimum_eval_precision": 2}, {"views": []}, {"unclassified_view": "09"}, {"minimum_view_eval_sample": 0}, {"source": {"identifier": " ", "expected_count": 1, "identifier_sha256": "x"}}]
+    bad.append({"views": [{"id": "01", "label": "x", "quota": 3, "evaluation_mode": "standard"}], "unclassified_view": "01"})
+    assert all(io.check_policy(policy(**x)) for x in bad)
+    assert [f for f in io.POLICY_FIELDS if not io.check_policy({k: v for k, v in policy().items() if k != f})] == []
