@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Rows of an Arrow batch handed to Python; texts are long, so batches are small.
-BATCH_ROWS = 1000
+from ..sources.io import durable as materialize
+from ..sources.io import release
+from ..sources.proxies import table
 
+__all__ = ["materialize", "release", "shared_dir", "small_batches", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows of an Arrow batch handed to Python; texts are long, so batches are small.
+BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -30,22 +31,3 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="fieldsieve-")
         spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldsieve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
-    return out
-
-
-def release(*tables: DataFrame | None) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "kept_at", None):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -23,9 +23,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import materialize, release
 
 
@@ -39,32 +40,6 @@ def bands_for(threshold: float, recall: float, most: int) -> tuple[int, int]:
     return most, 1
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for each node of edges (a, b): nodes of a component share the label, one of them.
-
-    Each round maps every node to its neighbours' least (by hash, so chains of ascending ids shrink
-    too) and that one's in turn, and contracts the edges: O(log n) rounds expected.
-    """
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels, turn = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))), 0
-    while not (loose := edges.filter("a <> b")).isEmpty():
-        turn += 1
-
-        def rank(c: str, turn: int = turn) -> Column:
-            return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
-
-        both = loose.unionByName(loose.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = materialize(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(rank("a"), F.col("m"))["id"].alias("up")))
-        top = materialize(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select(F.col("a").alias("from"), "top"))
-        moved = loose.join(top.withColumnsRenamed({"from": "a", "top": "ta"}), "a").join(top.withColumnsRenamed({"from": "b", "top": "tb"}), "b")
-        shrunk = materialize(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
-        named = materialize(labels.join(top.withColumnRenamed("from", "label"), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
-        release(edges, labels, up, top)
-        edges, labels = shrunk, named
-    release(edges)
-    return labels
-
-
 #: Rounds of stars before what is left is compared in full.
 ROUNDS = 4
 #: Buckets of more nodes are crowded.

@@ -1,55 +1,41 @@
 """Paragraph dedup: MinHash bands over paragraphs, exact verification, removal by components.
 
-A paragraph is a line. Lines of LONG code points or more are also cut into pieces at sentence ends that
-their own sentence picks (so a passage set into different lines is cut alike). Lines and pieces are
-banded by MinHash of their five-word shingles, colliding ones are verified by exact Jaccard similarity,
-and linked or equal paragraphs form classes.
-
-A passage inside longer paragraphs need not hold a whole piece. So whole texts are also cut into
-overlapping windows between words that their own next words pick: a cut is a word whose three-word hash
-is the least of some NEAR words in a row, and a window goes from a cut to the first cut LEAST or more
-words on. Any 50 words in a row hold a whole window, which is the same wherever these words stand.
-Windows are too short to stand an edit at this similarity and count where they are the same: of an
-edited passage, the windows of each 50 unedited words in a row are found.
+A paragraph is a line. Lines are banded by MinHash of their five-word shingles, colliding ones are
+verified by exact Jaccard similarity, and linked or equal lines form classes.
+
+A passage may also stand inside longer lines, or be set into other lines. So whole texts are also cut
+into windows of WINDOW words, picked by what they hold: of each NEAR windows in a row the one with the
+least hash. Any WINDOW + NEAR - 1 = 49 words in a row hold a picked window, and wherever these words
+stand it is the same one. A window is too short to stand an edit at this similarity, so windows count
+where they are the same; of an edited passage, those of each 49 unedited words in a row are found.
 
 Of each class the first paragraph by (doc_id, start) stays and the others are marked for removal.
-Only paragraphs that are in a class of two or more come out. Defined cases: paragraphs of fewer than
-LEAST words, the length of a shingle, are never marked; null texts have none; texts of any length count
-whole; a repeated row (same doc_id and text) has the same paragraphs at the same places, which count as
-one and are not removed on each other's account; positions are code points; classes need no document
-order; an empty table gives no rows; columns other than doc_id and text are not looked at.
+Only paragraphs and windows that are in a class of two or more come out. Defined cases: lines of fewer
+than LEAST words, the length of a shingle, are never marked; null texts have none; texts of any length
+count whole; a repeated row (same doc_id and text) has the same paragraphs at the same places, which
+count as one and are not removed on each other's account; positions are code points; classes need no
+document order; an empty table gives no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import materialize, small_batches, table
+from .common import materialize, release, small_batches, table
 from .lsh import bands_for, links
 from .near_dup import band_keys, binary16, long_lists, text_key
 
 THRESHOLD, RECALL, HASHES = 0.8, 0.98, 8
-LEAST, LONG, PICK = 5, 80, 3
-NEAR = 22  # a cut in the first NEAR words, LEAST words, a cut in the next NEAR and its two words: 50 at most
-SENTENCE = re.compile(r"[.!?]+[\"')\]]*\s+")
-
-
-def spans(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, is a window) of the lines of a text, of the pieces of its long ones and of its windows."""
-    own = lines_and_pieces(text)
-    out = [(a, b, False) for a, b in own]
-    own = set(own)
-    _, start, end, *_ = windows(pa.array([text], pa.large_string()))
-    return out + [(a, b, True) for a, b in zip(start.tolist(), end.tolist(), strict=True) if (a, b) not in own]
+LEAST = 5
+WINDOW, NEAR = 20, 30
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def slide(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -61,30 +47,6 @@ def slide(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return best(x[: max(0, len(x) - width + k)], x[width - k :]) if width > k else x
 
 
-def windows(texts: pa.Array, near: int = NEAR, least: int = LEAST) -> tuple[np.ndarray, ...]:
-    """Text, start, end, number of words and two digests of each text's windows, in code points."""
-    h, bounds, starts, ends = tk.words(texts)
-    data, offsets = tk.utf8(pc.utf8_lower(texts))
-    owner, place = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.arange(len(h))
-    if len(h) < near + 2:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
-    three = np.maximum(tk.mix(h[:-2] * tk.stream(51, 1) + h[1:-1] * tk.stream(52, 1) + h[2:] * tk.stream(53, 1)), np.uint64(1))
-    low = slide(np.minimum, three, near)
-    low[owner[: len(low)] != owner[near + 1 :]] = 0  # rows of words that run over a text's end
-    # of the rows that hold a word, one has it as its least exactly if the greatest of their least is it
-    around = np.concatenate((np.zeros(near - 1, np.uint64), low, np.zeros(near - 1, np.uint64)))
-    cuts = np.flatnonzero(slide(np.maximum, around, near) == three)
-    to = np.searchsorted(cuts, cuts + least)
-    cut, last = cuts[to < len(cuts)], cuts[to[to < len(cuts)]]
-    same = owner[cut] == owner[last]
-    cut, last = cut[same], last[same]
-    point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    first = point[offsets[owner[cut]]]
-    member, held = members(cut, last)
-    return owner[cut], point[starts[cut]] - first, point[ends[last - 1]] - first, last - cut, *tk.digest128(h[member], held)
-
-
 def members(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of all ranges end to end, and where each range begins (with the end)."""
     n = end - begin
@@ -92,22 +54,40 @@ def members(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(held[-1]) + np.repeat(begin - held[:-1], n), held
 
 
-def lines_and_pieces(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines of a text and of the pieces of its long ones."""
+def picked(h: np.ndarray, bounds: np.ndarray, size: int = WINDOW, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of the picked windows, and the windows' hashes."""
+    if len(h) < size + near - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    power, inverse = (np.cumprod(np.full(len(h), x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tk.mix(h) * power)))
+    gram = np.maximum(tk.mix((sums[size:] - sums[:-size]) * inverse[: len(h) - size + 1]), np.uint64(1))
+    low = slide(np.minimum, gram, near)
+    low[owner[: len(low)] != owner[size + near - 2 :]] = 0  # windows that run over a text's end
+    # of the rows that hold a window, one has it as its least exactly if the greatest of their least is it
+    around = np.concatenate((np.zeros(near - 1, np.uint64), low, np.zeros(near - 1, np.uint64)))
+    at = np.flatnonzero(slide(np.maximum, around, near) == gram)
+    return at, gram[at]
+
+
+def windows(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Text, start and end in code points, and two hashes of each text's picked windows."""
+    h, bounds, starts, ends = tk.words(texts)
+    at, one = picked(h, bounds)
+    data, offsets = tk.utf8(pc.utf8_lower(texts))
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    first = point[offsets[owner]]
+    two, _ = tk.digest128(h[(at[:, None] + np.arange(WINDOW)).ravel()], np.arange(len(at) + 1) * WINDOW)
+    return owner, point[starts[at]] - first, point[ends[at + WINDOW - 1]] - first, one, two
+
+
+def lines(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines of a text."""
     out, at = [], 0
     for line in text.split("\n"):
-        end = at + len(line)
-        out.append((at, end))
-        if len(line) >= LONG:
-            start = last = at
-            for found in SENTENCE.finditer(text, at, end):
-                if zlib.crc32(text[last : found.end()].strip().encode("utf-8", "surrogatepass")) % PICK == 0:
-                    out.append((start, found.end()))
-                    start = found.end()
-                last = found.end()
-            if at < start < end:
-                out.append((start, end))
-        at = end + 1
+        out.append((at, at + len(line)))
+        at += len(line) + 1
     return out
 
 
@@ -123,14 +103,14 @@ def minhash(s: np.ndarray, at: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int, least: int = LEAST) -> DataFrame:
-    """(doc_id, text_key, start, end, n_words, n_shingles, node, keys) for each line and piece."""
+    """(doc_id, text_key, start, end, n_words, n_shingles, node, keys) for each line."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units, texts = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if text:
-                    for start, end in lines_and_pieces(text):
+                    for start, end in lines(text):
                         if end - start >= 2 * least - 1:  # else it can't have so many words
                             units.append((i, start, end))
                             texts.append(text[start:end])
@@ -138,42 +118,49 @@ def paragraphs(docs: DataFrame, bands: int, rows: int, least: int = LEAST) -> Da
                 continue
             h, bounds, _, _ = tk.words(pa.array(texts, pa.large_string()))
             n = np.diff(bounds)
-            row, start, end = (np.array(x) for x in zip(*units, strict=True))
-            keep = n >= least
-            node = binary16(*tk.digest128(h, bounds))
-            some = np.flatnonzero(keep)
-            line_keys, sizes = np.zeros((len(units), bands), np.int64), np.zeros(len(units), np.int32)
-            if len(some):
-                member, held = members(bounds[some], bounds[some + 1])
-                s, at, _ = tk.distinct(*tk.shingles(h[member], held))
-                sizes[some] = np.diff(at)
-                line_keys[some] = band_keys(minhash(s, at, bands * rows), bands, rows)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sizes), node, long_lists(line_keys, keep)],
+            keep = np.flatnonzero(n >= least)
+            if not len(keep):
+                continue
+            row, start, end = (np.array(x)[keep] for x in zip(*units, strict=True))
+            member, held = members(bounds[keep], bounds[keep + 1])
+            s, at, _ = tk.distinct(*tk.shingles(h[member], held))
+            keys = band_keys(minhash(s, at, bands * rows), bands, rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (start, end, n[keep], np.diff(at))], binary16(*tk.digest128(h[member], held)), long_lists(keys, np.ones(len(keep), bool))],
                 names=["doc_id", "text_key", "start", "end", "n_words", "n_shingles", "node", "keys"],
             )
-            yield out.filter(pa.array(keep))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, start int, end int, n_words int, n_shingles int, node binary, keys array<long>")
 
 
-def window_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, n_words, node) for each window that is no line or piece."""
+def place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"), F.col("end"))
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, top) for each picked window that stands in two places or more; top is the first of these."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, bounds, _, _ = tk.words(batch.column("text").cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays([pa.array(picked(h, bounds)[1].view(np.int64))], names=["one"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, end, n, one, two = windows(batch.column("text").cast(pa.large_string()))
-            own = [set(lines_and_pieces(t)) if t else () for t in batch.column("text").to_pylist()]
-            keep = np.array([(a, b) not in own[i] for i, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)], bool)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (start, end, n)], binary16(one, two)],
-                names=["doc_id", "text_key", "start", "end", "n_words", "node"],
+            row, start, end, one, two = windows(batch.column("text").cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                names=["doc_id", "text_key", "start", "end", "one", "two"],
             )
-            yield out.filter(pa.array(keep))
 
+    # the hashes first, so that only windows that stand elsewhere too are moved with their places
+    seen = docs.select("text").mapInArrow(hashes, "one long").groupBy("one").agg(F.count("*").alias("n")).filter("n > 1").select("one")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, start int, end int, n_words int, node binary")
+    rows = docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, start int, end int, one long, two long")
+    rows = materialize(rows.join(seen, "one", "left_semi"))
+    tops = rows.groupBy("one", "two").agg(F.min(place()).alias("top"), (F.min(place()) != F.max(place())).alias("many")).filter("many").select("one", "two", "top")
+    return rows.join(tops, ["one", "two"]).select("doc_id", "text_key", "start", "end", "top")
 
 
 def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
@@ -226,23 +213,22 @@ def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
 
 
 def repeated(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id, first_start, removed) for each paragraph in a class of two or more."""
+    """(doc_id, start, end, n_words, window, first_doc_id, first_start, removed) for each line or window in a class of two or more."""
     bands, rows = bands_for(threshold, recall, hashes)
-    found, wins = materialize(paragraphs(docs, bands, rows)), window_rows(docs)
-    # of the windows, those that stand somewhere else too, as a window, line or piece: by a hash of the node first, so little is moved
-    short = F.xxhash64("node").alias("short")
-    seen = wins.select(short).unionByName(found.select(short)).groupBy("short").agg(F.count("*").alias("_n")).filter("_n > 1").select("short")
-    wins = wins.withColumn("short", short).join(seen, "short", "left_semi").drop("short")
-    found = found.unionByName(materialize(wins.withColumns({"n_shingles": F.lit(0), "keys": F.array().cast("array<long>")})))
+    found = materialize(paragraphs(docs, bands, rows))
     # a node's first place; `many` where some other place has it too
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("start"), F.col("end"))
-    nodes = found.groupBy("node").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("many"), F.max("n_shingles").cast("double").alias("size"), F.max(F.col("keys")).alias("keys"))
-    nodes = materialize(nodes.filter("many or size(keys) > 0"))
-    labels = links(nodes.filter("size(keys) > 0").select("node", "size", "keys"), threshold, *comparer(docs, nodes.select("node", "first"), threshold))
+    nodes = found.groupBy("node").agg(F.min(place()).alias("first"), (F.min(place()) != F.max(place())).alias("many"), F.first("n_shingles").cast("double").alias("size"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes)
+    labels = links(nodes.select("node", "size", "keys"), threshold, *comparer(docs, nodes.select("node", "first"), threshold))
     classed = materialize(nodes.join(labels, "node", "left").filter("many or label is not null").select("node", "first", F.coalesce("label", "node").alias("label")))
+    release(nodes, labels)
     tops = classed.groupBy("label").agg(F.min("first").alias("top"))
     classes = materialize(classed.join(tops, "label").select("node", "top"))
-    return found.drop("keys", "n_shingles").join(classes, "node").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), F.col("top.doc_id").alias("first_doc_id"), F.col("top.start").cast("long").alias("first_start"), (place != F.col("top")).alias("removed"))
+    release(classed)
+    out = found.join(classes, "node").select("doc_id", "text_key", "start", "end", "n_words", F.lit(False).alias("window"), "top")
+    out = out.unionByName(repeated_windows(docs).select("doc_id", "text_key", "start", "end", F.lit(WINDOW).alias("n_words"), F.lit(True).alias("window"), "top"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("start", "end", "n_words")]
+    return out.select("doc_id", *whole, "window", F.col("top.doc_id").alias("first_doc_id"), F.col("top.start").cast("long").alias("first_start"), (place() != F.col("top")).alias("removed"))
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

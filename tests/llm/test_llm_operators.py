@@ -454,38 +454,62 @@ def test_bands_reach_recall():
         assert bands * rows <= most and 1 - (1 - threshold**rows) ** bands >= recall
 
 
+def plain_windows(text):
+    """(start, end, words) of the picked windows: of each NEAR in a row, the one of least hash."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())]
+    h, bounds, _, _ = tk.words(pa.array([" ".join(w for *_, w in words)]))
+    n, out = len(words) - paragraphs.WINDOW + 1, set()
+    hashes = {}
+    for i in range(n):
+        part = h[i : i + paragraphs.WINDOW]
+        total = sum(int(x) * pow(paragraphs._BASE, j + 1, 1 << 64) for j, x in enumerate(tk.mix(part))) % (1 << 64)
+        hashes[i] = int(tk.mix(np.array([total * pow(paragraphs._BASE, -1, 1 << 64) % (1 << 64)], np.uint64))[0])
+    for i in range(n - paragraphs.NEAR + 1):
+        out.add(min(range(i, i + paragraphs.NEAR), key=lambda j: hashes[j]))
+    return [(words[i][0], words[i + paragraphs.WINDOW - 1][1], tuple(w for *_, w in words[i : i + paragraphs.WINDOW])) for i in sorted(out)]
+
+
 def test_paragraphs_equal_brute_force(spark):
     rng = random.Random(13)
     pool = [t for _, t in variants(rng, 25, 30)]
     rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else prose(rng, rng.randrange(1, 40)) for _ in range(4))) for i in range(60)]
-    passage = " ".join(prose(rng, rng.randrange(10, 14)).capitalize() + "." for _ in range(12))
-    rows += [(200, prose(rng, 30) + ". " + passage + " " + prose(rng, 20)), (201, prose(rng, 9) + ". " + passage + " " + prose(rng, 50)), (202, None), (203, "")]
-    units = [(d, a, b, p, words_of(t[a:b])) for d, t in rows if t for a, b, p in paragraphs.spans(t)]
+    passage = prose(rng, 60)
+    rows += [(200, prose(rng, 30) + ". " + passage + " " + prose(rng, 20)), (201, prose(rng, 9) + ". É " + passage + " " + prose(rng, 50)), (202, None), (203, ""), (200, rows[0][1]), (5, rows[5][1])]
+    units = [(d, a, b, False, words_of(t[a:b])) for d, t in rows if t for a, b in paragraphs.lines(t)]
     units = [u for u in units if len(u[4]) >= paragraphs.LEAST]
     sets = [{tuple(u[4][i : i + 5]) for i in range(len(u[4]) - 4)} for u in units]
-    links = [(i, j) for i, j in itertools.combinations(range(len(units)), 2) if units[i][4] == units[j][4] or not units[i][3] and not units[j][3] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links = [(i, j) for i, j in itertools.combinations(range(len(units)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    base = len(units)
+    units += [(d, a, b, True, w) for d, t in rows for a, b, w in plain_windows(t)]
+    links += [(i, j) for i, j in itertools.combinations(range(base, len(units)), 2) if units[i][4] == units[j][4]]
     classes = collections.defaultdict(list)
     for u, top in zip(units, union(len(units), links), strict=True):
-        classes[top].append(u[:3])
-    want = {(*u, u != min(c)) for c in classes.values() if len(set(c)) > 1 for u in c}
-    got = {(r.doc_id, r.start, r.end, r.removed) for r in paragraphs.repeated(docs(spark, rows), recall=0.9999, hashes=40).collect()}
-    assert got == want and any(d == 201 for d, *_ in got)
+        classes[top].append(u[:4])
+    want = collections.Counter((*u, u[:3] != min(c)[:3]) for c in classes.values() if len(set(c)) > 1 for u in c)
+    got = collections.Counter((r.doc_id, r.start, r.end, r.window, r.removed) for r in paragraphs.repeated(docs(spark, rows), recall=0.9999, hashes=40).collect())
+    assert got == want and any(d == 201 for d, *_ in got) and any(w for *_, w, _ in got)
 
 
-def test_passages_without_cuts_of_their_own_are_found(spark):
+def test_passages_and_near_lines_are_found_at_the_shipped_parameters(spark):
     rng = random.Random(29)
-    rows, want = [], []
+    rows, want, near = [], [], 0
     for i in range(40):
         plain = prose(rng, 50) if i % 2 else ". ".join(prose(rng, 25) for _ in range(2))
         for j in range(2):
             before = prose(rng, rng.randrange(5, 60)) + " "
             rows.append((2 * i + j, before + plain + " é " + prose(rng, rng.randrange(5, 60))))
             want.append((2 * i + j, len(before), len(before) + len(plain)))
+    for i in range(100):  # lines of one changed word: 56 of 66 shingles or more in common
+        line = prose(rng, 65).split()
+        rows += [(1000 + 2 * i, " ".join(line)), (1001 + 2 * i, " ".join([*line[:-30], "changed", *line[-29:]]))]
+    rows += [(2000 + i, prose(rng, 70)) for i in range(100)]  # shares nothing
     got = collections.defaultdict(list)
     for r in paragraphs.repeated(docs(spark, rows)).collect():
-        got[r.doc_id].append((r.start, r.end, r.removed))
+        got[r.doc_id].append((r.start, r.end, r.window, r.removed))
     for d, a, b in want:
-        assert any(a <= start and end <= b and removed == bool(d % 2) for start, end, removed in got[d])
+        assert any(a <= start and end <= b and removed == bool(d % 2) for start, end, _, removed in got[d])
+    near = sum(any(not window and removed for *_, window, removed in got[1001 + 2 * i]) for i in range(100))
+    assert near >= 95 and not any(got[2000 + i] for i in range(100))
 
 
 # 9 secrets
