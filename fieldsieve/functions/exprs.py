@@ -229,7 +229,7 @@ def json_string(c: Column) -> Column:
         out = reduce(lambda w, kv: w.when(u == kv[1], F.lit("\\" + kv[0])), list(short.items())[1:], F.when(u == short["\\"], F.lit("\\\\")))
         return out.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
 
-    return F.when(F.regexp_like(text(c), F.lit(r"^[\x20-\x7E]*$")), plain).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(units, escaped), ""), F.lit('"')))
+    return F.when(F.regexp_like(text(c), F.lit(r"^[\x20-\x7E]*\z")), plain).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(units, escaped), ""), F.lit('"')))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

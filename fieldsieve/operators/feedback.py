@@ -75,7 +75,7 @@ def review_records(rows: DataFrame, previews: DataFrame) -> tuple[DataFrame, Dat
     met = rows.join(own, id_ == F.col("_o")).join(index.dropDuplicates(["_id"]), id_ == F.col("_id"), "left").join(twice, id_ == F.col("_i"), "left")
     met = met.withColumn("errors", x.reasons(
         ((id_ == "") | F.col("_again"), "ids must be unique and not blank"), (F.col("_id").isNull(), "no preview"), (F.coalesce("_twice", F.lit(False)), "preview ids repeat"),
-        (F.lower(x.strip(field(rows, "safety_status"))).isin(*x.BLOCKED_STATES), "blocked safety state"), (F.lower(x.strip(F.col("_decode_status"))) != "ok", "preview does not decode"),
+        (F.lower(x.strip(field(rows, "safety_status"))).isin(*x.BLOCKED_STATES), "blocked safety state"), (F.col("_id").isNotNull() & (F.lower(x.strip(F.col("_decode_status"))) != "ok"), "preview does not decode"),
         (~F.coalesce(F.startswith("_preview_path", F.lit("/")), F.lit(True)), "preview path is not absolute"), (F.coalesce(F.col("_preview_sha256") != F.col("_found_sha256"), F.col("_id").isNotNull()), "preview digest differs"),
     ))
     errors = met.filter(F.size("errors") > 0).select("uuid", "errors")
