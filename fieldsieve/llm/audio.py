@@ -6,9 +6,10 @@ stream whose ``logmel`` column is a fixed-shape tensor [PATCH, MELS] with its ti
 spans of the loud segments. Rows are independent: no shuffle, and a lost executor only repeats its
 own partitions.
 
-Defined cases: null or empty bytes are stored as 64 zero samples; extra columns ride along in
-``store_wav`` and are kept by ``audio_features``; equal payloads give equal features; long payloads
-are worked off in blocks of BLOCK frames, so memory follows the tensor, not the transforms.
+Defined cases: null or empty bytes are stored as 64 zero samples; extra columns ride along, whatever
+their names, but for n_bytes, media and the columns that ``audio_features`` adds, which are replaced;
+repeated rows and equal payloads give equal features; long payloads are worked off in blocks of BLOCK
+frames, so memory follows the tensor, not the transforms; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches, table
 
-RATE, UP, DOWN = 16000, 1, 2  # stored rate and the resampling ratio
+RATE, UP, DOWN = 16000, 2, 3  # stored rate and the resampling ratio
 WINDOW, HOP, MELS, PATCH = 256, 128, 16, 32
 TAPS = 16  # of the resampling filter, for each phase
 BLOCK = 8192  # frames worked on at once
@@ -33,7 +34,6 @@ UNIT = 64  # payloads are padded to a multiple of this
 LOUD_DB, QUIET_DB = 0.6, 0.1  # thresholds over the median: a segment opens at the first and closes under the second
 
 
-
 def _bytes_le(value: Column, size: int) -> Column:
     """Little-endian bytes of an integer column, as hex digit pairs taken from the right."""
     digits = F.lpad(F.hex(value), 16, "0")
@@ -46,16 +46,12 @@ def store_wav(df: DataFrame, data: Column, unit: int = UNIT) -> DataFrame:
     n = F.octet_length(data).cast("long")
     padded = F.greatest(F.lit(unit), (n + (unit - 1)) - F.pmod(n + (unit - 1), F.lit(unit)))
     header = F.concat(
-        F.lit(b"RIFF"), _bytes_le(F.col("_padded") + 36, 4), F.lit(b"WAVEfmt "),
+        F.lit(b"RIFF"), _bytes_le(padded + 36, 4), F.lit(b"WAVEfmt "),
         F.lit((16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + RATE.to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (8).to_bytes(2, "little")),
-        F.lit(b"data"), _bytes_le(F.col("_padded"), 4),
+        F.lit(b"data"), _bytes_le(padded, 4),
     )
-    zeros = F.substring(F.lit(bytes(unit)), F.lit(1), (F.col("_padded") - F.col("n_bytes")).cast("int"))
-    return (
-        df.withColumns({"n_bytes": n, "_padded": padded, "_data": data})
-        .withColumn("media", F.concat(header, F.col("_data"), zeros))
-        .drop("_padded", "_data")
-    )
+    zeros = F.substring(F.lit(bytes(unit)), F.lit(1), (padded - n).cast("int"))
+    return df.withColumns({"n_bytes": n, "media": F.concat(header, data, zeros)})
 
 
 def payload_of(wav: bytes) -> np.ndarray:

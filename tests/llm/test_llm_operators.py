@@ -75,6 +75,41 @@ def test_resampling_matches_direct_filter_in_any_block():
         assert np.allclose(whole, want, atol=1e-2) and np.allclose(whole, parts, atol=1e-3)
 
 
+def test_log_mel_energy_and_patches_equal_a_plain_version(monkeypatch):
+    monkeypatch.setattr(audio, "BLOCK", 7)
+    rng, h, rate = np.random.default_rng(4), audio.sinc_filter(audio.UP, audio.DOWN), audio.RATE * audio.UP / audio.DOWN
+    bank = audio.mel_filterbank(rate)
+    assert bank.shape == (129, audio.MELS) and (bank.max(axis=0) > 0).all() and (np.diff(bank.argmax(axis=0)) >= 0).all()
+    for size in (64, 640, 6400):
+        samples = rng.integers(0, 256, size).astype(np.uint8)
+        wide = np.zeros(size * audio.UP)
+        wide[:: audio.UP] = samples.astype(float) - 128
+        total = -(-size * audio.UP // audio.DOWN)
+        x = np.convolve(wide, h)[:: audio.DOWN][:total]
+        frames = max(1, -(-total // audio.HOP))
+        x = np.concatenate([x, np.zeros(frames * audio.HOP + audio.WINDOW - len(x))])
+        k = np.arange(audio.WINDOW)
+        taper, turn = 0.5 - 0.5 * np.cos(2 * np.pi * k / audio.WINDOW), np.exp(-2j * np.pi * np.outer(np.arange(audio.WINDOW // 2 + 1), k) / audio.WINDOW)
+        mel, energy = audio.log_mel(samples, h, bank)
+        assert mel.shape == (frames, audio.MELS)
+        for i in range(frames):
+            frame = x[i * audio.HOP : i * audio.HOP + audio.WINDOW] * taper
+            assert energy[i] == pytest.approx(10 * np.log10((frame**2).mean() + 1e-6), abs=1e-2)
+            assert np.allclose(mel[i], np.log((np.abs(turn @ frame) ** 2) @ bank + 1e-3), atol=1e-2)
+        tensors = audio.read_tensors(audio.tensor_stream(mel))
+        patches = np.concatenate([np.array(p.as_py()).reshape(-1, audio.MELS) for p in tensors["logmel"].combine_chunks().storage])
+        assert np.array_equal(patches[:frames].astype(np.float32), mel) and not patches[frames:].any()
+        second = audio.HOP / rate
+        assert np.allclose(tensors["start_s"], np.arange(tensors.num_rows) * audio.PATCH * second) and tensors["end_s"][-1].as_py() == pytest.approx(frames * second)
+
+
+def test_audio_of_clashing_and_empty_tables(spark):
+    wide = spark.createDataFrame([(1, "abc", "own", "own", "own")], "doc_id long, text string, media string, _padded string, n_frames string")
+    for frame in (wide, wide.limit(0)):
+        out = audio.audio_features(audio.store_wav(frame, F.col("text").cast("binary")))
+        assert {r._padded for r in out.collect()} <= {"own"} and out.count() == frame.count()
+
+
 def test_hysteresis_keeps_runs_that_reach_the_upper_threshold():
     energy = np.array([0, 0, 0.2, 0.7, 0.2, 0, 0.3, 0.3, 0, 0, 0], float)
     assert audio.hysteresis(energy).tolist() == [[2, 5]]
@@ -512,6 +547,27 @@ def test_passages_and_near_lines_are_found_at_the_shipped_parameters(spark):
     assert near >= 95 and not any(got[2000 + i] for i in range(100))
 
 
+# long texts and empty tables
+
+
+def test_long_texts_and_empty_tables(spark):
+    rng = random.Random(67)
+    long = prose(rng, 60_000)
+    rows = [(1, long), (2, long[:200_000] + " token=abcdef99 " + long[200_000:]), (3, "short words only here")]
+    frame, none = docs(spark, rows), docs(spark, [])
+    gone = {r.doc_id: r.n_removed for r in suffixes.dedup(frame).collect()}
+    assert gone[1] == gone[3] == 0 and gone[2] == len(long.encode())
+    assert {r.class_id for r in near_dup.near_classes(frame).collect()} == {1, 3} and near_dup.near_classes(none).count() == 0
+    assert {r.doc_id for r in paragraphs.repeated(frame).collect()} == {1, 2} and paragraphs.repeated(none).count() == 0
+    items = docs(spark, [(7, long[1000:1600])], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.hits(frame, items).collect()} == {1, 2} and decontaminate.hits(none, items).count() == decontaminate.hits(frame, items.limit(0)).count() == 0
+    assert [len(r.secrets) for r in secrets.scan(frame).orderBy("doc_id").collect()] == [0, 1, 0] and secrets.scan(none).count() == 0
+    page = f"<article><p>{long}</p></article>"
+    assert html_diff.extract(docs(spark, [(1, "http://a/b", page)], "page_id long, url string, html string")).first().text == long
+    empty = docs(spark, [], "conv_id long, turn long, role string, text string")
+    assert chat.thread(empty).count() == 0
+
+
 # 9 secrets
 
 
