@@ -44,7 +44,7 @@ from .near_dup import text_key
 DEPTH, GRAM = 50, 16
 RUN = DEPTH - GRAM + 1  # the most suffixes of a run, so that its first and last string cover it
 BUFFER, MOST_DOCS = 3_000_000, 60_000  # records and documents of a task buffer
-CROWD, CROWDS = 20_000, 1 << 16  # an anchor is crowded from so many runs, and at least 1/CROWDS of all runs, on
+CROWD, CROWDS = 4_000, 1 << 16  # an anchor is crowded from so many runs, and at least 1/CROWDS of all runs, on
 SAME = 16  # places of an anchor in documents of one id that a task buffer sends
 NO_ID = (1 << 63) - 1
 _U = np.uint64
@@ -424,7 +424,7 @@ def removed_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataF
     covered strings, each span the start of the first string and their number."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (2 * n - 1).bit_length())
+    bits = max(6, (8 * n - 1).bit_length())  # several buckets for each partition, so that partitions come out alike
 
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return batch.column("doc").to_numpy(), batch.column("key").to_numpy()

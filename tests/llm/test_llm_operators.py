@@ -396,13 +396,13 @@ def test_windows_at_the_threshold_lie_within_the_radius():
 
 
 def test_chat_round_trip_and_mask(spark):
-    rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a\\e<b>[c]"), (1, 1, "assistant", "again"), (1, 2, None, None), (2, None, "assistant", ""), (None, 5, "user", "x")]
+    rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a\\e<b>[c]"), (1, 1, "assistant", "again"), (1, 2, None, None), (2, None, "assistant", ""), (None, 5, "user", "x"), (None, 6, "assistant", "y")]
     turns = chat.thread(docs(spark, rows, "conv_id long, turn long, role string, text string"))
     paths = chat.reply_paths(turns.select("id", "parent", F.lit(1.0).alias("score"))).join(turns.select("id", "role", "text"), "id")
     out = chat.format_paths(paths.select(F.col("root.conv_id").alias("path"), "step", "role", "text"))
     got = {r.path: r for r in out.select("*", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
     assert [tuple(t) for t in got[1].turns] == [("user", "</s>[INST] ok [/INST]"), ("assistant", "a\\e<b>[c]"), ("assistant", "again"), ("", "")]
-    assert got[1].loss == "a\\e<b>[c]again" and got[2].loss == "" and got[None].n_turns == 1
+    assert got[1].loss == "a\\e<b>[c]again" and got[2].loss == "" and got[None].n_turns == 2 and got[None].loss == "y"
 
 
 def test_reply_trees_choose_the_best_branch(spark):
@@ -450,9 +450,10 @@ def variants(rng, count, words):
     return out
 
 
-@pytest.mark.parametrize("crowd", [lsh.CROWD, 2])
-def test_near_classes_equal_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "rounds"), [(lsh.CROWD, lsh.ROUNDS), (2, 0), (2, 1)])
+def test_near_classes_equal_brute_force(spark, monkeypatch, crowd, rounds):
     monkeypatch.setattr(lsh, "CROWD", crowd)
+    monkeypatch.setattr(lsh, "ROUNDS", rounds)
     rows = variants(random.Random(11), 40, 60)
     rows += [(1000, "A b, c!"), (1001, "a B c"), (1002, None), (1003, "?!"), (1003, "?!"), (None, "lone words here"), (1004, rows[0][1]), (1004, rows[0][1])]
     frame = docs(spark, rows)
@@ -470,6 +471,58 @@ def test_near_classes_equal_brute_force(spark, monkeypatch, crowd):
     assert len({r.doc_id for r in kept}) == len(set(tops)) - 1 and len([r for r in kept if r.doc_id == 1003]) == 2  # 1003's rows are of a class each
 
 
+def test_near_duplicates_are_found_at_the_shipped_parameters(spark):
+    rng = random.Random(71)
+    rows = variants(rng, 250, 80)
+    frame = docs(spark, rows)
+    idf = near_dup.shingle_idf(frame)
+    s, at, w, _ = near_dup.weighted_shingles(pa.array([t for _, t in rows]), idf)
+    sets = [(s[at[i] : at[i + 1]], w[at[i] : at[i + 1]]) for i in range(len(rows))]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, min(i + 6, len(rows))) if near_dup.jaccard(sets[i], sets[j]) >= 0.8]  # variants stand next to each other
+    got = {r.doc_id: r for r in near_dup.near_classes(frame).collect()}
+    tops = union(len(rows), pairs)
+    found = sum(got[i].class_id == got[j].class_id for i, j in pairs)
+    assert len(pairs) > 300 and found >= 0.98 * len(pairs)
+    assert all(tops[r.class_id] == tops[d] for d, r in got.items())  # nothing else is joined
+    sizes = collections.Counter(r.class_id for r in got.values())
+    assert all(r.class_size == sizes[r.class_id] for r in got.values())
+
+
+def test_shingle_idf_counts_exactly(spark, monkeypatch):
+    rng = random.Random(73)
+    pool = [prose(rng, 6) for _ in range(30)]
+    rows = [(i, " ".join(rng.sample(pool, rng.randrange(1, 4)) + [prose(rng, 4)])) for i in range(900)]
+    monkeypatch.setattr(near_dup, "COMMON", 16)
+    idf = near_dup.shingle_idf(docs(spark, rows).repartition(3))
+    df = collections.Counter()
+    for _, t in rows:
+        s, at = tk.shingles(*tk.words(pa.array([t]))[:2])
+        df.update(set(s.tolist()))
+    least = max(900 / 16, sum(df.values()) / near_dup.ENTRIES)
+    keys = np.array(sorted(df), np.uint64)
+    want = [1 + np.log(901 / (1 + max(df[int(k)], least))) for k in keys]
+    assert np.allclose(idf.of(keys), want) and 0 < len(idf.shingles) == sum(n >= least for n in df.values()) < len(df)
+
+
+def test_routes_by_size_give_equal_results(spark, monkeypatch):
+    rng = random.Random(79)
+    rows = [(i, prose(rng, rng.randrange(5, 40)), rng.choice("abc")) for i in range(200)]
+    frame = docs(spark, rows, "doc_id long, text string, source string")
+    items = docs(spark, [(i, " ".join(rows[i][1].split()[:12])) for i in range(30)], "item_id long, text string")
+    plain = sorted(mixing.mix(frame).collect()), sorted(decontaminate.hits(frame, items).collect())
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    groups = decontaminate.item_groups(items, 60, 7)
+    assert len(groups) > 4 and sum(g.count() for g in groups) == 30
+    monkeypatch.setattr(decontaminate, "item_groups", lambda _: groups)
+    assert (sorted(mixing.mix(frame).collect()), sorted(decontaminate.hits(frame, items).collect())) == plain and plain[1]
+    assert secrets.trigram_query(r"(aab|bbc|ccd)(dde|eef)", most=2) == [frozenset({"dde"}), frozenset({"eef"})]  # of too many branches what is left asks for less
+    narrow = (secrets.Rule("pair", r"(aab|bbc|ccd)(dde|eef)"),)
+    texts = docs(spark, [(1, "x aabdde y"), (2, "ccdeef bbcdde"), (3, "aab dde"), (4, None)])
+    want = sorted((r.doc_id, tuple(r.secrets)) for r in secrets.scan(texts, narrow).collect())
+    monkeypatch.setattr(secrets, "trigram_query", lambda _: None)
+    assert sorted((r.doc_id, tuple(r.secrets)) for r in secrets.scan(texts, narrow).collect()) == want and len(want[1][1]) == 2
+
+
 def test_weighted_samples_collide_like_weighted_jaccard():
     rng = np.random.default_rng(3)
     shared, own = rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(0, 2**63, (2, 100)).astype(np.uint64)
