@@ -8,6 +8,7 @@ from ..functions import exprs as x
 from ..operators import evaluation as ev
 from ..operators import feedback as fb
 from ..operators import identity as idt
+from ..operators import library
 from ..operators import proposal as pr
 from ..operators import publication as pb
 from ..operators import receipts as rc
@@ -352,3 +353,42 @@ def q_inspection_totals(spark, d):
     flags = F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>"))
     state = F.when(F.col("toxic").isNull(), "unavailable").otherwise(x.safety_state(flags))
     return rc.inspection_totals(rows.select(state.alias("safety_state"), (F.col("doc_id") % 2 == 0).alias("preview_exported"), F.when(F.col("doc_id") % 10 == 0, "failed").alias("error")))
+
+
+# catalogs and plans
+
+
+@query("""with faces as (select l_orderkey as k, count(*) as n from lineitem where l_linenumber % 3 <> 0 group by 1)
+select o_orderkey as pk, strftime(make_timestamp((o_orderkey + 978307200)::bigint * 1000000), '%Y-%m-%d %H:%M:%S') as date_created, o_orderkey % 7 = 0 as favorite, o_orderkey % 5 = 0 or c_custkey % 2 = 0 as edited, coalesce(c_mktsegment, '') <> '' as external_edit,
+  n_name as description, (o_orderkey & 64) <> 0 as portrait, coalesce(n, 0) as face_count, c_name as title, o_orderkey % 4 = 0 as burst
+from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey left join faces on k = o_orderkey where o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0""")
+def q_catalog_assets(spark, d):
+    key, none = F.col("o_orderkey"), lambda t, *names: [F.lit(None).cast(t).alias(n) for n in names]
+    base = table(spark, d, "orders").select(
+        key.alias("pk"), key.cast("string").alias("uuid"), *[key.alias(c) for c in ("created", "added", "modified", "width", "height", "kind_subtype")], F.lit(0).alias("kind"), (key % 13 == 0).cast("int").alias("trashed"), (key % 11 == 0).cast("int").alias("hidden"),
+        (key % 7 == 0).cast("int").alias("favorite"), (key % 5 == 0).cast("int").alias("adjustments"), F.lit("g").alias("cloud_guid"), F.lit(0).alias("screenshot"), (key % 4 == 0).cast("int").alias("burst_kind"),
+        *none("string", "filename", "burst_key", "media_group"), *none("double", "burst_pick", "overall_aesthetic_score", "curation_score", "promotion_score", "highlight_score", "latitude", "longitude"), "o_custkey",
+    )
+    who = table(spark, d, "customer")
+    attributes = base.select(F.col("pk").alias("asset"), "o_custkey").join(who, F.col("o_custkey") == F.col("c_custkey")).select(
+        "asset", F.col("c_nationkey").alias("description"), F.when(F.col("c_custkey") % 2 == 0, 1).alias("unmanaged_adjustment"), F.col("c_mktsegment").alias("editor"), F.col("c_name").alias("title"), *none("string", "original_filename"), *none("long", "original_width", "original_height", "original_size")
+    )
+    descriptions = table(spark, d, "nation").select(F.col("n_nationkey").alias("pk"), F.col("n_name").alias("text"))
+    computed = base.limit(0).select(F.col("pk").alias("asset"), *none("double", "failure_score", "composition_score", "focus_score", "subject_score", "framing_score", "timing_score"))
+    extended = base.limit(0).select(F.col("pk").alias("asset"), *none("string", "camera_make", "camera_model"))
+    faces = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset"), (F.col("l_linenumber") % 3 == 0).cast("int").alias("hidden"), F.lit(0).alias("trashed"))
+    rows = library.assets(base.drop("o_custkey"), attributes, descriptions, computed, extended, faces)
+    return rows.select("pk", "date_created", "favorite", "edited", "external_edit", "description", "portrait", "face_count", "title", "burst")
+
+
+@query(INVENTORY_SQL + """, rows as (select uuid, uuid::bigint as position, primary_view, persons, evidence_confidence from inv), tested as (select * from rows order by (evidence_confidence = 'high') desc, position limit 10)
+select 'master' as album, position, uuid from rows union all select 'view-' || primary_view, position, uuid from rows union all select 'named-people', position, uuid from rows where persons <> ''
+union all select 'uncertain', position, uuid from rows where evidence_confidence in ('unknown', 'low') union all select 'write-test', position, uuid from tested""")
+def q_snapshot_members(spark, d):
+    return library.snapshot_members(inventory(spark, d).withColumn("position", F.col("uuid").cast("long")))
+
+
+@query("select user_id || '/L0/001' as asset_identifier, min(event_id) as position from events group by user_id order by position limit 50")
+def q_inspection_members(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("uuid"), F.col("event_id").alias("position"))
+    return library.inspection_members(rows, "position", 50)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_operators import policy
 
-from fieldsieve.operators import evaluation, feedback, identity, proposal, receipts, retrieval
+from fieldsieve.operators import evaluation, feedback, identity, library, proposal, receipts, retrieval
 from fieldsieve.sources import io, practice
 
 
@@ -189,3 +189,39 @@ def test_requests_are_checked():
     for bad in ({"target": 3}, {"views": []}, {"candidate_multiplier": 0.5}, {"minimum_outside_prior_fraction": 0.5}, {"maximum_candidates_per_view": 1}, {"views": [{"id": "", "quota": 2}]}):
         assert retrieval.check_request(good | bad)
     assert len(list(itertools.chain(retrieval.request_terms({"views": [{"id": "a", "terms": ["X", "x", " "], "people": ["p"]}]})))) == 6
+
+
+def test_members_are_written_once_and_exactly(spark, tmp_path):
+    plan = spark.createDataFrame([("m", "a"), ("m", "b"), ("v", "a")], "album string, uuid string")
+    path = str(tmp_path / "members")
+    assert [library.write_members(p, path, ["album", "uuid"]) for p in (plan.limit(1), plan, plan)] == [1, 2, 0]
+    with pytest.raises(ValueError, match="outside the plan"):
+        library.write_members(plan.filter("album = 'm'"), path, ["album", "uuid"])
+
+
+def test_private_files_reports_and_tables(spark, tmp_path):
+    at = tmp_path / "deep" / "x.json"
+    library.write_private(str(at), {"b": 1, "a": "é"})
+    assert json.loads(at.read_text()) == {"b": 1, "a": "é"} and at.stat().st_mode & 0o777 == 0o600
+    assert library.markdown("Run", {"row_count": 3, "by_view": {"a": 1}}) == "# Run\n\n- **Row Count:** 3\n## By View\n\n- `a`: 1\n\n"
+    library.save_table(spark.range(20).withColumnRenamed("id", "uuid"), "kept_rows", ["uuid"], 2)
+    joined = spark.table("kept_rows").join(spark.table("kept_rows").withColumnRenamed("uuid", "u"), F.col("uuid") == F.col("u")).hint("merge")
+    assert joined.count() == 20
+
+
+def test_resumed_inspections_keep_what_is_still_there(spark):
+    done = spark.createDataFrame([("a", True, "/p/a"), ("a", True, "/p/a"), ("b", True, "/p/b"), ("c", False, None)], "asset_identifier string, preview_exported boolean, preview_path string")
+    left = library.reusable(done, spark.createDataFrame([("/p/a",), ("/p/z",)], "path string"))
+    assert sorted(r.asset_identifier for r in left.collect()) == ["a", "c"]
+
+
+def test_evaluation_cases_are_checked(spark):
+    long = "a sentence that is specific enough to be useful"
+    good = (1, "one-case", long + " 1", long, long, "critical", "manual", ["t"], ["must refuse", "b", "c", "d"])
+    bad = (0, "Two", "short", long, long, "odd", "magic", [], ["a"])
+    twin = (1, "one-case", long + " 1", long, long, "critical", "manual", ["t"], ["a", "b", "c", "d"])
+    schema = "id int, name string, prompt string, expected_output string, failure_mode string, severity string, oracle string, tags array<string>, expectations array<string>"
+    check = lambda *rows: [r.errors for r in library.case_errors(spark.createDataFrame(list(rows), schema), ("manual",), "refuse|stop").collect()]
+    assert check(good) == []
+    assert check(bad) == [["id must be a positive number", "name must be a kebab-case label", "prompt must be a specific sentence", "unknown severity", "unknown oracle", "tags are missing", "needs 4 expectations"]]
+    assert sorted(map(len, check(good, twin))) == [3, 4]
