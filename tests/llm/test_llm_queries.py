@@ -104,7 +104,7 @@ def test_texts_far_from_every_profile_go(spark, tmp_path):
     make = lambda: " ".join("".join(rng.choice("the and of with er th".split()) for _ in range(rng.randrange(1, 4))) for _ in range(30))
     rows = [(i, make(), "en") for i in range(100)] + [(200, "жщ" * 60 + " ъэ", None), (201, "qqq xxxj zzkq " * 20, None), (202, "with the", None)]
     out = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path))
-    assert {r.doc_id for r in out.collect()} == {*range(100), 202}
+    assert {(r.doc_id, r.lang) for r in out.collect()} == {*((i, "en") for i in range(100)), (202, "en")}
 
 
 def test_documents_without_labels_stay(spark, tmp_path):
