@@ -5,8 +5,8 @@ trigrams that a match must contain. The inverted index holds (trigram, doc_id) p
 trigrams that some rule asks for. Postings are intersected per alternative, and only the documents
 left are verified with the rule's expression; rules without mandatory trigrams scan every text.
 
-Defined cases: null text is empty; a null doc_id is a document of its own; repeated doc_ids share
-their postings, which only adds candidates, and each row is verified by itself; whole texts are read;
+Defined cases: null text is empty; rows may repeat a doc_id or have none, as postings go by id and a hash
+of the text, and each row is verified by itself; whole texts are read;
 other columns ride along, whatever their names; an empty table gives no rows; positions are code points.
 """
 
@@ -87,20 +87,25 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
     return None if any(not x for x in found) else list(dict.fromkeys(x for x in found if not any(y < x for y in found)))
 
 
+def text_key(text: Column) -> Column:
+    """Told with the doc_id, so that rows without an id, or of one id, do not all meet."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index (trigram, doc_id) of the lower-cased texts for these trigrams."""
+    """The inverted index (trigram, doc_id, key) of the lower-cased texts for these trigrams."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    held = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select("doc_id", low.alias("_low")).select("doc_id", F.explode(held).alias("trigram"))
+    held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams]))
+    return docs.select("doc_id", text_key(F.col("text")).alias("key"), low.alias("low")).select("doc_id", "key", F.explode(held).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules): for each document that some indexed rule may match, those rules."""
+    """(doc_id, key, rules): for each document that some indexed rule may match, those rules."""
     queries = [(r.name, i, g, len(q)) for r in rules for i, q in enumerate(trigram_query(r.pattern) or []) for g in sorted(q)]
     index = postings(docs, sorted({g for _, _, g, _ in queries}))
     asked = docs.sparkSession.createDataFrame(queries, "rule string, alternative int, trigram string, least int")  # bounded by the rules
-    met = index.join(F.broadcast(asked), "trigram").groupBy("doc_id", "rule", "alternative", "least").agg(F.collect_set("trigram").alias("met"))
-    return met.filter(F.size("met") == F.col("least")).groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    met = index.join(F.broadcast(asked), "trigram").groupBy("doc_id", "key", "rule", "alternative", "least").agg(F.collect_set("trigram").alias("met"))
+    return met.filter(F.size("met") == F.col("least")).groupBy("doc_id", "key").agg(F.collect_set("rule").alias("rules"))
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -125,7 +130,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     indexed = [r for r in rules if trigram_query(r.pattern)]
     found = candidates(docs, tuple(indexed))
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    rows = rows.join(found.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    rows = rows.join(found.hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (text_key(F.col("row.text")) == F.col("key")), "left")
     text, none = F.coalesce("row.text", F.lit("")), F.array().cast("array<struct<start:int,end:int,kind:string>>")
     spans = [F.when(F.array_contains("rules", r.name), matches(text, r)).otherwise(none) if r in indexed else F.when(F.regexp_like(text, F.lit(r.pattern)), matches(text, r)).otherwise(none) for r in rules]
     rank = {r.name: i for i, r in enumerate(rules)}
