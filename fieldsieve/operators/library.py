@@ -142,3 +142,15 @@ def case_errors(cases: DataFrame, oracles: tuple[str, ...], closing: str) -> Dat
         (size("tags") < 1, "tags are missing"), (size("expectations") < EXPECTATIONS, f"needs {EXPECTATIONS} expectations"), ((F.col("severity") == "critical") & ~closes, "critical case does not fail closed"),
     )
     return rows.select("id", errors.alias("errors")).filter(F.size("errors") > 0)
+
+
+def capability_states(required: DataFrame, available: DataFrame) -> DataFrame:
+    """(capability, state, missing): whether all, some or none of a capability's providers are there.
+
+    required: capability, provider; available: provider.
+    """
+    there = available.select("provider").distinct().withColumn("there", F.lit(True))
+    rows = required.select("capability", "provider").distinct().join(there, "provider", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    state = F.when(F.bool_and("there"), "AVAILABLE").when(F.bool_or("there"), "DEGRADED").otherwise("UNAVAILABLE")
+    missing = F.array_sort(F.collect_set(F.when(~F.col("there"), F.col("provider"))))
+    return rows.groupBy("capability").agg(state.alias("state"), missing.alias("missing"))

@@ -392,3 +392,11 @@ def q_snapshot_members(spark, d):
 def q_inspection_members(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("uuid"), F.col("event_id").alias("position"))
     return library.inspection_members(rows, "position", 50)
+
+
+@query("""with required as (select distinct s_nationkey as capability, 's' || s_suppkey % 4 as provider from supplier), rows as (select *, provider in ('s1', 's2') as there from required)
+select capability, case when bool_and(there) then 'AVAILABLE' when bool_or(there) then 'DEGRADED' else 'UNAVAILABLE' end as state, coalesce(string_agg(provider, ',' order by provider) filter (where not there), '') as missing from rows group by capability""")
+def q_capability_states(spark, d):
+    required = table(spark, d, "supplier").select(F.col("s_nationkey").alias("capability"), F.concat(F.lit("s"), F.col("s_suppkey") % 4).alias("provider"))
+    available = spark.createDataFrame([("s1",), ("s2",), ("s9",)], "provider string")
+    return library.capability_states(required, available).withColumn("missing", F.array_join("missing", ","))
