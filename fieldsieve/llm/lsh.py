@@ -23,6 +23,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def bands_for(threshold: float, recall: float, most: int) -> tuple[int, int]:
 ROUNDS = 4
 #: Buckets of more nodes are crowded.
 CROWD = 64
-#: Parts of a node's shingles whose weights are compared one by one.
+#: Parts of a node's shingles, by the first 6 bits of their hash, whose weights are compared one by one.
 PARTS = 64
 
 
@@ -53,13 +55,15 @@ def links(nodes: DataFrame, threshold: float, load: Callable[[DataFrame], DataFr
 
     ``load`` gives the texts (node, text) of nodes (node); ``verify`` keeps of pairs (a, b, text_a,
     text_b) those (a, b) similar enough; ``weigh`` gives the distinct shingles of texts (node, text) as
-    (node, shingle, weight), weights adding up to size.
+    rows of ``shared_rows``, weights adding up to size.
     """
     bands = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # what is found for each bucket is written first: so a bucket is counted before it moves, and Spark can split the join of a large one
+    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     rest = materialize(bands.join(shared, "key").withColumn("label", F.col("node")))
+    release(shared)
     texts = materialize(load(rest.select("node").distinct()))
-    labels = materialize(rest.select("node", "label").limit(0))
+    labels, cores = materialize(rest.select("node", "label").limit(0)), nodes.sparkSession.sparkContext.defaultParallelism
 
     def similar(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
@@ -75,9 +79,9 @@ def links(nodes: DataFrame, threshold: float, load: Callable[[DataFrame], DataFr
     for turn in range(ROUNDS):
         head = F.min_by(F.struct(F.col("node").alias("head"), F.col("size").alias("head_size"), F.col("label").alias("head_label")), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
         split = F.min("label") != F.max("label")
-        heads = rest.groupBy("key").agg(head.alias("h"), split.alias("split")).filter("split").select("key", "h.*")
+        heads = materialize(rest.groupBy("key").agg(head.alias("h"), split.alias("split")).filter("split").select("key", "h.*"))
         met = materialize(rest.join(heads, "key"))
-        release(rest)
+        release(rest, heads)
         close = (F.col("size") >= threshold * F.col("head_size")) & (F.col("head_size") >= threshold * F.col("size"))
         star = met.filter((F.col("label") != F.col("head_label")) & close).select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head_label").alias("la"), F.col("label").alias("lb")).distinct()
         found = similar(star.select("a", "b"))
@@ -93,7 +97,7 @@ def links(nodes: DataFrame, threshold: float, load: Callable[[DataFrame], DataFr
         release(met, found)
         if rest.isEmpty():
             break
-    pairs = materialize(across(rest, nodes.select("node", "keys"), threshold, lambda wanted: weigh(texts.join(wanted, "node"))))
+    pairs = materialize(across(rest, nodes.select("node", "keys"), threshold, lambda wanted: weigh(texts.join(wanted, "node").coalesce(cores))))
     if not pairs.isEmpty():
         found = similar(pairs.select("a", "b"))
         if not found.isEmpty():
@@ -109,6 +113,7 @@ def across(rest: DataFrame, keys: DataFrame, threshold: float, weigh: Callable[[
     """Pairs (a, b, la, lb) across components of the buckets that are still split, where no bound rules them out."""
     each = rest.groupBy("key", "label").agg(F.count("*").alias("k"))
     main = each.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.count("*") > 1).alias("split")).filter("split").select("key", "main")
+    main = materialize(main)
     rows = materialize(rest.join(main, "key").withColumn("level", F.floor(F.log(F.greatest("size", F.lit(1e-9))) / -math.log(threshold)).cast("int")))
     rows = within_reach(rows, threshold, weigh).join(keys, "node")
     other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "shared", "parts", "keys", "label", "main")], F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
@@ -123,6 +128,32 @@ def across(rest: DataFrame, keys: DataFrame, threshold: float, weigh: Callable[[
     return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("label").alias("la"), F.col("label_b").alias("lb")).distinct()
 
 
+SHARED = "node binary, shingle long, weight double, parts array<double>"
+
+
+def shared_rows(nodes: pa.Array, s: np.ndarray, at: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    """What is known of the shingles (s, weights w, each node's from at on) of some nodes.
+
+    A row (node, shingle, weight) for each that only one of these nodes has, a row (shingle) without node
+    for each that more have, and for each node a row with the weight of the latter by part.
+    """
+    owner = np.repeat(np.arange(len(nodes)), np.diff(at))
+    distinct, back, n = np.unique(s, return_inverse=True, return_counts=True)
+    lone, marks = np.flatnonzero(n[back] == 1), distinct[n > 1]
+    parts = np.zeros((len(nodes), PARTS))
+    more = np.flatnonzero(n[back] > 1)
+    np.add.at(parts, (owner[more], (s[more] >> np.uint64(64 - 6)).astype(np.int64)), w[more])
+    none = pa.nulls(len(marks), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([nodes.take(pa.array(owner[lone])), none, nodes]), pa.concat_arrays([pa.array(s[lone].view(np.int64)), pa.array(marks.view(np.int64)), pa.nulls(len(nodes), pa.int64())]),
+            pa.array(np.concatenate((w[lone].astype(np.float64), np.zeros(len(marks) + len(nodes))))),
+            pa.concat_arrays([pa.nulls(len(lone) + len(marks), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * PARTS), pa.array(parts.ravel()))]),
+        ],
+        names=["node", "shingle", "weight", "parts"],
+    )
+
+
 def within_reach(rest: DataFrame, threshold: float, weigh: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rest with ``shared``, the weight that a pair can have in common, in all and (in crowded buckets)
     by part; rows that reach no pair are left out."""
@@ -130,12 +161,15 @@ def within_reach(rest: DataFrame, threshold: float, weigh: Callable[[DataFrame],
     if crowded.isEmpty():
         return rest.withColumn("shared", F.col("size")).withColumn("parts", F.lit(None).cast("array<double>"))
     rows = materialize(weigh(crowded))
-    part = F.pmod(F.xxhash64("shingle"), F.lit(PARTS)).alias("part")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("_n = 1")
-    signed = rows.select("node", part, "weight").unionByName(once.select("node", part, (-F.col("weight")).alias("weight")))
+    told = rows.filter("shingle is not null")
+    part = F.shiftrightunsigned("shingle", 64 - 6).alias("part")
+    once = told.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("_n = 1 and node is not null")
+    signed = told.filter("node is not null").select("node", part, "weight").unionByName(once.select("node", part, (-F.col("weight")).alias("weight")))
     by_part = signed.groupBy("node", "part").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("w"))
-    weights = by_part.groupBy("node").agg(F.sum("w").alias("_w"), F.map_from_entries(F.collect_list(F.struct("part", "w"))).alias("_m"))
-    shared = materialize(weights.select("node", "_w", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.col("_m")[i.cast("long")], F.lit(0.0))).alias("_p")))
+    lone = by_part.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "w"))).alias("_m"))
+    both = rows.filter("parts is not null").select("node", "parts").join(lone, "node", "left")
+    sums = F.transform("parts", lambda y, i: y + F.coalesce(F.try_element_at("_m", i.cast("long")), F.lit(0.0)))
+    shared = materialize(both.select("node", sums.alias("_p")).withColumn("_w", F.aggregate("_p", F.lit(0.0), lambda y, z: y + z)))
     release(rows, crowded)
     full = F.col("n") > CROWD
     out = rest.join(shared, "node", "left").withColumn("shared", F.when(full, F.coalesce("_w", F.lit(0.0))).otherwise(F.col("size")))

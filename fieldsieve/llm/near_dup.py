@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import materialize, release, small_batches, table
-from .lsh import bands_for, links
+from .lsh import SHARED, bands_for, links, shared_rows
 
 THRESHOLD, RECALL, HASHES = 0.8, 0.995, 24
 COMMON, ENTRIES = 128, 1 << 18
@@ -230,8 +230,7 @@ def comparer(docs: DataFrame, nodes: DataFrame, idf: Broadcast, threshold: float
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, at, w, _ = weighted_shingles(batch.column("text"), idf.value)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(s.view(np.int64)), pa.array(w)], names=["node", "shingle", "weight"])
+            yield shared_rows(batch.column("node"), s, at, w)
 
     def load(wanted: DataFrame) -> DataFrame:
         wanted = wanted.join(nodes.select("node", "doc", "doc_key"), "node")
@@ -242,7 +241,7 @@ def comparer(docs: DataFrame, nodes: DataFrame, idf: Broadcast, threshold: float
         return pairs.mapInArrow(similar, "a binary, b binary")
 
     def weigh(texts: DataFrame) -> DataFrame:
-        return texts.select("node", "text").mapInArrow(spread, "node binary, shingle long, weight double")
+        return texts.select("node", "text").mapInArrow(spread, SHARED)
 
     return load, verify, weigh
 

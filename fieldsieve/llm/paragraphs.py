@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import materialize, release, small_batches, table
-from .lsh import bands_for, links
+from .lsh import SHARED, bands_for, links, shared_rows
 from .near_dup import band_keys, binary16, long_lists, text_key
 
 THRESHOLD, RECALL, HASHES = 0.8, 0.98, 8
@@ -160,6 +160,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, text_key long, start int, end int, one long, two long")
     rows = materialize(rows.join(seen, "one", "left_semi"))
     tops = rows.groupBy("one", "two").agg(F.min(place()).alias("top"), (F.min(place()) != F.max(place())).alias("many")).filter("many").select("one", "two", "top")
+    tops = materialize(tops)  # counted before it moves, and Spark can split the join of a very common window
     return rows.join(tops, ["one", "two"]).select("doc_id", "text_key", "start", "end", "top")
 
 
@@ -192,9 +193,8 @@ def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, bounds, _, _ = tk.words(batch.column("text"))
-            s, at, _ = tk.distinct(*tk.shingles(h, bounds))
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(s.view(np.int64)), pa.array(np.ones(len(s)))], names=["node", "shingle", "weight"])
+            s, at, n = tk.distinct(*tk.shingles(h, bounds))
+            yield shared_rows(batch.column("node"), s, at, np.ones(len(n)))
 
     def load(wanted: DataFrame) -> DataFrame:
         place = F.struct("node", F.col("first.start").alias("start"), F.col("first.end").alias("end"))
@@ -207,7 +207,7 @@ def comparer(docs: DataFrame, nodes: DataFrame, threshold: float):
         return pairs.mapInArrow(similar, "a binary, b binary")
 
     def weigh(texts: DataFrame) -> DataFrame:
-        return texts.select("node", "text").mapInArrow(spread, "node binary, shingle long, weight double")
+        return texts.select("node", "text").mapInArrow(spread, SHARED)
 
     return load, verify, weigh
 
