@@ -400,7 +400,10 @@ def raw_blobs(data: np.ndarray, begin: np.ndarray, part: dict, ids: np.ndarray,
     edge = np.flatnonzero(np.append(edges(bucket[by]), True)) if len(by) else np.zeros(1, np.int64)
     length = part["n"][by] + DEPTH - 1
     ends = np.concatenate(([0], np.cumsum(length)))
-    moved = data[np.arange(ends[-1]) + np.repeat(begin[by] - ends[:-1], length)]
+    at = np.repeat((begin[by] - ends[:-1]).astype(np.int32), length)  # data is bounded by RAW_BUFFER and one batch
+    at += np.arange(ends[-1], dtype=np.int32)
+    moved = data[at]
+    del at
     blobs = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         some = by[a:b]
@@ -408,7 +411,7 @@ def raw_blobs(data: np.ndarray, begin: np.ndarray, part: dict, ids: np.ndarray,
     yield sent(bucket[by][edge[:-1]], raw=blobs)
 
 
-RAW_BUFFER = 32 << 20  # bytes of text whose open runs are packed together
+RAW_BUFFER = 16 << 20  # bytes of text whose open runs are packed together
 
 
 def joined_raw(waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray, dict, np.ndarray, np.ndarray]:
@@ -424,7 +427,7 @@ def removed_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataF
     covered strings, each span the start of the first string and their number."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (8 * n - 1).bit_length())  # several buckets for each partition, so that partitions come out alike
+    bits = max(6, (2 * n - 1).bit_length())
 
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return batch.column("doc").to_numpy(), batch.column("key").to_numpy()
