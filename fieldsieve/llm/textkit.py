@@ -72,6 +72,28 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((at_end - at_start) * scale)
 
 
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the maximal runs of bytes marked in ``inside`` begin and end, and where each text's begin (with the end); none crosses texts."""
+    mark = np.zeros(len(data) + 2, np.int8)
+    mark[1:-1] = inside[data]
+    edge = np.diff(mark)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    cut = offsets[1:-1]
+    cut = np.unique(cut[(cut > 0) & (cut < len(data))])
+    if len(split := cut[(mark[cut] == 1) & (mark[cut + 1] == 1)]):
+        starts, ends = np.sort(np.concatenate((starts, split))), np.sort(np.concatenate((ends, split)))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+_ASCII_LOWER = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER[65:91] += 32
+
+
+def ascii_lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return _ASCII_LOWER[data]
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, where each text's words begin (with the end), and the words' byte ranges in the
     lower-cased texts put end to end."""
