@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert {*registry.QUERIES, "pipeline"} <= set(entry.queries()) and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
