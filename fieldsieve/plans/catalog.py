@@ -188,16 +188,16 @@ def q_year_bonus(spark, d):
 
 
 @query("""with parts as (select p_partkey::varchar as uuid, p_size::bigint as score from part), prior as (select distinct l_partkey::varchar as uuid from lineitem where l_quantity < 25),
-chosen as (select * from parts order by score desc, uuid limit 100), state as (select count(*) as total, count(*) filter (where uuid not in (select uuid from prior)) as outside from chosen),
-need as (select greatest(0, ceil(total * 0.5) - outside) as n from state),
+chosen as (select * from parts order by score desc, uuid limit 100), state as (select count(*) filter (where uuid not in (select uuid from prior)) as outside from chosen),
+need as (select greatest(0, ceil(100 * 0.5) - outside) as n from state),
 leave_ as (select *, row_number() over (order by score, uuid) as k from chosen where uuid in (select uuid from prior)),
-enter_ as (select *, row_number() over (order by score desc, uuid) as k from parts where uuid not in (select uuid from prior) and uuid not in (select uuid from chosen)),
+enter_ as (select *, row_number() over (order by score desc, uuid desc) as k from parts where uuid not in (select uuid from prior) and uuid not in (select uuid from chosen)),
 swaps as (select least((select n from need), (select count(*) from leave_), (select count(*) from enter_)) as n)
 select uuid, score from chosen where uuid not in (select uuid from leave_ where k <= (select n from swaps)) union all select uuid, score from enter_ where k <= (select n from swaps)""")
 def q_prior_swap(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("uuid"), F.col("p_size").cast("long").alias("score"))
     prior = table(spark, d, "lineitem").filter("l_quantity < 25").select(F.col("l_partkey").cast("string").alias("uuid")).distinct()
-    return rt.prior_swap(parts.orderBy(F.desc("score"), "uuid").limit(100), parts, prior, 0.5)
+    return rt.prior_swap(parts.orderBy(F.desc("score"), "uuid").limit(100), parts, prior, 0.5, 100)
 
 
 @query("""with people as (select c_custkey::varchar as uuid, c_acctbal as score from customer), top as (select * from people order by score desc, uuid limit 200)
