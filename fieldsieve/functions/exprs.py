@@ -150,11 +150,6 @@ def valid_location(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0)), F.lit(False))
 
 
-def lines_digest(ids: Column) -> Column:
-    """SHA-256 of an array of ids in order, a line feed after each."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(ids), lambda x: F.concat(x, F.lit("\n"))), ""), 256)
-
-
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval, null where n is 0."""
     n = F.nullif(n.cast("double"), F.lit(0.0))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from . import identity as idt
+from .feedback import feedback_errors
 from .selection import is_hold
 
 # Modes of a view, and what a policy that does not say means.
@@ -45,7 +47,7 @@ def view_gates(feedback: DataFrame, policy: dict[str, Any]) -> DataFrame:
 
     In a view that is a sparse hypothesis neither precision nor the number of decisive judgments counts.
     """
-    largest = F.max(x.strip(F.col("view_selected_count")).try_cast("long"))
+    largest = F.max(F.coalesce(x.strip(F.col("view_selected_count")).try_cast("long"), F.lit(0)))  # of a sampled row that does not say, none
     by_view = feedback.groupBy(F.col("primary_view").alias("view")).agg(*[c.alias(n) for n, c in counts(feedback).items()], largest.alias("largest"))
     rows = configured_views(feedback, policy).join(by_view, "view", "left").fillna(0, ["sampled", "judged", "fit", "reject", "uncertain"])
     rows = rows.withColumn("decisive", F.col("fit") + F.col("reject")).withColumns({
@@ -77,9 +79,27 @@ def global_gate(feedback: DataFrame, policy: dict[str, Any]) -> DataFrame:
     return rows.withColumn("passed", passed & (F.col("failed_views") == 0) & (F.col("missing_reasons") == 0) & (F.col("safety_blocks") == 0))
 
 
-def report(feedback: DataFrame, policy: dict[str, Any]) -> dict[str, Any]:
+def gates(feedback: DataFrame, policy: dict[str, Any]) -> dict[str, Any]:
     """The gates as a dictionary, rates with four digits: a row for each view and one for all."""
     short = lambda v: round(v, 4) if isinstance(v, float) else v
     whole = {k: short(v) for k, v in global_gate(feedback, policy).first().asDict().items()}
     views = {r["view"]: {k: short(v) for k, v in r.asDict().items() if k != "view"} for r in view_gates(feedback, policy).collect()}
     return whole | {"by_view": dict(sorted(views.items()))}
+
+
+def bindings(feedback: DataFrame, policy: dict[str, Any], master: DataFrame) -> DataFrame:
+    """One row: the ids and digests that tie an evaluation to a master, its sample, the feedback and the policy."""
+    one = idt.master_digest(master).select(idt.proposal_id(F.col("digest")).alias("proposal_id"), F.col("digest").alias("master_sha256"))
+    said = idt.feedback_digest(feedback).select(F.col("digest").alias("feedback_sha256"))
+    drawn = feedback.agg(F.min("sample_sha256").alias("sample_sha256"))
+    return one.crossJoin(said).crossJoin(drawn).withColumn("config_sha256", F.lit(idt.policy_digest(policy)))  # rows of one each
+
+
+def report(feedback: DataFrame, policy: dict[str, Any], master: DataFrame, inspections: DataFrame | None = None) -> dict[str, Any]:
+    """The gates of feedback that is exactly the sample of exactly this master, and what binds it; fails for any other."""
+    if bad := feedback_errors(feedback, master, policy, inspections).orderBy("uuid").first():
+        raise ValueError(f"evaluation feedback, row {bad.uuid!r}: {'; '.join(bad.errors)}")
+    said = judgment(F.col("judgment"))
+    if unknown := [r[0] for r in feedback.select(said.alias("j")).filter((F.col("j") != "") & ~F.col("j").isin(*x.JUDGMENTS)).distinct().orderBy("j").limit(5).collect()]:
+        raise ValueError(f"unknown evaluation judgments: {', '.join(unknown)}")
+    return bindings(feedback, policy, master).first().asDict() | gates(feedback, policy)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..sources.io import durable
+from . import evaluation as ev
 from . import identity as idt
 from . import selection as sel
 from .identity import field
@@ -75,11 +77,18 @@ def assigned_rows(pool: DataFrame, policy: dict[str, Any]) -> tuple[DataFrame, b
 
 
 def quota_take(rows: DataFrame, policy: dict[str, Any]) -> DataFrame:
-    """The best rows of each view up to its quota; where views fall short, the best of the rest up to the target."""
-    quotas = F.create_map(*[F.lit(y) for v in policy["views"] for y in (v["id"], int(v["quota"]))])
+    """The best rows of each view up to its quota; where views fall short, the best of the rest up to the target.
+
+    Ranks are cut where rows are read (Spark limits groups before it shuffles), so a view of any size is cheap.
+    """
+    quotas, target = {v["id"]: int(v["quota"]) for v in policy["views"]}, int(policy["target_count"])
+    quota = F.create_map(*[F.lit(y) for kv in quotas.items() for y in kv])
     best = Window.partitionBy("primary_view").orderBy(F.desc("score"), "uuid")
-    ranked = rows.withColumn("_n", F.row_number().over(best)).withColumn("_in", F.col("_n") <= F.coalesce(F.try_element_at(quotas, "primary_view"), F.lit(0)))
-    return ranked.orderBy(F.desc("_in"), F.desc("score"), "uuid").limit(int(policy["target_count"])).drop("_n", "_in")  # all that are in come first
+    ranked = rows.filter(F.col("primary_view").isin(*quotas)).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= max(quotas.values()))
+    taken = durable(ranked.filter(F.col("_n") <= F.try_element_at(quota, "primary_view")).orderBy(F.desc("score"), "uuid").limit(target).drop("_n"))
+    if (short := target - taken.count()) <= 0:
+        return taken
+    return taken.unionByName(rows.join(taken.select("uuid"), "uuid", "left_anti").orderBy(F.desc("score"), "uuid").limit(short).select(*taken.columns))
 
 
 def floor_swaps(chosen: list[tuple], incoming: list[tuple], need: int, rest: str) -> list[tuple[str, str, str]]:
@@ -140,8 +149,9 @@ def select(inventory: DataFrame, policy: dict[str, Any]) -> tuple[DataFrame, Dat
     state = F.coalesce(F.nullif(x.strip(field(eligible, "assignment_status")), F.lit("")), F.when(F.col("primary_view") == policy["unclassified_view"], "unclassified").otherwise("assigned"))
     eligible = eligible.withColumns({"assignment_status": state, "assignment_reason": field(eligible, "assignment_reason"), "selection_tier": x.selection_tier(F.lower(field(eligible, "evidence_confidence")))})
     chosen = durable(quota_take(eligible.withColumn("selection_reason", reason(eligible, F.col("primary_view"))), policy))
-    chosen = raised(chosen, pool, policy, True, "named relationships")
-    chosen = raised(chosen, pool, policy, False, "person-free material context")
+    spare = pool.join(chosen.select("uuid"), "uuid", "left_anti")  # what a floor throws out does not come back
+    chosen = raised(chosen, spare, policy, True, "named relationships")
+    chosen = raised(chosen, spare, policy, False, "person-free material context")
     persons = F.size(x.split_values(field(chosen, "persons"))) > 0
     target, named, whole = int(policy["target_count"]), *chosen.agg(F.count_if(persons), F.count("*")).first()
     if named < math.ceil(target * float(policy.get("minimum_named_people_fraction", 0))) or whole - named < math.ceil(target * float(policy.get("minimum_person_free_fraction", 0))):
@@ -151,7 +161,8 @@ def select(inventory: DataFrame, policy: dict[str, Any]) -> tuple[DataFrame, Dat
         raise ValueError("selected view counts do not match configured quotas")
     chosen = durable(idt.bound(chosen, policy).orderBy("primary_view", F.desc("score"), "uuid"))
     uncertain = field(chosen, "evidence_confidence").isin("low", "unknown", "")
-    summary = chosen.agg(F.count("*").alias("selected_count"), F.count_if(persons).alias("named_people_count"), F.count_if(uncertain).alias("uncertain_count"), F.first("master_sha256").alias("master_sha256"), F.first("proposal_id").alias("proposal_id"))
+    summary = chosen.agg(F.count("*").alias("selected_count"), F.count_if(persons).alias("named_people_count"), F.count_if(uncertain).alias("uncertain_count"), F.first("master_sha256").alias("master_sha256"), F.first("proposal_id").alias("proposal_id"), F.first("config_sha256").alias("config_sha256"))
+    summary = summary.withColumn("view_counts", F.lit(json.dumps(dict(sorted(got.items())), separators=(",", ":"))))
     for name, table in (("inventory_count", rows), ("eligible_count", pool), ("hold_count", holds)):
         summary = summary.crossJoin(table.agg(F.count("*").alias(name)))  # rows of one each
     return chosen, holds, summary.withColumn("assignment_method", F.lit("deterministic-constrained-maximum-flow" if flowed else "explicit-assigned-view"))
@@ -189,17 +200,38 @@ def albums(master: DataFrame, policy: dict[str, Any]) -> DataFrame:
     return made.select("key", F.concat("title", F.lit(" - "), F.format_number("n", 0)).alias("title"), "n", "asset_ids")
 
 
-def catalog_plan(master: DataFrame, holds: DataFrame, policy: dict[str, Any], plan_id: str, source: dict[str, Any], evaluation: dict[str, Any]) -> dict[str, Any]:
-    """The membership-only plan of a validated, evaluated master; fails where anything it is bound to differs."""
+def validation_report(master: DataFrame, holds: DataFrame, policy: dict[str, Any]) -> dict[str, Any]:
+    """The checks of a master as a dictionary, with counts and the digests that it was held against."""
+    failures = {r.check: r.failures for r in validate(master, holds, policy).filter("failures > 0").collect()}
+    digest, views = idt.master_digest(master).first(), {r.primary_view: r.n for r in master.groupBy("primary_view").agg(F.count("*").alias("n")).collect()}
+    safety = idt.safety_digest(holds).first()
+    return {
+        "status": "FAIL" if failures else "PASS", "failures": dict(sorted(failures.items())), "master_count": digest.n, "hold_count": safety.n, "view_counts": dict(sorted(views.items())), "master_sha256": digest.digest,
+        "proposal_id": f"pfp-{digest.digest[:16]}", "config_sha256": idt.policy_digest(policy), "safety_sha256": safety.digest,
+    }
+
+
+VERIFICATION = ("exact album counts", "no missing asset IDs", "no unexpected asset IDs", "no members outside source corpus", "no safety-hold overlap", "source membership unchanged")  # fixed values
+
+
+def catalog_plan(
+    master: DataFrame, holds: DataFrame, policy: dict[str, Any], plan_id: str, source: dict[str, Any], evaluation: dict[str, Any], feedback: DataFrame, validation: dict[str, Any], inspections: DataFrame | None = None
+) -> dict[str, Any]:
+    """The membership-only plan of a master. Evaluation and validation are made anew from master, feedback and holds; fails where a given report, or anything it is bound to, differs."""
     if {k: source.get(k) for k in ("identifier", "expected_count", "identifier_sha256")} != {k: policy["source"][k] for k in ("identifier", "expected_count", "identifier_sha256")}:
         raise ValueError("catalog source does not match the frozen source of the policy")
-    if bad := [r.check for r in validate(master, holds, policy).filter("failures > 0").collect()]:
-        raise ValueError(f"catalog plan requires a valid master: {', '.join(sorted(bad))}")
-    digest = idt.master_digest(master).first().digest
-    if not evaluation.get("passed") or evaluation.get("master_sha256") != digest:
-        raise ValueError("catalog plan requires a passing evaluation of exactly this master")
+    if evaluation != ev.report(feedback, policy, master, inspections):
+        raise ValueError("evaluation report does not match the exact review feedback")
+    if not evaluation["passed"]:
+        raise ValueError("catalog plan requires a passing evaluation")
+    if validation != (found := validation_report(master, holds, policy)):
+        raise ValueError("validation report does not match the exact master and safety manifest")
+    if found["failures"]:
+        raise ValueError(f"catalog plan requires a valid master: {', '.join(found['failures'])}")
     rows = [r.asDict() for r in albums(master, policy).orderBy(F.col("key") != MASTER_KEY, "key").collect()]
     return {
-        "plan_id": plan_id, "proposal_id": f"pfp-{digest[:16]}", "master_sha256": digest, "evaluation": evaluation, "safety_sha256": idt.safety_digest(holds).first().digest, "source": source,
-        "safety_mode": "create-folders-albums-and-add-membership-only", "expected_master_count": rows[0]["n"], "write_test_count": min(10, rows[0]["n"]), "albums": rows,
+        "plan_id": plan_id, "proposal_id": found["proposal_id"], "master_sha256": found["master_sha256"],
+        "evaluation": {k: evaluation[k] for k in ("proposal_id", "master_sha256", "feedback_sha256", "config_sha256", "sample_sha256", "passed")},
+        "validation": {k: found[k] for k in ("status", "master_sha256", "safety_sha256")}, "source": source, "safety_mode": "create-folders-albums-and-add-membership-only",
+        "expected_master_count": rows[0]["n"], "write_test_count": min(10, rows[0]["n"]), "albums": rows, "required_verification": list(VERIFICATION),
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..sources.io import durable
-from .identity import field, master_digest, proposal_id
+from .identity import field, master_digest, proposal_id, require_bound
 
 # Fields and states of ledgers and projections.
 PUBLIC_FIELDS = (
@@ -26,7 +26,8 @@ TEXT_FIELDS = ("caption", "alt_text", "credit", "crop", "focal_point", "page_slo
 
 
 def scaffold(master: DataFrame) -> DataFrame:
-    """A clearance row for each master row, with nothing cleared."""
+    """A clearance row for each row of the exact bound master, with nothing cleared; fails for any other."""
+    require_bound(master, "a clearance scaffold")
     one = master_digest(master).select(proposal_id(F.col("digest")).alias("proposal_id"), F.col("digest").alias("master_sha256"))
     rows = master.select("uuid", *[field(master, c).alias(c) for c in ("filename", "primary_view")]).crossJoin(F.broadcast(one))  # one row
     return rows.select("*", *[F.lit(v).alias(k) for k, v in CLOSED.items()], *[F.lit("").alias(c) for c in OPEN_FIELDS])
@@ -73,12 +74,16 @@ def against_master(master: DataFrame, clearance: DataFrame, destination: str) ->
 
 
 def handoff(master: DataFrame, clearance: DataFrame, salt: bytes, destination: str) -> tuple[DataFrame, DataFrame]:
-    """(public rows, errors): the 15 public fields of the clearing rows, or none of them if any row of the ledger has an error."""
+    """(public rows, errors): the 15 public fields of the clearing rows, or none of them if any row of the ledger has an error.
+
+    Fails where the master is not the exact bound one.
+    """
     destination = destination.strip()
     if not destination or destination.lstrip().startswith(("=", "+", "-", "@")) or "\0" in destination:
         raise ValueError("the public destination must be a safe text")
     if len(salt) < 16:
         raise ValueError("the salt must have at least 16 bytes")
+    require_bound(master, "publication")
     rows = durable(against_master(master, clearance, destination))
     made = {
         "public_id": x.public_id(salt, F.lit(destination), F.col("uuid")), "primary_view": F.col("master_view"), "page_slot": field(rows, "page_slot"), "public_destination": F.lit(destination),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from .identity import fold_digests, lines_digests
 
 
 def folder_differences(planned: DataFrame, received: DataFrame) -> DataFrame:
@@ -57,15 +58,15 @@ def single_root(folders: DataFrame, kind: int = 3999) -> DataFrame:
 
 
 def frozen_source(members: DataFrame, identifier: str, title: str | None = None) -> DataFrame:
-    """One row: count and digest of a source's sorted ids. The ids meet in one task, as the digest is one hash over all."""
-    ids = members.select("uuid").distinct()
+    """One row: count and digest of a source's sorted ids, whatever their number."""
     kind = "visible-library-stills" if title is None else "album"
-    return ids.agg(F.lit(kind).alias("kind"), F.lit(identifier).alias("identifier"), F.lit(title).alias("expected_title"), F.count("*").alias("expected_count"), x.lines_digest(F.collect_list("uuid")).alias("identifier_sha256"))
+    one = lines_digests(members.select("uuid").distinct(), [], F.col("uuid"))
+    return one.select(F.lit(kind).alias("kind"), F.lit(identifier).alias("identifier"), F.lit(title).alias("expected_title"), F.col("n").alias("expected_count"), F.col("digest").alias("identifier_sha256"))
 
 
-def distinct_lines_digest(ids: Column) -> Column:
-    """SHA-256 of the sorted distinct ids, joined by line feeds, and one line feed; of no ids, of one line feed."""
-    return F.sha2(F.concat(F.array_join(F.array_sort(F.array_distinct(ids)), "\n"), F.lit("\n")), 256)
+def distinct_lines_digest(ids: DataFrame) -> DataFrame:
+    """One row (digest, n): SHA-256 of the sorted distinct ids (uuid), joined by line feeds, and one line feed; of no ids, of one line feed."""
+    return fold_digests(ids.select("uuid").distinct(), [], F.col("uuid"), [F.col("uuid")], "", "\n", "\n")
 
 
 def inspection_totals(results: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from ..operators import identity as idt
 from ..operators import retrieval as rt
 from ..operators import review as rv
 from ..operators import selection as sel
@@ -341,14 +342,12 @@ MASTER_JSON_SQL = """'{"primary_view":"' || primary_view || '","score_total":"'
 
 @query(SELECT_SQL + f"select sha256('[' || string_agg({MASTER_JSON_SQL}, ',' order by {MASTER_JSON_SQL}) || ']') as digest, count(*)::bigint as n from master")
 def q_master_digest(spark, d):
-    row = x.canonical_json({c: F.col(c) for c in ("uuid", "primary_view", "score_total")})
-    picked = sel.select_simple(inventory(spark, d), 40).select(row.alias("row"))
-    return picked.agg(F.sha2(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ","), F.lit("]")), 256).alias("digest"), F.count("*").alias("n"))
+    return idt.rows_digest(sel.select_simple(inventory(spark, d), 40), {c: F.col(c) for c in ("uuid", "primary_view", "score_total")}, [])
 
 
 @query("select source, sha256(string_agg(doc_id::varchar || chr(10), '' order by doc_id::varchar)) as digest, count(*)::bigint as n from documents group by source")
 def q_identifier_digest(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(x.lines_digest(F.collect_list(F.col("doc_id").cast("string"))).alias("digest"), F.count("*").alias("n"))
+    return idt.lines_digests(table(spark, d, "documents"), ["source"], F.col("doc_id").cast("string"))
 
 
 @query("""with rows as (select doc_id, doc_id::varchar as uuid, sha256(text) as inspection_sha256, source || '-' || (doc_id // 60) as burst_group from documents),
@@ -407,14 +406,6 @@ def q_publication_gate(spark, d):
     return rows.select("uuid", F.array_join(rv.publication_errors(rows), ";").alias("errors"))
 
 
-@query(INVENTORY_SQL + """select primary_view, filename as public_title, source as credit, 'CC0' as license from inv where judgment = 'fit'
-  and not exists (select 1 from inv where judgment = 'fit' and (uuid::bigint % 8 = 0 or uuid::bigint % 9 = 0 or uuid::bigint % 7 = 0))""")
-def q_public_projection(spark, d):
-    """All or nothing: the whole ledger goes in, and some of its rows cannot be published."""
-    public, _ = rv.public_handoff(clearance(spark, d), b"0123456789abcdef", "site", ("primary_view", "public_title", "credit", "license"))
-    return public.drop("public_id")
-
-
 @query("select c_custkey, sha256(concat_ws(chr(31), trim(c_name), trim(c_mktsegment), c_nationkey::varchar)) as decision_id from customer")
 def q_decision_id(spark, d):
     return table(spark, d, "customer").select("c_custkey", x.decision_id(F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")).alias("decision_id"))

@@ -36,14 +36,14 @@ GATES["views"][2] |= {"evaluation_mode": ev.SPARSE}
 def feedback(spark, d):
     rows, n = inventory(spark, d), F.col("uuid").cast("long")
     said = F.when(n % 13 == 0, " Uncertain ").when(n % 17 == 0, "unsure").otherwise(F.col("judgment"))
-    return rows.withColumns({"judgment": said, "visible_reason": F.when(n % 11 == 0, " ").otherwise(F.col("source")), "view_selected_count": F.when(n % 3 == 0, "").otherwise((n % 50).cast("string"))})
+    return rows.withColumns({"judgment": said, "visible_reason": F.when(n % 11 == 0, " ").otherwise(F.col("source")), "view_selected_count": F.when((n % 3 == 0) | (F.col("primary_view") == "fr"), "").otherwise((n % 50).cast("string"))})
 
 
 FEEDBACK_SQL = (
     INVENTORY_SQL
     + """, feedback as (
   select * replace (case when uuid::bigint % 13 = 0 then 'uncertain' when uuid::bigint % 17 = 0 then 'unsure' else judgment end as judgment),
-    case when uuid::bigint % 11 = 0 then '' else source end as visible_reason, case when uuid::bigint % 3 = 0 then null else uuid::bigint % 50 end as view_selected_count from inv
+    case when uuid::bigint % 11 = 0 then '' else source end as visible_reason, case when uuid::bigint % 3 = 0 or primary_view = 'fr' then 0 else uuid::bigint % 50 end as view_selected_count from inv
 ), views(view, mode, quota, gate) as (values ('de', 'material', 5, 0.55), ('en', 'material', 5, 0.9), ('es', 'sparse-hypothesis', 5, 0.55), ('fr', 'material', 5, 0.55), ('it', 'material', 5, 0.55)),
 said as (
   select primary_view as view, count(*) as sampled, count(*) filter (where judgment in ('fit', 'reject', 'uncertain')) as judged, count(*) filter (where judgment = 'fit') as fit,
@@ -69,7 +69,7 @@ def q_eval_gate(spark, d):
 @query(FEEDBACK_SQL + f""", whole as (
   select count(*) as sampled, count(*) filter (where judgment in ('fit', 'reject', 'uncertain')) as judged, count(*) filter (where judgment = 'fit') as fit, count(*) filter (where judgment = 'reject') as reject,
     count(*) filter (where judgment in ('fit', 'reject', 'uncertain') and visible_reason = '') as missing_reasons, count(*) filter (where {HOLD_SQL}) as safety_blocks from feedback)
-select *, (select count(*) from gates where reasons <> '') as failed_views, false as passed from whole""")
+select *, (select count(*) from gates where reasons <> '') as failed_views, judged >= 0.4 * sampled and fit >= 0.5 * (fit + reject) and missing_reasons = 0 and safety_blocks = 0 and not exists (select 1 from gates where reasons <> '') as passed from whole""")
 def q_eval_global(spark, d):
     return ev.global_gate(feedback(spark, d), GATES).select("sampled", "judged", "fit", "reject", "missing_reasons", "safety_blocks", "failed_views", "passed")
 
@@ -134,7 +134,8 @@ def q_select_full(spark, d):
 
 
 @query(PICK_SQL + """select (select count(*) from master) as selected_count, (select count(*) from master where persons <> '') as named_people_count, (select count(*) from master where evidence_confidence in ('low', 'unknown', '')) as uncertain_count,
-  (select sha from digest) as master_sha256, (select count(*) from inv) as inventory_count, (select count(*) from pool) as eligible_count, (select count(*) from closure) as hold_count, 'explicit-assigned-view' as assignment_method""")
+  (select sha from digest) as master_sha256, (select count(*) from inv) as inventory_count, (select count(*) from pool) as eligible_count, (select count(*) from closure) as hold_count, 'explicit-assigned-view' as assignment_method, '{"' || (select string_agg(primary_view || '":' || n, ',"' order by primary_view) from (select primary_view, count(*) as n from master group by 1)) || '}' as view_counts,
+  '""" + PICK_SHA + """' as config_sha256""")
 def q_select_summary(spark, d):
     return pr.select(explicit(spark, d), PICK)[2].drop("proposal_id")
 
@@ -142,28 +143,51 @@ def q_select_summary(spark, d):
 def master(spark, d):
     """A bound master of every row that is not held, for queries that only need one."""
     rows = inventory(spark, d)
-    rows = rows.filter(~sel.is_hold(rows)).filter("primary_view = 'es'")
-    return idt.bound(rows.withColumns({"assigned_view": F.col("primary_view"), "selection_reason": F.lit("chosen")}), PICK)
+    return idt.bound(rows.filter(~sel.is_hold(rows)).withColumns({"assigned_view": F.col("primary_view"), "selection_reason": F.lit("chosen")}), PICK)
 
 
 MASTER_SQL = (
     INVENTORY_SQL
-    + f""", master as (select * from scored where not {HOLD_SQL} and primary_view = 'es'), digest as (
+    + f""", master as (select * from scored where not {HOLD_SQL}), digest as (
   select sha256('[' || string_agg('{{"assigned_view":"' || primary_view || '","config_sha256":"{PICK_SHA}","uuid":"' || uuid || '"}}', ',' order by primary_view, uuid) || ']') as sha from master
 )
 """
 )
 
 
-@query(MASTER_SQL + """select * from (values ('blank ids', 0::bigint), ('repeated ids', 0), ('master digest differs', 0), ('proposal id differs', 0), ('no rows', 0), ('held rows selected', 0), ('selection reason missing', 0), ('assigned view missing', 0), ('policy digest differs', 0),
-  ('rows off target', abs((select count(*) from master) - 13)), ('overlap with holds', (select count(*) from master where uuid::bigint % 5 = 0)), ('views absent', 3), ('views off quota', 3 + ((select count(*) from master) <> 2)::int)) v("check", failures)""")
+def tampered(spark, d):
+    """The master after it was bound: rows twice, reasons and views lost, held rows, another policy, no id."""
+    rows, n = master(spark, d), F.col("uuid").cast("long")
+    rows = rows.unionByName(rows.filter(n % 17 == 0))
+    worse = {"selection_reason": F.when(n % 7 == 0, "").otherwise(F.col("selection_reason")), "assigned_view": F.when(n % 19 == 0, "").otherwise(F.col("assigned_view")), "safety_status": F.when(n % 11 == 0, " HOLD").otherwise(F.col("safety_status"))}
+    return rows.withColumns(worse | {"config_sha256": F.when(n % 13 == 0, "x").otherwise(F.col("config_sha256")), "uuid": F.when(n % 23 == 0, " ").otherwise(F.col("uuid"))})
+
+
+TAMPERED_SQL = (
+    MASTER_SQL
+    + """, bad as (select primary_view, uuid::bigint as n, case when uuid::bigint % 23 = 0 then '' else uuid end as id from (select * from master union all select * from master where uuid::bigint % 17 = 0)),
+identity as (select count(*) filter (where id = '') as blank, count(*) - count(distinct id) as repeated, count(*) as whole from bad)
+"""
+)
+
+
+@query(TAMPERED_SQL + """select 'blank ids' as "check", blank as failures from identity union all select 'repeated ids', repeated from identity union all select 'master digest differs', whole from identity
+union all select 'proposal id differs', whole from identity union all select 'no rows', 0""")
+def q_bound_master(spark, d):
+    return idt.identity_errors(tampered(spark, d)).withColumn("failures", F.col("failures").cast("long"))
+
+
+@query(TAMPERED_SQL + """, views as (select coalesce(v, primary_view) as v, q, c from (values ('de', 3), ('en', 5), ('es', 2), ('fr', 3)) w(v, q) full join (select primary_view, count(*) as c from bad group by 1) on v = primary_view)
+select 'blank ids' as "check", blank as failures from identity union all select 'repeated ids', repeated from identity union all select 'master digest differs', whole from identity
+union all select 'proposal id differs', whole from identity union all select 'no rows', 0 union all select 'rows off target', abs(whole - 13) from identity union all select 'held rows selected', count(*) from bad where n % 11 = 0
+union all select 'selection reason missing', count(*) from bad where n % 7 = 0 union all select 'assigned view missing', count(*) from bad where n % 19 = 0 union all select 'policy digest differs', count(*) from bad where n % 13 = 0
+union all select 'overlap with holds', count(distinct id) from bad where n % 5 = 0 and n % 23 <> 0 union all select 'views absent', count(*) from views where c is null union all select 'views off quota', count(*) from views where coalesce(c, 0) <> coalesce(q, 0)""")
 def q_validate_full(spark, d):
-    rows = master(spark, d)
-    return pr.validate(rows, inventory(spark, d).filter(F.col("uuid").cast("long") % 5 == 0), PICK)
+    return pr.validate(tampered(spark, d), inventory(spark, d).filter(F.col("uuid").try_cast("long") % 5 == 0), PICK)
 
 
-@query(MASTER_SQL + """, placed as (select * from (select 'master' as key, '00 MASTER - ' as title, uuid, score_total from master) union all select 'view-es', 'es View es - ', uuid, score_total from master)
-select key, title || format('{:,}', count(*)) as title, count(*) as n, string_agg(uuid, ',' order by score_total::double desc, uuid) as asset_ids from placed group by key, title""")
+@query(MASTER_SQL + """, placed as (select 'master' as key, '00 MASTER - ' as title, primary_view, uuid, score_total from master union all select 'view-' || primary_view, primary_view || ' View ' || primary_view || ' - ', primary_view, uuid, score_total from master)
+select key, title || format('{:,}', count(*)) as title, count(*) as n, string_agg(uuid, ',' order by primary_view, score_total::double desc, uuid) as asset_ids from placed group by key, title""")
 def q_albums(spark, d):
     rows = master(spark, d)
     return pr.albums(sel.scored(rows), PICK).withColumn("asset_ids", F.array_join("asset_ids", ","))
@@ -179,7 +203,7 @@ def q_identity_digests(spark, d):
 # feedback
 
 
-@query(MASTER_SQL + """, ranked as (select uuid, row_number() over (order by score_total::double, uuid) - 1 as pos, count(*) over () as size from master), drawn as (select uuid from ranked where pos in (0, size // 2, size - 1))
+@query(MASTER_SQL + """, ranked as (select uuid, row_number() over (partition by primary_view order by score_total::double, uuid) - 1 as pos, count(*) over (partition by primary_view) as size from master), drawn as (select uuid from ranked where pos in (0, size // 2, size - 1))
 select uuid, array_to_string(list_filter([case when uuid::bigint % 2 = 0 then 'view differs' end, case when uuid::bigint % 3 = 0 then 'master_sha256 differs' end, case when uuid::bigint % 5 = 0 then 'inspection digest differs' end], lambda v: v is not null), ';') as errors
 from drawn where uuid::bigint % 2 = 0 or uuid::bigint % 3 = 0 or uuid::bigint % 5 = 0 union all select 'nobody', 'outside the exact master'""")
 def q_feedback_binding(spark, d):
@@ -241,9 +265,14 @@ def q_handoff_errors(spark, d):
     return pb.handoff(master(spark, d), ledger(spark, d, True), SALT, "site")[1].withColumn("errors", F.array_join("errors", ";"))
 
 
-@query(f"select 'none' as public_id, 'none' as primary_view, 'none' as publication_decision_id, 'none' as rights_status where exists ({MASTER_SQL} select 1 from master where false)")
+@query(MASTER_SQL + f"""select case when count(*) filter (where {ERROR_SQL} <> '') = 0 then count(*) else 0 end as public_rows, count(*) filter (where {ERROR_SQL} <> '') as error_rows, count(*) as clearing_rows
+from (select uuid::bigint as n from master where uuid::bigint % 3 <> 0)""")
 def q_handoff_closed(spark, d):
-    return pb.handoff(master(spark, d), ledger(spark, d, True), SALT, "site")[0].select("public_id", "primary_view", "publication_decision_id", "rights_status")
+    """All or nothing: some clearing rows have errors, so none of the others is published."""
+    rows = ledger(spark, d, True)
+    public, errors = pb.handoff(master(spark, d), rows, SALT, "site")
+    clearing = rows.agg(F.count_if(pb.state(rows, "publication_status").isin(*pb.CLEARING)).alias("clearing_rows"))
+    return public.agg(F.count("*").alias("public_rows")).crossJoin(errors.agg(F.count("*").alias("error_rows"))).crossJoin(clearing)  # rows of one each
 
 
 @query(MASTER_SQL + """select substr(sha256(from_hex('{}') || from_hex(sha256(from_hex('{}') || encode('site' || chr(31) || uuid)))), 1, 24) as public_id, primary_view, 'licensed' as rights_status,
@@ -253,6 +282,25 @@ def q_handoff_open(spark, d):
     return pb.handoff(master(spark, d), ledger(spark, d, False), SALT, "site")[0].select("public_id", "primary_view", "publication_decision_id", "rights_status")
 
 
+@query(MASTER_SQL + """select primary_view, '' as page_slot, 'published' as publication_status, 'licensed' as rights_status, 'not-applicable' as consent_status, 'visible-only' as claim_status, 'Alt' as alt_text, 'A caption' as caption, 'Ada' as credit,
+  '1:1' as crop, '' as focal_point, 'site' as public_destination, '2026-01-02' as review_date, length(uuid) * 0 + 24 as id_length from master where uuid::bigint % 3 <> 0""")
+def q_public_projection(spark, d):
+    """All public fields of a ledger without errors; ids and decisions are in q_handoff_open."""
+    public, _ = pb.handoff(master(spark, d), ledger(spark, d, False), SALT, "site")
+    return public.withColumn("id_length", F.length("public_id").cast("long")).drop("public_id", "publication_decision_id")
+
+
+FIELDS_JSON_SQL = """'{"assigned_view":"","error_category":"","evaluation_note":"","hidden":"","inspection_path":"","inspection_round_id":"","inspection_sample_sha256":"","inspection_sha256":"","judgment":"' ||
+  case when n % 13 = 0 then ' Uncertain ' when n % 17 = 0 then 'unsure' else judgment end || '","master_sha256":"","missing":"","primary_view":"' || primary_view || '","proposal_id":"","reviewer_actor":"","reviewer_lens":"","round_id":"r1","safety_status":"' ||
+  safety_status || '","sample_sha256":"S","uuid":"' || uuid || '","view_selected_count":"' || case when n % 3 = 0 or primary_view = 'fr' then '' else (n % 50)::varchar end || '","visible_reason":"' || case when n % 11 = 0 then ' ' else source end || '"}'"""
+
+
+@query(MASTER_SQL + f"""select 'pfp-' || (select sha from digest)[1:16] as proposal_id, (select sha from digest) as master_sha256, sha256('[' || string_agg({FIELDS_JSON_SQL}, ',' order by uuid) || ']') as feedback_sha256, 'S' as sample_sha256,
+  '{idt.policy_digest(GATES)}' as config_sha256 from (select *, uuid::bigint as n from inv)""")
+def q_report_digests(spark, d):
+    return ev.bindings(feedback(spark, d).withColumns({"round_id": F.lit("r1"), "sample_sha256": F.lit("S")}), GATES, master(spark, d))
+
+
 # retrieval
 
 

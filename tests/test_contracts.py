@@ -1,21 +1,27 @@
 """Whole contracts on the practice inventory and small tables, against plain versions."""
 
+import hashlib
 import itertools
 import json
 import math
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_operators import policy
 
-from fieldsieve.operators import evaluation, feedback, identity, library, proposal, receipts, retrieval
+from fieldsieve.operators import evaluation, feedback, identity, library, proposal, publication, receipts, retrieval
 from fieldsieve.operators.terms import term_hits
 from fieldsieve.sources import io, practice
 
 
+def small_batches(spark, rows=10_000):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def practice_policy(**more):
     views = [{"id": v, "label": f"View {v}", "quota": q} for v, q in (("00", 2), ("01", 4), ("02", 3), ("03", 2), ("04", 3))]
     return policy(views=views, target_count=14, **more)
@@ -47,6 +53,11 @@ def test_whole_selection_meets_quotas_and_floors(spark, chosen):
     bad = master.withColumn("master_sha256", F.lit("x")).unionByName(master.limit(1))
     wrong = {r.check for r in proposal.validate(bad, master.limit(2), rule).filter("failures > 0").collect()}
     assert {"repeated ids", "master digest differs", "rows off target", "overlap with holds", "views off quota"} <= wrong
+    for other in (bad, master.limit(3), master.limit(0), master.withColumn("proposal_id", F.lit(""))):
+        with pytest.raises(ValueError, match="exact bound master"):
+            publication.scaffold(other)
+        with pytest.raises(ValueError, match="exact bound master"):
+            publication.handoff(other, publication.scaffold(master), b"s" * 16, "site")
 
 
 def test_explicit_assignments_are_checked(spark):
@@ -84,16 +95,31 @@ def test_feedback_is_bound_and_gates_decide(spark, chosen):
     assert {"config_sha256 differs", "sampled row without feedback"} <= errors
     found = filled.select("inspection_path", F.when(F.col("uuid") == filled.first().uuid, "0").otherwise(F.col("inspection_sha256")).alias("digest"))
     assert [r.errors for r in feedback.feedback_errors(filled, master, rule, found).collect()] == [["inspection digest differs"]]
-    report = evaluation.report(filled, rule)
+    report = evaluation.report(filled, rule, master)
     assert report["passed"] and report["coverage"] == 1.0 and set(report["by_view"]) == {"00", "01", "02", "03", "04"}
-    plan = proposal.catalog_plan(master, spark.createDataFrame([], "uuid string"), rule, "p1", rule["source"], report | {"master_sha256": master.first().master_sha256})
+    one = master.first()
+    assert (report["master_sha256"], report["proposal_id"], report["config_sha256"], report["sample_sha256"]) == (one.master_sha256, one.proposal_id, identity.policy_digest(rule), sample.first().sample_sha256) and len(report["feedback_sha256"]) == 64
+    none = spark.createDataFrame([], "uuid string")
+    checked = proposal.validation_report(master, none, rule)
+    assert checked["status"] == "PASS" and checked["view_counts"] == {v["id"]: v["quota"] for v in rule["views"]}
+    build = lambda **given: proposal.catalog_plan(**({"master": master, "holds": none, "policy": rule, "plan_id": "p1", "source": rule["source"], "evaluation": report, "feedback": filled, "validation": checked} | given))
+    plan = build()
+    assert plan["evaluation"]["feedback_sha256"] == report["feedback_sha256"] and plan["validation"] == {"status": "PASS", "master_sha256": one.master_sha256, "safety_sha256": checked["safety_sha256"]}
+    for given, message in (
+        ({"evaluation": report | {"feedback_sha256": "0" * 64}}, "does not match the exact review"), ({"validation": checked | {"safety_sha256": "x"}}, "validation report does not match"), ({"holds": master.limit(1)}, "validation report does not match"),
+        ({"source": rule["source"] | {"expected_count": 0}}, "frozen source"), ({"feedback": filled.limit(5)}, "sampled row without feedback"), ({"feedback": filled.withColumn("visible_reason", F.lit("other"))}, "does not match the exact review"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            build(**given)
+    with pytest.raises(ValueError, match="unknown evaluation judgments: maybe"):
+        evaluation.report(filled.withColumn("judgment", F.lit("maybe")), rule, master)
     assert [a["key"] for a in plan["albums"]] == ["master", "view-00", "view-01", "view-02", "view-03", "view-04"] and plan["albums"][0]["title"] == "00 MASTER - 14" and plan["write_test_count"] == 10
     worse = practice.judged(sample, tuple(r.uuid for r in sample.filter("primary_view = '01'").collect()))
-    report = evaluation.report(worse, rule)
+    report = evaluation.report(worse, rule, master)
     assert not report["passed"] and report["by_view"]["01"]["failure_reasons"] == ["precision below minimum"] and report["failed_views"] == 1
     sparse = rule | {"views": [v | ({"evaluation_mode": "sparse-hypothesis"} if v["id"] == "01" else {}) for v in rule["views"]]}
-    assert evaluation.report(worse, sparse)["by_view"]["01"]["passed"]
-    missing = evaluation.report(filled.filter("primary_view <> '02'"), rule)
+    assert evaluation.gates(worse, sparse)["by_view"]["01"]["passed"]
+    missing = evaluation.gates(filled.filter("primary_view <> '02'"), rule)
     assert missing["by_view"]["02"]["failure_reasons"] == ["view not sampled", "coverage below minimum", "insufficient decisive judgments", "precision below minimum"]
 
 
@@ -154,9 +180,35 @@ def test_receipt_rows(spark):
     assert receipts.single_root(roots).first()[0] and not receipts.single_root(roots.unionByName(roots)).first()[0]
     a, b = spark.createDataFrame([("x", 1), ("y", 2)], "title string, count int"), spark.createDataFrame([("y", 2), ("x", 1)], "title string, count int")
     assert set(receipts.normalized(a, ["title", "count"]).collect()) == set(receipts.normalized(b, ["title", "count"]).collect())
-    digests = spark.range(1).select(receipts.distinct_lines_digest(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("two"), receipts.distinct_lines_digest(F.array().cast("array<string>")).alias("none")).first()
-    sha = lambda t: __import__("hashlib").sha256(t).hexdigest()
-    assert (digests.two, digests.none) == (sha(b"a\nb\n"), sha(b"\n"))
+    ids, sha = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "uuid string"), lambda t: hashlib.sha256(t).hexdigest()
+    assert tuple(receipts.distinct_lines_digest(ids).first()) == (sha(b"a\nb\n"), 2) and tuple(receipts.distinct_lines_digest(ids.limit(0)).first()) == (sha(b"\n"), 0)
+    assert receipts.frozen_source(ids.limit(0), "x").first().identifier_sha256 == sha(b"")
+
+
+def test_digests_are_folded_in_order(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b", "é"]), rng.choice([1, 2]), f"{rng.randrange(10**6)}") for _ in range(3000)]
+    small_batches(spark, 100)
+    got = identity.lines_digests(spark.createDataFrame(rows, "g string, h int, id string").repartition(7), ["g", "h"], F.col("id")).collect()
+    small_batches(spark)
+    want = {(g, h): sorted(i for a, b, i in rows if (a, b) == (g, h)) for g, h, _ in rows}
+    assert {(r.g, r.h): (r.digest, r.n) for r in got} == {k: (hashlib.sha256("".join(f"{i}\n" for i in v).encode()).hexdigest(), len(v)) for k, v in want.items()}
+
+
+def test_digest_of_very_many_ids_needs_little_memory(spark):
+    n = 10_000_000
+    ids = spark.range(n, numPartitions=8).select(F.format_string("id-%08d", n - 1 - F.col("id")).alias("uuid"))
+    plan = identity.lines_digests(ids, [], F.col("uuid"))
+    assert "collect_list" not in plan._jdf.queryExecution().toString()
+    whole = hashlib.sha256()
+    for at in range(0, n, 100_000):
+        whole.update("".join(f"id-{i:08d}\n" for i in range(at, at + 100_000)).encode())
+    assert tuple(plan.first()) == (whole.hexdigest(), n)
+    # what the fold holds beside the running hash is one batch
+    seen = []
+    rows = ids.repartition(1).sortWithinPartitions("uuid").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"]) for b in batches), "rows long, bytes long")
+    seen = rows.agg(F.max("rows"), F.max("bytes"), F.sum("rows")).first()
+    assert seen[0] <= 10_000 and seen[1] < 1 << 20 and seen[2] == n
 
 
 def test_manifests_and_files(spark, tmp_path):
