@@ -50,12 +50,15 @@ CROWD = 64
 PARTS = 64
 
 
-def links(nodes: DataFrame, threshold: float, load: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], weigh: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links(
+    nodes: DataFrame, threshold: float, load: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], weigh: Callable[[DataFrame], DataFrame], screen: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(node, label) of the nodes that are linked to others, over nodes (node, size, keys); a label is a component's.
 
     ``load`` gives the texts (node, text) of nodes (node); ``verify`` keeps of pairs (a, b, text_a,
     text_b) those (a, b) similar enough; ``weigh`` gives the distinct shingles of texts (node, text) as
-    rows of ``shared_rows``, weights adding up to size.
+    rows of ``shared_rows``, weights adding up to size. ``screen``, where there is one, keeps of pairs (a, b)
+    those that may be similar, by less than their texts.
     """
     bands = nodes.select(F.explode("keys").alias("key"), "node", "size")
     # what is found for each bucket is written first: so a bucket is counted before it moves, and Spark can split the join of a large one
@@ -66,7 +69,7 @@ def links(nodes: DataFrame, threshold: float, load: Callable[[DataFrame], DataFr
     labels, cores = materialize(rest.select("node", "label").limit(0)), nodes.sparkSession.sparkContext.defaultParallelism
 
     def similar(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        one = (screen(pairs) if screen else pairs).join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         return materialize(verify(one.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")))
 
     def contracted(found: DataFrame) -> tuple[DataFrame, DataFrame]:

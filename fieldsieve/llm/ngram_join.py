@@ -10,7 +10,9 @@ joined on the shingles of their prefixes: a shingle counts where two groups of a
 and of shingles that exactly the same groups meet on, one is kept. What is left is expanded to the groups'
 members, and these (with the members of each group among themselves) are verified on their whole sets.
 ``lsh.links`` does that: no bucket's pairs are all emitted, as members that are already in one component
-need no pair, and no pair across components is left out.
+need no pair, and no pair across components is left out. Before texts are fetched, pairs are screened by
+an exact bound: each set has the parities of its shingles over 2 n to 4 n cells, one bit each, and two sets
+differ in as many shingles at least as their parities differ in cells.
 
 Defined cases: words are cut at ASCII white space, only A-Z are lower-cased; a text of fewer than four words
 has one shingle, all its words; null texts and texts without a word have none, are linked with nothing and
@@ -80,13 +82,14 @@ def cell_ranks(docs: DataFrame) -> np.ndarray:
             add()
         for at in range(0, cells, _CHUNK):
             if (piece := total[at : at + _CHUNK]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // _CHUNK], pa.int32()), pa.array([piece.tobytes()])], names=["chunk", "counts"])
+                coded = np.round(8 * np.log2(1.0 + piece)).astype(np.uint8)  # within some 5 %, in one byte
+                yield pa.RecordBatch.from_arrays([pa.array([at // _CHUNK], pa.int32()), pa.array([coded.tobytes()])], names=["chunk", "counts"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
-                sums.setdefault(chunk, np.zeros(_CHUNK, np.float64))[:] += np.frombuffer(counts.as_buffer(), np.uint32)
+                sums.setdefault(chunk, np.zeros(_CHUNK, np.float64))[:] += np.exp2(np.frombuffer(counts.as_buffer(), np.uint8) / 8.0) - 1
         for chunk, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.ceil(2 * np.log2(1 + total)).astype(np.uint8).tobytes()])], names=["chunk", "ranks"])
 
@@ -109,7 +112,27 @@ def prefixes(s: np.ndarray, at: np.ndarray, ranks: np.ndarray, percent: int = PE
     return s[np.arange(len(s)) - np.repeat(at[:-1], n) < np.repeat(length, n)], np.concatenate(([0], np.cumsum(length)))
 
 
-SETS = "text_key long, n long, member binary, grp binary, prefix array<long>"
+def parities(s: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each set whether an odd number of its shingles falls into each of 2 n to 4 n cells, as bits."""
+    n = np.diff(at)
+    cells = np.where(n > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 1), 0)
+    start = np.concatenate(([0], np.cumsum(cells)))
+    place = np.repeat(start[:-1], n) + (s & np.repeat(np.maximum(cells, 1) - 1, n).astype(_U)).astype(np.int64)
+    bits = np.packbits((np.bincount(place, minlength=int(start[-1])) & 1).astype(np.uint8), bitorder="little")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int64).tobytes()), pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, percent: int) -> bool:
+    """Whether sets of n shingles together, with these parities, can be similar enough."""
+    while len(a) > len(b):  # cells twice as wide have the parity of both
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    both = (n - int(np.bitwise_count(a ^ b).sum())) // 2
+    return 100 * both >= percent * (n - both)
+
+
+SETS = "text_key long, n long, member binary, grp binary, parity binary, prefix array<long>"
 
 
 def sets(docs: DataFrame, ranks: Broadcast, percent: int = PERCENT) -> DataFrame:
@@ -125,10 +148,10 @@ def sets(docs: DataFrame, ranks: Broadcast, percent: int = PERCENT) -> DataFrame
             sized = tk.mix(n.astype(_U) + _U(1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text_key"), pa.array(n), pc.if_else(some, binary16(*tk.digest128(s, at)), none), pc.if_else(some, binary16(one ^ sized, two), none),
+                    batch.column("doc_id"), batch.column("text_key"), pa.array(n), pc.if_else(some, binary16(*tk.digest128(s, at)), none), pc.if_else(some, binary16(one ^ sized, two), none), parities(s, at),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first.view(np.int64))),
                 ],
-                names=["doc_id", "text_key", "n", "member", "grp", "prefix"],
+                names=["doc_id", "text_key", "n", "member", "grp", "parity", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -153,7 +176,7 @@ def group_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def verifiers(docs: DataFrame, members: DataFrame, percent: int):
-    """The functions load, verify and weigh that ``links`` asks for."""
+    """The functions load, verify, weigh and screen that ``links`` asks for."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +203,18 @@ def verifiers(docs: DataFrame, members: DataFrame, percent: int):
         row = docs.select("doc_id", "text", text_key().alias("text_key"))
         return row.join(wanted.hint("shuffle_hash"), row["doc_id"].eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("doc_key"))).select("node", "text").dropDuplicates(["node"])
 
-    return load, lambda pairs: pairs.mapInArrow(linked, "a binary, b binary"), lambda texts: texts.select("node", "text").mapInArrow(spread, SHARED)
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(c)] for c in ("parity_a", "parity_b")]
+            keep = [may_link(a, b, n, percent) for a, b, n in zip(*sides, batch.column("n").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def screen(pairs: DataFrame) -> DataFrame:
+        side = lambda c: members.select(F.col("member").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "parity_a", "parity_b")
+        return met.mapInArrow(possible, "a binary, b binary")
+
+    return load, lambda pairs: pairs.mapInArrow(linked, "a binary, b binary"), lambda texts: texts.select("node", "text").mapInArrow(spread, SHARED), screen
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -189,10 +223,10 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = materialize(sets(docs, ranks, percent))
     worded = found.filter("member is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    members = materialize(worded.groupBy("member").agg(first.alias("_m"), F.first("grp").alias("grp"), F.first("n").alias("n")).select("member", "grp", "n", F.col("_m.doc_id").alias("doc"), F.col("_m.text_key").alias("doc_key")))
+    members = materialize(worded.groupBy("member").agg(first.alias("_m"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("parity").alias("parity")).select("member", "grp", "n", "parity", F.col("_m.doc_id").alias("doc"), F.col("_m.text_key").alias("doc_key")))
     met = group_pairs(worded.select("grp", "n", "prefix").dropDuplicates(["grp"]), percent)
     inside = members.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select("grp", F.xxhash64("grp").alias("token"))
-    keys = members.join(met.unionByName(inside), "grp").groupBy(F.col("member").alias("node")).agg(F.first("n").cast("double").alias("size"), F.array_sort(F.collect_set("token")).alias("keys"))
+    keys = members.select("member", "grp", "n").join(met.unionByName(inside), "grp").groupBy(F.col("member").alias("node")).agg(F.first("n").cast("double").alias("size"), F.array_sort(F.collect_set("token")).alias("keys"))
     nodes = materialize(keys)
     labels = links(nodes, percent / 100 - 1e-9, *verifiers(docs, members, percent))
     grouped = materialize(members.select(F.col("member").alias("node"), "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))

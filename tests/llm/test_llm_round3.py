@@ -142,6 +142,20 @@ def test_every_link_has_a_token_of_its_prefixes():
     assert len(links) > 50 and all(heads[i] & heads[j] for i, j in links)
 
 
+def test_screen_drops_no_link():
+    rng = random.Random(47)
+    words, passed = prose(rng, 300).split(), 0
+    s, at = ngram_join.shingle_sets(pa.array([edited(rng, words[: rng.choice([3, 40, 120, 140, 300])], rng.randrange(5)) for _ in range(150)] + ["x", "a b c d"]))
+    bits = [np.frombuffer(v.as_buffer(), np.uint8) for v in ngram_join.parities(s, at)]
+    sets = [set(s[at[i] : at[i + 1]]) for i in range(len(bits))]
+    for i, j in itertools.combinations(range(len(bits)), 2):
+        n, both = len(sets[i]) + len(sets[j]), len(sets[i] & sets[j])
+        linked, may = 100 * both >= 85 * (n - both), ngram_join.may_link(bits[i], bits[j], n, 85)
+        passed += may and not linked
+        assert may or not linked
+    assert passed < 600  # of 11,476
+
+
 def test_groups_meet_on_one_token_of_many(spark):
     rows = [(b"a", 100, [1, 2, 3]), (b"b", 100, [1, 2, 3]), (b"c", 50, [3, 9]), (b"d", 300, [7]), (b"e", 100, [7])]
     got = ngram_join.group_pairs(spark.createDataFrame(rows, "grp binary, n long, prefix array<long>")).collect()
