@@ -8,6 +8,8 @@ import re
 import stat
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -16,6 +18,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end every durable table that was made within it; for steps whose result is written elsewhere."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        release(*_scratch.pop())
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster shares, and read again: computed once, no lineage, survives lost executors."""
     spark = df.sparkSession
@@ -29,6 +44,8 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
