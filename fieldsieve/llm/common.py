@@ -7,10 +7,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 from ..sources.io import durable as materialize
-from ..sources.io import release
+from ..sources.io import release, scratch
 from ..sources.proxies import table
 
-__all__ = ["materialize", "release", "shared_dir", "small_batches", "table"]
+__all__ = ["materialize", "release", "scratch", "shared_dir", "small_batches", "table"]
 
 #: Rows of an Arrow batch handed to Python; texts are long, so batches are small.
 BATCH_ROWS = 1000

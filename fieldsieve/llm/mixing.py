@@ -76,8 +76,8 @@ def expected(goals: DataFrame, cap: int = CAP) -> tuple[DataFrame, Column]:
     return goals, F.col("_ratio") + F.col("_tilt") * ((F.col("_g").cast("double") - F.col("_middle")) / float(SCALE))
 
 
-def pareto_sample(docs: DataFrame, goals: DataFrame, seed: str = "mix", cap: int = CAP) -> DataFrame:
-    """Add source_size, target and taken to docs (doc_id, source, size, _g).
+def pareto_sample(docs: DataFrame, goals: DataFrame, seed: str = "mix", cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Add source_size, target and taken to docs (doc_id, source, size, _g, and what is carried along).
 
     goals: one row for each source, source_size, target, and measure, the sum of size * _g.
     """
@@ -138,7 +138,7 @@ def pareto_sample(docs: DataFrame, goals: DataFrame, seed: str = "mix", cap: int
     whole = rows.filter(~F.col("_on") & F.col("_step").isNull()).withColumn("_extra", F.col("_in"))
     out = whole.select(*rows.columns, "_extra").unionByName(split.withColumn("_extra", wanted).select(*rows.columns, "_extra"))
     taken = F.col("size") * (F.col("_whole") + F.col("_extra").cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 #: Tables of a row per source are broadcast up to this many rows, else joined by shuffle.
@@ -163,16 +163,26 @@ def cut_bucket(sums: DataFrame, wanted: DataFrame, bucket: str) -> DataFrame:
     return materialize(found.select("source", f"_m.{bucket}", "_m.left"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of docs (doc_id, source, text)."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, and what is carried along) for each row of docs (doc_id, source, text)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    slim = materialize(docs.select("doc_id", "source", size))
+    slim = materialize(docs.select("doc_id", "source", size, *carry))
     sizes = materialize(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     rows = measured(slim, sizes)
     measure = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("_g")).alias("measure")).withColumnRenamed("source", "_s")
     goals = targets(sizes.select("source", "source_size"), weights, cap)
     goals = goals.join(measure, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return pareto_sample(rows, goals, cap=cap)
+    return pareto_sample(rows, goals, cap=cap, carry=carry)
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, with all their columns, and size, source_size, target, taken and
+    copies (in place of columns of these names)."""
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("row_id")))
+    told = mix(rows.select("row.doc_id", "row.source", "row.text", "row_id"), carry=("row_id",)).filter("taken > 0")
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("taken"), "copies": F.expr("taken div size")}
+    out = rows.join(told.select("row_id", "size", "source_size", "target", "taken"), "row_id")
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
