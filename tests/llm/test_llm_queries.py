@@ -15,7 +15,7 @@ from test_llm_operators import prose, union, variants, words_of
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from fieldsieve.llm import near_dup, registry
+from fieldsieve.llm import mixing, near_dup, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,7 +82,11 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
         total[r.source] += r.taken
     goals = {r.source: r.target for r in stages[4].select("source", "target").distinct().collect()}
     assert all(abs(total[s] - g) <= 60 for s, g in goals.items()) and abs(sum(goals.values()) - sum(map(size, clean.values()))) < 1
+    assert stages[4].columns == [*names, "size", "source_size", "target", "taken", "copies"]
+    by_id = {r[0]: r for r in rows}
+    assert all(r.text == clean[r.doc_id] and r.source == by_id[r.doc_id][3] and r.n_chars == len(r.text) and r.lang for r in mixed)
     again = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in again.select("doc_id", "text").collect()) == sorted((r.doc_id, r.text) for r in mixed)
     assert again.select(F.count("*"), F.sum("taken"), F.sum(F.xxhash64("doc_id") % 1000003)).first() == stages[4].select(F.count("*"), F.sum("taken"), F.sum(F.xxhash64("doc_id") % 1000003)).first()
 
 
@@ -96,7 +100,21 @@ def test_stages_take_clashing_columns_and_empty_tables(spark, tmp_path):
             out = stage(spark, wide, str(tmp_path))
             assert out.columns == wide.columns and {r.score for r in out.select("score").collect()} <= {"own"}
         mixed = corpus_pipeline.mixture(spark, wide, str(tmp_path))
-        assert mixed.columns == ["doc_id", "source", "size", "source_size", "target", "taken", "copies"] and (mixed.count() > 0) == (frame.count() > 0)
+        added = ["size", "source_size", "target", "taken", "copies"]
+        assert mixed.columns == [*[c for c in wide.columns if c not in added], *added] and (mixed.count() > 0) == (frame.count() > 0)
+        assert {r.score for r in mixed.select("score").collect()} <= {"own"} and mixed.filter("taken not in (size * copies)").isEmpty()
+
+
+def test_the_mix_tells_equal_rows_apart(spark):
+    rows = [(1, "same words here now", "a", i) for i in range(40)] + [(None, "no id at all", None, i) for i in range(30)] + [(2, None, "a", 0), (3, "b c", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    got = mixing.mixed_rows(docs).collect()
+    assert len({(r.doc_id, r.n) for r in got}) == len(got) and {(r.doc_id, r.text, r.source, r.n) for r in got} <= set(rows)
+    want = mixing.mix(docs).filter("taken > 0").groupBy("source").agg(F.sum("taken")).collect()
+    total = collections.Counter()
+    for r in got:
+        total[r.source] += r.taken
+    assert total == dict(map(tuple, want))
 
 
 def test_texts_far_from_every_profile_go(spark, tmp_path):
