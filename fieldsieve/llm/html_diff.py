@@ -2,15 +2,17 @@
 
 Pages are put in one order (host, path, page_id) across the cluster and numbered. Each page is compared
 with the nearest page before and the nearest page after it on its host that is no mirror of it, among
-REACH on either side. Pages become lines (one for each block), the lines of a pair are aligned by longest
-common subsequence, and lines that are shared are template. Of a page whose markup tells no article, all
-template lines are deleted; what markup tells to be the article or main part is kept but for template
-lines that both neighbours share in place, so a sentence that an article happens to repeat from another
-page stays. A neighbour that shares a MIRROR part of the page's text is a mirror: its lines are no
-template, and mirrored pages keep their text.
-
-Elements that HTML itself gives another role (menus, footers, forms, asides, ...) are no text, nor are
-those that one of their class names or their id names in full as an advert, comment list, notice, ...
+REACH on either side. Pages become lines (one for each block of visible text, menus, footers and all), the
+lines of a pair are aligned by longest common subsequence, and lines that are shared are template. They are
+deleted first: all that either neighbour shares, but in what markup tells to be the article (the article
+elements, or the main part of a page without any) only what both share in place and all pages within REACH
+have, so a sentence that an article happens to repeat from other pages stays. A neighbour that shares a MIRROR part of the page's text
+is a mirror: its lines are no template, and mirrored pages keep their text.
+
+Of the lines that are left those go that pages do not share but markup tells to be no article: in elements
+to which HTML itself gives another role (menus, footers, forms, asides, ...), or that one of their class
+names or their id names in full as an advert, comment list, notice, ... Where a page has a main part or
+articles, all of these are its text, whatever is nested in what, and nothing else.
 
 Groups of GROUP neighbours are worked on together, with REACH pages on the borders given to both
 sides, so a host of any size is spread evenly and every page meets its neighbours.
@@ -43,10 +45,19 @@ MIRROR = (0.9, 0.5)  # shares of its text from which on another page is a mirror
 CELLS = 1 << 28  # alignment cells (bits) kept at once; larger pairs are halved
 
 # Element names by role in a page.
-CHROME = frozenset("nav footer aside form script style noscript template button select iframe svg dialog menu head title textarea object canvas".split())
+CHROME = frozenset("nav footer aside form dialog menu".split())
+UNSEEN = frozenset("script style noscript template button select iframe svg head title textarea object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What ends an open element whose end tag may be left out: (elements that do, elements that they end, elements beyond which they don't look).
+IMPLIED = (
+    (BLOCK - frozenset("body dd dt figcaption head html li option summary tbody td tfoot th thead title tr".split()), {"p"}, {"td", "th", "table", "caption", "button", "object"}),
+    ({"li"}, {"li"}, {"ul", "ol", "menu"}),
+    ({"dd", "dt"}, {"dd", "dt"}, {"dl"}),
+    ({"td", "th"}, {"td", "th"}, {"tr", "table"}),
+    ({"tr"}, {"tr"}, {"table"}),
+    ({"tbody", "tfoot", "thead"}, {"tbody", "tfoot", "thead"}, {"table"}),
+)
 #: Class names and ids, in full, of what is no text of the page.
 CHROME_NAMES = frozenset(
     """ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies cookie-notice cookie-banner cookie-consent consent notice notices
@@ -60,34 +71,49 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, level) for each block outside the page's chrome; level 2: in an article, 1: in the main part."""
+    """Collects (text, level) for each block of visible text; level 2: in an article, 1: in the main part, -1: in the page's chrome."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int]] = []
         self.parts: list[str] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # element, it is chrome, the main part, an article
-        self.chrome = self.main = self.article = 0
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # element, it is unseen, chrome, the main part, an article
+        self.unseen = self.chrome = self.main = self.article = 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text:
-            self.lines.append((text, 2 if self.article else 1 if self.main else 0))
+            self.lines.append((text, -1 if self.chrome else 2 if self.article else 1 if self.main else 0))
+
+    def close_from(self, at: int) -> None:
+        for _, unseen, chrome, main, article in self.open[at:]:
+            self.unseen -= unseen
+            self.chrome -= chrome
+            self.main -= main
+            self.article -= article
+        del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
         if tag in VOID:
             return
+        for openers, ended, beyond in IMPLIED:
+            if tag in openers:
+                at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in ended or self.open[i][0] in beyond), None)
+                if at is not None and self.open[at][0] in ended:
+                    self.close_from(at)
         told = dict(attrs)
         names = {*(told.get("class") or "").lower().split(), (told.get("id") or "").lower()}
         role = told.get("role") or ""
         main, article = tag == "main" or role == "main", tag == "article" or role == "article"
-        chrome = tag in CHROME or role in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog") or "hidden" in told or bool(HIDDEN.search(told.get("style") or ""))
+        chrome = tag in CHROME or role in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog")
+        unseen = tag in UNSEEN or "hidden" in told or bool(HIDDEN.search(told.get("style") or ""))
         chrome |= tag not in ("html", "body") and bool(names & (OTHER_NAMES if main or article else CHROME_NAMES))
         chrome |= tag == "header" and not self.main and not self.article
-        self.open.append((tag, chrome, main, article))
+        self.open.append((tag, unseen, chrome, main, article))
+        self.unseen += unseen
         self.chrome += chrome
         self.main += main
         self.article += article
@@ -102,14 +128,10 @@ class Lines(HTMLParser):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None or (tag not in BLOCK and any(x[0] in BLOCK for x in self.open[at + 1 :])):
             return  # closes nothing, or an inline element would close blocks
-        for _, chrome, main, article in self.open[at:]:
-            self.chrome -= chrome
-            self.main -= main
-            self.article -= article
-        del self.open[at:]
+        self.close_from(at)
 
     def handle_data(self, data):
-        if not self.chrome:
+        if not self.unseen:
             self.parts.append(data)
 
 
@@ -187,25 +209,35 @@ def _last_row(a: Sequence, b: Sequence) -> int:
     return v
 
 
+def levels(lines: list[tuple[str, int]]) -> tuple[int, int]:
+    """The least level of lines that are the page's text, and the level of its article."""
+    top = max((x for _, x in lines), default=0)
+    return min(1, max(0, top)), max(0, top)
+
+
 def template(lines: list[tuple[str, int]], other: list[tuple[str, int]]) -> set[int] | None:
     """Positions of the lines that another page shares; None if it is a mirror."""
-    level = max((x for _, x in lines), default=0)
     if lines == other:
         return None
+    least, _ = levels(lines)
     common = shared([x for x, _ in lines], [x for x, _ in other])
-    size = sum(len(x) for x, own in lines if own == level)
-    return None if sum(len(lines[i][0]) for i in common if lines[i][1] == level) >= MIRROR[level > 0] * size else common
+    size = sum(len(x) for x, own in lines if own >= least)
+    return None if sum(len(lines[i][0]) for i in common if lines[i][1] >= least) >= MIRROR[least] * size else common
 
 
 def main_text(lines: list[tuple[str, int]], before: Iterable[list[tuple[str, int]]], after: Iterable[list[tuple[str, int]]]) -> str:
     """The page's text; before and after are the pages to either side, the nearest first."""
-    level = max((x for _, x in lines), default=0)
+    least, top = levels(lines)
+    before, after = list(before), list(after)
     found = [t for side in (before, after) if (t := next((t for other in side if (t := template(lines, other)) is not None), None)) is not None]
-    if level:  # the page tells its article: only what both sides share in it is template
-        gone = found[0] & found[1] if len(found) == 2 else set()
-    else:
-        gone = set().union(*found)
-    return " ".join(text for i, (text, own) in enumerate(lines) if own == level and i not in gone)
+    either, both = set().union(*found), found[0] & found[1] if len(found) == 2 else set()
+    if top and both:
+        told = {lines[i][0] for i in both if lines[i][1] == top}
+        for other in (*before, *after):
+            told &= {x for x, _ in other} if told else set()
+        both = {i for i in both if lines[i][0] in told}
+    left = [(text, own) for i, (text, own) in enumerate(lines) if i not in (both if top and own == top else either)]
+    return " ".join(text for text, own in left if own >= least)
 
 
 def with_lines(rows: DataFrame) -> DataFrame:
