@@ -82,18 +82,21 @@ def verified_previews(inspections: DataFrame, files: DataFrame, allowed_tags: li
     """An index row for each inspection, with why its preview cannot be used.
 
     inspections: asset_identifier, preview_exported; files: name, path, digest, size, mode, width,
-    height, tags, as an image reader found them.
+    height, tags, and source_bearing and error where known: ``files.scanned`` reads all of these from the
+    pictures' bytes.
     """
     name = x.preview_name(F.col("local_identifier"))
     rows = inspections.select(x.strip(F.col("asset_identifier")).alias("local_identifier"), F.coalesce("preview_exported", F.lit(False)).alias("exported"))
     rows = rows.withColumn("uuid", x.canonical_id(F.col("local_identifier")))
     times = rows.groupBy(F.col("uuid").alias("_u")).agg(F.count("*").alias("_n"))
-    found = files.select(F.col("name").alias("_name"), *[F.col(c).alias(f"_{c}") for c in ("path", "digest", "size", "mode", "width", "height", "tags")])
+    known = lambda c, none: F.col(c) if c in files.columns else F.lit(none)
+    found = files.select(F.col("name").alias("_name"), known("error", "").alias("_error"), known("source_bearing", False).alias("_bears"), *[F.col(c).alias(f"_{c}") for c in ("path", "digest", "size", "mode", "width", "height", "tags")])
     met = rows.join(times, F.col("uuid") == F.col("_u")).join(found, name == F.col("_name"), "left")
     broad = F.col("_mode").bitwiseAND(0o077) != 0
     reason = F.when(F.col("local_identifier") == "", "asset_identifier is blank").when(F.col("_n") > 1, "identifier repeats").when(~F.col("exported"), "preview not exported").when(F.col("_name").isNull(), "no file")
-    reason = reason.when(broad, "permissions are broader than the owner's").when((F.coalesce("_width", F.lit(0)) < 1) | (F.coalesce("_height", F.lit(0)) < 1), "no picture")
-    reason = reason.when(F.size(x.unlisted_tags(F.col("_tags"), F.array(*map(F.lit, allowed_tags)))) > 0, "metadata tells the source")
+    reason = reason.when(broad, "permissions are broader than the owner's").when(F.coalesce("_error", F.lit("")) != "", F.concat(F.lit("no picture: "), "_error")).when((F.coalesce("_width", F.lit(0)) < 1) | (F.coalesce("_height", F.lit(0)) < 1), "no picture")
+    unlisted = F.size(x.unlisted_tags(F.col("_tags"), F.array(*map(F.lit, allowed_tags)))) > 0
+    reason = reason.when(F.col("_bears") | unlisted, "metadata tells the source")
     good = reason.isNull()
     kept = lambda c, none: F.when(good, F.col(c)).otherwise(F.lit(none))
     return met.select(

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import listed, scanned
+
 
 _scratch: list[list[DataFrame]] = []
 
@@ -130,9 +132,8 @@ def missing_columns(df: DataFrame, wanted: dict[str, list[str]], tables: dict[st
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, digest, size) of the files under a path; each is read by the task that has it."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return rows.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.sha2("content", 256).alias("digest"), F.col("length").alias("size"))
+    """(path, digest, size) of the files under a path; a task reads its files in blocks, whatever their size."""
+    return scanned(listed(spark, path)).select("path", "digest", "size")
 
 
 def read_salt(path: str, least: int = 16) -> bytes:
