@@ -135,7 +135,7 @@ def unlisted_tags(tags: Column, allowed: Column) -> Column:
 
 
 #: Forms of identifiers in receipts and plans.
-FORMATS = {"sha256": r"^[a-f0-9]{64}$", "proposal": r"^pfp-[a-f0-9]{16}$", "local-id": r"^[^/]+/L0/001$", "kebab": r"^[a-z0-9]+(?:-[a-z0-9]+)*$"}
+FORMATS = {"sha256": r"^[a-f0-9]{64}$", "proposal": r"^pfp-[a-f0-9]{16}$", "local-id": r"^[^/]+/L0/001$", "kebab": r"^[a-z0-9]+(?:-[a-z0-9]+)*$", "nonce": r"^[a-f0-9]{32}$", "bundle": r"^[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)+$", "catalog-id": r"^[^/\s]{8,}/L0/[0-9]{3}$"}
 
 
 def has_format(c: Column, name: str) -> Column:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
-from .identity import field
-from .review import membership_diff
+from ..sources.io import durable, release
+from .identity import field, fold_digests, rows_digest
+from .review import membership_diff, ranked
 
 # Bits of a picture's kind, confidences that count as none or as sure, and what a case must say.
 SELFIE, PORTRAIT, PANORAMA = 32, 64, 1
@@ -103,6 +105,61 @@ def write_members(planned: DataFrame, path: str, keys: list[str]) -> int:
     return added
 
 
+def hadoop(df: DataFrame, path: str) -> tuple[Any, Any]:
+    """The file system and path that Spark itself would use."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), at
+
+
+def write_batches(planned: DataFrame, path: str, keys: list[str], size: int = 500, take_over: bool = False, after: Callable[[int], None] | None = None) -> list[int]:
+    """Writes a plan's rows in batches of ``size`` in order of keys, each read again before the next; gives the numbers of those that were written now.
+
+    A batch counts once its line (number, rows, digest, plan) stands beside the table, so a run that
+    stopped goes on after its last whole batch, and a whole one replays nothing. Refuses a table that was
+    begun for another plan, one whose written batches changed, and a second writer; ``take_over``
+    removes what a writer that died left to keep others out. ``after`` is called with each batch.
+    """
+    spark, told = planned.sparkSession, f"{path}.batches"
+    fs, lock = hadoop(planned, f"{path}.lock")
+    if take_over:
+        fs.delete(lock, False)
+    fs.mkdirs(lock.getParent())
+    if not fs.createNewFile(lock):
+        raise ValueError(f"{path} has another writer")
+    try:
+        row = x.canonical_json({k: x.text(F.col(k)) for k in keys})
+        rows = planned.select(*keys).distinct().select(F.lit("all").alias("part"), row.alias("row"), *keys)
+        rows = durable(ranked(rows, "part", F.col("row")).select(F.floor(F.col("pos") / size).cast("long").alias("batch"), "row", *keys))
+        whole = rows_digest(rows, {"row": F.col("row")}, [F.col("row")]).first().digest
+        want = {r.batch: (r.n, r.digest) for r in fold_digests(rows, ["batch"], F.col("row"), [F.col("row")], between="\n").collect()}  # a line for each batch
+        done = {r.batch: r for r in spark.read.schema("batch long, n long, digest string, plan string").json(told).collect()} if fs.exists(hadoop(planned, told)[1]) else {}
+        if any(r.plan != whole for r in done.values()):
+            raise ValueError(f"{path} was begun for another plan")
+        found = batch_digests(spark.read.parquet(path), keys) if done else {}
+        if changed := [b for b in sorted(done) if found.get(b) != want.get(b)]:
+            raise ValueError(f"{path}: batch {changed[0]} is not what was written")
+        written = []
+        for batch in sorted(set(want) - set(done)):
+            at = f"{path}/batch={batch}"
+            rows.filter(F.col("batch") == batch).select(*keys).coalesce(1).write.mode("overwrite").parquet(at)
+            back = batch_digests(spark.read.parquet(at).withColumn("batch", F.lit(batch)), keys).get(batch)
+            if back != want[batch]:
+                raise ValueError(f"{path}: batch {batch} does not read as it was written")
+            spark.createDataFrame([(batch, *back, whole)], "batch long, n long, digest string, plan string").coalesce(1).write.mode("append").json(told)
+            written.append(batch)
+            if after:
+                after(batch)
+        release(rows)
+        return written
+    finally:
+        fs.delete(lock, False)
+
+
+def batch_digests(rows: DataFrame, keys: list[str]) -> dict[int, tuple[int, str]]:
+    row = x.canonical_json({k: x.text(F.col(k)) for k in keys})
+    return {r.batch: (r.n, r.digest) for r in fold_digests(rows.select(F.col("batch").cast("long").alias("batch"), row.alias("row")), ["batch"], F.col("row"), [F.col("row")], between="\n").collect()}
+
+
 def save_table(df: DataFrame, name: str, keys: list[str], buckets: int) -> None:
     """A table bucketed and sorted by keys, with statistics, so that joins on them need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from ..functions.nested import normal_digest
 from .identity import fold_digests, lines_digests
 
 
@@ -103,3 +104,51 @@ def verified_previews(inspections: DataFrame, files: DataFrame, allowed_tags: li
         "uuid", "local_identifier", F.coalesce("_path", F.lit("")).alias("preview_path"), kept("_digest", "").alias("preview_sha256"), kept("_size", 0).alias("bytes"), kept("_width", 0).alias("width"), kept("_height", 0).alias("height"),
         F.when(good, "ok").otherwise("invalid").alias("decode_status"), F.coalesce(reason, F.lit("")).alias("reason"),
     )
+
+
+# What a receipt must say, and what a second execution may not share with the first.
+RECEIPT_FIELDS = ("completed_at", "execution_nonce", "plan_id", "source_album_identifier", "source_identifier_sha256", "safety_mode")
+FINGERPRINT_FIELDS = ("app_bundle_identifier", "app_binary_sha256", "plan_sha256")
+COMPARED = ("plan_id", "source_album_identifier", "source_count", "source_identifier_sha256", "safety_mode", "folders", "albums", "execution_fingerprint")
+
+
+def receipt_errors(rows: DataFrame) -> Column:
+    """Why a receipt (RECEIPT_FIELDS, source_count, execution_fingerprint, folders, albums) cannot be used; empty if it can."""
+    blank = lambda c: x.strip(c) == ""
+    lacks = lambda items, f: F.exists(items, lambda i: x.strip(i[f]) == "")
+    repeats = lambda items, f: F.size(F.array_distinct(F.transform(items, lambda i: i[f]))) < F.size(items)
+    none = lambda c: F.coalesce(F.size(c) < 1, F.lit(True))
+    checks = [(blank(F.col(c)), f"{c} is missing") for c in RECEIPT_FIELDS]
+    checks += [
+        (~blank(F.col("completed_at")) & F.try_to_timestamp(F.col("completed_at")).isNull(), "completed_at is no time"), (~x.has_format(F.col("execution_nonce"), "nonce"), "execution_nonce is malformed"),
+        (F.coalesce(F.col("source_count") < 1, F.lit(True)), "source_count must be positive"), (~x.has_format(F.col("source_identifier_sha256"), "sha256"), "source_identifier_sha256 is no digest"),
+    ]
+    checks += [(blank(F.col(f"execution_fingerprint.{c}")), f"execution_fingerprint.{c} is missing") for c in FINGERPRINT_FIELDS]
+    checks += [(~blank(F.col(f"execution_fingerprint.{c}")) & ~x.has_format(F.col(f"execution_fingerprint.{c}"), k), f"execution_fingerprint.{c} is malformed") for c, k in zip(FINGERPRINT_FIELDS, ("bundle", "sha256", "sha256"), strict=True)]
+    for name, kind, fields, keys in (("folders", "folder", ("key", "title", "identifier"), ("key", "identifier")), ("albums", "album", ("title", "identifier"), ("title", "identifier"))):
+        items = F.coalesce(F.col(name), F.array())
+        checks += [(none(name), f"{name} are missing")]
+        checks += [(lacks(items, f), f"{kind} lacks {f}") for f in fields]
+        checks += [(F.exists(items, lambda i: (x.strip(i["identifier"]) != "") & ~x.has_format(i["identifier"], "catalog-id")), f"{kind} identifier is malformed")]
+        checks += [(repeats(items, f), f"{kind} {f} repeats") for f in keys]
+    checks += [(F.exists(F.coalesce(F.col("albums"), F.array()), lambda a: F.coalesce(a["count"] < 1, F.lit(True))), "album count must be positive")]
+    return x.reasons(*checks)
+
+
+def receipt_comparison(first: DataFrame, second: DataFrame, key: str = "plan_id") -> DataFrame:
+    """(key, equal, errors) of receipts of two executions of the same plans.
+
+    equal: both say the same, whatever the order of their lists in any level. errors: what makes them no
+    two executions (the same time, nonce or file), or one of them unusable, or missing.
+    """
+    kept = lambda rows, side: rows.select(
+        F.col(key).alias(key), F.struct(*[F.col(c) for c in ("completed_at", "execution_nonce")], (F.col("path") if "path" in rows.columns else F.lit(None).cast("string")).alias("path")).alias(f"_{side}"),
+        normal_digest(rows.withColumn("_r", F.struct(*COMPARED)), "_r").alias(f"_{side}_digest"), receipt_errors(rows).alias(f"_{side}_errors"),
+    )
+    one = kept(first.withColumn("_r", F.struct(*COMPARED)), "first")
+    both = one.join(kept(second.withColumn("_r", F.struct(*COMPARED)), "second"), key, "full")
+    same = lambda c: F.coalesce(F.col(f"_first.{c}") == F.col(f"_second.{c}"), F.lit(False))
+    missing = [(F.col(f"_{s}").isNull(), f"no {s} receipt") for s in ("first", "second")]
+    alike = x.reasons(*missing, (same("path"), "one file"), (same("completed_at"), "one time"), (same("execution_nonce"), "one nonce"))
+    of = lambda s: F.transform(F.coalesce(f"_{s}_errors", F.array().cast("array<string>")), lambda e: F.concat(F.lit(f"{s}: "), e))
+    return both.select(key, F.coalesce(F.col("_first_digest") == F.col("_second_digest"), F.lit(False)).alias("equal"), F.concat(alike, of("first"), of("second")).alias("errors"))

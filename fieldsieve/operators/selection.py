@@ -127,6 +127,34 @@ def assign(rows: DataFrame, quotas: dict[str, int]) -> DataFrame:
     return ranked.join(F.broadcast(slots), (F.col("_kind") == F.col("_k")) & (F.col("_n") > F.col("_from")) & (F.col("_n") <= F.col("_to"))).drop("_kind", "_n", "_k", "_from", "_to")
 
 
+def flow_cut(kinds: dict[str, int], quotas: dict[str, int], given: dict[tuple[str, str], int]) -> set[str]:
+    """The least set of views whose rows are too few for their quotas, empty if all can be met: a minimum cut.
+
+    It has the views with room left, and each view that holds a row which one of the set's views could
+    take. Every row that wants a view of the set stands in the set, so no assignment fills it better.
+    """
+    cut = {v for v, q in quotas.items() if q > sum(n for (_, view), n in given.items() if view == v)}
+    while more := {v for k in kinds if cut & set(k.split("\x1f")) for v in k.split("\x1f") if given.get((k, v), 0)} - cut:
+        cut |= more
+    return cut
+
+
+def assignment_cut(rows: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """(view, quota, in_cut, cut_quota, cut_rows, fill): what proves how far the quotas can be met.
+
+    rows as in ``assign``. fill is the most places that can be filled in all; it falls short of the quotas
+    by cut_quota - cut_rows, what the views of the cut want less the rows that want any of them.
+    """
+    wanted = F.array_distinct(F.filter("views", lambda v: v.isin(*[v for v, q in quotas.items() if q > 0])))
+    counted = rows.groupBy(F.concat_ws("\x1f", wanted).alias("kind")).agg(F.count("*").alias("n")).filter("kind <> ''")
+    kinds = {r.kind: r.n for r in counted.collect()}  # bounded by the views' orders
+    given = balanced_flow(kinds, quotas)
+    cut = flow_cut(kinds, quotas, given)
+    in_rows, in_quota = sum(n for k, n in kinds.items() if cut & set(k.split("\x1f"))), sum(q for v, q in quotas.items() if v in cut)
+    out = [(v, q, v in cut, in_quota, in_rows, sum(given.values())) for v, q in quotas.items()]
+    return rows.sparkSession.createDataFrame(out, "view string, quota long, in_cut boolean, cut_quota long, cut_rows long, fill long")
+
+
 def balanced_flow(kinds: dict[str, int], quotas: dict[str, int]) -> dict[tuple[str, str], int]:
     """Most rows of each kind for each of its views: first choices first, then shifts along paths that free a place."""
     given, room = {}, dict(quotas)
