@@ -1,10 +1,15 @@
-"""Queries whose answer proves itself: cuts of an assignment, nested JSON, receipts in normal form."""
+"""Queries whose answer proves itself: cuts of an assignment, nested JSON, receipts in normal form, evidence of records."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from ..functions import exprs as x
 from ..functions import nested
+from ..operators import evidence as evd
+from ..operators import identity as idt
 from ..operators import receipts as rc
 from ..operators import selection as sel
 from ..sources.proxies import INVENTORY_SQL, table
@@ -61,3 +66,38 @@ select 'plan-' || k as plan_id, m = n as equal, array_to_string(list_concat(list
   list_transform(wrong, lambda e: 'first: ' || e)), case when m = 0 then [] else list_transform(wrong, lambda e: 'second: ' || e) end), '; ') as errors from bad""")
 def q_receipt_equal(spark, d):
     return rc.receipt_comparison(executions(spark, d, False), executions(spark, d, True)).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("""with ids as (select source as name, doc_id::varchar as uuid, source[4:]::int as s, lang from documents), profiles as (select name, s, count(*) + (s % 4 = 0)::int as expected_count, case when s % 5 = 0 then 'x' else sha256(string_agg(uuid || chr(10), '' order by uuid)) end as digest from ids group by name, s),
+views as (select name, s, lang, count(*) as sampled, count(*) filter (where quality is not null) as judged, count(*) filter (where quality = 1) as fit, count(*) filter (where quality = 0) as reject from ids left join labels l on l.doc_id::varchar = uuid group by name, s, lang),
+sums as (select name, s, sum(sampled) as sampled, sum(judged) as judged, sum(fit) as fit, sum(reject) as reject from views group by name, s),
+seen as (select name, uuid, bool_or(uuid::bigint % 3 <> 0) as prior, bool_or(uuid::bigint % 2 = 0) as claimed from ids group by name, uuid), rounds as (select name, count(*) filter (where claimed and not prior) as fresh, count(*) filter (where claimed and prior) as cached from seen group by name)
+select name, 'count differs' as error from profiles where s % 4 = 0 union all select name, 'digest differs' from profiles where s % 5 = 0
+union all select name, 'totals do not add up' from sums where s % 6 = 0 union all select name, 'precision cannot be made again' from sums where s % 7 = 0 or fit + reject = 0
+union all select name, 'prior digest differs' from profiles where s % 8 = 0 union all select name, 'fresh count differs' from rounds where name[4:]::int % 9 = 0 union all select name, 'cached count differs' from rounds where name[4:]::int % 10 = 0
+union all select name, lang || ': unknown phase' from views union all select name, lang || ': completed without evidence' from views where sampled % 2 = 0 union all select name, p || ': missing' from profiles, (values ('brief'), ('retrieval')) w(p)
+union all select name, 'one event makes up too much' from (select name, max(sampled) as top, sum(sampled) as whole from views group by name) where top >= 0.6 * whole
+union all select name, 'master digest differs' from profiles where s % 3 = 0""")
+def q_evidence(spark, d):
+    """Records of each source, some of them wrong, against what documents and labels say."""
+    docs, s, n = table(spark, d, "documents"), F.substring("name", 4, 9).cast("int"), F.col("uuid").cast("long")
+    ids = docs.select(F.col("source").alias("name"), F.col("doc_id").cast("string").alias("uuid"), "lang")
+    claims = idt.lines_digests(ids, ["name"], F.col("uuid"))
+    profiles = claims.select("name", (F.col("n") + F.when(s % 4 == 0, 1).otherwise(0)).alias("expected_count"), F.when(s % 5 == 0, "x").otherwise(F.col("digest")).alias("identifier_sha256"))
+    said = ids.join(table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("uuid"), "quality"), "uuid", "left")
+    views = said.groupBy("name", "lang").agg(F.count("*").alias("sampled"), F.count("quality").alias("judged"), F.count_if(F.col("quality") == 1).alias("fit"), F.count_if(F.col("quality") == 0).alias("reject"))
+    whole = views.groupBy("name").agg(*[F.sum(c).alias(c) for c in ("sampled", "judged", "fit", "reject")])
+    precision = F.round(F.try_divide("fit", F.col("fit") + F.col("reject")), 4)
+    reports = whole.select("name", (F.col("sampled") + F.when(s % 6 == 0, 1).otherwise(0)).alias("sample_count"), F.col("judged").alias("judged_count"), F.when(s % 7 == 0, 2.0).otherwise(precision).alias("precision"))
+    inspected = ids.filter(n % 3 != 0).select("name", F.lit("prior").alias("round"), "uuid").unionByName(ids.filter(n % 2 == 0).select("name", F.lit("claimed").alias("round"), "uuid"))
+    rounds = idt.lines_digests(inspected, ["name", "round"], F.col("uuid")).select("name", "round", F.when((s % 8 == 0) & (F.col("round") == "prior"), "x").otherwise(F.col("digest")).alias("inspection_digest"))
+    required = ids.groupBy("name").agg((F.count_if((n % 2 == 0) & (n % 3 == 0)) + F.when(s % 9 == 0, 1).otherwise(0)).alias("fresh_count"), (F.count_if((n % 2 == 0) & (n % 3 != 0)) + F.when(s % 10 == 0, 1).otherwise(0)).alias("cached_count"))
+    phases = views.select("name", F.col("lang").alias("phase"), F.lit("completed").alias("status"), F.when(F.col("sampled") % 2 == 1, F.array("lang")).alias("artifacts"))
+    masters = evd.master_errors(claims.select("name", F.when(s % 3 == 0, F.col("digest")).alias("master_sha256")).join(view_digests(ids), "name").select("name", F.coalesce("master_sha256", "whole").alias("master_sha256")), ids.withColumnRenamed("lang", "assigned_view"))
+    found = [evd.source_errors(profiles, ids), evd.evaluation_errors(reports, views), evd.round_errors(rounds, inspected, required), evd.phase_errors(phases, ("brief", "retrieval")), evd.concentration_errors(views.select("name", F.col("lang").alias("event"), F.col("sampled").alias("n")), 0.6), masters]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def view_digests(ids):
+    row = x.canonical_json({"uuid": F.col("uuid"), "assigned_view": F.col("lang")})
+    return idt.fold_digests(ids, ["name"], row, [F.col("lang"), F.col("uuid")], "[", ",", "]").select("name", F.col("digest").alias("whole"))
