@@ -125,6 +125,12 @@ def read_artifact(spark: SparkSession, path: str) -> DataFrame | None:
     return None
 
 
+def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(table, column, position, type) of all tables and views that a database (or the current one) has."""
+    rows = [(t.name, f.name, i, f.dataType.simpleString()) for t in spark.catalog.listTables(database) for i, f in enumerate(spark.table(t.name if t.isTemporary else f"`{t.namespace[0]}`.`{t.name}`").schema.fields)]
+    return spark.createDataFrame(rows, "table string, column string, position int, type string")
+
+
 def missing_columns(df: DataFrame, wanted: dict[str, list[str]], tables: dict[str, DataFrame] | None = None) -> dict[str, list[str]]:
     """For each table name the wanted columns that it lacks (all of them, where there is no such table)."""
     have = {name: t.columns for name, t in (tables or {"": df}).items()}

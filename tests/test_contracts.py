@@ -9,6 +9,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_operators import policy
@@ -294,3 +295,24 @@ def test_terms_are_found_in_one_pass(spark):
     want = [(v, u, c, t) for v, c, t in {(v, c, t.lower()) for v, c, t in terms if t.strip()} for u, k, text in texts if k == c and text and t in text.lower() and not out(c, text.lower())]
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 300
     assert term_hits(spark.createDataFrame([], "view string, channel string, term string"), spark.createDataFrame(texts, "uuid string, channel string, value string")).isEmpty()
+
+
+def test_catalogs_tell_their_columns(spark):
+    spark.createDataFrame([(1, ["x"])], "b long, a array<string>").createOrReplaceTempView("some_view")
+    spark.range(2).write.mode("overwrite").saveAsTable("some_table")
+    rows = {(r.table, r.column): (r.position, r.type) for r in io.catalog_columns(spark).collect()}
+    assert rows["some_view", "b"] == (0, "bigint") and rows["some_view", "a"] == (1, "array<string>") and rows["some_table", "id"] == (0, "bigint")
+    spark.catalog.dropTempView("some_view")
+
+
+def test_quotas_of_a_hot_view_are_cut_before_they_move(spark):
+    rows = spark.range(1_000_000, numPartitions=8).select(F.format_string("%07d", "id").alias("uuid"), F.when(F.col("id") % 1000 == 0, "cold").otherwise("hot").alias("primary_view"), (F.col("id") * 7919 % 1_000_003).alias("score"))
+    rule = {"views": [{"id": "hot", "quota": 40}, {"id": "cold", "quota": 5000}], "target_count": 3000}
+    got = proposal.quota_take(rows, rule)
+    views = dict(got.groupBy("primary_view").count().collect())
+    assert views == {"hot": 2000, "cold": 1000}  # the top-up comes from the hot view
+    best = Window.partitionBy("primary_view").orderBy(F.desc("score"), "uuid")
+    plan = rows.withColumn("_n", F.row_number().over(best)).filter("_n <= 40")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # partial, where rows are read, and final
+    top = {r.uuid for r in rows.filter("primary_view = 'hot'").orderBy(F.desc("score"), "uuid").limit(2000).collect()}
+    assert {r.uuid for r in got.filter("primary_view = 'hot'").collect()} == top
