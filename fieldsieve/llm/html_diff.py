@@ -28,7 +28,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from base64 import b64encode
 from collections.abc import Iterable, Iterator, Sequence
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
@@ -49,15 +51,13 @@ CHROME = frozenset("nav footer aside form dialog menu".split())
 UNSEEN = frozenset("script style noscript template button select iframe svg head title textarea object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: What ends an open element whose end tag may be left out: (elements that do, elements that they end, elements beyond which they don't look).
-IMPLIED = (
-    (BLOCK - frozenset("body dd dt figcaption head html li option summary tbody td tfoot th thead title tr".split()), {"p"}, {"td", "th", "table", "caption", "button", "object"}),
-    ({"li"}, {"li"}, {"ul", "ol", "menu"}),
-    ({"dd", "dt"}, {"dd", "dt"}, {"dl"}),
-    ({"td", "th"}, {"td", "th"}, {"tr", "table"}),
-    ({"tr"}, {"tr"}, {"table"}),
-    ({"tbody", "tfoot", "thead"}, {"tbody", "tfoot", "thead"}, {"table"}),
-)
+#: Of an element that begins, which open elements it ends whose end tag may be left out, and beyond which ones it does not look.
+_PARAGRAPH = (frozenset({"p"}), frozenset("td th table caption button object".split()))
+ENDS = dict.fromkeys(BLOCK - frozenset("body dd dt figcaption head html li option summary tbody td tfoot th thead title tr".split()), _PARAGRAPH)
+ENDS |= {tag: (frozenset(ended.split()), frozenset(beyond.split())) for tags, ended, beyond in (
+    ("li", "li", "ul ol menu"), ("dd dt", "dd dt", "dl"), ("td th", "td th", "tr table"), ("tr", "tr", "table"), ("tbody tfoot thead", "tbody tfoot thead", "table"),
+) for tag in tags.split()}
+ROLES = CHROME | UNSEEN | {"main", "article", "header"}
 #: Class names and ids, in full, of what is no text of the page.
 CHROME_NAMES = frozenset(
     """ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies cookie-notice cookie-banner cookie-consent consent notice notices
@@ -71,7 +71,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, level) for each block of visible text; level 2: in an article, 1: in the main part, -1: in the page's chrome."""
+    """Collects (text, level) for each block of visible text; level 2: in an article, 1: in the main part, -1: in the page's chrome (a digest, if it is long)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -83,6 +83,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts = []
+        if text and self.chrome and len(text) > 5:  # chrome is aligned with chrome and never given out
+            text = "\0" + b64encode(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=3).digest()).decode()
         if text:
             self.lines.append((text, -1 if self.chrome else 2 if self.article else 1 if self.main else 0))
 
@@ -99,11 +101,17 @@ class Lines(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        for openers, ended, beyond in IMPLIED:
-            if tag in openers:
-                at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in ended or self.open[i][0] in beyond), None)
-                if at is not None and self.open[at][0] in ended:
-                    self.close_from(at)
+        if tag in ENDS:
+            ended, beyond = ENDS[tag]
+            for i in range(len(self.open) - 1, -1, -1):
+                if (name := self.open[i][0]) in ended:
+                    self.close_from(i)
+                    break
+                if name in beyond:
+                    break
+        if not attrs and tag not in ROLES:
+            self.open.append((tag, False, False, False, False))
+            return
         told = dict(attrs)
         names = {*(told.get("class") or "").lower().split(), (told.get("id") or "").lower()}
         role = told.get("role") or ""
