@@ -69,8 +69,12 @@ def links(
     labels, cores = materialize(rest.select("node", "label").limit(0)), nodes.sparkSession.sparkContext.defaultParallelism
 
     def similar(pairs: DataFrame) -> DataFrame:
-        one = (screen(pairs) if screen else pairs).join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        return materialize(verify(one.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")))
+        left = materialize(screen(pairs)) if screen else pairs  # written, so Spark knows its size and moves texts only for many pairs
+        one = left.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        found = materialize(verify(one.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")))
+        if screen:
+            release(left)
+        return found
 
     def contracted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(labels, new label of each old one) with these links (a, b between labels) added."""

@@ -40,6 +40,8 @@ from .near_dup import binary16, text_key
 SHINGLE, PERCENT = 4, 85
 #: Cells that shingles are counted in: 2^22, four megabytes as ranks.
 CELL_BITS = 22
+#: Members whose texts are fetched by a broadcast of their ids (some 40 bytes each); beyond, documents are shuffled.
+FEW = 200_000
 _CHUNK = 1 << 16
 _HELD = 1 << 22
 _U = np.uint64
@@ -199,9 +201,10 @@ def verifiers(docs: DataFrame, members: DataFrame, percent: int):
             yield shared_rows(batch.column("node"), s, at, np.ones(len(s)))
 
     def load(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.join(members.select(F.col("member").alias("node"), "doc", "doc_key"), "node")
+        wanted = materialize(wanted.join(members.select(F.col("member").alias("node"), "doc", "doc_key"), "node"))
         row = docs.select("doc_id", "text", text_key().alias("text_key"))
-        return row.join(wanted.hint("shuffle_hash"), row["doc_id"].eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("doc_key"))).select("node", "text").dropDuplicates(["node"])
+        few = wanted.limit(FEW + 1).count() <= FEW
+        return row.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), row["doc_id"].eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("doc_key"))).select("node", "text").dropDuplicates(["node"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
