@@ -33,12 +33,17 @@ def scratch() -> Iterator[None]:
         release(*_scratch.pop())
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether all of Spark runs in this process, so that a folder of its own is shared (local-cluster has executors of its own)."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster shares, and read again: computed once, no lineage, survives lost executors."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fieldsieve-")  # tests and single machines
         spark.sparkContext.setCheckpointDir(folder)

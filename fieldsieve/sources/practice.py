@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What the practice rows hold.
-CONTEXTS = (("01", "high", "people", "Alex Example;Jamie Example"), ("02", "high", "apparatus", "Jamie Example"), ("03", "high", "document", ""), ("04", "medium", "place", ""), ("", "unknown", "", ""))
+CONTEXTS = (("01", "high", "people", "Alex Example;Robin Example"), ("02", "high", "apparatus", "Robin Example"), ("03", "high", "document", ""), ("04", "medium", "place", ""), ("", "unknown", "", ""))
 HOLDS = {9: "possible private document", 24: "possible private contact information"}
 
 

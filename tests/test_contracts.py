@@ -37,7 +37,7 @@ def chosen(spark):
 def test_practice_rows(spark):
     rows = practice.inventory(spark).orderBy("uuid").collect()
     assert len(rows) == 30 and {f for r in rows for f in r.asDict() if not isinstance(r[f], str)} == set()
-    assert [r.uuid for r in rows if r.safety_status == "hold"] == ["DEMO-009", "DEMO-024"] and rows[4].candidate_views == "" and rows[0].persons == "Alex Example;Jamie Example"
+    assert [r.uuid for r in rows if r.safety_status == "hold"] == ["DEMO-009", "DEMO-024"] and rows[4].candidate_views == "" and rows[0].persons == "Alex Example;Robin Example"
 
 
 def test_whole_selection_meets_quotas_and_floors(spark, chosen):
