@@ -85,6 +85,64 @@ def snapshot_members(master: DataFrame, test_size: int = 10) -> DataFrame:
     return rows.withColumn("album", F.explode(names)).unionByName(test).select("album", "position", "uuid")
 
 
+# Titles of a snapshot's albums, the folders they stand in and what they are for.
+SNAPSHOT = {
+    "master": ("00 MASTER", "version", "editor"), "named-people": ("90 PEOPLE / NAMED ASSOCIATIONS", "version", "editor"), "uncertain": ("91 CONTEXT UNCERTAIN — EDITOR REVIEW", "version", "editor"),
+    "hold": ("{version} — AUTOMATED SAFETY HOLD", "private", "hold"), "write-test": ("{version} — WRITE TEST — VERIFIED", "audit", "audit"),
+}
+OTHER_VIEW = "EDITOR VIEW"
+
+
+def folder_specs(profile: dict[str, Any], version_title: str | None = None) -> list[dict[str, Any]]:
+    """The folders (key, title, parent_key, existing_identifier) of a snapshot, parents first; with version_title, one for it under the root."""
+    if {*profile["folders"]} != {"root", "private", "audit"}:
+        raise ValueError("folders must be root, private and audit")
+    above = profile.get("workspace_parent")
+    spec = lambda key, title, parent, known=None: {"key": key, "title": title, "parent_key": parent, "existing_identifier": known}
+    own = {k: profile["folders"][k] for k in ("root", "private", "audit")}
+    out = [spec("workspace_parent", above["title"], None, above["identifier"])] if above else []
+    out.append(spec("root", own["root"]["title"], "workspace_parent" if above else None, own["root"].get("identifier")))
+    out += [spec("version", version_title, "root")] if version_title else []
+    return out + [spec(k, own[k]["title"], "root", own[k].get("identifier")) for k in ("private", "audit")]
+
+
+def snapshot_errors(master: DataFrame, holds: DataFrame, target: int) -> DataFrame:
+    """(check, failures): why no snapshot may be made of this master (uuid, selection_reason) and these holds (uuid)."""
+    ids = x.canonical_id(F.col("uuid"))
+    own, held = master.select(ids.alias("uuid")), holds.select(ids.alias("uuid")).distinct()
+    rows = master.agg(F.abs(F.count("*") - target).alias("rows off target"), (F.count("*") - F.count_distinct(ids)).alias("repeated ids"), F.count_if(x.strip(field(master, "selection_reason")) == "").alias("selection reason missing"))
+    out = rows.unpivot([], [F.col(f"`{c}`") for c in rows.columns], "check", "failures")
+    return out.unionByName(own.distinct().join(held, "uuid", "left_semi").agg(F.lit("overlap with holds").alias("check"), F.count("*").alias("failures")))
+
+
+def snapshot_albums(master: DataFrame, holds: DataFrame, labels: dict[str, str], version: str, test_size: int = 10) -> DataFrame:
+    """(plan, place, title, parent_folder_key, safety_role, n, asset_identifiers) of the albums of a snapshot's two plans.
+
+    The write test has one album, production all: the master, each view, named people, uncertain rows, holds
+    (uuid, position) and the write test, as far as they have members. Members are local identifiers in the
+    master's order (sure ones first in the write test), once each; place orders the albums. Albums are bounded by the target and the holds.
+    """
+    version_title = {k: t.format(version=version) for k, (t, _, _) in SNAPSHOT.items()}
+    members = snapshot_members(master, test_size)
+    sure = F.lower(field(master, "evidence_confidence")).isin(*SURE)
+    sure_first = master.select(x.canonical_id(F.col("uuid")).alias("uuid"), "position", sure.alias("sure")).orderBy(F.desc("sure"), "position").limit(test_size)
+    kind = master.schema["position"].dataType
+    tried = sure_first.select(F.lit("write-test").alias("album"), F.row_number().over(Window.orderBy(F.desc("sure"), "position")).cast(kind).alias("position"), "uuid")  # test_size rows at most
+    members = members.filter("album <> 'write-test'").unionByName(tried).unionByName(holds.select(F.lit("hold").alias("album"), F.col("position").cast(kind).alias("position"), x.canonical_id(F.col("uuid")).alias("uuid")))
+    first = members.groupBy("album", "uuid").agg(F.min("position").alias("position"))
+    made = first.groupBy("album").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("position", "uuid"))).alias("m"))
+    view = F.when(F.startswith("album", F.lit("view-")), F.substring("album", 6, 1 << 20))
+    told = lambda i, other: F.create_map(*[F.lit(y) for k in SNAPSHOT for y in (k, (version_title[k], *SNAPSHOT[k][1:])[i])])[F.col("album")] if other is None else F.coalesce(F.create_map(*[F.lit(y) for k in SNAPSHOT for y in (k, SNAPSHOT[k][i])])[F.col("album")], F.lit(other))
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(y) for kv in (labels or {"": ""}).items() for y in kv]), view), F.lit(OTHER_VIEW))
+    title = F.when(view.isNotNull(), F.concat(view, F.lit(" "), named)).otherwise(told(0, None))
+    count = F.when(F.col("album") == "write-test", F.concat(F.lit(" "), F.col("n").cast("string"))).otherwise(F.concat(F.lit(" — "), F.format_number("n", 0)))
+    place = F.when(view.isNotNull(), F.concat(F.lit("1"), view)).otherwise(F.create_map(*[F.lit(y) for kv in zip(SNAPSHOT, ("0", "2", "3", "4", "5"), strict=True) for y in kv])[F.col("album")])
+    ids = F.transform("m", lambda m: F.concat(m["uuid"], F.lit("/L0/001")))
+    rows = made.select(place.alias("place"), F.concat(title, count).alias("title"), told(1, "version").alias("parent_folder_key"), told(2, "editor").alias("safety_role"), "n", ids.alias("asset_identifiers"), F.col("album") == "write-test")
+    rows = rows.withColumnRenamed(rows.columns[-1], "_test")
+    return rows.select(F.explode(F.when(F.col("_test"), F.array(F.lit("write-test"), F.lit("production"))).otherwise(F.array(F.lit("production")))).alias("plan"), *rows.columns[:-1])
+
+
 def write_members(planned: DataFrame, path: str, keys: list[str]) -> int:
     """Appends the planned rows that the table at path lacks, and says how many; refuses where it holds others.
 

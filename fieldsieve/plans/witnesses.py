@@ -10,9 +10,10 @@ from ..functions import exprs as x
 from ..functions import nested
 from ..operators import evidence as evd
 from ..operators import identity as idt
+from ..operators import library
 from ..operators import receipts as rc
 from ..operators import selection as sel
-from ..sources.proxies import INVENTORY_SQL, table
+from ..sources.proxies import INVENTORY_SQL, inventory, table
 from .catalog import ASSIGN, HOLD_SQL, candidates, query
 
 #: Quotas of which two cannot be met, whatever the size of the tables.
@@ -101,3 +102,20 @@ def q_evidence(spark, d):
 def view_digests(ids):
     row = x.canonical_json({"uuid": F.col("uuid"), "assigned_view": F.col("lang")})
     return idt.fold_digests(ids, ["name"], row, [F.col("lang"), F.col("uuid")], "[", ",", "]").select("name", F.col("digest").alias("whole"))
+
+
+LABELS = {"de": "GERMAN", "en": "ENGLISH", "fr": "FRENCH"}
+
+
+@query(INVENTORY_SQL + f""", own as (select uuid, uuid::bigint as p, primary_view, persons, evidence_confidence from inv where not {HOLD_SQL}), members as (
+  select 'production' as plan, '0' as place, '00 MASTER' as title, 'version' as folder, 'editor' as role, p, uuid from own
+  union all select 'production', '1' || primary_view, primary_view || ' ' || case primary_view when 'de' then 'GERMAN' when 'en' then 'ENGLISH' when 'fr' then 'FRENCH' else 'EDITOR VIEW' end, 'version', 'editor', p, uuid from own
+  union all select 'production', '2', '90 PEOPLE / NAMED ASSOCIATIONS', 'version', 'editor', p, uuid from own where persons <> '' union all select 'production', '3', '91 CONTEXT UNCERTAIN — EDITOR REVIEW', 'version', 'editor', p, uuid from own where evidence_confidence in ('unknown', 'low')
+  union all select 'production', '4', 'v1 — AUTOMATED SAFETY HOLD', 'private', 'hold', uuid::bigint, uuid from inv where {HOLD_SQL}
+), albums as (select plan, place, title || ' — ' || format('{{:,}}', count(*)) as title, folder, role, count(*) as n, string_agg(uuid || '/L0/001', ',' order by p) as ids from members group by plan, place, title, folder, role
+), test as (select '5' as place, 'v1 — WRITE TEST — VERIFIED ' || count(*) as title, 'audit' as folder, 'audit' as role, count(*) as n, string_agg(uuid || '/L0/001', ',' order by (evidence_confidence = 'high') desc, p) as ids from (select * from own order by (evidence_confidence = 'high') desc, p limit 10))
+select plan, place, title, folder as parent_folder_key, role as safety_role, n, ids as asset_identifiers from albums union all select plan, test.* from test, (values ('production'), ('write-test')) w(plan)""")
+def q_snapshot_plan(spark, d):
+    rows = inventory(spark, d).withColumn("position", F.col("uuid").cast("long"))
+    held = sel.is_hold(rows)
+    return library.snapshot_albums(rows.filter(~held), rows.filter(held), LABELS, "v1").withColumn("asset_identifiers", F.array_join("asset_identifiers", ","))

@@ -134,3 +134,14 @@ def test_stream_survives_restarts_repeats_and_late_rows(spark, tmp_path):
     lines(source / "3.json", [("a", "again", "/p/a2"), ("b", "again", "/p/b"), ("c", "again", None)])
     run()
     assert now() == [("a", "again"), ("b", "x"), ("c", "x"), ("d", "y")]
+
+
+def test_snapshots_have_folders_and_are_refused(spark):
+    profile = {"folders": {"root": {"title": "R", "identifier": "id-r"}, "private": {"title": "P"}, "audit": {"title": "A"}}, "workspace_parent": {"title": "W", "identifier": "id-w"}}
+    assert [(f["key"], f["parent_key"]) for f in library.folder_specs(profile, "v1")] == [("workspace_parent", None), ("root", "workspace_parent"), ("version", "root"), ("private", "root"), ("audit", "root")]
+    assert [f["key"] for f in library.folder_specs({"folders": profile["folders"]})] == ["root", "private", "audit"] and library.folder_specs({"folders": profile["folders"]})[0]["existing_identifier"] == "id-r"
+    with pytest.raises(ValueError, match="root, private and audit"):
+        library.folder_specs({"folders": {"root": {}}})
+    master = spark.createDataFrame([("a/L0/001", "why"), ("b", ""), ("a", "why")], "uuid string, selection_reason string")
+    got = {r.check: r.failures for r in library.snapshot_errors(master, spark.createDataFrame([("b/L0/001",), ("c",)], "uuid string"), 2).collect()}
+    assert got == {"rows off target": 1, "repeated ids": 1, "selection reason missing": 1, "overlap with holds": 1}
