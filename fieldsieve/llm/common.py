@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 from ..sources.io import durable as materialize
-from ..sources.io import release, scratch
+from ..sources.io import one_machine, release, scratch
 from ..sources.proxies import table
 
 __all__ = ["materialize", "release", "scratch", "shared_dir", "small_batches", "table"]
@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or on one machine (tests) one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="fieldsieve-")
         spark.sparkContext.setCheckpointDir(path)

@@ -476,6 +476,20 @@ def test_chat_round_trip_and_mask(spark):
     assert got[1].loss == "a\\e<b>[c]again" and got[2].loss == "" and got[None].n_turns == 2 and got[None].loss == "y"
 
 
+def test_chat_takes_empty_tables_long_texts_and_other_columns(spark):
+    none = spark.createDataFrame([], "id long, parent long, score double")
+    assert chat.reply_paths(none).count() == 0
+    assert chat.format_paths(spark.createDataFrame([], "path long, step long, role string, text string")).count() == 0
+    long = "[x]<y>\\ é" * 60_000
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", long if i == 1 else f"turn {i}", "own", "own") for i in range(300)] + [(None, 0, "user", "no id", "own", "own"), (None, 1, "assistant", None, "own", "own")]
+    turns = chat.thread(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, root string"))
+    paths = chat.reply_paths(turns.select("id", "parent", F.lit(1.0).alias("score"))).join(turns.select("id", "role", "text"), "id")
+    out = chat.format_paths(paths.select(F.col("root.conv_id").alias("path"), "step", "role", "text"))
+    got = {r.path: r for r in out.select("path", "n_turns", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert set(got) == {1, None} and got[1].n_turns == 300 and [t.text for t in got[1].turns] == [r[3] for r in rows[:300]]
+    assert got[1].loss == "".join(r[3] for r in rows[1:300:2]) and got[None].n_turns == 2 and got[None].loss == ""
+
+
 def test_reply_trees_choose_the_best_branch(spark):
     edges = [(0, None, 1.0), (1, 0, 5.0), (2, 0, 1.0), (3, 1, 0.0), (4, 2, 9.0), (5, 4, 9.0), (10, 99, 1.0), (20, 21, 1.0), (21, 20, 1.0)] + [(100 + i, 99 + i if i else None, 1.0) for i in range(40)]
     got = collections.defaultdict(dict)
