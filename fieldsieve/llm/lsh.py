@@ -72,13 +72,14 @@ def links(
         if not screen:
             one = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
             return materialize(verify(one.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")))
-        # each step is written, so Spark knows its size: ids of few pairs go to the texts, and only texts of those pairs move
-        left = materialize(screen(pairs))
+        # each step is written, so Spark knows its size: few pairs go to the nodes and the texts, and only texts of pairs that pass move
+        asked = materialize(pairs)
+        left = materialize(screen(asked))
         ids = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         some = materialize(texts.join(ids, "node"))
         one = left.join(some.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         found = materialize(verify(one.join(some.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")))
-        release(left, ids, some)
+        release(asked, left, ids, some)
         return found
 
     def contracted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
