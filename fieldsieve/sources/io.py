@@ -65,6 +65,15 @@ def release(*tables: DataFrame | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a part, where tables are dealt to tasks in parts of bounded size.
+PART_ROWS = 1 << 20
+
+
+def parts_of(df: DataFrame, width: int = 1) -> int:
+    """So many parts that each has PART_ROWS rows of df on average, where each makes ``width`` rows; the session's number of partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * width // PART_ROWS))
+
+
 def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("uuid", "filename")) -> DataFrame:
     """A CSV manifest as texts, blanks for missing values; fails on missing columns or no rows."""
     header = spark.read.text(path).first()

@@ -170,3 +170,15 @@ def test_policy_checks():
     bad.append({"views": [{"id": "01", "label": "x", "quota": 3, "evaluation_mode": "standard"}], "unclassified_view": "01"})
     assert all(io.check_policy(policy(**x)) for x in bad)
     assert [f for f in io.POLICY_FIELDS if not io.check_policy({k: v for k, v in policy().items() if k != f})] == []
+
+
+def test_full_retrieval_reads_its_relations_from_one_table(spark, monkeypatch):
+    from fieldsieve.plans import candidates
+    from fieldsieve.sources import io
+
+    given, real = [], candidates.rt.retrieve
+    monkeypatch.setattr(candidates.rt, "retrieve", lambda a, r, q: given.append(r) or real(a, r, q))
+    monkeypatch.setattr(io, "PART_ROWS", 5000, raising=False)
+    candidates.q_retrieve_full(spark, "/root/testdata/sf0.001")
+    assert hasattr(given[0], "kept_at") and given[0].count() == given[0].distinct().count()
+    assert candidates.archive(spark, "/root/testdata/sf0.001")[1].rdd.getNumPartitions() > 4
