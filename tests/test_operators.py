@@ -182,3 +182,11 @@ def test_full_retrieval_reads_its_relations_from_one_table(spark, monkeypatch):
     candidates.q_retrieve_full(spark, "/root/testdata/sf0.001")
     assert hasattr(given[0], "kept_at") and given[0].count() == given[0].distinct().count()
     assert candidates.archive(spark, "/root/testdata/sf0.001")[1].rdd.getNumPartitions() > 4
+
+
+def test_part_suppliers_are_dealt_to_parts_of_bounded_size(spark, monkeypatch):
+    from fieldsieve.plans import catalog
+
+    monkeypatch.setattr(io, "PART_ROWS", 500, raising=False)
+    links = catalog.q_people_links(spark, "/root/testdata/sf0.001")
+    assert links.rdd.getNumPartitions() > 4 and links.count() == links.distinct().count() > 0
