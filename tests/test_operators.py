@@ -190,3 +190,10 @@ def test_part_suppliers_are_dealt_to_parts_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(io, "PART_ROWS", 500, raising=False)
     links = catalog.q_people_links(spark, "/root/testdata/sf0.001")
     assert links.rdd.getNumPartitions() > 4 and links.count() == links.distinct().count() > 0
+
+
+def test_retrieval_scores_are_dealt_to_parts_of_bounded_size(spark, monkeypatch):
+    from fieldsieve.plans import catalog
+
+    monkeypatch.setattr(io, "PART_ROWS", 500, raising=False)
+    assert catalog.retrieved(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
