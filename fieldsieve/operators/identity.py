@@ -39,8 +39,8 @@ def field(rows: DataFrame, name: str) -> Column:
 def fold_digests(rows: DataFrame, by: list[str], text: Column, order: list[Column], head: str = "", between: str = "", tail: str = "") -> DataFrame:
     """(by, digest, n): of each group the SHA-256 of its texts in order, with ``head`` before, ``between`` between and ``tail`` after them.
 
-    Groups are dealt to tasks and sorted there; without ``by`` there is one row, of no rows too. Null
-    texts are left out.
+    Groups are dealt to tasks and sorted there, rows of one order by their texts, so that a text is held
+    once; without ``by`` there is one row, of no rows too. Null texts are left out.
     """
     keys = [f"_k{i}" for i in range(len(order))]
     made = rows.select(*[F.col(f"`{c}`") for c in by], *[c.alias(k) for k, c in zip(keys, order, strict=True)], text.alias("_text")).filter("_text is not null")
@@ -69,7 +69,7 @@ def fold_digests(rows: DataFrame, by: list[str], text: Column, order: list[Colum
         if state is not None:
             yield told()
 
-    out = placed.sortWithinPartitions(*by, *keys).select(*by, "_text").mapInArrow(fold, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "digest string", "n long"]))
+    out = placed.sortWithinPartitions(*by, *keys, "_text").select(*by, "_text").mapInArrow(fold, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "digest string", "n long"]))
     if by:
         return out
     none = hashlib.sha256((head + tail).encode()).hexdigest()
@@ -94,8 +94,7 @@ def lines_digests(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
 
 def rows_digest(rows: DataFrame, fields: dict[str, Column], order: list[Column]) -> DataFrame:
     """One row (digest, n): SHA-256 of the JSON array of rows in this order, then in that of their texts; fields that are null are left out."""
-    row = x.canonical_json(fields)
-    return fold_digests(rows, [], row, [*order, row], "[", ",", "]")
+    return fold_digests(rows, [], x.canonical_json(fields), order, "[", ",", "]")
 
 
 def assigned(rows: DataFrame) -> Column:

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -197,3 +198,14 @@ def test_retrieval_scores_are_dealt_to_parts_of_bounded_size(spark, monkeypatch)
 
     monkeypatch.setattr(io, "PART_ROWS", 500, raising=False)
     assert catalog.retrieved(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
+
+
+def test_rows_digest_sorts_a_text_once(spark, monkeypatch):
+    from fieldsieve.operators import identity
+
+    orders, real = [], identity.fold_digests
+    monkeypatch.setattr(identity, "fold_digests", lambda rows, by, text, order, *more: orders.append(len(order)) or real(rows, by, text, order, *more))
+    rows = spark.createDataFrame([("a", "2"), ("a", "1"), ("b", "0")], "k string, v string")
+    got = identity.rows_digest(rows, {"k": F.col("k"), "v": F.col("v")}, [F.col("k")]).first()
+    assert orders == [1] and got.n == 3
+    assert got.digest == hashlib.sha256(b'[{"k":"a","v":"1"},{"k":"a","v":"2"},{"k":"b","v":"0"}]').hexdigest()
