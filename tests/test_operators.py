@@ -209,3 +209,14 @@ def test_rows_digest_sorts_a_text_once(spark, monkeypatch):
     got = identity.rows_digest(rows, {"k": F.col("k"), "v": F.col("v")}, [F.col("k")]).first()
     assert orders == [1] and got.n == 3
     assert got.digest == hashlib.sha256(b'[{"k":"a","v":"1"},{"k":"a","v":"2"},{"k":"b","v":"0"}]').hexdigest()
+
+
+def test_term_hits_take_texts_in_small_batches(spark):
+    from fieldsieve.operators import terms
+
+    for name in ("Records", "Bytes"):
+        spark.conf.unset(f"spark.sql.execution.arrow.max{name}PerBatch")
+    texts = spark.range(3000).selectExpr("cast(id as string) as uuid", "'album' as channel", "repeat('ab ', 10) as value")
+    asked = spark.createDataFrame([("v", "album", "ab")], "view string, channel string, term string")
+    assert terms.term_hits(asked, texts).count() == 3000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
