@@ -17,8 +17,9 @@ a passage that a third of all documents hold comes once from each task buffer).
 is left are sorted by most-significant-digit passes, 8 bytes a digit; after each pass suffixes whose
 group holds no second document drop out.
 
-Records travel packed, in blobs of a bucket's columns. The texts are shuffled once (both uses read
-the same exchange) and positions come back as spans.
+Records travel packed, in compressed blobs of a bucket's columns. The texts are shuffled once, each
+compressed (both uses read the same exchange), and positions come back as spans. A document is named by
+its id, and by a hash of its text only where texts differ under one id.
 
 Defined cases: null text is empty; texts under DEPTH bytes lose nothing; texts of any length count
 whole; a null id counts as the greatest; rows with equal ids don't remove from each other, and rows may
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import materialize, small_batches, table
+from .common import materialize, release, small_batches, table
 from .near_dup import text_key
 
 DEPTH, GRAM = 50, 16
@@ -46,6 +47,7 @@ RUN = DEPTH - GRAM + 1  # the most suffixes of a run, so that its first and last
 BUFFER, MOST_DOCS = 3_000_000, 60_000  # records and documents of a task buffer
 CROWD, CROWDS = 4_000, 1 << 16  # an anchor is crowded from so many runs, and at least 1/CROWDS of all runs, on
 SAME = 16  # places of an anchor in documents of one id that a task buffer sends
+FEW = 200_000  # ids with several texts that are broadcast; beyond, all rows carry the hash of their text
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _ODD = tk.stream(41, 16) | _U(1)
@@ -54,6 +56,19 @@ _ODD = tk.stream(41, 16) | _U(1)
 BLOCK = 1 << 15  # positions hashed at once, so that they stay in the cache
 
 
+def squeezed(raw: bytes | np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def released(raw: bytes | pa.Buffer, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
+
+
+def digits(least: np.ndarray) -> np.ndarray:
+    """What an anchor is dealt by; 48 bits of it travel."""
+    return tk.mix(least) >> _U(16) << _U(16)
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position, by doubling; positions near the end have none."""
     out = np.empty(max(0, len(data) - GRAM + 1), _U)
@@ -104,7 +119,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     pieces = -(-n // RUN)  # of runs longer than RUN
     place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin, text, left = np.repeat(begin, pieces) + place * RUN, np.repeat(text, pieces), np.repeat(n, pieces) - place * RUN
-    return {"digit": tk.mix(least[begin]), "doc": some[text], "pos": begin - first[text], "n": np.minimum(left, RUN)}
+    return {"digit": digits(least[begin]), "doc": some[text], "pos": begin - first[text], "n": np.minimum(left, RUN)}
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -119,31 +134,36 @@ def unplanes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
 
 
 #: Columns of packed records and their bytes. The digit comes first and ascends, so only its steps are kept. m: runs that a record stands for.
-WIDTHS = (("digit", 8), ("doc", 2), ("pos", 4), ("n", 1), ("m", 4))
+WIDTHS = (("digit", 6), ("doc", 2), ("pos", 4), ("n", 1), ("m", 4))
 RAW_WIDTHS = (("doc", 2), ("pos", 4), ("n", 1))
 
 
-def pack(part: dict[str, np.ndarray], ids: np.ndarray, keys: np.ndarray, widths=WIDTHS) -> bytes:
-    """A blob of records and of the documents they name."""
+def pack(part: dict[str, np.ndarray], ids: np.ndarray, keys: np.ndarray, widths=WIDTHS, rest: bytes = b"") -> bytes:
+    """A blob of records, of the documents they name (by id, so that steps of ids are small), and of other bytes."""
     used, doc = np.unique(part["doc"], return_inverse=True)
+    by = np.argsort(ids[used], kind="stable")
+    used, place = used[by], np.argsort(by)
     head = np.array([len(doc), len(used)], np.int64).tobytes()
-    columns = part | {"doc": doc}
+    columns = part | {"doc": place[doc]}
     if "digit" in part:
-        columns["digit"] = np.diff(part["digit"].astype(_U), prepend=_U(0))
-    return head + ids[used].tobytes() + keys[used].tobytes() + b"".join(planes(columns[c], w) for c, w in widths)
-
-
-def unpack(raw: bytes, widths=WIDTHS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, int]:
-    """Records, ids and keys of a blob, and where it ends."""
-    n, d = np.frombuffer(raw, np.int64, 2)
-    ids, keys = np.frombuffer(raw, np.int64, d, 16), np.frombuffer(raw, np.int64, d, 16 + 8 * d)
-    at, part = 16 + 16 * int(d), {}
+        columns["digit"] = np.diff(part["digit"].astype(_U) >> _U(16), prepend=_U(0))
+    named = planes(np.diff(ids[used].astype(_U), prepend=_U(0)), 8) + planes(keys[used], 8)
+    whole = head + named + b"".join(planes(columns[c], w) for c, w in widths) + rest
+    return np.int64(len(whole)).tobytes() + squeezed(whole)
+
+
+def unpack(blob: bytes, widths=WIDTHS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, bytes]:
+    """Records, ids, keys and other bytes of a blob."""
+    raw = released(pa.py_buffer(blob)[8:], int(np.frombuffer(blob, np.int64, 1)[0]))
+    n, d = map(int, np.frombuffer(raw, np.int64, 2))
+    ids, keys = np.cumsum(unplanes(raw, 16, d, 8)).view(np.int64), unplanes(raw, 16 + 8 * d, d, 8).view(np.int64)
+    at, part = 16 + 16 * d, {}
     for c, w in widths:
-        part[c] = unplanes(raw, at, int(n), w)
-        at += int(n) * w
+        part[c] = unplanes(raw, at, n, w)
+        at += n * w
     if "digit" in part:
-        part["digit"] = np.cumsum(part["digit"])
-    return part, ids, keys, at
+        part["digit"] = np.cumsum(part["digit"]) << _U(16)
+    return part, ids, keys, raw[at:]
 
 
 def edges(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -163,7 +183,8 @@ class Buffer:
     def add(self, part: dict[str, np.ndarray], ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.records and sum(map(len, self.ids)) + len(ids) > MOST_DOCS:
             yield from self.send()
-        self.parts.append(part | {"doc": part["doc"] + sum(map(len, self.ids))})
+        doc = part["doc"] + sum(map(len, self.ids))
+        self.parts.append({"digit": part["digit"], "doc": doc.astype(np.int32), "pos": part["pos"].astype(np.uint32), "n": part["n"].astype(np.uint8)})
         self.ids.append(ids)
         self.keys.append(keys)
         self.records += len(part["doc"])
@@ -185,7 +206,7 @@ class Buffer:
         shared = np.repeat(own[begin] < own[begin + size - 1], size)
         size = np.repeat(size, size)
         left = np.where(shared, (place == 0) | (place == size - 1), place < SAME)
-        part["m"] = np.where(place == 0, size, 0)
+        part["m"] = np.where(place == 0, size, 0).astype(np.uint32)
         done = np.flatnonzero(~left)
         left = np.flatnonzero(left)
         bucket = (part["digit"][left] >> _U(64 - self.bits)).astype(np.int64)
@@ -256,9 +277,9 @@ def by_bucket(batches: Iterator[pa.RecordBatch], crowd: int, state: int) -> Iter
             if blob is not None:
                 held.append(unpack(blob)[:3])
             if raw is not None:
-                *one, end = unpack(raw, RAW_WIDTHS)
+                *one, text = unpack(raw, RAW_WIDTHS)
                 raws.append(one)
-                texts.append(raw[end:])
+                texts.append(text)
             if done is not None:
                 part, ids, keys, _ = unpack(done, RAW_WIDTHS)
                 yield found(part, ids, keys, np.arange(len(part["doc"])), state)
@@ -306,14 +327,12 @@ def equal_runs(data: np.ndarray, h: np.ndarray, begin: np.ndarray, n: np.ndarray
 
 def radix_groups(data: np.ndarray, at: np.ndarray, own: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of at, ordered by group and the DEPTH bytes from there, and where equal strings begin; only those that documents of different ids share."""
-    data = np.append(data, np.zeros(8, np.uint8)).astype(_U)
-    word = np.zeros(len(data) - 8, _U)
-    for i in range(8):
-        word |= data[i : i + len(word)] << _U(56 - 8 * i)
+    data = np.append(data, np.zeros(8, np.uint8))
+    word = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))  # the 8 bytes from each place, not copied
     live = np.arange(len(at))
     new = np.zeros(0, bool)
     for depth in range(0, DEPTH, 8):
-        digit = word[at[live] + depth]
+        digit = word[at[live] + depth].astype(_U)
         if DEPTH - depth < 8:
             digit = digit >> _U(8 * (8 - DEPTH + depth))
         order = np.lexsort((digit, group))
@@ -336,6 +355,7 @@ def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) ->
     h = gram_hashes(data)
     anchor = anchors(h, begin)
     covered = equal_runs(data, h, begin, n, anchor, own)
+    del h
     yield found(part, ids, keys, np.flatnonzero(covered), CLOSED)
     left = np.flatnonzero(~covered)
     left = left[np.argsort(anchor[left], kind="stable")]
@@ -364,7 +384,7 @@ def anchors(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     least = np.full(len(begin), _U(0xFFFFFFFFFFFFFFFF))
     for i in range(RUN):
         np.minimum(least, h[begin + i], out=least)
-    return tk.mix(least)
+    return digits(least)
 
 
 def cut_crowded(h: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray]:
@@ -379,7 +399,7 @@ def cut_crowded(h: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarray,
     next_ = np.full(len(at), _U(0xFFFFFFFFFFFFFFFF))
     for i in range(RUN):
         x = h[at + i]
-        next_ = np.minimum(next_, np.where(tk.mix(x) == digit[run], next_, x))
+        next_ = np.minimum(next_, np.where(digits(x) == digit[run], next_, x))
     new = edges(run, next_)
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(run)))
@@ -398,20 +418,18 @@ def raw_blobs(data: np.ndarray, begin: np.ndarray, part: dict, ids: np.ndarray,
     bucket = (digit >> _U(64 - bits)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.append(edges(bucket[by]), True)) if len(by) else np.zeros(1, np.int64)
-    length = part["n"][by] + DEPTH - 1
-    ends = np.concatenate(([0], np.cumsum(length)))
-    at = np.repeat((begin[by] - ends[:-1]).astype(np.int32), length)  # data is bounded by RAW_BUFFER and one batch
-    at += np.arange(ends[-1], dtype=np.int32)
-    moved = data[at]
-    del at
+    del h
     blobs = []
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
+    for a, b in zip(edge[:-1], edge[1:], strict=True):  # the bytes of one blob at a time
         some = by[a:b]
-        blobs.append(pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS) + moved[ends[a] : ends[b]].tobytes())
+        length = part["n"][some] + DEPTH - 1
+        ends = np.cumsum(length)
+        at = np.repeat(begin[some] - ends + length, length) + np.arange(ends[-1])
+        blobs.append(pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS, data[at].tobytes()))
     yield sent(bucket[by][edge[:-1]], raw=blobs)
 
 
-RAW_BUFFER = 16 << 20  # bytes of text whose open runs are packed together
+RAW_BUFFER = 8 << 20  # bytes of text whose open runs are packed together
 
 
 def joined_raw(waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray, dict, np.ndarray, np.ndarray]:
@@ -422,9 +440,37 @@ def joined_raw(waiting: list[tuple]) -> tuple[np.ndarray, np.ndarray, dict, np.n
     return np.concatenate(datas), np.concatenate([x + a for x, a in zip(begins, at, strict=False)]), part, np.concatenate(ids), np.concatenate(keys)
 
 
+#: Never null, so that no join adds a filter and both read one exchange.
+PACKED = "doc long not null, key long not null, none boolean not null, n_bytes long not null, packed binary not null"
+
+
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's bytes, compressed."""
+    for batch in batches:
+        data, offsets = tk.utf8(batch.column("text"))
+        packed = [squeezed(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), batch.column("none"), pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], names=["doc", "key", "none", "n_bytes", "packed"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, the bytes of their texts and where each begins (with the end); few rows at a time where texts are long."""
+    for batch in batches:
+        size = batch.column("n_bytes").to_numpy()
+        ends, at = np.cumsum(size), 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + RAW_BUFFER, side="right")))
+            texts = [released(x.as_buffer(), int(n)) for x, n in zip(batch.column("packed")[at:to], size[at:to], strict=True)]
+            yield batch.slice(at, to - at), np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(size[at:to])))
+            at = to
+
+
+def spans_of(found: DataFrame, name: str) -> DataFrame:
+    """(doc, key, spans): a span is the start of the first string and, in the last 6 bits, their number, RUN at most."""
+    return found.groupBy("doc", "key").agg(F.collect_set(F.col("start") * 64 + F.col("n")).alias(name))
+
+
 def removed_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): docs (doc, key, text) as dealt out by doc and key, and (doc, key, spans) of
-    covered strings, each span the start of the first string and their number."""
+    """(texts, spans): docs (doc, key, none, text) as dealt out by doc and key (PACKED), and (doc, key, spans) of covered strings."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, (2 * n - 1).bit_length())
@@ -448,14 +494,11 @@ def removed_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataF
 
     def send_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
-        for batch in batches:
+        for batch, data, offsets in unpacked(batches):
             opened = batch.column("open")
-            each, flat = np.diff(opened.offsets.to_numpy()), opened.flatten()
-            if not len(flat):
-                continue
-            data, offsets = tk.utf8(batch.column("text"))
+            each, flat = np.diff(opened.offsets.to_numpy()), opened.flatten().to_numpy()
             doc = np.repeat(np.arange(batch.num_rows), each)
-            pos, count = flat.field("start").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
+            pos, count = flat >> 6, flat & 63
             waiting.append((data, offsets[doc] + pos, {"doc": doc, "pos": pos, "n": count}, *columns(batch)))  # several batches make a blob, so that blobs are worth their heads
             size += len(data)
             if size >= RAW_BUFFER or sum(len(x[3]) for x in waiting) > MOST_DOCS:
@@ -464,29 +507,41 @@ def removed_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataF
         if waiting:
             yield from raw_blobs(*joined_raw(waiting), bits, crowds)
 
-    texts = docs.repartition(n, "doc", "key")
-    opened = first.filter(F.col("open") == OPEN).select("doc", "key", F.struct("start", "n").alias("span")).groupBy("doc", "key").agg(F.collect_set("span").alias("open"))
+    texts = docs.mapInArrow(packed_texts, PACKED).repartition(n, "doc", "key")
+    opened = spans_of(first.filter(F.col("open") == OPEN), "open")
     # the same columns of texts as in the end, so that both joins read one exchange
-    second = dealt(texts.join(opened.hint("shuffle_hash"), ["doc", "key"]).select(*docs.columns, "open").mapInArrow(send_open, SENT))
+    second = dealt(texts.join(opened.hint("shuffle_hash"), ["doc", "key"]).select(*texts.columns, "open").mapInArrow(send_open, SENT))
     second = second.mapInArrow(lambda b: by_bucket(b, crowd, CLOSED), SPANS)
-    return texts, second.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    return texts, spans_of(second, "spans")
+
+
+def named(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """rows (doc, key, ...) with key 0 where all texts of an id are the same."""
+    several = materialize(rows.groupBy("doc").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a <> _b").select("doc", F.lit(True).alias("_several")))
+    n = several.limit(few + 1).count()
+    if n > few:
+        release(several)
+        return rows
+    own = F.when(F.col("_several"), F.col("key")).otherwise(F.lit(0).cast("long")) if n else F.lit(0).cast("long")
+    met = rows.join(F.broadcast(several), "doc", "left") if n else rows
+    return met.select(*[own.alias(c) if c == "key" else c for c in rows.columns])
 
 
 def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs (doc_id, text)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("none"))
-    texts, spans = removed_spans(rows, crowd)
+    texts, spans = removed_spans(named(rows), crowd)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tk.utf8(batch.column("text"))
+        for batch, data, offsets in unpacked(batches):
             out = []
-            for i, own in enumerate(batch.column("spans").to_pylist()):
+            for i, own in enumerate(batch.column("spans")):
                 body = data[offsets[i] : offsets[i + 1]]
                 edge = np.zeros(len(body) + 1, np.int32)
-                for x in own or ():
-                    edge[x["start"]] += 1
-                    edge[x["start"] + x["n"] - 1 + DEPTH] -= 1
+                if own.is_valid:
+                    span = own.values.to_numpy()
+                    np.add.at(edge, span >> 6, 1)
+                    np.add.at(edge, (span >> 6) + (span & 63) - 1 + DEPTH, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 out.append((len(body), int(gone.sum()), spans, body[~gone].tobytes()))
@@ -494,7 +549,7 @@ def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
             ids = pa.compute.if_else(batch.column("none"), pa.scalar(None, pa.int64()), batch.column("doc"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = texts.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select(*rows.columns, "spans")
+    joined = texts.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select(*texts.columns, "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
