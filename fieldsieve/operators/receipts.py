@@ -114,8 +114,8 @@ COMPARED = ("plan_id", "source_album_identifier", "source_count", "source_identi
 
 def receipt_errors(rows: DataFrame) -> Column:
     """Why a receipt (RECEIPT_FIELDS, source_count, execution_fingerprint, folders, albums) cannot be used; empty if it can."""
-    blank = lambda c: x.strip(c) == ""
-    lacks = lambda items, f: F.exists(items, lambda i: x.strip(i[f]) == "")
+    blank = x.is_blank
+    lacks = lambda items, f: F.exists(items, lambda i: blank(i[f]))
     repeats = lambda items, f: F.size(F.array_distinct(F.transform(items, lambda i: i[f]))) < F.size(items)
     none = lambda c: F.coalesce(F.size(c) < 1, F.lit(True))
     checks = [(blank(F.col(c)), f"{c} is missing") for c in RECEIPT_FIELDS]
@@ -129,7 +129,7 @@ def receipt_errors(rows: DataFrame) -> Column:
         items = F.coalesce(F.col(name), F.array())
         checks += [(none(name), f"{name} are missing")]
         checks += [(lacks(items, f), f"{kind} lacks {f}") for f in fields]
-        checks += [(F.exists(items, lambda i: (x.strip(i["identifier"]) != "") & ~x.has_format(i["identifier"], "catalog-id")), f"{kind} identifier is malformed")]
+        checks += [(F.exists(items, lambda i: ~blank(i["identifier"]) & ~x.has_format(i["identifier"], "catalog-id")), f"{kind} identifier is malformed")]
         checks += [(repeats(items, f), f"{kind} {f} repeats") for f in keys]
     checks += [(F.exists(F.coalesce(F.col("albums"), F.array()), lambda a: F.coalesce(a["count"] < 1, F.lit(True))), "album count must be positive")]
     return x.reasons(*checks)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldsieve.functions import exprs as x
 from fieldsieve.functions import nested
 from fieldsieve.operators import library, receipts, selection
 from fieldsieve.streaming import inspections
@@ -145,3 +146,17 @@ def test_snapshots_have_folders_and_are_refused(spark):
     master = spark.createDataFrame([("a/L0/001", "why"), ("b", ""), ("a", "why")], "uuid string, selection_reason string")
     got = {r.check: r.failures for r in library.snapshot_errors(master, spark.createDataFrame([("b/L0/001",), ("c",)], "uuid string"), 2).collect()}
     assert got == {"rows off target": 1, "repeated ids": 1, "selection reason missing": 1, "overlap with holds": 1}
+
+
+def test_receipts_are_made_with_one_shuffle_of_numbers(spark):
+    from fieldsieve.plans import witnesses
+
+    plan = witnesses.executions(spark, "/root/testdata/sf0.001", True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # two before, of lines as texts
+
+
+def test_blank_is_what_strip_leaves_nothing_of(spark):
+    texts = [None, "", " ", "\n", "\t\r\n \x0b\x0c", " a", "a\n", "\u00a0", "\n\n", "\x1c", "\u2028", "\x85", "\x00"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(x.is_blank(F.col("t")).alias("blank"), (x.strip(F.col("t")) == "").alias("strip")).collect()
+    assert [r.blank for r in got] == [r.strip for r in got] and sum(r.blank for r in got) == 6
