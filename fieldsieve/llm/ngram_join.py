@@ -42,6 +42,8 @@ SHINGLE, PERCENT = 4, 85
 CELL_BITS = 22
 #: Members whose texts are fetched by a broadcast of their ids (some 40 bytes each); beyond, documents are shuffled.
 FEW = 200_000
+#: Cells that screen prefixes for tokens: 2^26, eight megabytes as bits, so 1 in 7 others passes at 10 million tokens.
+SCREEN_BITS, _BITMAP = 26, 1 << 15  # bits of a value of bitmap_construct_agg
 _CHUNK = 1 << 16
 _HELD = 1 << 22
 _U = np.uint64
@@ -160,13 +162,41 @@ def sets(docs: DataFrame, ranks: Broadcast, percent: int = PERCENT) -> DataFrame
     return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(work, f"doc_id {kind}, {SETS}")
 
 
+def token_bits(tokens: DataFrame) -> np.ndarray:
+    """A bit for each cell (the first SCREEN_BITS bits) that a token falls into, least bit of a byte first."""
+    cell = F.shiftrightunsigned("token", 64 - SCREEN_BITS)
+    met = tokens.groupBy(F.floor(cell / _BITMAP).cast("int").alias("chunk")).agg(F.bitmap_construct_agg(cell % _BITMAP).alias("bits"))
+    out = np.zeros((1 << SCREEN_BITS) // 8, np.uint8)
+    for r in met.collect():  # SCREEN_BITS bounds it
+        out[r.chunk * (_BITMAP // 8) : (r.chunk + 1) * (_BITMAP // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def with_tokens(groups: DataFrame, bits: Broadcast) -> DataFrame:
+    """groups (grp, n, prefix) with what of a prefix falls into these cells; groups without are left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            s = prefix.flatten().to_numpy().view(_U)
+            cell = (s >> _U(64 - SCREEN_BITS)).astype(np.int64)
+            some = (bits.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+            ends = np.concatenate(([0], np.cumsum(some)))[prefix.offsets.to_numpy() - prefix.offsets[0].as_py()]
+            left = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s[some].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("n"), left], names=["grp", "n", "prefix"]).filter(pa.array(np.diff(ends) > 0))
+
+    return groups.select("grp", "n", "prefix").mapInArrow(work, "grp binary, n long, prefix array<long>")
+
+
 def group_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, grp): groups (grp, n, prefix) under the tokens on which they meet another group of a size
-    that allows a link; of tokens on which the same groups meet, one."""
-    postings = groups.select("grp", "n", F.explode("prefix").alias("token"))
-    met = postings.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("grp")).alias("x"), F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("y")).filter("c > 1")
+    """(token, grp): groups (grp, n, prefix; repeated or not) under the tokens on which they meet another group of
+    a size that allows a link; of tokens on which the same groups meet, one."""
+    postings = lambda rows: rows.dropDuplicates(["grp"]).select("grp", "n", F.explode("prefix").alias("token"))
+    met = postings(groups).groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("grp")).alias("x"), F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("y")).filter("c > 1")
     tokens = materialize(met.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"))
-    live = materialize(postings.join(tokens, "token"))
+    # few shingles are tokens: prefixes are screened where they are read, before any of them moves
+    bits = groups.sparkSession.sparkContext.broadcast(token_bits(tokens))
+    live = materialize(postings(with_tokens(groups, bits)).join(tokens, "token"))
     release(tokens)
     # sizes under a token are few, whatever the number of groups
     near = Window.partitionBy("token").orderBy("n")
@@ -227,7 +257,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     worded = found.filter("member is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     members = materialize(worded.groupBy("member").agg(first.alias("_m"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("parity").alias("parity")).select("member", "grp", "n", "parity", F.col("_m.doc_id").alias("doc"), F.col("_m.text_key").alias("doc_key")))
-    met = group_pairs(worded.select("grp", "n", "prefix").dropDuplicates(["grp"]), percent)
+    met = group_pairs(worded.select("grp", "n", "prefix"), percent)
     inside = members.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select("grp", F.xxhash64("grp").alias("token"))
     keys = members.select("member", "grp", "n").join(met.unionByName(inside), "grp").groupBy(F.col("member").alias("node")).agg(F.first("n").cast("double").alias("size"), F.array_sort(F.collect_set("token")).alias("keys"))
     nodes = materialize(keys)

@@ -224,3 +224,17 @@ def test_queries_return_their_contracts(spark):
     white = registry.QUERIES["op13_whitening"](spark, SF)
     kinds = {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"}
     assert kinds.items() <= dict(white.dtypes).items() and white.filter("deviation is null or deviation <> deviation_exact").isEmpty()
+
+
+def test_prefixes_are_screened_before_they_move(spark):
+    rng = random.Random(71)
+    prefix = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(9))] for _ in range(300)]
+    tokens = {v for p in prefix for v in p[:1]}
+    bits = ngram_join.token_bits(spark.createDataFrame([(t,) for t in tokens], "token long"))
+    rows = spark.createDataFrame([(bytes([i % 256, i // 256]), len(p), p) for i, p in enumerate(prefix)], "grp binary, n long, prefix array<long>")
+    got = {r.grp: r.prefix for r in ngram_join.with_tokens(rows, spark.sparkContext.broadcast(bits)).collect()}
+    assert got.keys() == {bytes([i % 256, i // 256]) for i, p in enumerate(prefix) if p}
+    for i, p in enumerate(prefix):
+        kept = got.get(bytes([i % 256, i // 256]), [])
+        assert [v for v in kept if v in tokens] == [v for v in p if v in tokens] and set(kept) <= set(p)
+    assert sum(map(len, got.values())) < len(tokens) + 5  # all of the prefixes moved before
