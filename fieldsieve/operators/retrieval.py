@@ -182,7 +182,8 @@ def retrieve(assets: DataFrame, relations: DataFrame, request: dict[str, Any]) -
     label, place, search; labels are looked up by ``label`` and reported by ``label-name`` where there is
     one. Albums that hold an excluded term score nothing and are not reported. Takes of the views come
     first, then favourites, edits and faces up to the target, then rows from outside the prior corpus
-    come in for the weakest inside it.
+    come in for the weakest inside it. All that match are ranked, and all favourites, edits and faces that are
+    not taken; a request may name a maximum_candidates_per_view of its own.
     """
     if wrong := check_request(request):
         raise ValueError("; ".join(wrong))
@@ -198,15 +199,16 @@ def retrieve(assets: DataFrame, relations: DataFrame, request: dict[str, Any]) -
     scores = view_scores(matches.withColumn("reason", named))
     spans = {str(v["id"]): (v.get("year_start"), v.get("year_end")) for v in request["views"] if v.get("year_start") is not None or v.get("year_end") is not None}
     scores = year_bonus(scores, assets.select("uuid", "year"), spans) if spans else scores
-    most = request.get("maximum_candidates_per_view")
-    scores = durable(pruned(scores, {v: int(most or max(12000, 18 * max(1, math.ceil(q * multiplier)))) for v, q in quotas.items()}, seed).drop("rank"))
+    if most := request.get("maximum_candidates_per_view"):
+        scores = pruned(scores, int(most), seed).drop("rank")
+    scores = durable(scores)
     if not (lost := scores.select("uuid").join(assets.select("uuid"), "uuid", "left_anti")).isEmpty():
         raise ValueError(f"relations name assets that there are not: {lost.first().uuid}")
     total = scores.groupBy("uuid").agg(F.max("score").alias("best")).join(assets.select("uuid", attention(assets).alias("attention")), "uuid").select("uuid", (F.col("best") + F.col("attention")).alias("score"))
     chosen = durable(view_take(scores, assets, quotas, multiplier, seed).orderBy("place", "rank").limit(target).select("uuid"))
     if (needed := target - chosen.count()) > 0:
         flags = x.truthy(F.col("favorite")).cast("int") + x.truthy(F.col("edited")).cast("int")
-        more = seen.filter((flags > 0) | (F.col("face_count") > 0)).select("uuid", flags.alias("_flags"), "face_count").orderBy(F.desc("_flags"), F.desc("face_count"), "uuid").limit(4 * needed)
+        more = seen.filter((flags > 0) | (F.col("face_count") > 0)).select("uuid", flags.alias("_flags"), "face_count")
         more = more.join(chosen, "uuid", "left_anti").orderBy(F.desc("_flags"), F.desc("face_count"), "uuid").limit(needed)
         chosen = durable(chosen.unionByName(more.select("uuid")))
     if chosen.isEmpty():

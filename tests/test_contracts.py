@@ -316,3 +316,23 @@ def test_quotas_of_a_hot_view_are_cut_before_they_move(spark):
     assert plan.count("WindowGroupLimit") >= 2  # partial, where rows are read, and final
     top = {r.uuid for r in rows.filter("primary_view = 'hot'").orderBy(F.desc("score"), "uuid").limit(2000).collect()}
     assert {r.uuid for r in got.filter("primary_view = 'hot'").collect()} == top
+
+
+RETRIEVED = "uuid string, is_photo boolean, hidden boolean, trashed boolean, favorite boolean, edited boolean, face_count int, year int, text string"
+
+
+def test_retrieval_ranks_all_that_match(spark):
+    liked = [(f"z{i}", True, False, False, True, True, 0, 2000, "boat") for i in range(4)]
+    others = spark.range(12_050).selectExpr("concat('a', id) as uuid", "true as is_photo", "false as hidden", "false as trashed", "false as favorite", "false as edited", "0 as face_count", "2000 as year", "'red boat' as text")
+    request = {"target": 4, "seed": 5, "candidate_multiplier": 1, "views": [{"id": "w", "quota": 4, "terms": ["red", "boat"]}]}
+    relations = spark.createDataFrame([], "uuid string, channel string, value string")
+    take = lambda **more: {r.uuid for r in retrieval.retrieve(others.unionByName(spark.createDataFrame(liked, RETRIEVED)), relations, request | more).collect()}
+    assert take() == {"z0", "z1", "z2", "z3"}  # the least scores, the best with attention
+    assert not take(maximum_candidates_per_view=12_000) & {"z0", "z1", "z2", "z3"}  # a limit that the request names
+
+
+def test_retrieval_fills_up_from_all_that_are_not_taken(spark):
+    assets = [(f"a{i}", True, False, False, True, True, 0, 2000, "boat") for i in range(8)] + [(f"b{i}", True, False, False, True, False, i, 2000, "tree") for i in range(5)]
+    request = {"target": 10, "seed": 5, "candidate_multiplier": 1, "views": [{"id": "w", "quota": 10, "terms": ["boat"]}]}
+    got = retrieval.retrieve(spark.createDataFrame(assets, RETRIEVED), spark.createDataFrame([], "uuid string, channel string, value string"), request)
+    assert {r.uuid for r in got.collect()} == {*(f"a{i}" for i in range(8)), "b3", "b4"}
