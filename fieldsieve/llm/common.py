@@ -16,10 +16,10 @@ __all__ = ["materialize", "release", "scratch", "shared_dir", "small_batches", "
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = 32 << 20) -> None:
     """Bound the memory of Arrow batches of whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,6 +17,9 @@ a passage that a third of all documents hold comes once from each task buffer).
 is left are sorted by most-significant-digit passes, 8 bytes a digit; after each pass suffixes whose
 group holds no second document drop out.
 
+Memory. A task holds the records of its buffer, or the runs of one bucket with their bytes; what is made
+of them (hashes of grams, suffixes, blobs to send) is made a share at a time.
+
 Records travel packed, in compressed blobs of a bucket's columns. The texts are shuffled once, each
 compressed (both uses read the same exchange), and positions come back as spans. A document is named by
 its id, and by a hash of its text only where texts differ under one id.
@@ -46,6 +49,8 @@ DEPTH, GRAM = 50, 16
 RUN = DEPTH - GRAM + 1  # the most suffixes of a run, so that its first and last string cover it
 BUFFER, MOST_DOCS = 3_000_000, 60_000  # records and documents of a task buffer
 CROWD, CROWDS = 4_000, 1 << 16  # an anchor is crowded from so many runs, and at least 1/CROWDS of all runs, on
+SHARE = 2 << 20  # bytes that are hashed, unpacked or sent at once
+SUFFIXES = 1 << 19  # suffixes that are ordered at once, or those of one anchor
 SAME = 16  # places of an anchor in documents of one id that a task buffer sends
 FEW = 200_000  # ids with several texts that are broadcast; beyond, all rows carry the hash of their text
 NO_ID = (1 << 63) - 1
@@ -95,6 +100,21 @@ def least_hashes(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def shares(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Rows from where to where, as many at a time as have so much together, or one."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + most, side="right")))
+        yield at, to
+        at = to
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of these ranges end to end, and where each begins."""
+    ends = np.cumsum(length)
+    return data[np.repeat(begin - ends + length, length) + np.arange(length.sum())], ends - length
+
+
 def string_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hash of the DEPTH bytes from each of these positions, from overlapping gram hashes."""
     total = np.zeros(len(at), _U)
@@ -174,8 +194,11 @@ def edges(*sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
+SLICES = 4  # bits of the digit by which a buffer is sorted and sent in slices; buckets have more
+
+
 class Buffer:
-    """Runs of one task; when full, sent as blobs of records, few for each anchor."""
+    """Runs of one task; when full, sent as blobs of records, few for each anchor, a slice of the digits at a time."""
 
     def __init__(self, bits: int):
         self.bits, self.parts, self.ids, self.keys, self.records = bits, [], [], [], 0
@@ -194,26 +217,28 @@ class Buffer:
     def send(self) -> Iterator[pa.RecordBatch]:
         if not self.records:
             return
-        part = {c: np.concatenate([p[c] for p in self.parts]) for c, _ in WIDTHS if c != "m"}
+        part = {c: np.concatenate([p.pop(c) for p in self.parts]) for c, _ in WIDTHS if c != "m"}
         ids, keys = np.concatenate(self.ids), np.concatenate(self.keys)
         self.parts, self.ids, self.keys, self.records = [], [], [], 0
-        order = np.lexsort((own := ids[part["doc"]], part["digit"]))
-        part, own = {c: x[order] for c, x in part.items()}, own[order]
-        new = edges(part["digit"])
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(own)))
-        place = np.arange(len(own)) - np.repeat(begin, size)
-        shared = np.repeat(own[begin] < own[begin + size - 1], size)
-        size = np.repeat(size, size)
-        left = np.where(shared, (place == 0) | (place == size - 1), place < SAME)
-        part["m"] = np.where(place == 0, size, 0).astype(np.uint32)
-        done = np.flatnonzero(~left)
-        left = np.flatnonzero(left)
-        bucket = (part["digit"][left] >> _U(64 - self.bits)).astype(np.int64)
-        edge = np.flatnonzero(np.append(edges(bucket), True))
-        blobs = [pack({c: part[c][left[a:b]] for c, _ in WIDTHS}, ids, keys) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        yield sent(bucket[edge[:-1]], blob=blobs)
-        yield from ride_along(part, done, ids, keys, self.bits)
+        top, done = (part["digit"] >> _U(64 - SLICES)).astype(np.uint8), []
+        for i in range(1 << SLICES):
+            some = np.flatnonzero(top == i)
+            own, digit = ids[part["doc"][some]], part["digit"][some]
+            order = np.lexsort((own, digit))
+            some, own, digit = some[order], own[order], digit[order]
+            begin = np.flatnonzero(edges(digit))
+            size = np.diff(np.append(begin, len(own)))
+            place = np.arange(len(own)) - np.repeat(begin, size)
+            shared = np.repeat(own[begin] < own[begin + size - 1], size)
+            size = np.repeat(size, size)
+            left = np.where(shared, (place == 0) | (place == size - 1), place < SAME)
+            done.append(some[~left])
+            few = {c: part[c][some[left]] for c in part} | {"m": np.where(place == 0, size, 0)[left].astype(np.uint32)}
+            bucket = (few["digit"] >> _U(64 - self.bits)).astype(np.int64)
+            edge = np.flatnonzero(np.append(edges(bucket), True)) if len(bucket) else np.zeros(1, np.int64)
+            blobs = [pack({c: few[c][a:b] for c, _ in WIDTHS}, ids, keys) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield sent(bucket[edge[:-1]], blob=blobs)
+        yield from ride_along(part, np.concatenate(done), ids, keys, self.bits)
 
 
 def ride_along(part: dict[str, np.ndarray], some: np.ndarray, ids: np.ndarray, keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
@@ -266,8 +291,10 @@ def by_bucket(batches: Iterator[pa.RecordBatch], crowd: int, state: int) -> Iter
         if held:
             yield from first_pass(*together(held), crowd)
         if raws:
-            yield from raw_pass(*together(raws), np.frombuffer(b"".join(texts), np.uint8))
-        held.clear(), raws.clear(), texts.clear()
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            texts.clear()
+            yield from raw_pass(*together(raws), data)
+        held.clear(), raws.clear()
 
     for batch in batches:
         for bucket, blob, done, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blob", "done", "raw")), strict=True):
@@ -310,11 +337,24 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarra
     return out
 
 
-def equal_runs(data: np.ndarray, h: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, own: np.ndarray) -> np.ndarray:
+def run_keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The digit of each run, and a hash of its first and last string and number; a share of the data is hashed at a time."""
+    digit, shape = np.empty(len(begin), _U), np.empty(len(begin), _U)
+    by = np.argsort(begin, kind="stable")
+    edge = np.searchsorted(begin[by], np.arange(0, len(data) + SHARE, SHARE))
+    for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        if a < b:
+            some, h = by[a:b], gram_hashes(data[i * SHARE : (i + 1) * SHARE + DEPTH + RUN])
+            here = begin[some] - i * SHARE
+            digit[some] = anchors(h, here)
+            shape[some] = string_hashes(h, here) * _ODD[1] + string_hashes(h, here + n[some] - 1) * _ODD[3] + n[some].astype(_U)
+    return digit, shape
+
+
+def equal_runs(data: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, shape: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Which runs equal, byte by byte, a run of a smaller id among these."""
     if not len(begin):
         return np.zeros(0, bool)
-    shape = string_hashes(h, begin) * _ODD[1] + string_hashes(h, begin + n - 1) * _ODD[3] + n.astype(_U)
     order = np.lexsort((own, shape, anchor))
     new = edges(anchor[order], shape[order])
     head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -352,10 +392,8 @@ def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) ->
     n = part["n"].astype(np.int64)
     begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
     own = ids[part["doc"].astype(np.int64)]
-    h = gram_hashes(data)
-    anchor = anchors(h, begin)
-    covered = equal_runs(data, h, begin, n, anchor, own)
-    del h
+    anchor, shape = run_keys(data, begin, n)
+    covered = equal_runs(data, begin, n, anchor, shape, own)
     yield found(part, ids, keys, np.flatnonzero(covered), CLOSED)
     left = np.flatnonzero(~covered)
     left = left[np.argsort(anchor[left], kind="stable")]
@@ -363,8 +401,16 @@ def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) ->
     if not len(start):
         return
     size = np.diff(np.append(start, len(left)))
-    more = np.repeat(np.minimum.reduceat(own[left], start) < np.maximum.reduceat(own[left], start), size)
-    left, group = left[more], np.repeat(np.arange(len(start)), size)[more]
+    many = np.minimum.reduceat(own[left], start) < np.maximum.reduceat(own[left], start)
+    start, size, of = start[many], size[many], np.add.reduceat(n[left], start)[many]
+    for a, b in shares(of, SUFFIXES):
+        some = np.repeat(start[a:b] - np.cumsum(size[a:b]) + size[a:b], size[a:b]) + np.arange(size[a:b].sum())
+        yield ordered(part, ids, keys, data, begin, own, left[some], np.repeat(np.arange(b - a), size[a:b]))
+
+
+def ordered(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, own: np.ndarray, left: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    """What is covered of these runs, of whole anchors (group), once their suffixes are ordered."""
+    n = part["n"].astype(np.int64)
     run = np.repeat(left, n[left])
     inner = np.arange(len(run)) - np.repeat(np.cumsum(n[left]) - n[left], n[left])
     live, new = radix_groups(data, begin[run] + inner, own[run], np.repeat(group, n[left]))
@@ -376,7 +422,7 @@ def raw_pass(part: dict, ids: np.ndarray, keys: np.ndarray, data: np.ndarray) ->
     opens = gone & ~np.concatenate(([False], gone[:-1] & (run[1:] == run[:-1])))[: len(gone)]
     closes = gone & ~np.concatenate((gone[1:] & (run[1:] == run[:-1]), [False]))[: len(gone)]
     a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-    yield found({"doc": part["doc"][run[a]], "pos": part["pos"][run[a]].astype(np.int64) + inner[a], "n": b - a + 1}, ids, keys, np.arange(len(a)), CLOSED)
+    return found({"doc": part["doc"][run[a]], "pos": part["pos"][run[a]].astype(np.int64) + inner[a], "n": b - a + 1}, ids, keys, np.arange(len(a)), CLOSED)
 
 
 def anchors(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -410,23 +456,39 @@ def cut_crowded(h: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarray,
 
 def raw_blobs(data: np.ndarray, begin: np.ndarray, part: dict, ids: np.ndarray, keys: np.ndarray, bits: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs with their bytes, packed by the bucket of their digit; those that equal a run of a smaller id here ride along as settled."""
-    h = gram_hashes(data)
-    digit = anchors(h, begin)
-    covered = equal_runs(data, h, begin, part["n"], digit, ids[part["doc"]])
+    digit, shape = run_keys(data, begin, part["n"])
+    covered = equal_runs(data, begin, part["n"], digit, shape, ids[part["doc"]])
     yield from ride_along(part, np.flatnonzero(covered), ids, keys, bits)
-    begin, part, digit = cut_crowded(h, begin[~covered], {c: x[~covered] for c, x in part.items()}, digit[~covered], crowded)
+    begin, part, digit = cut_all(data, begin[~covered], {c: x[~covered] for c, x in part.items()}, digit[~covered], crowded)
     bucket = (digit >> _U(64 - bits)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.append(edges(bucket[by]), True)) if len(by) else np.zeros(1, np.int64)
-    del h
-    blobs = []
-    for a, b in zip(edge[:-1], edge[1:], strict=True):  # the bytes of one blob at a time
-        some = by[a:b]
-        length = part["n"][some] + DEPTH - 1
-        ends = np.cumsum(length)
-        at = np.repeat(begin[some] - ends + length, length) + np.arange(ends[-1])
-        blobs.append(pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS, data[at].tobytes()))
-    yield sent(bucket[by][edge[:-1]], raw=blobs)
+    length = part["n"] + DEPTH - 1
+    for c, d in shares(np.add.reduceat(length[by], edge[:-1]) if len(by) else edge[:-1], SHARE):
+        blobs = []
+        for a, b in zip(edge[c:d], edge[c + 1 : d + 1], strict=True):  # the bytes of one blob at a time
+            some = by[a:b]
+            blobs.append(pack({c: part[c][some] for c, _ in RAW_WIDTHS}, ids, keys, RAW_WIDTHS, gathered(data, begin[some], length[some])[0].tobytes()))
+        yield sent(bucket[by][edge[c:d]], raw=blobs)
+
+
+def cut_all(data: np.ndarray, begin: np.ndarray, part: dict, digit: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, dict, np.ndarray]:
+    """cut_crowded, over the bytes of the crowded runs, a share at a time."""
+    full = np.flatnonzero(np.isin(digit, crowded))
+    if not len(full):
+        return begin, part, digit
+    rest = np.ones(len(digit), bool)
+    rest[full] = False
+    whole = [(begin[rest], {c: x[rest] for c, x in part.items()}, digit[rest])]
+    length = part["n"][full] + DEPTH - 1
+    for a, b in shares(length, SHARE):
+        some = full[a:b]
+        text, here = gathered(data, begin[some], length[a:b])
+        at, cut, new = cut_crowded(gram_hashes(text), here, {c: x[some] for c, x in part.items()}, digit[some], crowded)
+        of = np.searchsorted(here, at, side="right") - 1
+        whole.append((begin[some][of] + at - here[of], cut, new))
+    begins, parts, digits_ = zip(*whole, strict=True)
+    return np.concatenate(begins), {c: np.concatenate([p[c] for p in parts]) for c, _ in RAW_WIDTHS}, np.concatenate(digits_)
 
 
 RAW_BUFFER = 8 << 20  # bytes of text whose open runs are packed together
@@ -456,12 +518,9 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
     """Rows, the bytes of their texts and where each begins (with the end); few rows at a time where texts are long."""
     for batch in batches:
         size = batch.column("n_bytes").to_numpy()
-        ends, at = np.cumsum(size), 0
-        while at < len(size):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + RAW_BUFFER, side="right")))
+        for at, to in shares(size, SHARE):
             texts = [released(x.as_buffer(), int(n)) for x, n in zip(batch.column("packed")[at:to], size[at:to], strict=True)]
             yield batch.slice(at, to - at), np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(size[at:to])))
-            at = to
 
 
 def spans_of(found: DataFrame, name: str) -> DataFrame:
@@ -476,16 +535,18 @@ def removed_spans(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataF
     bits = max(6, (2 * n - 1).bit_length())
 
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return batch.column("doc").to_numpy(), batch.column("key").to_numpy()
+        return batch.column("doc").to_numpy().copy(), batch.column("key").to_numpy().copy()  # a view would hold the batch with its texts
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = Buffer(bits)
         for batch in batches:
-            yield from buffer.add(runs(*tk.utf8(batch.column("text"))), *columns(batch))
+            (data, offsets), (ids, keys) = tk.utf8(batch.column("text")), columns(batch)
+            for a, b in shares(np.diff(offsets), SHARE):
+                yield from buffer.add(runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), ids[a:b], keys[a:b])
         yield from buffer.send()
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+        return rows.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")  # as many buckets to each task
 
     first = materialize(dealt(docs.mapInArrow(send_runs, SENT)).mapInArrow(lambda b: by_bucket(b, crowd, OPEN), SPANS))
     total = first.filter(F.col("open") == TOTAL).agg(F.sum("start")).first()[0] or 0
@@ -554,7 +615,7 @@ def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 500, 4 << 20)
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

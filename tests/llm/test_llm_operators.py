@@ -7,6 +7,7 @@ import json
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from html import unescape
 from xml.etree import ElementTree
@@ -212,6 +213,63 @@ def test_places_and_texts_travel_small(spark):
     assert again == texts
 
 
+def raw_runs(texts):
+    """Texts of ids from 0 on, as the runs that a task packs: bytes, where runs begin, records, ids."""
+    data, offsets = tk.utf8(pa.array(texts))
+    part = suffixes.runs(data, offsets)
+    return data, offsets[part["doc"]] + part["pos"], {c: part[c].astype(np.int64) for c in ("doc", "pos", "n")}, np.arange(len(texts))
+
+
+def traced(rows):
+    """The most bytes that were held while these were made, each let go of."""
+    tracemalloc.start()
+    collections.deque(rows, maxlen=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_suffix_tasks_hold_little_beside_their_records():
+    n = 600_000
+    buffer = suffixes.Buffer(11)
+    held = list(buffer.add({"digit": suffixes.digits(np.arange(n).astype(np.uint64)), "doc": np.arange(n) // 600, "pos": np.arange(n) % 600, "n": np.full(n, 9)}, np.arange(1000), np.zeros(1000, np.int64)))
+    suffixes.sent(np.arange(1), blob=[b""])  # what Arrow imports at first
+    assert not held and traced(buffer.send()) < 50 * n  # 87 bytes a record before, 26 now
+    rng = random.Random(59)
+    texts = [prose(rng, 300) for _ in range(1000)]
+    data, begin, part, ids = raw_runs(texts + ["".join(c if i % 90 else "#" for i, c in enumerate(t)) for t in texts])
+    whole, _ = suffixes.gathered(data, begin, part["n"] + suffixes.DEPTH - 1)
+    assert traced(suffixes.raw_pass(part, ids, ids, whole)) < 40 * part["n"].sum()  # 68 bytes a suffix before, and growing with their number
+
+
+def test_suffix_shares_change_no_result(monkeypatch):
+    rng = random.Random(61)
+    base = prose(rng, 300)
+    data, begin, part, ids = raw_runs([base[rng.randrange(400) :] + prose(rng, 5) + base[: rng.randrange(300)] for _ in range(60)])
+    whole, _ = suffixes.gathered(data, begin, part["n"] + suffixes.DEPTH - 1)
+    h = suffixes.gram_hashes(data)
+    digit = suffixes.anchors(h, begin)
+    some, counts = np.unique(digit, return_counts=True)
+    crowded = some[counts > 40]
+
+    def results():
+        spans = {tuple(r.values()) for b in suffixes.raw_pass(part, ids, ids, whole) for r in b.to_pylist()}
+        raws = [(k, x) for b in suffixes.raw_blobs(data, begin, part, ids, ids, 6, crowded) for k, x in zip(b.column("bucket").to_pylist(), b.column("raw").to_pylist(), strict=True) if x]
+        read = [(k, suffixes.unpack(x, suffixes.RAW_WIDTHS)) for k, x in raws]
+        return spans, sorted((k, int(ids[int(d)]), int(p), int(n)) for k, (records, ids, _, _) in read for d, p, n in zip(records["doc"], records["pos"], records["n"], strict=True)), sorted((k, len(text)) for k, (*_, text) in read)
+
+    want = results()
+    at, cut, new = suffixes.cut_all(data, begin, part, digit, crowded)
+    _, plain, plainly = suffixes.cut_crowded(h, begin, part, digit, crowded)
+    rows = lambda p, d: sorted(zip(p["doc"].tolist(), p["pos"].tolist(), p["n"].tolist(), d.tolist(), strict=True))
+    assert len(crowded) and len(want[0]) > 100 and rows(cut, new) == rows(plain, plainly)
+    first = dict(zip(part["doc"].tolist(), (begin - part["pos"]).tolist(), strict=True))  # where each text begins
+    assert at.tolist() == [first[d] + p for d, p in zip(cut["doc"].tolist(), cut["pos"].tolist(), strict=True)]
+    monkeypatch.setattr(suffixes, "SHARE", 300)
+    monkeypatch.setattr(suffixes, "SUFFIXES", 50)
+    assert results() == want
+
+
 def test_texts_under_one_id_are_told_apart_whatever_their_number(spark):
     rows = [(i // 2, f"text {i}") for i in range(10)] + [(7, "same"), (7, "same"), (8, "one")]
     df = docs(spark, rows).selectExpr("doc_id as doc", "xxhash64(text) as key", "text")
